@@ -27,6 +27,8 @@ def tune(spark: SparkSession) -> SparkSession:
     """Bound what one Arrow batch holds, so that long texts don't pile up in a task."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    # a step that ends in a written table no longer needs its shuffle files
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     return spark
 
 

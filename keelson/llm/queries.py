@@ -8,12 +8,17 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from keelson.llm import bpe, quality, tokenfile
+from keelson.llm import bpe, quality, suffix_dedup, tokenfile
 from keelson.llm.common import tables, tune
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.remove_repeats(tables(tune(spark), sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(tables(tune(spark), sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -27,7 +32,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op8_bpe, op9_token_files, op10_quality)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op8_bpe, op9_token_files, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
