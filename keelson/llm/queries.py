@@ -7,8 +7,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from keelson.llm import bpe, quality, suffix_dedup, tokenfile
+from keelson.llm import bpe, quality, simhash, suffix_dedup, tokenfile
 from keelson.llm.common import tables, tune
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +20,11 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(tables(tune(spark), sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(tables(tune(spark), sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -32,7 +38,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op8_bpe, op9_token_files, op10_quality)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op3_simhash, op8_bpe, op9_token_files, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
