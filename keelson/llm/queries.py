@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keelson.llm import bpe, quality, simhash, suffix_dedup, tokenfile
+from keelson.llm import bpe, decontaminate, quality, simhash, suffix_dedup, tokenfile
 from keelson.llm.common import tables, tune
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,13 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark)
+    found = decontaminate.find_contamination(tables(spark, sf_dir, "documents"), tables(spark, sf_dir, "benchmark"))
+    listed = F.array_sort(F.transform("item_ids", lambda x: x.cast("string")))
+    return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join(listed, ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(tables(tune(spark), sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -38,7 +45,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op3_simhash, op8_bpe, op9_token_files, op10_quality)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op3_simhash, op7_decontaminate, op8_bpe, op9_token_files, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
