@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keelson.llm import bpe, decontaminate, quality, simhash, suffix_dedup, tokenfile
+from keelson.llm import bpe, decontaminate, quality, secrets, simhash, suffix_dedup, tokenfile
 from keelson.llm.common import tables, tune
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,13 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan_documents(tables(tune(spark), sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"].isin([r.kind for r in secrets.RULES if r.base]))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(secrets.written(base), 256).alias("base_sha256"), secrets.written(F.col("spans")).alias("spans"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(tables(tune(spark), sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -45,8 +52,8 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op3_simhash, op7_decontaminate, op8_bpe, op9_token_files, op10_quality)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_secrets, op3_simhash, op7_decontaminate, op8_bpe, op9_token_files, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_secrets": secrets.oracle_sql()}
