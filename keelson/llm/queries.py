@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keelson.llm import bpe, decontaminate, quality, secrets, simhash, suffix_dedup, tokenfile
+from keelson.llm import bpe, decontaminate, language, quality, secrets, simhash, suffix_dedup, tokenfile, toxicity
 from keelson.llm.common import tables, tune
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,15 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(tables(tune(spark), sf_dir, "documents"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark)
+    return toxicity.toxic_scores(tables(spark, sf_dir, "documents"), tables(spark, sf_dir, "labels"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     tune(spark)
     found = decontaminate.find_contamination(tables(spark, sf_dir, "documents"), tables(spark, sf_dir, "benchmark"))
@@ -52,7 +61,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_secrets, op3_simhash, op7_decontaminate, op8_bpe, op9_token_files, op10_quality)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_secrets, op3_simhash, op4_language, op5_toxicity, op7_decontaminate, op8_bpe, op9_token_files, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
