@@ -17,8 +17,9 @@ occurs; items with equal texts are all reported; an empty benchmark hits nothing
 
 from __future__ import annotations
 
+import itertools
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -61,6 +62,12 @@ class Windows:
         if self.owners:
             self.automaton.make_automaton()
 
+    def occurs(self, words: list[bytes]) -> bool:
+        if not words or not self.owners:
+            return False
+        text = b" " + b" ".join(words) + b" "
+        return next(self.automaton.iter(text.decode("latin-1")), None) is not None
+
     def scan(self, words: list[bytes]) -> tuple[np.ndarray, set]:
         """Which words lie inside an occurrence of a window; the windows' items."""
         if not words or not self.owners:
@@ -122,6 +129,15 @@ def _task(shared, window: int):
     return task
 
 
+def _shards(benchmark: DataFrame, automaton_bytes: int) -> list:
+    """The benchmark's items as broadcasts, one for each automaton."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null")
+    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    n = max(1, -(-size // automaton_bytes))
+    dealt = items.withColumn("shard", F.pmod(F.xxhash64("text"), F.lit(n)))
+    return [benchmark.sparkSession.sparkContext.broadcast([(r[0], r[1]) for r in dealt.where(F.col("shard") == k).toLocalIterator()]) for k in range(n)]
+
+
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", automaton_bytes: int = AUTOMATON_BYTES) -> DataFrame:
     """``doc_id, n_words, n_hit, item_ids, spans`` of each row of ``docs``; no shuffle while
     the benchmark fits one automaton.
@@ -129,21 +145,10 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     ``spans`` are code points of the runs of hit words. With several automata, rows are
     numbered by (id, text) to join their results: hit words are then the union of the spans.
     """
-    spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null")
-    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
     schema = "doc_id long, n_words long, n_hit long, item_ids array<long>, spans array<struct<start:long,end:long>>"
-    shards = max(1, -(-size // automaton_bytes))
-
-    def scan(shard: int) -> DataFrame:
-        own = items if shards == 1 else items.where(F.pmod(F.xxhash64("text"), F.lit(shards)) == shard)
-        shared = spark.sparkContext.broadcast([(r[0], r[1]) for r in own.toLocalIterator()])
-        return rows.mapInArrow(_task(shared, window), schema)
-
-    if shards == 1:
-        return scan(0)
-    return merge_shards(rows, [scan(k) for k in range(shards)])
+    parts = [rows.mapInArrow(_task(shared, window), schema) for shared in _shards(benchmark, automaton_bytes)]
+    return parts[0] if len(parts) == 1 else merge_shards(rows, parts)
 
 
 def merge_shards(rows: DataFrame, parts: list[DataFrame]) -> DataFrame:
@@ -162,7 +167,24 @@ def merge_shards(rows: DataFrame, parts: list[DataFrame]) -> DataFrame:
     return joined.select(counted["doc_id"], counted["n_words"], F.coalesce(within, F.lit(0).cast("long")).alias("n_hit"), F.coalesce("item_ids", empty).alias("item_ids"), F.coalesce("spans", F.array().cast("array<struct<start:long,end:long>>")).alias("spans"))
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs`` without a hit; all columns. Rows that share an id go together."""
-    found = find_contamination(docs, benchmark, id_col=id_col, **options).where("n_hit > 0").select(F.col("doc_id").alias("hit_id")).distinct()
-    return docs.join(found, docs[id_col].eqNullSafe(found["hit_id"]), "left_anti")
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text", automaton_bytes: int = AUTOMATON_BYTES) -> DataFrame:
+    """The rows of ``docs`` without a hit, with all their columns; each automaton filters
+    what the one before left, so there is no shuffle."""
+    place = docs.columns.index(text_col)
+
+    def without(shared) -> Callable:
+        name = uuid.uuid4().hex
+
+        def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own = _automaton(shared, name, window)
+            for batch in batches:
+                data, at = flat(batch.column(place))
+                raw, at = data.tobytes(), at.tolist()
+                clean = [not own.occurs(words_of(raw[a:b])) for a, b in itertools.pairwise(at)]
+                yield batch.filter(pa.array(clean, pa.bool_()))
+
+        return task
+
+    for shared in _shards(benchmark, automaton_bytes):
+        docs = docs.mapInArrow(without(shared), docs.schema)
+    return docs

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keelson.llm import bpe, decontaminate, language, quality, secrets, simhash, suffix_dedup, tokenfile, toxicity
+from keelson.llm import bpe, decontaminate, language, quality, secrets, simhash, suffix_dedup, tokenfile, toxicity, urls
 from keelson.llm.common import tables, tune
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,6 +41,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxic_scores(tables(spark, sf_dir, "documents"), tables(spark, sf_dir, "labels"))
 
 
+def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(tables(tune(spark), sf_dir, "pages"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     tune(spark)
     found = decontaminate.find_contamination(tables(spark, sf_dir, "documents"), tables(spark, sf_dir, "benchmark"))
@@ -61,7 +65,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_secrets, op3_simhash, op4_language, op5_toxicity, op7_decontaminate, op8_bpe, op9_token_files, op10_quality)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_secrets, op3_simhash, op4_language, op5_toxicity, op6_urls, op7_decontaminate, op8_bpe, op9_token_files, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
