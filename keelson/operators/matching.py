@@ -157,15 +157,15 @@ def apply_curated(matches: DataFrame, manual: DataFrame) -> DataFrame:
 def forecast_edges(questions: DataFrame, markets: DataFrame, least: float = 0.8, window: int = 14) -> DataFrame:
     """Binary questions with markets that close within ``window`` days: half title, a fixed
     0.15, a fifth timing. Only neighbouring weeks meet."""
-    q = questions.where("type = 'binary'").select(F.col("id").alias("q_id"), F.lower("title").alias("q_title"), "resolve_day", "q2", "age_days", F.explode(F.sequence(F.floor((F.col("resolve_day") - window) / 7).cast("long"), F.floor((F.col("resolve_day") + window) / 7).cast("long"))).alias("week"))
-    m = markets.where("close_day is not null").select(F.col("ord").alias("m_ord"), F.lower("question").alias("m_title"), "close_day", "yes", F.floor(F.col("close_day") / 7).cast("long").alias("week"))
+    q = questions.where("type = 'binary'").select(F.col("id").alias("q_id"), T.pair_key(F.lower("title")).alias("q_title"), "resolve_day", "q2", "age_days", F.explode(F.sequence(F.floor((F.col("resolve_day") - window) / 7).cast("long"), F.floor((F.col("resolve_day") + window) / 7).cast("long"))).alias("week"))
+    m = markets.where("close_day is not null").select(F.col("ord").alias("m_ord"), T.pair_key(F.lower("question")).alias("m_title"), "close_day", "yes", F.floor(F.col("close_day") / 7).cast("long").alias("week"))
     days = F.abs(F.col("close_day") - F.col("resolve_day"))
     # titles whose lengths differ too much cannot be alike enough
     need = max(0.0, (least - 0.35) / 0.5)
-    la, lb = (F.length(F.regexp_replace(c, r"\s+", "")) - 1 for c in ("q_title", "m_title"))
+    la, lb = F.size("q_title.pairs"), F.size("m_title.pairs")
     alike = 2 * F.least(la, lb) >= need * (la + lb)
     near = q.join(m, "week").where((days < window) & alike)
-    scored = near.withColumns({"title": T.dice(F.col("q_title"), F.col("m_title")), "timing": T.timing_similarity(days)})
+    scored = near.withColumns({"title": T.dice_of(F.col("q_title"), F.col("m_title")), "timing": T.timing_similarity(days)})
     return scored.withColumn("overall", 0.5 * F.col("title") + 0.3 * 0.5 + 0.2 * F.col("timing")).where(F.col("overall") >= least)
 
 

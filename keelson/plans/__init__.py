@@ -4,7 +4,7 @@ from __future__ import annotations
 
 
 def _load() -> None:
-    from keelson.plans import functions_q, pairs_q, history_q, matching_q, markets_q  # noqa: F401, I001
+    from keelson.plans import functions_q, pairs_q, history_q, matching_q, markets_q, ingest_q  # noqa: F401, I001
 
 
 def all_queries():

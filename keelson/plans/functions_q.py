@@ -21,14 +21,15 @@ def _kw(c: str, stop: list[str], punct: str) -> str:
     return f"list_filter(string_split_regex(regexp_replace(lower({c}), '[^\\w\\s]', '{punct}', 'g'), '\\s+'), lambda w: length(w) > 2 AND w NOT IN {_in(stop)})"
 
 
-def _bi(c: str) -> str:
-    return f"list_transform(range(1, length({c})), lambda i: {c}[i:i+1])"
-
-
-def dice_sql(a: str, b: str) -> str:
-    """For columns without white space."""
-    inner = f"list_sum(list_transform(list_distinct({_bi(a)}), lambda g: least(len(list_filter({_bi(a)}, lambda v: v = g)), len(list_filter({_bi(b)}, lambda v: v = g)))))"
-    return f"CASE WHEN {a} = {b} THEN 1.0 WHEN length({a}) < 2 OR length({b}) < 2 THEN 0.0 ELSE 2.0 * {inner} / (length({a}) + length({b}) - 2) END"
+def dice_sql(source: str, **pairs: tuple[str, str]) -> str:
+    """``source`` with a Dice column for each named pair of its columns (no white space)."""
+    for name, (a, b) in pairs.items():
+        bi = lambda c: f"list_sort(list_transform(range(1, length({c})), lambda i: {c}[i:i+1]))"
+        tag = lambda c: f"list_transform({c}, lambda g, i: g || CAST(i - list_position({c}, g) AS STRING))"
+        sorted_ = f"SELECT *, {bi(a)} AS {name}_sa, {bi(b)} AS {name}_sb FROM ({source})"
+        tagged = f"SELECT *, {tag(name + '_sa')} AS {name}_ta, {tag(name + '_sb')} AS {name}_tb FROM ({sorted_})"
+        source = f"SELECT *, CASE WHEN {a} = {b} THEN 1.0 WHEN length({a}) < 2 OR length({b}) < 2 THEN 0.0 ELSE 2.0 * len(list_intersect({name}_ta, {name}_tb)) / (length({a}) + length({b}) - 2) END AS {name} FROM ({tagged})"
+    return source
 
 
 def _source(c: str, phrases: list[str]) -> str:
@@ -58,7 +59,7 @@ def txt3(x: DataFrame) -> DataFrame:
     return _neighbours(x).select("id", F.round(T.jaccard(T.keywords(F.col("q")), T.keywords(F.col("r"))), 6).alias("jaccard"))
 
 
-@query("txt4_dice", "listings", sql=f"SELECT id, round({dice_sql('a', 'b')}, 6) AS dice FROM (SELECT id, regexp_replace(lower(q), '\\s+', '', 'g') AS a, regexp_replace(lower(r), '\\s+', '', 'g') AS b FROM ({_PAIR}))")
+@query("txt4_dice", "listings", sql="SELECT id, round(dice, 6) AS dice FROM (" + dice_sql(f"SELECT id, regexp_replace(lower(q), '\\s+', '', 'g') AS a, regexp_replace(lower(r), '\\s+', '', 'g') AS b FROM ({_PAIR})", dice=("a", "b")) + ")")
 def txt4(x: DataFrame) -> DataFrame:
     return _neighbours(x).select("id", F.round(T.dice(F.lower("q"), F.lower("r")), 6).alias("dice"))
 

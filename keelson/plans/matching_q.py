@@ -57,8 +57,8 @@ def j4(m: DataFrame) -> DataFrame:
     return matching.apply_curated(m, m.where("n % 10 = 3").select("a_id", F.concat(F.lit("c"), "b_id").alias("b_id")))
 
 
-_FC = f"""SELECT q_id, m_ord, round(0.5 * dice + 0.3 * 0.5 + 0.2 * greatest(0.0, 1 - days / 14), 6) AS overall FROM (SELECT q_id, m_ord, days, {dice_sql('a', 'b')} AS dice FROM (SELECT q.id AS q_id, l.ord AS m_ord, abs(l.close_day - q.resolve_day) AS days, regexp_replace(lower(q.title), '\\s+', '', 'g') AS a, regexp_replace(lower(l.question), '\\s+', '', 'g') AS b
-    FROM {{questions}} q JOIN {{listings}} l ON q.type = 'binary' AND abs(l.close_day - q.resolve_day) < 14)) WHERE 0.5 * dice + 0.3 * 0.5 + 0.2 * greatest(0.0, 1 - days / 14) >= 0.6"""
+_FC = "SELECT q_id, m_ord, round(overall, 6) AS overall FROM (SELECT *, 0.5 * dice + 0.3 * 0.5 + 0.2 * greatest(0.0, 1 - days / 14) AS overall FROM (" + dice_sql("""SELECT q.id AS q_id, l.ord AS m_ord, abs(l.close_day - q.resolve_day) AS days, regexp_replace(lower(q.title), '\\s+', '', 'g') AS a, regexp_replace(lower(l.question), '\\s+', '', 'g') AS b
+    FROM {questions} q JOIN {listings} l ON q.type = 'binary' AND abs(l.close_day - q.resolve_day) < 14""", dice=("a", "b")) + ")) WHERE overall >= 0.6"
 
 
 @query("j5_forecast_edges", "questions", "listings", sql=_FC)
@@ -108,8 +108,8 @@ def j11(d: DataFrame) -> DataFrame:
 
 
 _SQ = "regexp_replace(lower({0}), '\\s+', '', 'g')"
-_SET = f"""SELECT id, question_similarity, criteria, timing, src, CASE WHEN ov IS NOT NULL THEN ov ELSE 0.3 * question_similarity + 0.4 * criteria + 0.2 * timing + 0.1 * src >= 0.9 AND criteria >= 0.7 AND timing >= 0.5 AND NOT miss AND NOT coalesce(days > 7, false) AND src >= 0.8 END AS safe FROM (SELECT id, ov, days, days IS NULL AS miss, round({dice_sql('qa', 'qb')}, 6) AS question_similarity, round({dice_sql('ra', 'rb')}, 6) AS criteria, round(coalesce(greatest(0.0, 1 - days / 14), 0.0), 6) AS timing, round({dice_sql('sa', 'sb')}, 6) AS src
-    FROM (SELECT a.id, CASE WHEN a.ord % 10 = 0 THEN true END AS ov, abs(a.close_day - b.close_day) AS days, {_SQ.format('a.question')} AS qa, {_SQ.format('b.question')} AS qb, {_SQ.format("substring(split_part(a.rules, chr(10), 1), 1, 120)")} AS ra, {_SQ.format("substring(split_part(b.rules, chr(10), 1), 1, 120)")} AS rb, lower(a.source) AS sa, lower(b.source) AS sb FROM {{listings}} a JOIN {{listings}} b ON b.ord = a.ord + 1))"""
+_SET = "SELECT id, qs AS question_similarity, criteria, timing, src, CASE WHEN ov IS NOT NULL THEN ov ELSE 0.3 * qs + 0.4 * criteria + 0.2 * timing + 0.1 * src >= 0.9 AND criteria >= 0.7 AND timing >= 0.5 AND NOT miss AND NOT coalesce(days > 7, false) AND src >= 0.8 END AS safe FROM (SELECT id, ov, days, days IS NULL AS miss, round(d1, 6) AS qs, round(d2, 6) AS criteria, round(coalesce(greatest(0.0, 1 - days / 14), 0.0), 6) AS timing, round(d3, 6) AS src FROM (" + dice_sql(f"""SELECT a.id, CASE WHEN a.ord % 10 = 0 THEN true END AS ov, abs(a.close_day - b.close_day) AS days, {_SQ.format('a.question')} AS qa, {_SQ.format('b.question')} AS qb, {_SQ.format("substring(split_part(a.rules, chr(10), 1), 1, 120)")} AS ra, {_SQ.format("substring(split_part(b.rules, chr(10), 1), 1, 120)")} AS rb, lower(a.source) AS sa, lower(b.source) AS sb
+    FROM {{listings}} a JOIN {{listings}} b ON b.ord = a.ord + 1""", d1=("qa", "qb"), d2=("ra", "rb"), d3=("sa", "sb")) + "))"
 
 
 @query("j12_settlement", "listings", sql=_SET)
