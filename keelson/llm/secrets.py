@@ -132,8 +132,8 @@ def redact(docs: DataFrame, mark: str = "[secret]", id_col: str = "doc_id", text
     """
     text = F.col(text_col)
     versions = docs.select(docs[id_col].alias("path"), F.lit(0).alias("version"), text.alias("content"))
-    found = scan_unseen(versions, rules=rules).where(F.size("spans") > 0).select(F.col("blob").alias("found_blob"), F.col("spans").alias("found_spans"))
-    joined = docs.withColumn("own_blob", F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))).join(found, F.col("own_blob") == F.col("found_blob"), "left")
+    found = scan_unseen(versions, rules=rules).where(F.size("spans") > 0).select(F.col("blob").alias("_keelson_found_blob"), F.col("spans").alias("_keelson_found_spans"))
+    joined = docs.withColumn("_keelson_own_blob", F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))).join(found, F.col("_keelson_own_blob") == F.col("_keelson_found_blob"), "left")
 
     def step(acc: Column, s: Column) -> Column:
         gap = F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
@@ -141,8 +141,8 @@ def redact(docs: DataFrame, mark: str = "[secret]", id_col: str = "doc_id", text
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, F.concat(acc["out"], F.array(gap, F.lit(mark)))).otherwise(acc["out"]).alias("out"))
 
     first = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("out"))
-    cleaned = F.aggregate("found_spans", first, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, (a["at"] + 1).cast("int"), F.length(text))))
-    return joined.withColumn(text_col, F.when(F.col("found_spans").isNotNull(), cleaned).otherwise(text)).select(*docs.columns)
+    cleaned = F.aggregate("_keelson_found_spans", first, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, (a["at"] + 1).cast("int"), F.length(text))))
+    return joined.withColumn(text_col, F.when(F.col("_keelson_found_spans").isNotNull(), cleaned).otherwise(text)).select(*docs.columns)
 
 
 def _sql_spans(nth: int, rule: Rule) -> str:

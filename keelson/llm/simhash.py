@@ -210,6 +210,6 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     """The row of each class with the least id, with all its columns; where several rows
     have that id, one of them."""
     names = cut(near_duplicates(docs, id_col=id_col, text_col=text_col, **options))
-    kept = names.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("rows")).withColumnRenamed("doc_id", "kept_id")
-    rows = docs.join(kept.select("kept_id").hint("shuffle_hash"), docs[id_col].eqNullSafe(F.col("kept_id")), "left_semi")
+    kept = names.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("rows")).withColumnRenamed("doc_id", "_keelson_kept")
+    rows = docs.join(kept.select("_keelson_kept").hint("shuffle_hash"), docs[id_col].eqNullSafe(F.col("_keelson_kept")), "left_semi")
     return rows if kept.where("rows > 1").isEmpty() else rows.dropDuplicates([id_col])

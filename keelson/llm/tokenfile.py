@@ -156,6 +156,9 @@ def encoder(path: str) -> Encoder:
 _FILE = pa.schema([("part", pa.int32()), ("part_start", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("payload", pa.binary())])
 
 
+SHARDS = "part int, part_start long, doc_ids array<long>, lengths array<long>, payload binary"
+
+
 def write(docs: DataFrame, path: str, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode ``docs`` in ascending id order into the files at ``path``."""
 
@@ -183,13 +186,12 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, id_col: str = "doc_id
 
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
-    schema = "part int, part_start long, doc_ids array<long>, lengths array<long>, payload binary"
-    ordered.mapInArrow(task, schema).write.option("compression", "uncompressed").parquet(path)
+    ordered.mapInArrow(task, SHARDS).write.option("compression", "uncompressed").parquet(path)
 
 
 def read(spark, path: str) -> DataFrame:
     """``part, part_start, doc_ids, lengths, payload`` of the shards at ``path``."""
-    return spark.read.parquet(path)
+    return spark.read.schema(SHARDS).parquet(path)
 
 
 def documents_of(shards: DataFrame) -> DataFrame:
