@@ -77,19 +77,6 @@ def pair_history(matches: DataFrame, candles: DataFrame, aligned: Column) -> Dat
 _DEDUP = "platform string, market_id string, type string, first_seen timestamp, last_seen timestamp, best_score double, n long"
 
 
-def fold_alerts(ts: list, scores: list, hours: float) -> list[tuple]:
-    """Windows anchored at their first row: a row opens a new one when it comes ``hours`` or
-    more after the first of the current."""
-    out: list[list] = []
-    width = pd.Timedelta(hours=hours)
-    for t, s in zip(ts, scores, strict=True):
-        if not out or t - out[-1][0] >= width:
-            out.append([t, t, s, 1])
-        else:
-            out[-1] = [out[-1][0], t, max(out[-1][2], s), out[-1][3] + 1]
-    return [tuple(x) for x in out]
-
-
 def dedup_alerts(alerts: DataFrame, hours: float = 4, n_parts: int | None = None) -> DataFrame:
     """One row per anchored window of each (type, platform, market).
 

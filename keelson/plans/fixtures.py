@@ -30,7 +30,7 @@ VIEWS: dict[str, str] = {
         FROM {documents}""",
     # study pairs: a pair for each order line
     "pairs": """
-        SELECT concat('a', CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING), '-', CAST(l_partkey AS STRING), '-', CAST(l_suppkey AS STRING)) AS a_id, concat('b', CAST(l_partkey AS STRING), '-', CAST(l_suppkey AS STRING), '-', CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING)) AS b_id,
+        SELECT concat('a', CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING), '-', CAST(l_partkey AS STRING), '-', CAST(l_suppkey AS STRING), '-', CAST(CAST(FLOOR(l_extendedprice * 100) AS BIGINT) AS STRING)) AS a_id, concat('b', CAST(l_partkey AS STRING), '-', CAST(l_suppkey AS STRING), '-', CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING), '-', CAST(CAST(FLOOR(l_extendedprice * 100) AS BIGINT) AS STRING)) AS b_id,
                concat('Will ', CASE l_partkey % 6 WHEN 0 THEN 'any player' WHEN 1 THEN 'the top scorer' WHEN 2 THEN 'team total o/u' WHEN 3 THEN 'one in Orange County' WHEN 4 THEN 'Brazil win the World Cup' ELSE 'Rates' END, ' ', CAST(l_partkey % 50 AS STRING), '?') AS a_title,
                concat(CASE l_suppkey % 6 WHEN 0 THEN 'Goal leader' WHEN 1 THEN 'Awards — lionel messi' WHEN 2 THEN 'first half total' WHEN 3 THEN 'statewide race' WHEN 4 THEN 'Brazil vs. Chile' ELSE 'Rates' END, ' ', CAST(l_suppkey % 50 AS STRING), '?') AS b_title,
                (680 + l_orderkey % 300) / 1000 AS cosine, 1 + (l_orderkey + l_linenumber) % 7 AS match_rank,

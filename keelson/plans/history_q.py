@@ -10,17 +10,20 @@ from keelson.plans.functions_q import SCORE_SQL
 from keelson.plans.registry import query
 
 AS_OF = "2024-01-20 12:00:00"
-_NOW = F.lit(AS_OF).cast("timestamp")
 _LATEST = "arg_max({0}, (ts, event_id))"
 
 
+def _now():
+    return F.lit(AS_OF).cast("timestamp")
+
+
 def _us(c: str):
     return F.unix_micros(F.col(c).cast("timestamp"))
 
 
 @query("pf18_fresh", "snapshots", sql=f"SELECT event_id, yes FROM {{snapshots}} WHERE ts <= TIMESTAMP '{AS_OF}' AND ts >= TIMESTAMP '{AS_OF}' - INTERVAL 6 HOUR")
 def pf18(x: DataFrame) -> DataFrame:
-    return history.fresh(x, _NOW, 360).select("event_id", "yes")
+    return history.fresh(x, _now(), 360).select("event_id", "yes")
 
 
 @query("w1_latest_per_market", "snapshots", sql=f"SELECT platform, market_id, {_LATEST.format('yes')} AS yes, CAST(epoch_us(max(ts)) AS BIGINT) AS at FROM {{snapshots}} GROUP BY platform, market_id")
@@ -37,7 +40,7 @@ def w2(x: DataFrame) -> DataFrame:
 @query("w4_movement_24h", "snapshots", sql=f"""SELECT platform, market_id, arg_max(yes, (ts, event_id)) AS now, coalesce(arg_max(yes, (ts, event_id)) FILTER (ts <= TIMESTAMP '{AS_OF}' - INTERVAL 24 HOUR), arg_min(yes, (ts, event_id))) AS was,
     CAST(floor((arg_max(yes, (ts, event_id)) - coalesce(arg_max(yes, (ts, event_id)) FILTER (ts <= TIMESTAMP '{AS_OF}' - INTERVAL 24 HOUR), arg_min(yes, (ts, event_id)))) * 100 + 0.5) AS BIGINT) AS move_pp FROM {{snapshots}} WHERE ts <= TIMESTAMP '{AS_OF}' GROUP BY platform, market_id HAVING count(*) >= 2""")
 def w4(x: DataFrame) -> DataFrame:
-    return history.movement(x, _NOW)
+    return history.movement(x, _now())
 
 
 @query("w5_recent_history", "snapshots", sql="SELECT platform, market_id, event_id, nth FROM (SELECT *, row_number() OVER (PARTITION BY platform, market_id ORDER BY ts DESC, event_id DESC) AS nth FROM {snapshots}) WHERE nth <= 10")
@@ -63,14 +66,14 @@ _ASOF = f"(SELECT platform, market_id, {_LATEST.format('yes')} AS yes, {_LATEST.
 
 @query("j6_asof_pairs", "matches", "snapshots", sql=f"SELECT m.a_id, m.b_id, a.yes AS a_yes, b.yes AS b_yes FROM {{matches}} m JOIN {_ASOF} a ON a.platform = 'venue_a' AND a.market_id = m.a_id JOIN {_ASOF} b ON b.platform = 'venue_b' AND b.market_id = m.b_id")
 def j6(m: DataFrame, s: DataFrame) -> DataFrame:
-    return history.asof_pairs(m, s, _NOW, 2000).select("a_id", "b_id", "a_yes", "b_yes")
+    return history.asof_pairs(m, s, _now(), 2000).select("a_id", "b_id", "a_yes", "b_yes")
 
 
 @query("j7_cross_venue", "matches", "snapshots", sql=f"""SELECT a_id, round(gross, 6) AS gross_edge, round(net, 6) AS net_edge, round(least(1.0, greatest(0.5, 0.7 + (net - 0.10) * 2.5 + least(0.05, liq / 10000 * 0.05))), 6) AS confidence FROM (SELECT m.a_id, abs(a.yes - b.yes) AS gross, greatest(0.0, abs(a.yes - b.yes) - CAST(0.09 AS DOUBLE)) AS net, least(a.liq, b.liq) AS liq FROM {{matches}} m JOIN {_ASOF} a ON a.platform = 'venue_a' AND a.market_id = m.a_id
     JOIN {_ASOF} b ON b.platform = 'venue_b' AND b.market_id = m.b_id WHERE m.confidence >= 0.5 AND m.n % 5 <> 0) WHERE liq >= 500 AND net >= CAST(0.10 AS DOUBLE)""")
 def j7(m: DataFrame, s: DataFrame) -> DataFrame:
     risk = F.when(F.col("n") % 5 == 0, "HIGH").otherwise("LOW")
-    found = detect.cross_venue(history.asof_pairs(m, s, _NOW, 2000).withColumn("risk", risk))
+    found = detect.cross_venue(history.asof_pairs(m, s, _now(), 2000).withColumn("risk", risk))
     return found.select("a_id", F.round("gross_edge", 6).alias("gross_edge"), F.round("net_edge", 6).alias("net_edge"), F.round("opportunity_confidence", 6).alias("confidence"))
 
 
@@ -110,7 +113,7 @@ def t3(m: DataFrame) -> DataFrame:
 
 @query("t4_recent_opportunities", "opportunities", sql=f"SELECT id, type, score FROM {{opportunities}} WHERE score >= 5 AND ts <= TIMESTAMP '{AS_OF}' AND ts >= TIMESTAMP '{AS_OF}' - INTERVAL 72 HOUR")
 def t4(x: DataFrame) -> DataFrame:
-    return history.fresh(x.where("score >= 5"), _NOW, 72 * 60).orderBy(F.desc("ts"), F.desc("score"), "id").select("id", "type", "score")
+    return history.fresh(x.where("score >= 5"), _now(), 72 * 60).orderBy(F.desc("ts"), F.desc("score"), "id").select("id", "type", "score")
 
 
 @query("t5_safe_comparisons", "comparisons", sql="SELECT a_id, b_id, overall FROM {comparisons} WHERE safe")

@@ -70,13 +70,11 @@ def t8(x: DataFrame) -> DataFrame:
 _ITEM = "concat('Will ', CASE WHEN l_partkey % 3 = 0 THEN 'Team ' ELSE 'Team' END, CAST(l_suppkey AS STRING), ' win the cup of ', CAST(l_partkey % 400 AS STRING), '?')"
 
 
-@query("a23_group_feed", "pairs", sql=f"""WITH i AS (SELECT a_id AS id, row_number() OVER (ORDER BY a_volume DESC, a_id) AS rank, lower(concat('win the cup of ', CAST(l_partkey % 400 AS STRING))) AS key, a_volume AS volume, CASE WHEN l_suppkey % 7 = 0 THEN 'venue_a' ELSE 'venue_b' END AS platform, l_orderkey % 9 = 0 AS plain FROM {{pairs}}),
+@query("a23_group_feed", "pairs", sql=f"""WITH i AS (SELECT a_id AS id, l_orderkey * 100 + l_linenumber AS rank, lower(concat('win the cup of ', CAST(l_partkey % 400 AS STRING))) AS key, a_volume AS volume, CASE WHEN l_suppkey % 7 = 0 THEN 'venue_a' ELSE 'venue_b' END AS platform, l_orderkey % 9 = 0 AS plain FROM {{pairs}}),
     g AS (SELECT key, count(*) AS members, sum(volume) AS volume, min(rank) AS rank, CASE WHEN min(platform) = max(platform) THEN min(platform) ELSE 'mixed' END AS platform FROM i WHERE NOT plain GROUP BY key HAVING count(*) >= 4)
     SELECT rank, key AS name, members, volume, platform FROM g UNION ALL SELECT rank, id, 1, volume, platform FROM i WHERE plain OR key NOT IN (SELECT key FROM g)""")
 def a23(p: DataFrame) -> DataFrame:
-    from pyspark.sql.window import Window
-
-    items = p.select(F.col("a_id").alias("id"), F.row_number().over(Window.orderBy(F.desc("a_volume"), "a_id")).cast("long").alias("rank"), F.when(F.col("l_orderkey") % 9 == 0, F.lit("Plain question")).otherwise(F.expr(_ITEM)).alias("question"), F.col("a_volume").alias("volume"), F.expr("CASE WHEN l_suppkey % 7 = 0 THEN 'venue_a' ELSE 'venue_b' END").alias("platform"))
+    items = p.select(F.col("a_id").alias("id"), F.expr("l_orderkey * 100 + l_linenumber").alias("rank"), F.when(F.col("l_orderkey") % 9 == 0, F.lit("Plain question")).otherwise(F.expr(_ITEM)).alias("question"), F.col("a_volume").alias("volume"), F.expr("CASE WHEN l_suppkey % 7 = 0 THEN 'venue_a' ELSE 'venue_b' END").alias("platform"))
     return markets.group_feed(items).select("rank", "name", "members", "volume", "platform")
 
 
