@@ -132,11 +132,13 @@ def lexical_edges(a: DataFrame, b: DataFrame, least: float = 0.7) -> DataFrame:
     """Acceptable title matches ``a_ord, b_ord, confidence, method`` before one-to-one
     choice: equal titles 1.0, else 0.7 and up by word overlap."""
     side = lambda x, k: x.select(F.col("ord").alias(f"{k}_ord"), T.normalize_title(F.col("question")).alias(f"{k}_title"), F.col("n_outcomes").alias(f"{k}_n"), F.col("close_day").alias(f"{k}_close"))
-    words = lambda x: x.select("ord", T.keywords(F.col("question")).alias("words"))
     fits = (F.col("a_n") == F.col("b_n")) & compatible(F.col("a_close"), F.col("b_close"))
     sa, sb = side(a, "a"), side(b, "b")
     exact = sa.join(sb, sa["a_title"] == sb["b_title"]).where(fits).select("a_ord", "b_ord", F.lit(1.0).alias("confidence"), F.lit("exact").alias("method"))
-    near = word_join(words(a), words(b), 0.5).join(sa, "a_ord").join(sb, "b_ord").where(fits & (F.col("a_title") != F.col("b_title")))
+    # words are compared once for each pair of titles, however many listings share them
+    words = lambda x, k: x.select(F.col(f"{k}_title").alias("ord")).distinct().select("ord", T.keywords(F.col("ord")).alias("words"))
+    alike = word_join(words(sa, "a"), words(sb, "b"), 0.5).where("a_ord <> b_ord").select(F.col("a_ord").alias("a_title"), F.col("b_ord").alias("b_title"), "jaccard")
+    near = alike.join(sa, "a_title").join(sb, "b_title").where(fits)
     near = near.select("a_ord", "b_ord", (0.7 + (F.col("jaccard") - 0.5) * 0.4).alias("confidence"), F.lit("keyword").alias("method"))
     return exact.unionByName(near).where(F.col("confidence") >= least)
 
