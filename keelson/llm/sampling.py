@@ -6,18 +6,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-SALTS = 64
+#: Rows let through to the ranking, per row wanted.
+SPARE = 1.5
 
 
 def per_class(rows: DataFrame, label: str, most: int, id_col: str = "doc_id") -> DataFrame:
     """``doc_id, label, weight``: up to ``most`` rows of each label, those with the least id
-    hash; weight is how many rows of the label one of them stands for. Only ids and labels
-    are ranked. A label is ranked in ``SALTS`` parts first, each cut to ``most`` rows, so the
-    last ranking of a label sees ``SALTS * most`` rows however many it has."""
+    hash; weight is how many rows of the label one of them stands for.
+
+    Labels are counted first, and only ids whose hash is low enough for their label's count
+    are ranked: about ``SPARE * most`` thin rows of a label, however many it has. Repeats of
+    one id share a hash and may leave fewer than ``most``.
+    """
     thin = rows.select(F.col(id_col).alias("doc_id"), F.col(label).alias("label")).where("label is not null and doc_id is not null")
-    kept = thin.withColumn("salt", F.pmod(F.hash("doc_id"), F.lit(SALTS)))
-    for by in (["label", "salt"], ["label"]):
-        order = Window.partitionBy(*by).orderBy(F.xxhash64("doc_id"), "doc_id")
-        kept = kept.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= most).drop("nth")
     sizes = thin.groupBy("label").agg(F.count("*").alias("all"))
-    return kept.join(F.broadcast(sizes), "label").select("doc_id", "label", (F.col("all") / F.least("all", F.lit(most))).alias("weight"))
+    hashed = F.xxhash64("doc_id")
+    place = F.shiftrightunsigned(hashed, 1) / F.lit(float(1 << 63))
+    low = thin.join(F.broadcast(sizes), "label").where(place * F.col("all") <= SPARE * most + 100)
+    order = Window.partitionBy("label").orderBy("place", "doc_id")
+    kept = low.withColumn("place", place).withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= most)
+    return kept.select("doc_id", "label", (F.col("all") / F.least("all", F.lit(most))).alias("weight"))
