@@ -136,23 +136,29 @@ def quoted(before: str, after: str) -> bool:
 class Scorer:
     """Features of texts for one lexicon."""
 
-    def __init__(self, terms: list[str], weights: list[float]):
-        self.weights = np.array(weights)
+    def __init__(self, terms: list[str], weights: list[tuple[float, float]]):
+        #: of each term, for exact and for misspelled hits
+        self.weights = np.array(weights).reshape(-1, 2)
         automaton = Automaton(terms)
         self.table = PieceTable(lambda pieces: (np.array([automaton.match(p) + 1 for p in pieces], np.int64), np.ones(len(pieces), np.int64)))
 
+    def hits(self, texts: list[str]):
+        """Row, term, whether misspelled, and the text on both sides of every hit."""
+        whole, at, begin, end, owner = words_of(texts)
+        self.n_words = np.bincount(owner, minlength=len(texts))
+        if not len(begin) or not len(self.weights):
+            return
+        slots = self.table.look_up(whole, begin, end, hashes(code_points(whole), begin, end))
+        found = self.table.ids[self.table.begin[slots]].astype(np.int64) - 1
+        for i in np.flatnonzero(found >= 0).tolist():
+            row, b, e = int(owner[i]), int(begin[i]), int(end[i])
+            yield row, int(found[i]) // 2, int(found[i]) % 2, whole[max(at[row], b - WINDOW) : b], whole[e : min(at[row + 1], e + WINDOW)]
+
     def features(self, texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), FEATURES))
-        whole, at, begin, end, owner = words_of(texts)
-        if len(begin) and len(self.weights):
-            slots = self.table.look_up(whole, begin, end, hashes(code_points(whole), begin, end))
-            found = self.table.ids[self.table.begin[slots]].astype(np.int64) - 1
-            for i in np.flatnonzero(found >= 0).tolist():
-                row, b, e = int(owner[i]), int(begin[i]), int(end[i])
-                before, after = whole[max(at[row], b - WINDOW) : b], whole[e : min(at[row + 1], e + WINDOW)]
-                out[row, 2 * quoted(before, after) + found[i] % 2] += self.weights[found[i] // 2]
-            total = np.bincount(owner, minlength=len(texts))
-            out[:, 4] = out[:, :2].sum(axis=1) / np.sqrt(np.maximum(total, 1))
+        for row, term, off, before, after in self.hits(texts):
+            out[row, 2 * quoted(before, after) + off] += self.weights[term, off]
+        out[:, 4] = out[:, :2].sum(axis=1) / np.sqrt(np.maximum(self.n_words, 1))
         return np.log1p(out)
 
 
@@ -182,6 +188,32 @@ def _learn_lexicon(rows: DataFrame, n_toxic: float, n_other: float) -> tuple[lis
     return [r["word"] for r in best], [float(r["odds"]) for r in best]
 
 
+def _misspelled_odds(rows: DataFrame, terms: list[str], exact: list[float], n_toxic: float, n_other: float) -> list[tuple[float, float]]:
+    """Of each term its own log-odds and those of texts with a misspelling of it, at most
+    its own; a term whose neighbours are ordinary words gets none."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(terms, [(1.0, 1.0)] * len(terms))
+        counts = np.zeros((2, len(terms)), np.int64)
+        for batch in batches:
+            for lo, hi in slices(batch.column(2)):
+                labels = batch.column(0).slice(lo, hi - lo).to_pylist()
+                seen = {(row, term) for row, term, off, *_ in scorer.hits([t or "" for t in batch.column(2).slice(lo, hi - lo).to_pylist()]) if off}
+                for row, term in seen:
+                    counts[int(bool(labels[row])), term] += 1
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(terms))), pa.array(counts[1]), pa.array(counts[0])], ["term", "toxic", "other"])
+
+    found = {r[0]: (r[1], r[2]) for r in rows.mapInArrow(task, "term long, toxic long, other long").groupBy("term").agg(F.sum("toxic"), F.sum("other")).collect()}
+    out = []
+    for k, own in enumerate(exact):
+        t, o = found.get(k, (0, 0))
+        odds = float(np.log((t + 0.5) / (n_toxic + 1)) - np.log((o + 0.5) / (n_other + 1)))
+        if not o:  # no row of the others has one: it counts half the term at least
+            odds = max(odds, own / 2)
+        out.append((own, min(own, odds) if odds > LOG_ODDS / 2 else 0.0))
+    return out
+
+
 def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1e-2, rounds: int = 40) -> np.ndarray:
     """Weights (the last is the intercept) by damped Newton steps."""
     x = np.column_stack((x, np.ones(len(x))))
@@ -198,7 +230,21 @@ def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1e-2,
     return b
 
 
-def fit(docs: DataFrame, labels: DataFrame, learnable: Column, sample: int = SAMPLE) -> tuple[list[str], list[float], np.ndarray]:
+def _positive_logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Logistic weights where no hit speaks against toxicity: features with a negative
+    weight are left out one by one."""
+    used = list(range(x.shape[1]))
+    while True:
+        b = _logistic(x[:, used], y, w)
+        if not used or b[:-1].min() >= 0:
+            break
+        used.pop(int(np.argmin(b[:-1])))
+    out = np.zeros(x.shape[1] + 1)
+    out[used], out[-1] = b[:-1], b[-1]
+    return out
+
+
+def fit(docs: DataFrame, labels: DataFrame, learnable: Column, sample: int = SAMPLE) -> tuple[list[str], list[tuple[float, float]], np.ndarray]:
     """Terms, their weights, the logistic weights."""
     known = labels.where(learnable).select("doc_id", "toxic").where("toxic is not null").dropDuplicates(["doc_id"])
     chosen = per_class(known, "toxic", sample)
@@ -209,7 +255,8 @@ def fit(docs: DataFrame, labels: DataFrame, learnable: Column, sample: int = SAM
         share = float(bool(sizes.get(1)))
         none[-1] = 20.0 if share else -20.0
         return [], [], none
-    terms, weights = _learn_lexicon(rows, sizes[1][0], sizes[0][0])
+    terms, exact = _learn_lexicon(rows, sizes[1][0], sizes[0][0])
+    weights = _misspelled_odds(rows, terms, exact, sizes[1][0], sizes[0][0])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(terms, weights)
@@ -219,10 +266,10 @@ def fit(docs: DataFrame, labels: DataFrame, learnable: Column, sample: int = SAM
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo).cast(pa.int32()), batch.column(1).slice(lo, hi - lo), pa.array(x.tolist(), pa.list_(pa.float64()))], ["label", "weight", "x"])
 
     found = rows.mapInArrow(task, "label int, weight double, x array<double>").collect()
-    return terms, weights, _logistic(np.array([r[2] for r in found]), np.array([r[0] for r in found], float), np.array([r[1] for r in found]))
+    return terms, weights, _positive_logistic(np.array([r[2] for r in found]), np.array([r[0] for r in found], float), np.array([r[1] for r in found]))
 
 
-def score(docs: DataFrame, terms: list[str], weights: list[float], logistic: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, terms: list[str], weights: list[tuple[float, float]], logistic: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, score, predicted`` and the features of each row; no shuffle."""
     names = ["plain", "plain_misspelled", "quoted", "quoted_misspelled", "density"]
 
