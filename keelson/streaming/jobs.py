@@ -1,7 +1,8 @@
 """The scheduled jobs as Structured Streaming queries.
 
 A stream is any DataFrame from ``readStream`` with ``platform, market_id, ts`` and prices.
-Each job has the batch operator's meaning; its state is bounded by the watermark.
+Each job has the batch operator's meaning; its state is bounded by the watermark, that of the
+latest rows by the number of markets.
 """
 
 from __future__ import annotations
