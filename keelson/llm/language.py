@@ -1,22 +1,25 @@
 """Language identification by nearest centroids.
 
 A text becomes hashed counts of its 1- to 4-byte grams (A-Z folded, other ASCII that is no
-letter one space), log-scaled, weighted by inverse document frequency and normalised. Each
-language has several centroids, found by spherical k-means. A text takes the language of
-the centroid with the highest cosine; its score weighs that against other languages' best.
-It is rejected when its distance is beyond what nearly all sample texts of that language
-show, and when no letter is in it.
+letter one space, grams of spaces alone left out), log-scaled, weighted by inverse document
+frequency and normalised. Each language has several centroids, found by spherical k-means. A
+text takes the language of the centroid with the highest cosine; its score weighs that
+against other languages' best. It is rejected when its cosine is below what nearly all
+sample texts of that language and about its length show, and when no letter is in it.
 
 Document frequencies count every row that may be learned from. Centroids and rejection
-distances are fitted on at most ``SAMPLE`` rows of each language.
+limits are fitted on at most ``SAMPLE`` rows of each language. Limits come from cosines with
+centroids of the half of the sample that a text is not in (equal texts share a half).
 
 Defined cases: a null text or one without a letter is ``und`` with score 0 and rejected;
-without any row to learn from, so is every text; ties go to the language that sorts first.
+without any row to learn from, so is every text; ties go to the language that sorts first;
+a language with sample texts in one half only has no limit.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -28,17 +31,19 @@ from pyspark.sql import functions as F
 from keelson.llm.common import flat, slices
 from keelson.llm.sampling import per_class
 
-DIM = 2048
+DIM = 1 << 15
 GRAMS = (1, 2, 3, 4)
 SAMPLE = 500
 CENTROIDS = 4
-#: Cosine that a text may fall short of the lowest of its language's sample texts.
-SLACK = 0.10
-#: A text with a cosine of this or more is never rejected.
-FARTHEST = 0.06
+#: A limit is this share of this quantile of the cosines of so many texts of like length.
+SHARE, QUANTILE, LIKE = 0.75, 0.01, 100
+#: Limits by the power of two of a text's bytes that are no space.
+BANDS = 16
 SHARPNESS = 25.0
 UNKNOWN = "und"
-_ROWS = 256
+_ROWS = 64
+#: Document frequencies are added up in blocks of so many grams.
+_BLOCK = 512
 
 _FOLD = np.arange(256, dtype=np.uint64)
 _FOLD[[b for b in range(128) if not chr(b).isalpha()]] = 32
@@ -49,21 +54,26 @@ _LETTER = re.compile(r"[^\W\d_]")
 def counts(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Hashed gram counts of each text of a flat array, by row."""
     n, rows = len(data), len(at) - 1
-    out = np.zeros(rows * DIM, np.float32)
     if not n:
-        return out.reshape(rows, DIM)
+        return np.zeros((rows, DIM), np.float32)
     folded = _FOLD[data]
+    blank = folded == 32
     owner = np.repeat(np.arange(rows), np.diff(at))
     left = np.repeat(at[1:], np.diff(at)) - np.arange(n)
-    gram = np.zeros(n, np.uint64)
-    for k in range(max(GRAMS)):
+    gram, empty, places = np.zeros(n, np.uint64), np.ones(n, bool), []
+    for k in range(min(max(GRAMS), n)):
         gram = gram[: n - k] * np.uint64(257) + folded[k:]
-        fits = left[: n - k] > k
-        place = ((gram[fits] + np.uint64(k)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(53)
-        out += np.bincount(owner[: n - k][fits] * DIM + place.astype(np.int64), minlength=rows * DIM).astype(np.float32)
-        if n - k <= 1:
-            break
-    return out.reshape(rows, DIM)
+        empty = empty[: n - k] & blank[k:]
+        fits = (left[: n - k] > k) & ~empty
+        place = ((gram[fits] + np.uint64(k)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - (DIM - 1).bit_length())
+        places.append(owner[: n - k][fits] * DIM + place.astype(np.int64))
+    return np.bincount(np.concatenate(places), minlength=rows * DIM).astype(np.float32).reshape(rows, DIM)
+
+
+def bands(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The length band of each text of a flat array."""
+    solid = np.concatenate(([0], np.cumsum(_FOLD[data] != 32)))
+    return np.minimum(np.log2(np.maximum(np.diff(solid[at]), 1)).astype(np.int64), BANDS - 1)
 
 
 class Model(NamedTuple):
@@ -71,10 +81,13 @@ class Model(NamedTuple):
     idf: np.ndarray
     centroids: np.ndarray
     owner: np.ndarray
+    #: by language and length band
     least: np.ndarray
 
     def vectors(self, tf: np.ndarray) -> np.ndarray:
-        x = np.log1p(tf) * self.idf
+        x = np.zeros_like(tf)
+        some = np.flatnonzero(tf)
+        x.reshape(-1)[some] = np.log1p(tf.reshape(-1)[some]) * self.idf[some % DIM]
         return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
     def best(self, tf: np.ndarray) -> np.ndarray:
@@ -95,19 +108,30 @@ def _chunks(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.Recor
 
 
 def _document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
-    """Rows with each gram, and all rows: one sum per task, added up by Spark."""
+    """Rows with each gram, and all rows: blocks of sums per task, added up by block."""
+    schema = "block int, n binary"
+
+    def emit(sums: dict[int, np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], ["block", "n"])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(DIM + 1, np.int64)
+        total = np.zeros(DIM + _BLOCK, np.int64)
         for part in _chunks(batches, 0):
             total[:DIM] += (counts(*flat(part.column(0))) > 0).sum(axis=0)
             total[DIM] += part.num_rows
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(DIM + 1)), pa.array(total)], ["gram", "n"])
+        yield emit(dict(enumerate(total.reshape(-1, _BLOCK))))
 
-    found = np.zeros(DIM + 1, np.int64)
-    for gram, n in texts.mapInArrow(task, "gram long, n long").groupBy("gram").agg(F.sum("n")).collect():
-        found[gram] = n
-    return found[:DIM], int(found[DIM])
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                sums[block] = sums.get(block, 0) + np.frombuffer(n, np.int64)
+        yield emit(sums)
+
+    found = np.zeros((DIM // _BLOCK + 1, _BLOCK), np.int64)
+    for block, n in texts.mapInArrow(task, schema).repartition("block").mapInArrow(add, schema).collect():
+        found[block] = np.frombuffer(n, np.int64)
+    return found.reshape(-1)[:DIM], int(found[-1, 0])
 
 
 def _cluster(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -125,6 +149,22 @@ def _cluster(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return c
 
 
+def _limits(x: np.ndarray, half: np.ndarray, band: np.ndarray, centroids: int) -> np.ndarray:
+    """The least cosine of each length band, from texts that meet the other half's centroids."""
+    if not (half == 0).any() or not (half == 1).any():
+        return np.full(BANDS, -1.0)
+    cosine = np.zeros(len(x))
+    for k in (0, 1):
+        cosine[half == k] = (x[half == k] @ _cluster(x[half != k], centroids).T).max(axis=1)
+    out = []
+    for b in range(BANDS):
+        away = np.abs(band - b)
+        # all of the band, with those of the nearest bands where it has too few
+        reach = next((r for r in range(BANDS) if (away <= r).sum() >= LIKE), BANDS)
+        out.append(SHARE * np.quantile(cosine[away <= reach], QUANTILE))
+    return np.array(out)
+
+
 def fit(docs: DataFrame, learnable: Column, sample: int = SAMPLE, centroids: int = CENTROIDS) -> Model | None:
     """A model from ``text`` and ``lang`` of the rows of ``docs`` where ``learnable``."""
     known = docs.where(learnable & F.col("text").isNotNull())
@@ -134,19 +174,27 @@ def fit(docs: DataFrame, learnable: Column, sample: int = SAMPLE, centroids: int
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _chunks(batches, 1):
             keep = has_letter(part.column(1).to_pylist())
-            tf = counts(*flat(part.column(1)))[keep]
+            tf, band = counts(*flat(part.column(1)))[keep], bands(*flat(part.column(1)))[keep]
             langs = part.column(0).filter(pa.array(keep))
-            yield pa.RecordBatch.from_arrays([langs, pa.array([r.tobytes() for r in tf], pa.binary())], ["lang", "tf"])
+            some = [np.flatnonzero(r) for r in tf]
+            columns = [langs, pa.array(band), pa.array([i.astype(np.int32).tobytes() for i in some], pa.binary()), pa.array([r[i].tobytes() for r, i in zip(tf, some, strict=True)], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["lang", "band", "gram", "tf"])
 
-    rows = known.join(F.broadcast(chosen.select("doc_id", "label")), "doc_id").where("lang = label").select("lang", "text").mapInArrow(task, "lang string, tf binary").collect()
+    rows = known.join(F.broadcast(chosen.select("doc_id", "label")), "doc_id").where("lang = label").select("lang", "text").mapInArrow(task, "lang string, band long, gram binary, tf binary").collect()
     if not rows:
         return None
-    model = Model(sorted({r[0] for r in rows}), np.log((1 + n) / (1 + frequency)).astype(np.float32) + 0.05, np.zeros((0, DIM), np.float32), np.zeros(0, np.int64), np.zeros(0))
-    of = np.array([model.languages.index(r[0]) for r in rows])
-    x = model.vectors(np.stack([np.frombuffer(r[1], np.float32) for r in rows]))
-    found = [_cluster(x[of == k], centroids) for k in range(len(model.languages))]
-    least = [float((x[of == k] @ c.T).max(axis=1).min()) for k, c in enumerate(found)]
-    return model._replace(centroids=np.concatenate(found), owner=np.repeat(np.arange(len(found)), [len(c) for c in found]), least=np.array(least))
+    rows.sort(key=lambda r: (r[0], r[2], r[3]))  # however tasks return them
+    model = Model(sorted({r[0] for r in rows}), np.log((1 + n) / (1 + frequency)).astype(np.float32) + np.float32(0.05), np.zeros((0, DIM), np.float32), np.zeros(0, np.int64), np.zeros((0, BANDS)))
+    found, least = [], []
+    for language in model.languages:
+        own = [r for r in rows if r[0] == language]
+        tf = np.zeros((len(own), DIM), np.float32)
+        for to, r in zip(tf, own, strict=True):
+            to[np.frombuffer(r[2], np.int32)] = np.frombuffer(r[3], np.float32)
+        x = model.vectors(tf)
+        found.append(_cluster(x, centroids))
+        least.append(_limits(x, np.array([zlib.crc32(r[2] + r[3]) % 2 for r in own]), np.array([r[1] for r in own]), centroids))
+    return model._replace(centroids=np.concatenate(found), owner=np.repeat(np.arange(len(found)), [len(c) for c in found]), least=np.stack(least))
 
 
 def _judge(part: pa.Array, model: Model | None) -> tuple[np.ndarray, ...]:
@@ -163,7 +211,7 @@ def _judge(part: pa.Array, model: Model | None) -> tuple[np.ndarray, ...]:
         lang[named] = np.array(model.languages, object)[pick]
         score[named] = 1 / np.exp(SHARPNESS * (best - top[:, None])).sum(axis=1)
         cosine[named] = top
-        rejected[named] = top < np.minimum(model.least[pick] - SLACK, FARTHEST)
+        rejected[named] = top < model.least[pick, bands(*flat(part))[named]]
     return lang, score, cosine, rejected
 
 

@@ -238,6 +238,23 @@ def test_language_unknown(docs):
     assert kept.columns == docs.columns and not {0, 1, 2, 6} & {r[0] for r in table(kept, "doc_id")}
 
 
+def test_language_rejects_what_it_did_not_learn(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    rnd = random.Random(4)
+    letters = lambda alphabet, n: "".join(rnd.choice(alphabet) for _ in range(n))
+    other = [
+        "Все люди рождаются свободными и равными в своем достоинстве и правах. " * 8, "人人生而自由,在尊严和权利上一律平等。他们赋有理性和良心。" * 10, "すべての人間は、生まれながらにして自由であり、かつ、尊厳と権利とについて平等である。" * 8,
+        "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. " * 8, "Όλοι οι άνθρωποι γεννιούνται ελεύθεροι και ίσοι στην αξιοπρέπεια. " * 8, "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności. " * 8,
+        letters("abcdefghijklmnopqrstuvwxyz", 2000), letters("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/", 2000),
+    ]
+    strange = spark.createDataFrame([(-1 - i, t, None) for i, t in enumerate(other)], docs.schema)
+    found = language.identify(docs.unionByName(strange))
+    assert found.where("doc_id < 0 and not rejected").count() == 0
+    assert found.where("doc_id >= 0 and rejected").count() <= 0.01 * docs.count()
+    kept = {r[0] for r in language.keep_identified(docs.unionByName(strange)).select("doc_id").collect()}
+    assert not [d for d in kept if d < 0] and len(kept) >= 0.99 * docs.count()
+
+
 def test_toxicity_held_out(spark):
     docs, labels = (spark.read.parquet(f"{SF.replace('0.01', '0.1')}/{t}.parquet") for t in ("documents", "labels"))
     found = toxicity.toxic_scores(docs, labels).join(labels, "doc_id").where("held_out").groupBy("toxic").agg(F.avg("predicted").alias("p"))
