@@ -23,9 +23,9 @@ def _unit(v: np.ndarray) -> np.ndarray:
     return np.divide(v, n, out=np.zeros_like(v), where=n > 0)
 
 
-def similar_vectors(a: DataFrame, b: DataFrame, threshold: float = 0.68, margin: float = 0.08, k: int = 5, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def similar_vectors(a: DataFrame, b: DataFrame, threshold: float = 0.68, margin: float = 0.08, k: int | None = 5, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``a_id, b_id, cosine, rank`` of ``a(id, v)`` and ``b(id, v)``: cosines of at least
-    ``threshold``, within ``margin`` of the row's best, the best ``k``.
+    ``threshold``, within ``margin`` of the row's best, the best ``k`` or, without ``k``, all.
 
     Rows of both sides fall into blocks by id hash; each block of one side meets each of the
     other in a task of its own, which multiplies them and keeps the best ``k`` of each row:
@@ -53,7 +53,8 @@ def similar_vectors(a: DataFrame, b: DataFrame, threshold: float = 0.68, margin:
     found = left.unionByName(right).groupBy("i", "j").applyInPandas(multiply, "a_id long, b_id long, cosine double")
     order = Window.partitionBy("a_id").orderBy(F.desc("cosine"), "b_id")
     ranked = found.withColumns({"rank": F.row_number().over(order).cast("long"), "best": F.max("cosine").over(Window.partitionBy("a_id"))})
-    return ranked.where((F.col("rank") <= k) & (F.col("cosine") >= F.round(F.col("best") - margin, 6))).drop("best")
+    within = F.lit(True) if k is None else F.col("rank") <= k
+    return ranked.where(within & (F.col("cosine") >= F.round(F.col("best") - margin, 6))).drop("best")
 
 
 def replay(edges: list[tuple]) -> list[tuple]:

@@ -29,7 +29,7 @@ def j1(e: DataFrame) -> DataFrame:
 
 @query("j2_semantic_matches", "embeddings")
 def j2(e: DataFrame) -> DataFrame:
-    found = matching.similar_vectors(*_sides(e), threshold=0.3, margin=2.0, k=50)
+    found = matching.similar_vectors(*_sides(e), threshold=0.3, margin=2.0, k=None)
     return matching.greedy(found.select(F.col("a_id").alias("a_ord"), (-F.col("cosine")).alias("pref"), "b_id", F.col("cosine").alias("score")))
 
 

@@ -115,6 +115,26 @@ def test_vector_blocks_agree(spark):
     assert one_block == many and one_block
 
 
+def test_semantic_matches_need_more_than_the_nearest(spark):
+    import numpy as np
+
+    from keelson.plans import matching_q
+
+    rng = np.random.default_rng(7)
+    v = np.concatenate((rng.normal(size=8) + rng.normal(size=(130, 8)) * 0.05, rng.normal(size=(30, 8))))
+    df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "vec_id long, embedding array<double>")
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    cosine = np.round(unit @ unit.T, 6)
+    want, used = [], set()
+    for a in range(0, len(v), 2):
+        free = sorted((-cosine[a, b], b) for b in range(1, len(v), 2) if cosine[a, b] >= 0.3 and b not in used)
+        if free:
+            used.add(free[0][1])
+            want.append((a, free[0][1]))
+    got = sorted((r["a_ord"], r["b_id"]) for r in matching_q.j2(df).collect())
+    assert got == want and len(want) >= 65
+
+
 def test_order_statistic(spark):
     df = spark.createDataFrame([(float(i),) for i in range(1, 11)], "gap double")
     assert study.order_statistic(df, "gap", 90).first()[0] == 10.0
