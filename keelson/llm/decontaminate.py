@@ -8,8 +8,8 @@ normalised text gives its words, and those give offsets in the original text.
 
 The automaton is broadcast. Its size follows the benchmark, not the corpus, and is bounded:
 past ``AUTOMATON_BYTES`` bytes of items, they are dealt to several automata that scan the
-texts one after the other, and the results are joined. Equal windows of many items are one
-pattern.
+texts one after the other, each adding to what the others found. Equal windows of many items
+are one pattern.
 
 Defined cases: a null or empty text has no words and no hits; an item without words never
 occurs; items with equal texts are all reported; an empty benchmark hits nothing.
@@ -104,10 +104,15 @@ def _spans(text: str, hit: np.ndarray) -> list[dict]:
     return [{"start": int(points[first[a]]), "end": int(points[last[b - 1]])} for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)]
 
 
-def _task(shared, window: int):
+_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+_FOUND = "doc_id long, n_words long, n_hit long, item_ids array<long>, spans array<struct<start:long,end:long>>"
+#: A row on its way between two automata: its text, hit words as bits (none: empty), items.
+_CARRIED = "doc_id long, text string, hit binary, item_ids array<long>"
+
+
+def _task(shared, window: int, first: bool, last: bool):
+    """Scans the texts and adds what automata before this one found."""
     name = uuid.uuid4().hex
-    names = ["doc_id", "n_words", "n_hit", "item_ids", "spans"]
-    spans_kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _automaton(shared, name, window)
@@ -116,15 +121,22 @@ def _task(shared, window: int):
                 part = batch.slice(lo, hi - lo)
                 data, at = flat(part.column(1))
                 raw, at = data.tobytes(), at.tolist()
-                out: list[list] = [[], [], [], []]
-                for a, b in zip(at[:-1], at[1:], strict=True):
+                before = [(b"", [])] * len(part) if first else list(zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True))
+                out: list[list] = [[], [], [], [], []]
+                for a, b, (bits, known) in zip(at[:-1], at[1:], before, strict=True):
                     words = words_of(raw[a:b])
                     hit, items = own.scan(words)
+                    if bits:
+                        hit |= np.unpackbits(np.frombuffer(bits, np.uint8), count=len(words)).astype(bool)
                     n_hit = int(hit.sum())
-                    for column, value in zip(out, (len(words), n_hit, sorted(items), _spans(raw[a:b].decode(), hit) if n_hit else []), strict=True):
+                    values = (len(words), n_hit, sorted(items.union(known)), _spans(raw[a:b].decode(), hit) if n_hit and last else [], np.packbits(hit).tobytes() if n_hit and not last else b"")
+                    for column, value in zip(out, values, strict=True):
                         column.append(value)
-                columns = [part.column(0).cast(pa.int64()), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.list_(pa.int64())), pa.array(out[3], spans_kind)]
-                yield pa.RecordBatch.from_arrays(columns, names)
+                doc_id, item_ids = part.column(0).cast(pa.int64()), pa.array(out[2], pa.list_(pa.int64()))
+                if last:
+                    yield pa.RecordBatch.from_arrays([doc_id, pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), item_ids, pa.array(out[3], _SPANS)], ["doc_id", "n_words", "n_hit", "item_ids", "spans"])
+                else:
+                    yield pa.RecordBatch.from_arrays([doc_id, part.column(1), pa.array(out[4], pa.binary()), item_ids], ["doc_id", "text", "hit", "item_ids"])
 
     return task
 
@@ -139,32 +151,17 @@ def _shards(benchmark: DataFrame, automaton_bytes: int) -> list:
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", automaton_bytes: int = AUTOMATON_BYTES) -> DataFrame:
-    """``doc_id, n_words, n_hit, item_ids, spans`` of each row of ``docs``; no shuffle while
-    the benchmark fits one automaton.
+    """``doc_id, n_words, n_hit, item_ids, spans`` of each row of ``docs``; no shuffle.
 
-    ``spans`` are code points of the runs of hit words. With several automata, rows are
-    numbered by (id, text) to join their results: hit words are then the union of the spans.
+    ``spans`` are code points of the runs of hit words. Each automaton hands the rows with
+    what it found to the next, so ids may be null or repeat.
     """
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
-    schema = "doc_id long, n_words long, n_hit long, item_ids array<long>, spans array<struct<start:long,end:long>>"
-    parts = [rows.mapInArrow(_task(shared, window), schema) for shared in _shards(benchmark, automaton_bytes)]
-    return parts[0] if len(parts) == 1 else merge_shards(rows, parts)
-
-
-def merge_shards(rows: DataFrame, parts: list[DataFrame]) -> DataFrame:
-    """Results of several automata over the same texts as one result for each row."""
-    every = parts[0]
-    for part in parts[1:]:
-        every = every.unionByName(part)
-    hits = every.where("n_hit > 0").groupBy("doc_id", "n_words").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
-    merged = F.expr("aggregate(spans, cast(array() as array<struct<start:bigint,end:bigint>>), (a, s) -> if(size(a) > 0 and s.start <= element_at(a, -1).end, concat(slice(a, 1, size(a) - 1), array(named_struct('start', element_at(a, -1).start, 'end', greatest(element_at(a, -1).end, s.end)))), concat(a, array(s))))")
-    hits = hits.withColumn("spans", merged)
-    n_words = F.regexp_count("text", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")).cast("long")
-    within = F.expr(r"cast(aggregate(transform(spans, s -> regexp_count(substring(text, cast(s.start as int) + 1, cast(s.end - s.start as int)), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')), 0, (a, x) -> a + x) as bigint)")
-    counted = rows.withColumn("n_words", F.coalesce(n_words, F.lit(0).cast("long")))
-    joined = counted.join(hits.hint("shuffle_hash"), counted["doc_id"].eqNullSafe(hits["doc_id"]) & (counted["n_words"] == hits["n_words"]), "left")
-    empty = F.array().cast("array<long>")
-    return joined.select(counted["doc_id"], counted["n_words"], F.coalesce(within, F.lit(0).cast("long")).alias("n_hit"), F.coalesce("item_ids", empty).alias("item_ids"), F.coalesce("spans", F.array().cast("array<struct<start:long,end:long>>")).alias("spans"))
+    shards = _shards(benchmark, automaton_bytes)
+    for k, shared in enumerate(shards):
+        last = k == len(shards) - 1
+        rows = rows.mapInArrow(_task(shared, window, k == 0, last), _FOUND if last else _CARRIED)
+    return rows
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text", automaton_bytes: int = AUTOMATON_BYTES) -> DataFrame:

@@ -169,6 +169,16 @@ def test_decontaminate(docs, bench, automaton_bytes):
     assert clean.columns == docs.columns and [r[0] for r in table(clean, "doc_id")] == [w[0] for w in want if not w[5]]
 
 
+def test_decontaminate_rows_without_own_ids(spark, bench):
+    hit, clean = "x " + BENCH[0][1] + " y", " ".join(f"w{i}" for i in range(14))
+    both = BENCH[0][1] + " " + BENCH[1][1] + " short item here"
+    rows = [(i, t) for i in (None, 7) for t in (hit, clean, both, None, hit)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    key = lambda r: repr(r)
+    one, many = (sorted(map(tuple, decontaminate.find_contamination(df, bench, automaton_bytes=n).collect()), key=key) for n in (1 << 19, 20))
+    assert one == many and sum(r[2] > 0 for r in many) == 6
+
+
 def test_decontaminate_spans(docs, bench):
     row = decontaminate.find_contamination(docs, bench).where("size(item_ids) > 0").orderBy("doc_id").first()
     text = dict(DOCS)[row["doc_id"]]
