@@ -42,13 +42,20 @@ def _either_case(word: str) -> str:
 _WORDS = "|".join([*map(_either_case, ("password", "passwd", "secret", "token")), _either_case("api") + "_?" + _either_case("key")])
 _ASSIGN = rf"""({_WORDS})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 
+#: A private key with its body and END line. Where END is missing, the base64 run goes with
+#: its header if it starts as one does (words that follow it on are taken too).
+_PEM = r"-----BEGIN [A-Z ]*PRIVATE KEY-----"
+_PEM_FIELDS = r"(?:[\x20\t\r\n\\]*n?[A-Z][A-Za-z]+-[A-Z][a-z]+:[A-Fa-f0-9A-Z,\x20-]*)*"
+_PEM_BODY = r"[A-Za-z0-9+/=\x20\t\r\n\\]*"
+_PEM_KEY = rf"{_PEM}(?:{_PEM_FIELDS}{_PEM_BODY}-----END [A-Z ]*PRIVATE KEY-----|{_PEM_FIELDS}[\x20\t\r\n\\]*(?:[rn]\\)?[A-Za-z0-9+/=]{{16,}}{_PEM_BODY})?"
+
 #: The base rules in their order, then the rules that this scan adds.
 RULES = [
     Rule("assign", _ASSIGN, _ASSIGN[:-2] + "{6})", 2, 6),
     Rule("access", "AKIA[A-Z0-9]{16,}", "AKIA[A-Z0-9]{16}", 0, 20),
     Rule("hex", "[0-9a-f]{24,}", "[0-9a-f]{24}", 0, 24),
     Rule("github", "gh[opsu]_[A-Za-z0-9]{36,}", "gh[opsu]_[A-Za-z0-9]{36}", 0, 40, False),
-    Rule("pem", "-----BEGIN [A-Z ]*PRIVATE KEY-----", "-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1, False),
+    Rule("pem", _PEM_KEY, _PEM, 0, 1, False),
 ]
 
 
