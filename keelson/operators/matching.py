@@ -1,12 +1,14 @@
 """The same contract on two venues: by vectors, titles, forecasts, curation, verdicts.
 
 Joins on similarity deal only what can match: vectors in blocks, titles by their rarest
-words, questions by week. Greedy one-to-one choices are made inside connected components
-of the links, which cannot touch one another, in the order the rules name.
+words, questions by week. Greedy one-to-one choices are made in rounds over ranges of the
+side that chooses, with the result of one pass in the order the rules name.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -14,8 +16,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from keelson.functions import text as T
+from keelson.llm.common import cut
 
 BLOCK_ROWS = 2048
+#: Edges that one task of a greedy choice reads.
+TASK_EDGES = 250_000
 
 
 def _unit(v: np.ndarray) -> np.ndarray:
@@ -69,39 +74,42 @@ def replay(edges: list[tuple]) -> list[tuple]:
     return out
 
 
-def components(edges: DataFrame, rounds: int = 30) -> DataFrame:
-    """``edges(a_ord, b_id)`` with ``root``, the least a_ord reachable. Labels move along
-    the edges by grouped minima, each round written down to cut its lineage."""
-    spark = edges.sparkSession
-    _ensure_checkpoints(spark)
-    links = edges.select("a_ord", "b_id").distinct()
-    labels, before = links.groupBy("a_ord").agg(F.min("a_ord").alias("root")), None
-    for _ in range(rounds):
-        by_b = links.join(labels, "a_ord").groupBy("b_id").agg(F.min("root").alias("root"))
-        labels = links.join(by_b, "b_id").groupBy("a_ord").agg(F.min("root").alias("root"))
-        # a root's own label is a shorter way to the least
-        up = labels.select(F.col("a_ord").alias("root"), F.col("root").alias("higher"))
-        labels = labels.join(up, "root", "left").select("a_ord", F.coalesce("higher", "root").alias("root")).checkpoint()
-        now = labels.agg(F.sum(F.xxhash64("a_ord", "root").cast("decimal(38,0)"))).first()[0]
-        if now == before:
-            return edges.join(labels, "a_ord")
-        before = now
-    raise RuntimeError("components did not settle")
-
+_CHOSEN = "a_ord long, b_id long, score double"
 
-def _ensure_checkpoints(spark) -> None:
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/keelson-checkpoints")
 
+def _first_free(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Greedy choice over a task's edges in order; it holds the b that are taken."""
+    used, done = set(), None
+    for batch in batches:
+        out = []
+        for a, b, score in zip(batch["a_ord"].tolist(), batch["b_id"].tolist(), batch["score"].tolist(), strict=True):
+            if a != done and b not in used:
+                used.add(b)
+                done = a
+                out.append((a, b, score))
+        yield pd.DataFrame(out, columns=["a_ord", "b_id", "score"])
 
-def greedy(edges: DataFrame) -> DataFrame:
-    """One-to-one choice over ``edges(a_ord, pref, b_id, score)``, lower ``pref`` first."""
 
-    def choose(group: pd.DataFrame) -> pd.DataFrame:
-        rows = replay(list(group[["a_ord", "pref", "b_id", "score"]].itertuples(index=False, name=None)))
-        return pd.DataFrame(rows, columns=["a_ord", "b_id", "score"])
+def greedy(edges: DataFrame, task_edges: int = TASK_EDGES) -> DataFrame:
+    """One-to-one choice over ``edges(a_ord, pref, b_id, score)``, lower ``pref`` first.
 
-    return components(edges).groupBy("root").applyInPandas(choose, "a_ord long, b_id long, score double")
+    In a round, each task chooses for a range of a alone, about ``task_edges`` edges. Where
+    several want one b, the least a holds it and refuses all later ones for good. Choices
+    before the first a that was refused are final, the whole first range among them; the
+    others choose again among the edges left, each round from a written table.
+    """
+    left = cut(edges.select(F.col("a_ord").cast("long"), F.col("pref").cast("double"), F.col("b_id").cast("long"), F.col("score").cast("double")))
+    chosen = left.select("a_ord", "b_id", "score").limit(0)
+    while n := left.count():
+        ranges = left.repartitionByRange(-(-n // task_edges), "a_ord").sortWithinPartitions("a_ord", "pref", "b_id", "score")
+        wanted = cut(ranges.select("a_ord", "b_id", "score").mapInPandas(_first_free, _CHOSEN))
+        holders = cut(wanted.groupBy("b_id").agg(F.min("a_ord").alias("holder")))
+        refused = wanted.join(holders, "b_id").where("a_ord > holder").agg(F.min("a_ord")).first()[0]
+        if refused is None:
+            return chosen.unionByName(wanted)
+        chosen = chosen.unionByName(wanted.where(F.col("a_ord") < refused))
+        left = cut(left.where(F.col("a_ord") >= refused).join(holders, "b_id", "left").where("holder is null or a_ord <= holder").select("a_ord", "pref", "b_id", "score"))
+    return chosen
 
 
 def word_join(a: DataFrame, b: DataFrame, least: float) -> DataFrame:

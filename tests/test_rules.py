@@ -102,6 +102,30 @@ def test_greedy_is_the_sequential_choice(spark):
     assert got == want and len({b for _, b in got}) == len(got)
 
 
+def test_greedy_deals_one_component_to_many_tasks(spark):
+    import random
+
+    rnd = random.Random(5)
+    same = [(a, float(b), 100 + b) for a in range(40) for b in range(30)]
+    sparse = [(a, float(rnd.randrange(4)), 200 + rnd.randrange(60)) for a in range(30, 120) for _ in range(5)]
+    edges = [(a, p, b, 1.0) for a, p, b in sorted({*same, *sparse})]
+    df = spark.createDataFrame(edges, "a_ord long, pref double, b_id long, score double")
+    first_free = matching._first_free
+    tasks = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        tasks.add(1)
+        yield from first_free(batches)
+
+    matching._first_free = counted
+    try:
+        got = sorted(map(tuple, matching.greedy(df, task_edges=300).collect()))
+    finally:
+        matching._first_free = first_free
+    assert got == sorted(matching.replay(edges)) and tasks.value > 5
+    assert matching.greedy(df.limit(0)).count() == 0
+
+
 def test_vector_blocks_agree(spark):
     import numpy as np
 
