@@ -5,7 +5,10 @@ starts with the rule's, and the longest that fits decides. Pages without a rule
 verdict of their host. Hosts get trust by personalised PageRank along links from hosts
 with allowed pages, and distrust by the same against the links, from hosts with blocked
 pages: who links to a blocked host shares its blame. A host without links keeps its mass.
-It is blocked when its distrust is over its trust and over ``THRESHOLD`` per page.
+These masses grow with pages and thin out over many linkers, so the verdict compares
+shares, which do not: a host's blame is its blocked share of pages or, if higher, the
+damped mean blame of where its links go; its credit the same of allowed pages and of where
+links to it come from. It is blocked when its blame is over its credit and over ``THRESHOLD``.
 
 Link counts, seeds and ranks are grouped with partial sums; one host may have a third of
 all pages. Every few rounds the ranks go to the shared folder.
@@ -89,6 +92,20 @@ def propagate(seeds: DataFrame, links: DataFrame, rounds: int = ROUNDS, damping:
     return ranks
 
 
+def shares(own: DataFrame, links: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
+    """``host, share``: a host's own share of ``own(host, own)``, or the damped sum of the
+    shares of each ``dst`` of its ``links(src, dst, w)`` by weight, whichever is higher."""
+    every = own.unionByName(links.select(F.explode(F.array("src", "dst")).alias("host"), F.lit(0.0).alias("own"))).groupBy("host").agg(F.max("own").alias("own"))
+    every = cut(every)
+    found = every.select("host", F.col("own").alias("share"))
+    for k in range(rounds):
+        passed = links.join(found, F.col("dst") == F.col("host")).groupBy("src").agg((F.sum(F.col("w") * F.col("share")) * damping).alias("passed"))
+        found = every.join(passed, F.col("host") == F.col("src"), "left").select("host", F.greatest("own", F.coalesce("passed", F.lit(0.0))).alias("share"))
+        if k % 3 == 2:
+            found = cut(found)
+    return found
+
+
 def judge(pages: DataFrame, rules: list[UrlRule] = RULES, threshold: float = THRESHOLD, rounds: int = ROUNDS) -> DataFrame:
     """``page_id, host, path, rule, verdict, trust, distrust`` of each row of ``pages``."""
     host, path = host_path(F.col("url"))
@@ -101,12 +118,16 @@ def judge(pages: DataFrame, rules: list[UrlRule] = RULES, threshold: float = THR
     good, bad = (hosts.where(f"{c} > 0").select("host", F.col(c).alias("seed")) for c in ("good", "bad"))
     if links.isEmpty():  # nothing to spread over: every host keeps its own
         trust, distrust = good.withColumnRenamed("seed", "trust"), bad.withColumnRenamed("seed", "distrust")
+        credit, blame = (hosts.select("host", (F.col(c) / F.col("pages")).alias(to)) for c, to in (("good", "credit"), ("bad", "blame")))
     else:
         into = links.groupBy("dst").agg(F.sum("w").alias("all"))
         reverse = cut(links.join(into, "dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"), (F.col("w") / F.col("all")).alias("w")))
         trust = propagate(good, links, rounds).withColumnRenamed("rank", "trust")
         distrust = propagate(bad, reverse, rounds).withColumnRenamed("rank", "distrust")
-    scored = hosts.join(trust, "host", "left").join(distrust, "host", "left").select("host", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"), "pages")
-    scored = scored.withColumn("blocked", (F.col("distrust") > F.col("trust")) & (F.col("distrust") > threshold * F.col("pages"))).drop("pages")
+        own = lambda c: hosts.select("host", (F.col(c) / F.col("pages")).alias("own"))
+        credit = shares(own("good"), reverse, rounds).withColumnRenamed("share", "credit")
+        blame = shares(own("bad"), links, rounds).withColumnRenamed("share", "blame")
+    scored = hosts.join(trust, "host", "left").join(distrust, "host", "left").join(credit, "host").join(blame, "host").select("host", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"), "credit", "blame")
+    scored = scored.withColumn("blocked", (F.col("blame") > F.col("credit")) & (F.col("blame") > threshold)).drop("credit", "blame")
     allow = F.coalesce("allow", ~F.col("blocked"), F.lit(True))
     return listed.join(scored, "host", "left").select("page_id", "host", "path", "rule", F.when(allow, "allow").otherwise("block").alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))

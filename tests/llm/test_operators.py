@@ -325,6 +325,16 @@ def test_urls(spark):
     assert got[10]["distrust"] > 0.5 > got[11]["distrust"] and got[10]["verdict"] == "block" and got[11]["verdict"] == "allow"
 
 
+def test_urls_verdicts_do_not_hang_on_page_counts(spark):
+    bad, good = '<a href="http://bad.net/x">', '<a href="http://fine.com/x">'
+    rows = [("http://bad.net/fr/1", ""), *(("http://worse.net/fr/%d" % i, "") for i in range(10)), *(("http://fine.com/%d" % i, "") for i in range(3))]
+    rows += [(f"http://farm{i}.org/a", bad) for i in range(40)] + [(f"http://big.org/{i}", '<a href="http://worse.net/x">') for i in range(100)]
+    rows += [(f"http://mixed.org/{i}", bad if i == 0 else good) for i in range(10)] + [("http://far.org/a", '<a href="http://farm0.org/a">')]
+    pages = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(rows)], "page_id long, url string, html string")
+    got = {(r["host"], r["verdict"]) for r in urls.judge(pages).where("rule is null").collect()}
+    assert got == {(f"farm{i}.org", "block") for i in range(40)} | {("big.org", "block"), ("mixed.org", "allow"), ("far.org", "block")}
+
+
 def test_propagation_is_pagerank(spark):
     rnd = random.Random(5)
     hosts = [f"h{i}" for i in range(12)]
