@@ -6,20 +6,25 @@ in two, is removed at both. Nothing of corpus size is ever sorted in one place:
 1. Every window of ``MIN_BYTES`` bytes has an anchor, its least hashed ``GRAM``-byte string
    (the leftmost of equals). Equal windows have equal anchors at equal offsets, so windows
    can only repeat among regions (runs of windows with one anchor) of one anchor hash.
-   Equal texts are first joined into one, equal regions counted before any shuffle of bytes.
-2. Regions of an anchor hash with one distinct region that occurs again are repeated as
-   a whole. Where distinct regions share an anchor hash, their bytes are dealt by that hash.
+   Equal texts are first joined into one, equal regions (by MD5) counted before any shuffle
+   of bytes; a region that occurs again is repeated as a whole.
+2. A window has half of its bytes outside the anchor, or more, on one side of it. So of
+   distinct regions of one anchor only those go on that share that many bytes on a side
+   with another; their bytes are dealt by anchor hash.
 3. A task builds the Burrows-Wheeler transform of a few megabytes of such groups. Breadth-
    first backward extension then derives common prefixes by increasing value: what is
    known to share exactly v bytes yields, one byte further left, those that share v + 1. It
    stops at ``MIN_BYTES``; neighbours without a value by then share the whole window.
-4. An anchor hash with over ``HOT_REGIONS`` distinct regions does not fit a task. For these
-   the anchor is widened to the whole window: windows are counted by hash with partial
-   sums, which splits such a group over all tasks and is exact as well.
+4. A group of over ``HOT_REGIONS`` distinct regions is dealt again by more of the window:
+   windows with l0 to l1 bytes left of the anchor share l0 bytes there and, on the right, what
+   l1 leaves. Pieces of the regions meet by those bytes, equal pieces are counted, and groups
+   still too large are dealt by narrower ranges, the last of one window. Each size of group
+   thus comes to step 3 in pieces that fit, and no task holds more.
 
 Defined cases: null and empty texts have no bytes and keep all; equal texts of at least
 ``MIN_BYTES`` bytes lose all bytes, shorter ones none; rows with equal ids are documents of
-their own; other columns of the input are not read.
+their own; texts past ``_LONG_TEXT`` bytes are scanned in chunks; other columns of the input
+are not read.
 """
 
 from __future__ import annotations
@@ -32,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keelson.llm.common import byte_codes, cut, flat, mix, powers, prefix_hash, slices, span_hash
+from keelson.llm.common import cut, flat, mix, slices
 
 MIN_BYTES = 400
 GRAM = 32
@@ -40,19 +45,30 @@ HOT_REGIONS = 2000
 #: Bytes of regions in one suffix array; a group may add up to HOT_REGIONS regions to it.
 BATCH_BYTES = 1 << 20
 _PLACE_BITS = 24
-_LONG_TEXT = 1 << 23
+_LONG_TEXT = 1 << 21
+#: A range of places of the anchor is dealt again in so many.
+_FINER = 8
 _EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 
 
+def gram_hashes(data: np.ndarray) -> np.ndarray:
+    """A hash of the ``GRAM`` (a power of two) bytes from each place on."""
+    h, width = data.astype(np.uint64) + np.uint64(1), 1
+    while width < GRAM:
+        h = h[:-width] * np.uint64(0x9E3779B97F4A7C15) + h[width:]
+        h ^= h >> np.uint64(32)
+        width *= 2
+    return mix(h)
+
+
 def anchors(data: np.ndarray, at: np.ndarray, size: int = MIN_BYTES) -> tuple[np.ndarray, ...]:
     """Regions of all texts in a flat array of under 2**24 bytes: first window (place in
-    ``data``), number of windows, anchor hash, hash of the region's bytes."""
+    ``data``), number of windows, place of the anchor, anchor hash."""
     n = len(data)
     none = np.zeros(0, np.int64)
     if n < size:
-        return none, none, none.astype(np.uint64), none.astype(np.uint64)
-    prefix = prefix_hash(byte_codes(data))
-    gram = mix((prefix[GRAM:] - prefix[:-GRAM]) * powers(n)[1][: n - GRAM + 1])
+        return none, none, none, none.astype(np.uint64)
+    gram = gram_hashes(data)
     key = (gram & ~np.uint64((1 << _PLACE_BITS) - 1)) | np.arange(len(gram), dtype=np.uint64)
     width, step = size - GRAM + 1, 1
     while 2 * step <= width:
@@ -68,8 +84,7 @@ def anchors(data: np.ndarray, at: np.ndarray, size: int = MIN_BYTES) -> tuple[np
     new = np.ones(len(start), bool)
     new[1:] = place[1:] != place[:-1]
     head = np.flatnonzero(new)
-    lo, count = start[head], np.diff(np.append(head, len(start)))
-    return lo, count, gram[place[head]], span_hash(prefix, lo, lo + count + size - 1)
+    return start[head], np.diff(np.append(head, len(start))), place[head], gram[place[head]]
 
 
 def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
@@ -80,18 +95,22 @@ def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
     for k in range(8):
         word = (word << np.uint64(8)) | padded[k : k + n]
     order = np.argsort(word)
-    new = np.concatenate(([True], word[order[1:]] != word[order[:-1]]))
-    rank = np.empty(n, np.int64)
-    rank[order] = np.cumsum(new)
+    new = np.ones(n + 1, bool)
+    new[1:n] = word[order[1:]] != word[order[:-1]]
+    # the rank of a place is where those with equal bytes begin; only ties are sorted on
+    rank = np.zeros(2 * n + depth, np.int64)
+    rank[order] = np.maximum.accumulate(np.where(new[:n], np.arange(1, n + 1), 0))
     known = 8
-    while known < depth and int(new.sum()) < n:
-        after = np.zeros(n, np.int64)
-        after[: n - known] = rank[known:]
-        pair = rank * (n + 1) + after
-        order = np.argsort(pair)
-        new = np.concatenate(([True], pair[order[1:]] != pair[order[:-1]]))
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(new)
+    while known < depth and len(tied := np.flatnonzero(~(new[:-1] & new[1:]))):
+        own = order[tied]
+        key = rank[own] * (n + 1) + rank[own + known]
+        by = np.argsort(key)
+        own, key = own[by], key[by]
+        order[tied] = own
+        fresh = np.ones(len(own), bool)
+        fresh[1:] = key[1:] != key[:-1]
+        new[tied] = fresh
+        rank[own] = np.maximum.accumulate(np.where(fresh, tied + 1, 0))
         known *= 2
     return order
 
@@ -169,36 +188,38 @@ def _spans_of(flags: np.ndarray) -> tuple[list[int], list[int]]:
     return edge[::2].tolist(), edge[1::2].tolist()
 
 
-def _signed(x: np.ndarray) -> pa.Array:
-    return pa.array(x.astype(np.uint64).view(np.int64), pa.int64())
+def _md5(raw: bytes) -> bytes:
+    return hashlib.md5(raw, usedforsecurity=False).digest()
 
 
 def _anchor_task(size: int):
-    kind = pa.list_(pa.int64())
-    names = ["doc_id", "tk", "n_bytes", "lo", "m", "h", "rh"]
+    kinds = {"lo": pa.int64(), "m": pa.int64(), "a": pa.int64(), "h": pa.int64(), "rh": pa.binary(), "left": pa.binary(), "right": pa.binary()}
+    side = (size - GRAM + 1) // 2
 
     def one(ids: pa.Array, data: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
-        found = [[] for _ in range(4)]
-        begin = 0
-        counts = np.zeros(len(at) - 1, np.int64)
         if len(data) > _LONG_TEXT:  # one very long text: windows in chunks
+            found = []
             for begin in range(0, len(data) - size + 1, _LONG_TEXT):
                 piece = data[begin : begin + _LONG_TEXT + size - 1]
-                got = anchors(piece, np.array([0, len(piece)]), size)
-                for k, x in enumerate(got):
-                    found[k].append(x + begin if k == 0 else x)
-            counts[0] = sum(map(len, found[0]))
-            lo, m, h, rh = (np.concatenate(x) for x in found)
+                lo, m, a, h = anchors(piece, np.array([0, len(piece)]), size)
+                found.append((lo + begin, m, a + begin, h))
+            lo, m, a, h = (np.concatenate(x) for x in zip(*found, strict=True))
         else:
-            lo, m, h, rh = anchors(data, at, size)
-            owner = np.searchsorted(at, lo, "right") - 1
-            counts = np.bincount(owner, minlength=len(at) - 1)
-            lo = lo - at[owner]
-        ends = pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32())
+            lo, m, a, h = anchors(data, at, size)
+        owner = np.searchsorted(at, lo, "right") - 1
+        counts = np.bincount(owner, minlength=len(at) - 1)
         raw = data.tobytes()
-        keys = [hashlib.md5(raw[a:b], usedforsecurity=False).digest() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-        lists = [pa.ListArray.from_arrays(ends, x) for x in (pa.array(lo, pa.int64()), pa.array(m, pa.int64()), _signed(h), _signed(rh))]
-        return pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(keys, pa.binary()), pa.array(np.diff(at)), *(x.cast(kind) for x in lists)], names)
+        rh, left, right = [], [], []
+        for b, e, p in zip(lo.tolist(), (lo + m + size - 1).tolist(), a.tolist(), strict=True):
+            rh.append(_md5(raw[b:e]))
+            left.append(_md5(raw[p - side : p])[:8] if p - side >= b else None)
+            p += GRAM
+            right.append(_md5(raw[p : p + side])[:8] if p + side <= e else None)
+        ends = pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32())
+        values = (lo - at[owner], m, a - at[owner], h.view(np.int64), rh, left, right)
+        lists = [pa.ListArray.from_arrays(ends, pa.array(x, kinds[name])) for name, x in zip(kinds, values, strict=True)]
+        keys = [_md5(raw[x:y]) for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+        return pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(keys, pa.binary()), pa.array(np.diff(at)), *lists], ["doc_id", "tk", "n_bytes", *kinds])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -209,60 +230,93 @@ def _anchor_task(size: int):
     return task
 
 
+#: Part of a region: group and own key, the region, its first window there, the bytes left
+#: of the anchor in the first window, those left and right bounds that its group shares.
+_PIECES = "g binary, s binary, h long, rh binary, at long, left long, l0 long, l1 long, bytes binary"
+_PIECE_TYPES = [pa.binary(), pa.binary(), pa.int64(), pa.binary(), *[pa.int64()] * 4, pa.binary()]
+
+
+def _pieces(rows: list[tuple]) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [[]] * len(_PIECE_TYPES)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _PIECE_TYPES, strict=True)], [c.split()[0] for c in _PIECES.split(", ")])
+
+
 def _region_task(size: int):
-    """Bytes of a text's regions; of a hot anchor each window's hash instead."""
+    """Regions of texts as pieces, whole ones: every place of the anchor may be met."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[list] = [[] for _ in range(5)]
-            held = 0
+            rows, held = [], 0
             for text, regions in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 raw = (text or "").encode()
-                prefix = prefix_hash(byte_codes(np.frombuffer(raw, np.uint8))) if any(r["hot"] for r in regions) else None
                 for r in regions:
-                    lo, m = r["lo"], r["m"]
-                    windows = None
-                    if r["hot"]:
-                        first = np.arange(lo, lo + m)
-                        windows = span_hash(prefix, first, first + size).view(np.int64).tolist()
-                    for column, value in zip(rows, (r["h"], r["rh"], r["n"], None if windows else raw[lo : lo + m + size - 1], windows), strict=True):
-                        column.append(value)
-                    held += m + size + 8 * m * bool(windows)
-                if held > 8 << 20:
-                    yield _regions(rows)
-                    rows, held = [[] for _ in range(5)], 0
-            yield _regions(rows)
+                    lo, end = r["lo"], r["lo"] + r["m"] + size - 1
+                    rows.append((r["h"].to_bytes(8, "big", signed=True), r["rh"], r["h"], r["rh"], 0, r["a"] - lo, 0, size - GRAM, raw[lo:end]))
+                    held += end - lo
+                if held > 2 << 20:
+                    yield _pieces(rows)
+                    rows, held = [], 0
+            yield _pieces(rows)
+
+    return task
+
+
+def finer(piece: tuple, size: int) -> Iterator[tuple]:
+    """A piece in parts of fewer places of the anchor, each with the key of what all
+    windows of its range share."""
+    _, _, h, rh, at, left, l0, l1, raw = piece
+    step = max(1, (l1 - l0 + 1) // _FINER)
+    last = left - (len(raw) - size)  # bytes left of the anchor in the last window
+    for c0 in range(l0, l1 + 1, step):
+        c1 = min(c0 + step - 1, l1)
+        q0, q1 = max(c0, last), min(c1, left)
+        if q0 <= q1:
+            part = raw[left - q1 : left - q0 + size]
+            yield _md5(b"%d,%d:" % (c0, c1) + raw[left - c0 : left - c1 + size]), _md5(part), h, rh, at + left - q1, q1, c0, c1, part
+
+
+def _finer_task(size: int):
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, held = [], 0
+            for piece in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own = list(finer(piece, size))
+                rows += own
+                held += sum(len(x[-1]) for x in own)
+                if held > 2 << 20:
+                    yield _pieces(rows)
+                    rows, held = [], 0
+            yield _pieces(rows)
 
     return task
 
 
-def _regions(rows: list[list]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], ["h", "rh", "n", "bytes", "windows"])
+_FOUND = "h long, rh binary, s array<long>, e array<long>"
 
 
 def _bwt_task(size: int):
-    """Rows come sorted by anchor hash; whole groups are gathered into suffix arrays."""
+    """Rows come sorted by group; whole groups are gathered into suffix arrays."""
 
     def solve(rows: list[tuple]) -> pa.RecordBatch:
-        flags = repeated_windows([r[2] for r in rows], size)
+        flags = repeated_windows([r[3] for r in rows], size)
         out: list[list] = [[], [], [], []]
-        for (h, rh, _), f in zip(rows, flags, strict=True):
+        for (h, rh, at, _), f in zip(rows, flags, strict=True):
             if f.any():
-                for column, value in zip(out, (h, rh, *_spans_of(f)), strict=True):
+                spans = ([x + at for x in side] for side in _spans_of(f))
+                for column, value in zip(out, (h, rh, *spans), strict=True):
                     column.append(value)
-        kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+        kinds = [pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["h", "rh", "s", "e"])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, held, last = [], 0, None
         for batch in batches:
-            for h, rh, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                if held > BATCH_BYTES and h != last:
+            for g, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held > BATCH_BYTES and g != last:
                     yield solve(rows)
                     rows, held = [], 0
-                rows.append((h, rh, raw))
-                held, last = held + len(raw), h
+                rows.append(row)
+                held, last = held + len(row[-1]), g
         if rows:
             yield solve(rows)
 
@@ -291,33 +345,67 @@ def _keep_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["tk", "n_removed", "kept_sha256", "starts", "ends"])
 
 
+def _near(shared: DataFrame) -> DataFrame:
+    """Distinct regions that share an anchor and half a window beside it with another, and
+    how many of their anchor do."""
+    several = shared.where("kinds > 1").select("h", "rh", "at")
+    sides = several.select("h", "rh", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("at.left").alias("v")), F.struct(F.lit(1).alias("side"), F.col("at.right").alias("v")))).alias("x")).select("h", "rh", "x.*").where("v is not null")
+    again = sides.groupBy("h", "side", "v").agg(F.count("*").alias("c")).where("c > 1").drop("c")
+    near = cut(sides.join(again, ["h", "side", "v"]).select("h", "rh").distinct())
+    return cut(near.join(near.groupBy("h").agg(F.count("*").alias("kinds")), "h").join(several, ["h", "rh"]))
+
+
+def _repeated(pieces: DataFrame, hot: DataFrame, size: int, hot_regions: int) -> DataFrame:
+    """``h, rh, s, e``: windows of regions that occur in another, of ``pieces`` in groups
+    by ``g``; groups in ``hot`` are dealt by finer ranges until they fit."""
+    n_parts = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def solve(rows: DataFrame) -> DataFrame:
+        dealt = rows.select("g", "h", "rh", "at", "bytes").repartition(n_parts, "g").sortWithinPartitions("g")
+        return dealt.mapInArrow(_bwt_task(size), _FOUND).select("h", "rh", F.explode(F.arrays_zip("s", "e")).alias("x")).select("h", "rh", "x.s", "x.e")
+
+    if hot.isEmpty():
+        return solve(pieces)
+    pieces = cut(pieces)  # read for both parts
+    found = [solve(pieces.join(hot, "g", "left_anti"))]
+    while not hot.isEmpty():
+        parts = cut(pieces.join(hot, "g", "left_semi").select(*pieces.columns).mapInArrow(_finer_task(size), _PIECES))
+        kinds = parts.groupBy("g", "s").agg(F.count("*").alias("n"))
+        groups = cut(kinds.groupBy("g").agg(F.count("*").alias("kinds"), F.sum("n").alias("all")).where("all > 1").drop("all"))
+        again = parts.join(cut(kinds.where("n > 1").select("g", "s")), ["g", "s"])
+        found.append(again.select("h", "rh", F.col("at").alias("s"), (F.col("at") + F.octet_length("bytes") - (size - 1)).alias("e")))
+        # one piece of equal ones meets the others of its group
+        others = parts.join(groups.where("kinds > 1").select("g"), "g", "left_semi")
+        rest = [c for c in parts.columns if c not in ("g", "s")]
+        pieces = cut(others.groupBy("g", "s").agg(F.first(F.struct(*rest)).alias("x")).select("g", "s", "x.*"))
+        hot = groups.where(F.col("kinds") > hot_regions).select("g")
+        found.append(solve(pieces.join(hot, "g", "left_anti")))
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
 def remove_repeats(docs: DataFrame, size: int = MIN_BYTES, hot_regions: int = HOT_REGIONS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, starts, ends`` of each row of
     ``docs``; the spans are byte offsets of the maximal removed runs."""
     docs = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
     key = F.unhex(F.md5("text")).alias("tk")
 
-    scanned = docs.mapInArrow(_anchor_task(size), "doc_id long, tk binary, n_bytes long, lo array<long>, m array<long>, h array<long>, rh array<long>")
-    texts = cut(scanned.groupBy("tk").agg(F.coalesce(F.min("doc_id"), F.lit(-1)).alias("rep"), F.count("*").alias("copies"), F.first("n_bytes").alias("n_bytes"), F.first(F.arrays_zip("lo", "m", "h", "rh")).alias("regions")))
-    every = texts.select("tk", "rep", "copies", F.explode("regions").alias("r")).select("tk", "rep", "copies", "r.lo", "r.m", "r.h", "r.rh")
-    distinct = every.groupBy("h", "rh").agg(F.sum("copies").alias("n"), F.min(F.struct("tk", "rep", "lo", "m")).alias("at"))
+    names = ["lo", "m", "a", "h", "rh", "left", "right"]
+    scanned = docs.mapInArrow(_anchor_task(size), "doc_id long, tk binary, n_bytes long, lo array<long>, m array<long>, a array<long>, h array<long>, rh array<binary>, left array<binary>, right array<binary>")
+    texts = cut(scanned.groupBy("tk").agg(F.coalesce(F.min("doc_id"), F.lit(-1)).alias("rep"), F.count("*").alias("copies"), F.first("n_bytes").alias("n_bytes"), F.first(F.arrays_zip(*names)).alias("regions")))
+    every = texts.select("tk", "rep", "copies", F.explode("regions").alias("r")).select("tk", "rep", "copies", *(F.col(f"r.{c}") for c in names))
+    distinct = every.groupBy("h", "rh").agg(F.sum("copies").alias("n"), F.min(F.struct("tk", "rep", "lo", "m", "a", "left", "right")).alias("at"))
     groups = distinct.groupBy("h").agg(F.count("*").alias("kinds"), F.sum("n").alias("all")).where("all > 1").select("h", "kinds")
     shared = cut(distinct.join(groups, "h"))
 
-    wanted = shared.where("kinds > 1").groupBy("at.tk", "at.rep").agg(F.collect_list(F.struct("h", "rh", "n", "at.lo", "at.m", (F.col("kinds") > hot_regions).alias("hot"))).alias("regions"))
+    near = _near(shared)
+    wanted = near.groupBy("at.tk", "at.rep").agg(F.collect_list(F.struct("h", "rh", "at.lo", "at.m", "at.a")).alias("regions"))
     source = docs.select(key, F.coalesce("doc_id", F.lit(-1)).alias("rep"), "text")
     fetched = source.join(wanted.hint("shuffle_hash"), ["tk", "rep"]).select("text", "regions")
-    pieces = fetched.mapInArrow(_region_task(size), "h long, rh long, n long, bytes binary, windows array<long>")
-    has_hot = shared.where(F.col("kinds") > hot_regions).limit(1).count() > 0
-    if has_hot:  # then the pieces are read twice
-        pieces = cut(pieces)
-    n_parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cold = pieces.where("bytes is not null").select("h", "rh", "bytes").repartition(n_parts, "h").sortWithinPartitions("h")
-    found = cold.mapInArrow(_bwt_task(size), "h long, rh long, s array<long>, e array<long>").select("h", "rh", F.explode(F.arrays_zip("s", "e")).alias("x")).select("h", "rh", "x.s", "x.e")
-    if has_hot:
-        windows = pieces.where("windows is not null").select("h", "rh", F.posexplode("windows").alias("s", "w"))
-        again = windows.groupBy("h", "w").agg(F.count("*").alias("c")).where("c > 1").select("h", "w")
-        found = found.unionByName(windows.join(again, ["h", "w"]).select("h", "rh", F.col("s").cast("long").alias("s"), (F.col("s") + 1).cast("long").alias("e")))
+    hot = near.where(F.col("kinds") > hot_regions).select(F.unhex(F.lpad(F.hex("h"), 16, "0")).alias("g")).distinct()
+    found = _repeated(fetched.mapInArrow(_region_task(size), _PIECES), hot, size, hot_regions)
     # a region that occurs once is where it was first seen; others are looked up everywhere
     once = found.join(shared.where("n = 1").select("h", "rh", "at"), ["h", "rh"]).select("at.tk", "at.rep", (F.col("at.lo") + F.col("s")).alias("s"), (F.col("at.lo") + F.col("e") + (size - 1)).alias("e"))
     often = every.where("copies = 1").join(shared.where("n > 1").select("h", "rh"), ["h", "rh"]).select("tk", "rep", F.col("lo").alias("s"), (F.col("lo") + F.col("m") + (size - 1)).alias("e"))

@@ -61,7 +61,7 @@ def table(df, *columns):
     return sorted(tuple(r) for r in df.select(*columns).collect())
 
 
-@pytest.mark.parametrize(("size", "hot"), [(400, 2000), (60, 2000), (60, 1)])
+@pytest.mark.parametrize(("size", "hot"), [(400, 2000), (400, 1), (60, 2000), (60, 1)])
 def test_suffix_dedup(docs, size, hot):
     got = table(suffix_dedup.remove_repeats(docs, size, hot), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
     assert got == brute.suffix_dedup(DOCS, size)
