@@ -54,19 +54,34 @@ def status(label: Column) -> Column:
     )
 
 
+#: What tells contracts apart in lower-cased titles.
+CONTRACT_WORDS = {
+    "top_scorer": "(top goalscorer|top scorer|golden boot)",
+    "goal": "(score a goal|goal contribution|to score)",
+    "goal_leader": "goal leader",
+    "any_player": "(a player representing|any player)",
+    "named_player": r"—\s*[a-zà-ÿ']+\s+[a-zà-ÿ']+",
+    "total": r"(o/u|over/under|\btotal\b)",
+    "half": "(first half|second half|1st half|2nd half)",
+    "tournament": "(win the (world cup|championship|tournament|title|final)|tournament winner|outright)",
+    "match": r"(win on \d|advance|\bvs\.?\b|group stage|to reach|semifinal|quarterfinal)",
+    "county": r"\bin [a-z.' -]*?county\b",
+    "counties": r"\bcount(y|ies)\b",
+}
+
+
 def suspicious(a_title: Column, b_title: Column) -> Column:
     """Why two titles are likely different contracts though they read alike, or null."""
     a, b = F.lower(F.coalesce(a_title, F.lit(""))), F.lower(F.coalesce(b_title, F.lit("")))
     has = lambda c, p: c.rlike(p)
-    total, half = r"(o/u|over/under|\btotal\b)", "(first half|second half|1st half|2nd half)"
-    county, mention = r"\bin [a-z.' -]*?county\b", r"\bcount(y|ies)\b"
+    x = CONTRACT_WORDS
     return (
-        F.when(has(a, "(top goalscorer|top scorer|golden boot)") & has(b, "goal leader"), "top scorer or goal leader")
-        .when(has(a, "(score a goal|goal contribution|to score)") & has(b, "goal leader"), "goal or goal leader")
-        .when(has(a, "(a player representing|any player)") & has(b, r"—\s*[a-zà-ÿ']+\s+[a-zà-ÿ']+"), "any player or a named one")
-        .when(has(a, total) & has(b, total) & (has(a, half) != has(b, half)), "full or half total")
-        .when(has(a, "(win the (world cup|championship|tournament|title|final)|tournament winner|outright)") & has(b, r"(win on \d|advance|\bvs\.?\b|group stage|to reach|semifinal|quarterfinal)"), "tournament or one match")
-        .when((has(a, county) & ~has(b, mention)) | (has(b, county) & ~has(a, mention)), "county or state")
+        F.when(has(a, x["top_scorer"]) & has(b, x["goal_leader"]), "top scorer or goal leader")
+        .when(has(a, x["goal"]) & has(b, x["goal_leader"]), "goal or goal leader")
+        .when(has(a, x["any_player"]) & has(b, x["named_player"]), "any player or a named one")
+        .when(has(a, x["total"]) & has(b, x["total"]) & (has(a, x["half"]) != has(b, x["half"])), "full or half total")
+        .when(has(a, x["tournament"]) & has(b, x["match"]), "tournament or one match")
+        .when((has(a, x["county"]) & ~has(b, x["counties"])) | (has(b, x["county"]) & ~has(a, x["counties"])), "county or state")
     )
 
 

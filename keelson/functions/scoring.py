@@ -38,6 +38,12 @@ def profit_score(net: Column) -> Column:
     return F.least(F.lit(10.0), net * 100)
 
 
+def breakdown(net: Column, detector: Column, match: Column, liquidity: Column, days_left: Column, weights: dict[str, float] = WEIGHTS) -> Column:
+    """``struct(edge, confidence, liquidity, time, profit, weights)`` of a composite score."""
+    parts = {"edge": edge_score(net), "confidence": confidence_score(detector, match), "liquidity": liquidity_score(liquidity), "time": time_score(days_left), "profit": profit_score(net)}
+    return F.struct(*(c.cast("double").alias(k) for k, c in parts.items()), F.struct(*(F.lit(w).alias(k) for k, w in weights.items())).alias("weights"))
+
+
 def composite(net: Column, detector: Column, match: Column, liquidity: Column, days_left: Column, weights: dict[str, float] = WEIGHTS, min_edge: float = 0.05) -> Column:
     """The weighted score, 1 to 10; null where the edge is under ``min_edge``."""
     if abs(sum(weights.values()) - 1) > 1e-3:

@@ -18,16 +18,20 @@ def brier_by(forecasts: DataFrame, *by: str) -> DataFrame:
 
 
 def curve(forecasts: DataFrame) -> DataFrame:
-    """Tenths of probability with their observed share, and the overall signed error."""
+    """Tenths of probability with their observed share; over all, the mean of how far each
+    tenth's middle is above its share, and what that says."""
     rows = forecasts.where("resolved").withColumn("p", clamped(F.col("probability")))
     bucket = F.least(F.lit(9).cast("long"), F.floor(F.col("p") * 10))
-    by = rows.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"), F.sum("outcome").cast("long").alias("hits"))
-    error = rows.agg(F.round(F.try_divide(F.sum(F.col("p") - F.col("outcome")), F.count("*")), 6).alias("signed_error"))
-    return by.crossJoin(F.broadcast(error)).select("bucket", "n", "hits", F.round(F.col("hits") / F.col("n"), 6).alias("observed"), ((F.col("bucket") + 0.5) / 10).alias("midpoint"), "signed_error")
+    by = rows.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"), F.sum("outcome").cast("long").alias("hits")).withColumn("midpoint", (F.col("bucket") + 0.5) / 10)
+    raw = F.try_divide(F.sum(F.col("midpoint") * F.col("n") - F.col("hits")), F.sum("n"))
+    error = by.agg(F.round(raw, 6).alias("signed_error"), verdict(raw).alias("verdict"))
+    return by.crossJoin(F.broadcast(error)).select("bucket", "n", "hits", F.round(F.col("hits") / F.col("n"), 6).alias("observed"), "midpoint", "signed_error", "verdict")
 
 
 def verdict(signed_error: Column) -> Column:
-    return F.when(signed_error > 0.05, "overconfident").when(signed_error < -0.05, "underconfident").otherwise("calibrated")
+    """By whole points of error, five of them either way being well calibrated."""
+    points = F.floor(signed_error * 100 + 0.5)
+    return F.when(points > 5, "overconfident").when(points < -5, "underconfident").otherwise("calibrated")
 
 
 def by_category(forecasts: DataFrame) -> DataFrame:

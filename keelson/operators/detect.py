@@ -67,13 +67,38 @@ def divergence(matches: DataFrame, least: int = 5) -> DataFrame:
     return matches.where("q2 is not null and yes is not null").withColumns({"percent": percent, "band": band, "is_fresh": age <= 7}).where(F.col("percent") >= least)
 
 
-def unify(multi: DataFrame, sums: DataFrame, fee_a: float = FEE_A, fee_b: float = FEE_B) -> DataFrame:
-    """Both detectors' rows in one shape: edges as fractions, one id per finding."""
-    fee = F.when(F.col("platform") == "venue_a", fee_a / 100).otherwise(fee_b / 100)
-    name = lambda t: T.opportunity_id(F.lit(t), F.col("platform"), F.col("market_id")).alias("id")
-    a = multi.where("reason is null").select(name("multi_outcome"), F.lit("multi_outcome").alias("type"), "platform", "market_id", (F.col("gross") / 100).alias("gross_edge"), (F.col("net") / 100).alias("net_edge"), "confidence", "min_liquidity", F.col("n").alias("depth"))
-    b = sums.select(name("correlated"), F.lit("correlated").alias("type"), "platform", "market_id", (F.col("edge") / 100).alias("gross_edge"), F.greatest(F.lit(0.0), F.col("edge") / 100 - fee * F.col("n")).alias("net_edge"), "confidence", "min_liquidity", F.col("n").alias("depth"))
-    return a.unionByName(b)
+#: One counter for each detector of a run, by type and platform (none: any).
+COUNTERS = {"multi_outcome_a": ("multi_outcome", "venue_a"), "multi_outcome_b": ("multi_outcome", "venue_b"), "correlated": ("correlated", None), "cross_platform": ("cross_platform", None), "divergence": ("divergence", None)}
+
+
+def _finding(kind: str, platform: Column, market: Column, gross: Column, net: Column, confidence: Column, match: Column, liquidity: Column, depth: Column, days_left: Column) -> list[Column]:
+    names = {"type": F.lit(kind), "platform": platform, "market_id": market, "gross_edge": gross, "net_edge": net, "detector_confidence": confidence, "match_confidence": match, "min_liquidity": F.coalesce(liquidity, F.lit(0.0)), "depth": depth.cast("long"), "days_left": days_left}
+    return [T.opportunity_id(F.lit(kind), platform, market).alias("id"), *(c.alias(k) for k, c in names.items())]
+
+
+def unify(multi: DataFrame | None = None, sums: DataFrame | None = None, cross: DataFrame | None = None, forecasts: DataFrame | None = None, fee_a: float = FEE_A, fee_b: float = FEE_B) -> DataFrame:
+    """What the given detectors found in one shape: edges as fractions, one id per finding;
+    a detector that is off has no rows. ``forecasts`` are rows of ``divergence`` with
+    platform, market_id and the match's confidence."""
+    market, none = [F.col("platform"), F.col("market_id")], F.lit(None).cast("double")
+    parts = []
+    if multi is not None:
+        parts.append(multi.where("reason is null").select(*_finding("multi_outcome", *market, F.col("gross") / 100, F.col("net") / 100, F.col("confidence"), none, F.col("min_liquidity"), F.col("n"), none)))
+    if sums is not None:
+        edge, fee = F.col("edge") / 100, F.when(F.col("platform") == "venue_a", fee_a / 100).otherwise(fee_b / 100)
+        left = F.col("days_left").cast("double") if "days_left" in sums.columns else none
+        parts.append(sums.select(*_finding("correlated", *market, edge, F.greatest(F.lit(0.0), edge - fee * F.col("n")), F.col("confidence"), none, F.col("min_liquidity"), F.col("n"), left)))
+    if cross is not None:
+        parts.append(cross.select(*_finding("cross_platform", F.lit("cross"), F.col("a_id"), F.col("gross_edge"), F.col("net_edge"), F.col("opportunity_confidence"), F.col("confidence").cast("double"), F.col("min_liquidity"), F.lit(2), none)))
+    if forecasts is not None:
+        edge = F.col("percent") / 100
+        parts.append(forecasts.select(*_finding("divergence", *market, edge, edge, F.when(F.col("is_fresh"), 0.9).otherwise(0.6), F.col("confidence").cast("double"), F.lit(0.0), F.lit(1), none)))
+    if not parts:
+        raise ValueError("no detector given")
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def counts(opportunities: DataFrame) -> DataFrame:
@@ -81,10 +106,18 @@ def counts(opportunities: DataFrame) -> DataFrame:
     return opportunities.cube("type", "platform").agg(F.count("*").alias("n"))
 
 
+def run_counters(opportunities: DataFrame) -> DataFrame:
+    """One row: findings of each detector, none as zero, and all."""
+    fits = lambda t, p: (F.col("type") == t) & (F.lit(True) if p is None else F.col("platform") == p)
+    return opportunities.agg(*(F.count_if(fits(*c)).alias(k) for k, c in COUNTERS.items()), F.count("*").alias("total"))
+
+
 def stats(opportunities: DataFrame) -> DataFrame:
     return opportunities.rollup("type").agg(F.count("*").alias("n"), F.round(F.coalesce(F.avg("score"), F.lit(0.0)), 6).alias("avg_score"))
 
 
 def scored(opportunities: DataFrame, least: float = 5.0) -> DataFrame:
-    s = S.composite(F.col("net_edge"), F.col("detector_confidence"), F.col("match_confidence"), F.col("min_liquidity"), F.col("days_left"))
-    return opportunities.withColumn("total", s).where(F.col("total") >= least).orderBy(F.desc("total"), "id")
+    """Opportunities with their score and its parts, from ``least`` on, best first."""
+    own = [F.col(c) for c in ("net_edge", "detector_confidence", "match_confidence", "min_liquidity", "days_left")]
+    rows = opportunities.withColumns({"total": S.composite(*own), "breakdown": S.breakdown(*own)})
+    return rows.where(F.col("total") >= least).orderBy(F.desc("total"), "id")

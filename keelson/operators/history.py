@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from keelson.sources.scratch import cut
+
 MARKET = ["platform", "market_id"]
 
 
@@ -111,26 +113,63 @@ def dedup_alerts(alerts: DataFrame, hours: float = 4, n_parts: int | None = None
     return thin.mapInPandas(task, _DEDUP)
 
 
-def assign_chunks(requests: DataFrame, budget: int = 1_800_000, max_rows: int = 50_000) -> DataFrame:
-    """Requests in key order, filled into chunks until a token budget or row count.
-
-    The running sum starts anew with each chunk, so it is folded in order. Only keys and
-    estimates are moved, dealt by ranges of the key; a range starts a chunk of its own.
-    """
-    n_parts = int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    size = requests.select("key", "tokens").repartitionByRange(n_parts, "key").sortWithinPartitions("key")
+def _fill(entry: dict[int, tuple[int, int, int]], budget: int, max_rows: int, listed: bool):
+    """Folds rows that come sorted by range and key: each range starts from its entry, which
+    is tokens and rows of the open chunk and its number. Gives the rows with their chunk, or
+    each range's exit alone."""
 
     def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyspark import TaskContext
-
-        part, chunk, used, rows = TaskContext.get().partitionId(), 0, 0, 0
+        part, used, rows, chunk, exits = None, 0, 0, -1, []
         for frame in frames:
             own = []
-            for tokens in frame["tokens"].tolist():
-                if rows and (used + tokens > budget or rows >= max_rows):
+            for p, tokens in zip(frame["part"].tolist(), frame["tokens"].tolist(), strict=True):
+                if p != part:
+                    if part is not None:
+                        exits.append((part, used, rows, chunk))
+                    part = p
+                    used, rows, chunk = entry.get(p, (0, 0, -1))
+                if not rows or used + tokens > budget or rows >= max_rows:
                     chunk, used, rows = chunk + 1, 0, 0
                 used, rows = used + tokens, rows + 1
                 own.append(chunk)
-            yield pd.DataFrame({"key": frame["key"], "tokens": frame["tokens"], "part": part, "chunk": own})
+            if listed:
+                yield pd.DataFrame({"key": frame["key"], "tokens": frame["tokens"], "chunk": own})
+        if not listed:
+            exits += [(part, used, rows, chunk)] if part is not None else []
+            yield pd.DataFrame(exits, columns=["part", "used", "rows", "chunk"])
 
-    return size.mapInPandas(task, "key string, tokens long, part int, chunk long")
+    return task
+
+
+def assign_chunks(requests: DataFrame, budget: int = 1_800_000, max_rows: int = 50_000) -> DataFrame:
+    """``key, tokens, chunk``: requests in key order, filled into chunks until a token budget
+    or row count.
+
+    The running sum starts anew with each chunk, so a range of keys depends on how the one
+    before it ends. Ranges are folded at once, from guessed entries; those whose guess was
+    wrong are folded again from the exit before them, until all agree. Chunks from different
+    entries soon fall in step, so few rounds are needed, and each settles one range at least.
+    Only keys and estimates are moved; the driver holds one small row for each range.
+    """
+    n_parts = int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = cut(requests.select("key", "tokens").repartitionByRange(n_parts, "key", "tokens").withColumn("part", F.spark_partition_id()))
+    ordered = lambda df: df.repartition(n_parts, "part").sortWithinPartitions("part", "key", "tokens")
+    entry: dict[int, tuple[int, int, int]] = {}
+    exits: dict[int, tuple[int, int, int]] = {}
+    todo = dealt
+    while True:
+        found = ordered(todo).mapInPandas(_fill(dict(entry), budget, max_rows, False), "part int, used long, rows long, chunk long").collect()
+        exits |= {r["part"]: (r["used"], r["rows"], r["chunk"]) for r in found}
+        before, wrong = (0, 0, -1), []
+        for part in sorted(exits):
+            guess = entry.get(part, (0, 0, -1))
+            if guess[:2] != before[:2]:
+                wrong.append(part)
+            # chunk numbers alone only shift
+            exits[part] = (*exits[part][:2], exits[part][2] - guess[2] + before[2])
+            entry[part] = before
+            before = exits[part]
+        if not wrong:
+            break
+        todo = dealt.where(F.col("part").isin(wrong))
+    return ordered(dealt).mapInPandas(_fill(entry, budget, max_rows, True), "key string, tokens long, chunk long")

@@ -16,9 +16,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from keelson.functions import text as T
-from keelson.llm.common import cut
+from keelson.sources.scratch import cut
 
-BLOCK_ROWS = 2048
+BLOCK_ROWS = 8192
+#: Rows of a block that are multiplied at once.
+_CHUNK = 1024
 #: Edges that one task of a greedy choice reads.
 TASK_EDGES = 250_000
 
@@ -46,13 +48,15 @@ def similar_vectors(a: DataFrame, b: DataFrame, threshold: float = 0.68, margin:
         out = {"a_id": [], "b_id": [], "cosine": []}
         if len(x) and len(y):
             ids = y["id"].to_numpy()
-            dots = np.round(_unit(np.stack(x["v"]).astype(np.float64)) @ _unit(np.stack(y["v"]).astype(np.float64)).T, 6)
-            for own, row in zip(x["id"].tolist(), dots, strict=True):
-                hit = np.flatnonzero(row >= threshold)
-                hit = hit[np.lexsort((ids[hit], -row[hit]))][:k]
-                out["a_id"] += [own] * len(hit)
-                out["b_id"] += ids[hit].tolist()
-                out["cosine"] += row[hit].tolist()
+            other = _unit(np.stack(y["v"]).astype(np.float64)).T
+            for lo in range(0, len(x), _CHUNK):
+                part = x.iloc[lo : lo + _CHUNK]
+                for own, row in zip(part["id"].tolist(), np.round(_unit(np.stack(part["v"]).astype(np.float64)) @ other, 6), strict=True):
+                    hit = np.flatnonzero(row >= threshold)
+                    hit = hit[np.lexsort((ids[hit], -row[hit]))][:k]
+                    out["a_id"] += [own] * len(hit)
+                    out["b_id"] += ids[hit].tolist()
+                    out["cosine"] += row[hit].tolist()
         return pd.DataFrame(out)
 
     found = left.unionByName(right).groupBy("i", "j").applyInPandas(multiply, "a_id long, b_id long, cosine double")
@@ -112,6 +116,14 @@ def greedy(edges: DataFrame, task_edges: int = TASK_EDGES) -> DataFrame:
     return chosen
 
 
+def semantic_matches(a: DataFrame, b: DataFrame, threshold: float = 0.85) -> DataFrame:
+    """``a_ord, b_id, score``, one-to-one: in the order of a, the most alike b that is free,
+    from ``threshold`` on; every such b is an edge. Best scores first."""
+    found = similar_vectors(a, b, threshold, margin=2.0, k=None)
+    chosen = greedy(found.select(F.col("a_id").alias("a_ord"), (-F.col("cosine")).alias("pref"), "b_id", F.col("cosine").alias("score")))
+    return chosen.orderBy(F.desc("score"), "a_ord")
+
+
 def word_join(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
     """``a_ord, b_ord, jaccard`` of word sets ``a(ord, words)``, ``b(ord, words)`` at
     ``least`` or more.
@@ -159,10 +171,13 @@ def lexical_matches(a: DataFrame, b: DataFrame, least: float = 0.7) -> DataFrame
     return chosen.select("a_ord", F.col("b_id").alias("b_ord"), F.col("score").alias("confidence"))
 
 
-def apply_curated(matches: DataFrame, manual: DataFrame) -> DataFrame:
-    """Curated pairs first; both their ids leave the algorithmic matches."""
-    kept = matches.join(manual.select("a_id"), "a_id", "left_anti").join(manual.select("b_id"), "b_id", "left_anti")
-    return manual.select("a_id", "b_id", F.lit(1.0).alias("confidence"), F.lit("manual").alias("method")).unionByName(kept.select("a_id", "b_id", "confidence", "method"))
+def apply_curated(matches: DataFrame, manual: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
+    """Verified curated pairs with both sides listed (``a(id)``, ``b(id)``) come first; their
+    ids leave the algorithmic matches."""
+    listed = lambda x, k: x.select(F.col("id").alias(k)).distinct()
+    sure = manual.where("verified").join(listed(a, "a_id"), "a_id", "left_semi").join(listed(b, "b_id"), "b_id", "left_semi").select("a_id", "b_id")
+    kept = matches.join(sure.select("a_id"), "a_id", "left_anti").join(sure.select("b_id"), "b_id", "left_anti")
+    return sure.select("a_id", "b_id", F.lit(1.0).alias("confidence"), F.lit("manual").alias("method")).unionByName(kept.select("a_id", "b_id", "confidence", "method"))
 
 
 def forecast_edges(questions: DataFrame, markets: DataFrame, least: float = 0.8, window: int = 14) -> DataFrame:
@@ -177,7 +192,15 @@ def forecast_edges(questions: DataFrame, markets: DataFrame, least: float = 0.8,
     alike = 2 * F.least(la, lb) >= need * (la + lb)
     near = q.join(m, "week").where((days < window) & alike)
     scored = near.withColumns({"title": T.dice_of(F.col("q_title"), F.col("m_title")), "timing": T.timing_similarity(days)})
-    return scored.withColumn("overall", 0.5 * F.col("title") + 0.3 * 0.5 + 0.2 * F.col("timing")).where(F.col("overall") >= least)
+    return scored.withColumns({"overall": 0.5 * F.col("title") + 0.3 * 0.5 + 0.2 * F.col("timing"), "method": F.when(F.col("title") > 0.95, "exact").otherwise("fuzzy")}).where(F.col("overall") >= least)
+
+
+def forecast_matches(questions: DataFrame, markets: DataFrame, least: float = 0.8) -> DataFrame:
+    """``q_id, m_ord, overall, method``, one-to-one: in the order of questions, the best market
+    that is free."""
+    edges = forecast_edges(questions, markets, least).select("q_id", "m_ord", F.round("overall", 6).alias("overall"), "method")
+    chosen = greedy(edges.select(F.col("q_id").alias("a_ord"), (-F.col("overall")).alias("pref"), F.col("m_ord").alias("b_id"), F.col("overall").alias("score")))
+    return chosen.select(F.col("a_ord").alias("q_id"), F.col("b_id").alias("m_ord")).join(edges, ["q_id", "m_ord"])
 
 
 def resolve_verdicts(candidates: DataFrame, verdicts: DataFrame) -> DataFrame:
@@ -190,27 +213,69 @@ def missing(requests: DataFrame, verdicts: DataFrame) -> DataFrame:
     return requests.join(verdicts.select(F.col("k").alias("key")), "key", "left_anti")
 
 
-def preflight(requests: DataFrame, verdicts: DataFrame, cost_in: float = 0.00015, cost_out: float = 0.0006, rpm: float = 500, tpm: float = 200_000) -> DataFrame:
-    """What verification would ask for: groups, pairs, cached, missing, cost, minutes."""
+def preflight(requests: DataFrame, verdicts: DataFrame, cost_in: float = 0.00015, cost_out: float = 0.0006, rpm: float = 500, tpm: float = 200_000, rpd: int | None = None, max_requests: int | None = None, max_cost: float | None = None) -> DataFrame:
+    """What verification would ask for: groups, pairs, cached, missing, cost, minutes, and
+    why it is ``refused``: over a day's requests, over a number, over a cost (null: it may
+    run)."""
     tokens_in, tokens_out = 420, 160
     known = verdicts.select(F.col("k").alias("key"), F.lit(True).alias("hit"))
-    one = requests.join(known, "key", "left").agg(F.count("*").alias("groups"), F.sum("n").cast("long").alias("pairs"), F.count("hit").alias("cached"))
+    one = requests.join(known, "key", "left").agg(F.count("*").alias("groups"), F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("pairs"), F.count("hit").alias("cached"))
     out = one.withColumn("missing", F.col("groups") - F.col("cached"))
     m = F.col("missing")
-    return out.withColumns({"cost": F.round(m * (tokens_in * cost_in + tokens_out * cost_out) / 1000, 6), "minutes": F.round(F.when(m == 0, 0.0).otherwise(F.greatest(m / rpm, m * (tokens_in + tokens_out) / tpm)), 6)})
+    raw = m * (tokens_in * cost_in + tokens_out * cost_out) / 1000
+    over = lambda value, limit, why: F.when(F.lit(False) if limit is None else value > limit, why)
+    refused = F.coalesce(over(m, rpd, "requests of a day"), over(m, max_requests, "requests"), over(raw, max_cost, "cost"))
+    return out.withColumns({"cost": F.round(raw, 6), "minutes": F.round(F.when(m == 0, 0.0).otherwise(F.greatest(m / rpm, m * (tokens_in + tokens_out) / tpm)), 6), "refused": refused})
+
+
+def require(plan: DataFrame) -> DataFrame:
+    """``plan``, unless ``preflight`` refused it: then an error that tells why."""
+    row = plan.first()
+    if row["refused"] is not None:
+        raise RuntimeError(f"verification refused, too many {row['refused']}: {row['missing']} missing verdicts, cost {row['cost']}")
+    return plan
+
+
+def embedding_key(text: Column, model: str) -> Column:
+    return F.sha2(F.concat(F.lit(model + "\n"), text), 256)
+
+
+def embedding_lookup(texts: DataFrame, cache: DataFrame, model: str) -> DataFrame:
+    """``texts`` with their ``key`` and the cached ``vec``, null where it is missing."""
+    keyed = texts.withColumn("key", embedding_key(F.col("text"), model))
+    return keyed.join(cache.select("key", "vec"), "key", "left")
 
 
 def embedding_misses(texts: DataFrame, cache: DataFrame, model: str) -> DataFrame:
     """``key, n``: texts whose vector is not cached, each once."""
-    keyed = texts.select(F.sha2(F.concat(F.lit(model + "\n"), "text"), 256).alias("key"))
+    keyed = texts.select(embedding_key(F.col("text"), model).alias("key"))
     return keyed.join(cache.select("key"), "key", "left_anti").groupBy("key").agg(F.count("*").alias("n"))
 
 
-def settlement(pairs: DataFrame) -> DataFrame:
-    """Scores of two listings' settlements, risk factors, and whether they are safe.
+def embedding_stats(found: DataFrame) -> DataFrame:
+    """Hits and misses of a lookup."""
+    return found.agg(F.count("vec").alias("hits"), F.count_if(F.col("vec").isNull()).alias("misses"))
+
+
+def stale_embeddings(markets: DataFrame, meta: DataFrame, as_of: Column, hours: float = 24) -> DataFrame:
+    """Markets whose vector is absent from ``meta(platform, id, updated_at)`` or older than
+    ``hours``."""
+    age = F.unix_micros(as_of.cast("timestamp")) - F.unix_micros(F.col("updated_at").cast("timestamp"))
+    fresh = meta.where(age <= int(hours * 3_600_000_000)).select("platform", "id")
+    return markets.join(fresh, ["platform", "id"], "left_anti")
+
+
+#: Words in a risk that say the venues settle by different mechanisms.
+MECHANISM = ["mechanism", "UMA", "centralized"]
+
+
+def settlement(pairs: DataFrame, existing: DataFrame | None = None) -> DataFrame:
+    """Scores of two listings' settlements, risk factors, whether they are safe, the risk and
+    the points it costs (null: the pair is skipped).
 
     ``pairs`` has question, rule, source and resolution day of both sides; a manual verdict
-    in ``override`` wins.
+    in ``override`` wins. Of a pair in ``existing(a_id, b_id, safe, risk_factors)`` that
+    comparison stands.
     """
     both = F.col("a_source").isNotNull() & F.col("b_source").isNotNull()
     days = F.abs(F.col("a_day") - F.col("b_day"))
@@ -218,24 +283,28 @@ def settlement(pairs: DataFrame) -> DataFrame:
         "question_similarity": T.dice(F.lower("a_question"), F.lower("b_question")), "criteria_similarity": T.dice(F.lower("a_rule"), F.lower("b_rule")), "timing_similarity": T.timing_similarity(days),
         "source_similarity": F.when(both, T.dice(F.lower("a_source"), F.lower("b_source"))).otherwise(0.0),
     })
-    words = T.subjective_words(F.concat_ws(" ", "a_rule", "b_rule"))
-    risks = F.array_compact(F.array(
-        F.when(F.col("a_day").isNull() | F.col("b_day").isNull(), "missing date"), F.when(days > 7, F.concat(F.lit("dates differ by "), days.cast("string"))),
-        F.when(both & (F.col("source_similarity") < 0.8), "different sources"), F.when(F.size(words) > 0, F.concat(F.lit("subjective: "), F.array_join(words, ", "))),
-    ))
+    risks = T.risk_factors(days, F.col("a_source"), F.col("b_source"), F.col("source_similarity"), F.concat_ws(" ", "a_rule", "b_rule"))
     overall = 0.3 * F.col("question_similarity") + 0.4 * F.col("criteria_similarity") + 0.2 * F.col("timing_similarity") + 0.1 * F.col("source_similarity")
     out = out.withColumns({"risk_factors": risks, "overall": overall})
     safe = (F.col("overall") >= 0.9) & (F.col("criteria_similarity") >= 0.7) & (F.col("timing_similarity") >= 0.5) & (F.size("risk_factors") == 0)
     out = out.withColumn("safe", F.coalesce("override", safe))
-    return out.withColumn("risk", F.when(F.col("safe") & (F.size("risk_factors") == 0), "LOW").when(F.col("safe"), "MEDIUM").otherwise("HIGH"))
+    if existing is not None:
+        old = existing.select("a_id", "b_id", F.struct("safe", "risk_factors").alias("_old"))
+        out = out.join(old, ["a_id", "b_id"], "left").withColumns({"safe": F.coalesce("_old.safe", "safe"), "risk_factors": F.coalesce("_old.risk_factors", "risk_factors"), "reused": F.col("_old").isNotNull()}).drop("_old")
+    risk = F.when(F.col("safe") & (F.size("risk_factors") == 0), "LOW").when(F.col("safe"), "MEDIUM").otherwise("HIGH")
+    other = F.exists("risk_factors", lambda r: r.rlike("|".join(MECHANISM)))
+    return out.withColumn("risk", risk).withColumn("penalty", F.when(F.col("risk") == "LOW", 0).when(F.col("risk") == "MEDIUM", F.when(other, 3).otherwise(2)))
 
 
 def title_matches(markets: DataFrame, questions: DataFrame, least: float = 0.3) -> DataFrame:
-    """The best question of each market by word overlap without a stop list."""
+    """The best question of each market by word overlap without a stop list, and how far its
+    forecast is from the market's price."""
     words = lambda c: F.array_distinct(F.filter(F.split(F.regexp_replace(F.lower(c), r"[^\w\s]", ""), r"\s+"), lambda w: F.length(w) > 2))
-    pairs = word_join(markets.select("ord", words(F.col("question")).alias("words")), questions.select(F.col("id").alias("ord"), words(F.col("title")).alias("words")), least)
+    forecast = questions.where("q2 is not null")
+    pairs = word_join(markets.select("ord", words(F.col("question")).alias("words")), forecast.select(F.col("id").alias("ord"), words(F.col("title")).alias("words")), least)
     best = pairs.groupBy("a_ord").agg(F.min_by(F.struct("b_ord", "jaccard"), F.struct(-F.col("jaccard"), F.col("b_ord"))).alias("x"))
-    return best.select(F.col("a_ord").alias("ord"), F.col("x.b_ord").alias("q_id"), F.col("x.jaccard").alias("confidence"))
+    named = best.select(F.col("a_ord").alias("ord"), F.col("x.b_ord").alias("q_id"), F.col("x.jaccard").alias("confidence"))
+    return named.join(markets.select("ord", "yes"), "ord").join(forecast.select(F.col("id").alias("q_id"), "q2"), "q_id").select("ord", "q_id", "confidence", F.abs(F.col("q2") - F.col("yes")).alias("divergence"))
 
 
 def requests_of(candidates: DataFrame) -> DataFrame:

@@ -58,10 +58,15 @@ def strict_audit(study: DataFrame, checklists: DataFrame, floor: float = 500) ->
     return parsed.withColumns({"spec_match": match, "tier": P.tier(F.col("thin"))})
 
 
+def verifier_state(spec_match: Column, tier: Column, label: Column) -> Column:
+    """The state of a pair by its strict row (null: none) and its label."""
+    by_label = F.when(label == "semantic_survivor", "semantic_survivor").when(label.isin("scope_mismatch", "entity_mismatch_rejected"), "spec_mismatch").otherwise("candidate")
+    return F.when(spec_match & (tier == ">10k"), "deep_survivor").when(spec_match, "strict_match").when(spec_match.isNotNull(), "spec_mismatch").otherwise(by_label)
+
+
 def verifier_states(study: DataFrame, strict: DataFrame) -> DataFrame:
     joined = study.join(strict.select(*KEY, "spec_match", "tier"), KEY, "left")
-    state = F.when(F.col("spec_match") & (F.col("tier") == ">10k"), "deep_survivor").when(F.col("spec_match"), "strict_match").when(F.col("spec_match").isNotNull(), "spec_mismatch")
-    return joined.withColumn("state", state.when(F.col("triage_label") == "semantic_survivor", "semantic_survivor").otherwise("candidate"))
+    return joined.withColumn("state", verifier_state(F.col("spec_match"), F.col("tier"), F.col("triage_label")))
 
 
 def filter_pairs(pairs: DataFrame, search: str = "", status: str | None = None, stale: bool = True, topical: bool = True, mismatch: bool = True, min_liquidity: float = 0) -> DataFrame:
@@ -82,28 +87,44 @@ def comparable(study: DataFrame) -> DataFrame:
     return study.where("same_criteria AND priceable")
 
 
-#: Shares on either side of a percentile between which its exact place is looked for.
-NEAR = 0.002
+#: Ranks on either side of a percentile between which its exact place is looked for, as a
+#: share of all, and the accuracy of the sketch that finds them (its error is one in so many).
+NEAR, ACCURACY = 5e-5, 50_000
 
 
 def order_statistic(df: DataFrame, value: str, percent: int, *by: str) -> DataFrame:
-    """``by..., stat``: the value at floor(percent/100 n) of each group's sorted values, not
-    interpolated.
+    """``by..., stat, lower``: the value at floor(percent/100 n) of each group's sorted
+    values, not interpolated, and the one at ceil(percent/100 n) - 1, counted from zero.
 
     A sketch of each group (partial sums, bounded size) gives two values on either side of
     the place. Values below the first are only counted; the distinct values between the two,
-    a few thousandths of the rows, are ranked exactly.
+    one row in ten thousand, are ranked exactly.
     """
     p = percent / 100
     rows = df.select(*by, value).where(F.col(value).isNotNull())
     ends = F.array(F.lit(max(0.0, p - NEAR)), F.lit(min(1.0, p + NEAR)))
-    sketch = rows.groupBy(*by).agg(F.count("*").alias("n"), F.percentile_approx(value, ends, F.lit(10_000)).alias("q"))
-    joined = rows.join(F.broadcast(sketch), list(by)) if by else rows.crossJoin(F.broadcast(sketch))
+    sketch = rows.groupBy(*by).agg(F.count("*").alias("n"), F.percentile_approx(value, ends, F.lit(ACCURACY)).alias("q"))
+    if by:  # groups may be null
+        fits = None
+        for c in by:
+            sketch = sketch.withColumnRenamed(c, f"_{c}")
+            one = rows[c].eqNullSafe(sketch[f"_{c}"])
+            fits = one if fits is None else fits & one
+        joined = rows.join(sketch, fits)
+    else:
+        joined = rows.crossJoin(F.broadcast(sketch))
     inside = F.col(value) >= F.col("q")[0]
     counts = joined.where(F.col(value) <= F.col("q")[1]).groupBy(*by, F.when(inside, F.col(value)).alias("v")).agg(F.count("*").alias("c"), F.first("n").alias("n"))
     upto = F.sum("c").over(Window.partitionBy(*(by or [F.lit(0)])).orderBy(F.asc_nulls_first("v")).rowsBetween(Window.unboundedPreceding, 0))
-    place = F.least("n", F.floor(F.lit(p) * F.col("n")) + 1)
-    return counts.withColumn("upto", upto).where((F.col("upto") >= place) & F.col("v").isNotNull()).groupBy(*by).agg(F.min("v").alias("stat"))
+    at = lambda place: F.min(F.when(F.col("upto") >= place, F.col("v")))
+    upper = F.least("n", F.floor(F.lit(p) * F.col("n")) + 1)
+    lower = F.greatest(F.lit(1).cast("long"), F.ceil(F.lit(p) * F.col("n")))
+    return counts.withColumn("upto", upto).where("v is not null").groupBy(*by).agg(at(upper).alias("stat"), at(lower).alias("lower"))
+
+
+def medians(df: DataFrame, value: str, *by: str) -> DataFrame:
+    """``by..., median``: the middle value of each group, or the mean of the middle two."""
+    return order_statistic(df, value, 50, *by).select(*by, ((F.col("lower") + F.col("stat")) / 2).alias("median"))
 
 
 def _zero(c: Column, name: str) -> Column:
@@ -112,8 +133,12 @@ def _zero(c: Column, name: str) -> Column:
 
 def gap_distribution(study: DataFrame) -> DataFrame:
     rows = comparable(study)
-    own = rows.agg(F.count("*").alias("n"), _zero(F.median("gap"), "median"), _zero(F.avg("gap"), "mean"), _zero(F.max("gap"), "max"))
-    return own.crossJoin(F.broadcast(order_statistic(rows, "gap", 90).select(_zero(F.col("stat"), "p90")))).select("n", "median", "mean", "p90", "max")
+    own = rows.agg(F.count("*").alias("n"), _zero(F.avg("gap"), "mean"), _zero(F.max("gap"), "max"))
+    # one row each; an empty study has none
+    one = lambda df, c, name: df.agg(_zero(F.max(c), name))
+    for more in (one(order_statistic(rows, "gap", 90), "stat", "p90"), one(medians(rows, "gap"), "median", "median")):
+        own = own.crossJoin(F.broadcast(more))
+    return own.select("n", "median", "mean", "p90", "max")
 
 
 def actionable(study: DataFrame) -> DataFrame:
@@ -136,13 +161,16 @@ def sensitivity(study: DataFrame, floors: list[int] = FLOORS) -> DataFrame:
     own = F.explode(F.filter(F.array(*map(F.lit, floors)), lambda f: F.col("thin") >= f)).alias("floor_")
     fine = F.col("same_criteria") & F.col("priceable")
     rows = study.select("same_criteria", "priceable", F.when(fine, F.col("gap")).alias("g"), own)
-    out = rows.groupBy("floor_").agg(F.count("*").alias("pairs"), F.count_if("same_criteria").alias("overlaps"), F.count("g").alias("priceable"), _zero(F.median("g"), "median"), F.count_if(F.col("g") > P.FEES).alias("beats_fees"))
-    return out.join(order_statistic(rows, "g", 90, "floor_"), "floor_", "left").withColumn("p90", F.round(F.coalesce("stat", F.lit(0.0)), 6)).drop("stat")
+    out = rows.groupBy("floor_").agg(F.count("*").alias("pairs"), F.count_if("same_criteria").alias("overlaps"), F.count("g").alias("priceable"), F.count_if(F.col("g") > P.FEES).alias("beats_fees"))
+    out = out.join(order_statistic(rows, "g", 90, "floor_").drop("lower"), "floor_", "left").join(medians(rows, "g", "floor_"), "floor_", "left")
+    return out.select("floor_", "pairs", "overlaps", "priceable", "beats_fees", _zero(F.col("median"), "median"), _zero(F.col("stat"), "p90"))
 
 
 def category_slices(study: DataFrame) -> DataFrame:
-    out = comparable(study).groupBy("category").agg(F.count("*").alias("pairs"), F.round(F.median("gap") * 100, 6).alias("median_pp"), F.round(F.max("gap") * 100, 6).alias("max_pp"), F.count_if(F.col("gap") > P.FEES).alias("beats_fees"))
-    return out.orderBy(F.desc("pairs"), "category")
+    rows = comparable(study)
+    out = rows.groupBy("category").agg(F.count("*").alias("pairs"), F.round(F.max("gap") * 100, 6).alias("max_pp"), F.count_if(F.col("gap") > P.FEES).alias("beats_fees"))
+    middle = medians(rows, "gap", "category").select(F.col("category").alias("_category"), F.round(F.col("median") * 100, 6).alias("median_pp"))
+    return out.join(middle, out["category"].eqNullSafe(middle["_category"])).select("category", "pairs", "median_pp", "max_pp", "beats_fees").orderBy(F.desc("pairs"), "category")
 
 
 def rank_histogram(pairs: DataFrame) -> DataFrame:
@@ -151,13 +179,18 @@ def rank_histogram(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy(F.least("match_rank", F.lit(5)).alias("rank")).agg(F.count("*").alias("n")).crossJoin(F.broadcast(total))
 
 
-def summary(study: DataFrame, a: str = "a_id", b: str = "b_id") -> DataFrame:
+def summary(study: DataFrame, verdicts: DataFrame, a: str = "a_id", b: str = "b_id") -> DataFrame:
+    """One row of matching figures: universe, tradeable markets, candidates, verdicts in
+    store (``verdicts(a_id)``) and what is missing of them, contracts, prices."""
     same, fine = F.col("same_criteria"), F.col("priceable")
     out = study.agg(
         F.count("*").alias("candidates"), F.countDistinct("a_id").alias("with_candidates"), F.countDistinct(a).alias("universe_a"), F.countDistinct(b).alias("universe_b"),
+        F.countDistinct(F.when(F.col("a_volume") > 0, F.col(a))).alias("tradeable_a"), F.countDistinct(F.when(F.col("b_volume") > 0, F.col(b))).alias("tradeable_b"),
         F.count_if(same).alias("same_contract"), F.count_if(~same).alias("topical"), F.count_if(same & fine).alias("priceable"), F.count_if(same & ~fine).alias("dropped"),
     )
-    return out.withColumn("pair_space", F.col("universe_a") * F.col("universe_b"))
+    known = study.select("a_id").distinct().join(verdicts.select("a_id").distinct(), "a_id", "left_semi").agg(F.count("*").alias("verified"))
+    missing = F.col("with_candidates") - F.col("verified")
+    return out.crossJoin(F.broadcast(known)).withColumns({"pair_space": F.col("universe_a") * F.col("universe_b"), "missing_verdicts": missing, "status": F.when(missing == 0, "complete").otherwise("partial")})
 
 
 def triage_funnel(study: DataFrame) -> DataFrame:
@@ -173,9 +206,14 @@ def strict_summary(strict: DataFrame) -> DataFrame:
     return strict.groupBy(reason).agg(F.count_if(~ok).alias("mismatches")).crossJoin(F.broadcast(total)).orderBy(F.desc("mismatches"), "reason")
 
 
-def correction_summary(corrections: DataFrame) -> DataFrame:
+def correction_summary(corrections: DataFrame, study: DataFrame) -> DataFrame:
+    """Corrections by source, by original verdict and in all, with how many survivors were
+    reclassified and how many are left."""
     c = [F.col("correction_source"), F.col("original_verdict")]
-    return corrections.groupingSets([[c[0]], [c[1]], []], *c).agg(F.count("*").alias("n"))
+    gone = corrections.agg(F.count_if(F.col("original_verdict") == "semantic_survivor").alias("survivors_reclassified"))
+    total = study.agg(F.count_if(F.col("triage_label") == "semantic_survivor").alias("survivors")).crossJoin(F.broadcast(gone))
+    left = total.select("survivors_reclassified", (F.col("survivors") - F.col("survivors_reclassified")).alias("corrected_survivors"))
+    return corrections.groupingSets([[c[0]], [c[1]], []], *c).agg(F.count("*").alias("n")).crossJoin(F.broadcast(left))
 
 
 def _overlaid(study: DataFrame, strict: DataFrame, corrections: DataFrame) -> DataFrame:
@@ -207,10 +245,13 @@ def provenance(verdicts: DataFrame) -> DataFrame:
     return by.crossJoin(F.broadcast(by.agg((F.count("*") > 1).alias("mixed"))))
 
 
-def pair_meta(pairs: DataFrame) -> DataFrame:
+def pair_meta(pairs: DataFrame, limit: int | None = None) -> DataFrame:
+    """Pairs by status, all, those shown by default (up to ``limit``) and those with live
+    prices."""
     st = F.col("status")
     each = [F.count_if(st == s).alias(s) for s in ("survivor", "same_contract", "spec_mismatch", "topical", "stale")]
-    return pairs.agg(F.count("*").alias("total"), F.count_if(~st.isin("stale", "topical")).alias("shown"), *each)
+    shown = F.count_if(~st.isin("stale", "topical"))
+    return pairs.agg(F.count("*").alias("total"), (shown if limit is None else F.least(shown, F.lit(limit))).alias("shown"), F.count_if("prices_live").alias("live"), *each)
 
 
 def build_corrections(study: DataFrame, strict: DataFrame) -> DataFrame:
@@ -229,32 +270,64 @@ def verified_pairs(study: DataFrame, strict: DataFrame, corrections: DataFrame)
 
 
 def overlay_live(pairs: DataFrame, live: DataFrame) -> DataFrame:
-    """Live prices of both sides where both are known; ``live(platform, id, yes, volume)``."""
-    side = lambda p, k: live.where(F.col("platform") == p).select(F.col("id").alias(f"{k}_id"), F.col("yes").alias(f"{k}_live"), F.col("volume").alias(f"{k}_live_volume"))
+    """Each side's live price and volume where it has one, else the study's.
+
+    ``live(platform, id, yes, volume)`` may tell ``active`` and ``has_book``: a pair whose
+    both sides are found and inactive is settled; a live side without a book is stale.
+    """
+    extra = {c: F.col(c) if c in live.columns else F.lit(True) for c in ("active", "has_book")}
+
+    def side(platform: str, k: str) -> DataFrame:
+        own = live.where(F.col("platform") == platform)
+        return own.select(F.col("id").alias(f"{k}_id"), F.struct(F.col("yes"), F.coalesce("volume", F.lit(0.0)).alias("volume"), *(c.alias(n) for n, c in extra.items())).alias(f"{k}_live"))
+
     joined = pairs.join(side("venue_a", "a"), "a_id", "left").join(side("venue_b", "b"), "b_id", "left")
-    both = F.col("a_live").isNotNull() & F.col("b_live").isNotNull()
-    gap = F.when(both, P.gap(F.col("a_live"), F.col("b_live"), F.col("yes_aligned"))).otherwise(F.col("gap"))
-    return joined.withColumns({"prices_live": both, "gap": gap, "beats_fees": gap > P.FEES, "liquidity": F.when(both, F.least("a_live_volume", "b_live_volume")).otherwise(F.col("thin"))})
+    now = lambda k, name, old: F.coalesce(F.col(f"{k}_live.{name}"), F.col(f"{k}_{old}"))
+    gap = P.gap(now("a", "yes", "price"), now("b", "yes", "price"), F.col("yes_aligned"))
+    found = lambda k: F.col(f"{k}_live.yes").isNotNull()
+    stale = lambda k: found(k) & F.col(f"{k}_live.active") & ~F.col(f"{k}_live.has_book")
+    return joined.withColumns({
+        "prices_live": found("a") & found("b"), "gap": gap, "beats_fees": gap > P.FEES, "liquidity": F.least(now("a", "volume", "volume"), now("b", "volume", "volume")),
+        "settled": F.coalesce(~F.col("a_live.active") & ~F.col("b_live.active"), F.lit(False)), "stale_side": F.when(stale("b"), "venue_b").when(stale("a"), "venue_a"),
+    }).drop("a_live", "b_live")
+
+
+def _last(df: DataFrame, key: str, order: list[str], name: str) -> DataFrame:
+    """The last row of each ``key`` in an order, as a struct."""
+    return df.where(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(F.struct(*df.columns), F.struct(*order)).alias(name))
+
 
+def verifier_index(study: DataFrame, strict: DataFrame, order: list[str] = KEY) -> DataFrame:
+    """One row per market id, from both sides of the pairs: of an id in several pairs the
+    last by ``order``. A pair's strict row is the last one of its a, else of its b."""
+    rows = strict.select(*KEY, "spec_match", "tier")
+    joined = study.join(_last(rows, "a_id", KEY, "by_a"), "a_id", "left").join(_last(rows, "b_id", KEY, "by_b"), "b_id", "left").withColumn("own", F.coalesce("by_a", "by_b"))
+    own = joined.select("a_id", "b_id", *(F.col(c).alias(f"_{c}") for c in order), verifier_state(F.col("own.spec_match"), F.col("own.tier"), F.col("triage_label")).alias("state"), F.coalesce("own.spec_match", F.lit(False)).alias("strict"))
+    side = lambda p, k, o: F.struct(F.lit(p).alias("platform"), F.col(f"{k}_id").alias("id"), F.col(f"{o}_id").alias("counterpart"))
+    both = own.withColumn("x", F.explode(F.array(side("venue_a", "a", "b"), side("venue_b", "b", "a")))).select("x.*", "state", "strict", *(f"_{c}" for c in order))
+    return _last(both, "id", [*(f"_{c}" for c in order), "platform"], "x").select("x.platform", "id", "x.counterpart", "x.state", "x.strict")
 
-def verifier_index(study: DataFrame, strict: DataFrame) -> DataFrame:
-    """One row per market id from both directions."""
-    joined = study.join(strict.select(*KEY, "spec_match"), KEY, "left").withColumn("strict", F.coalesce("spec_match", F.lit(False)))
-    sides = F.array(F.struct(F.lit("venue_a").alias("platform"), F.col("a_id").alias("id"), F.col("b_id").alias("counterpart")), F.struct(F.lit("venue_b").alias("platform"), F.col("b_id").alias("id"), F.col("a_id").alias("counterpart")))
-    return joined.select(F.explode(sides).alias("x"), "strict").select("x.*", "strict")
 
+#: The stages of the funnel; the first counts markets, the others pairs.
+STAGES = ["tradeable", "candidates", "same_event", "same_contract", "priceable", "clears_fees", "semantic", "liquid", "strict", "deep", "executable"]
 
-def funnel_stages(study: DataFrame, strict: DataFrame) -> DataFrame:
-    """Ordered stages with what each removes, keeps, and its width on a log scale."""
-    same, fine, ok = F.col("same_criteria"), F.col("priceable"), F.col("spec_match")
-    one = study.agg(F.count("*").alias("candidates"), F.count_if(same).alias("same_contract"), F.count_if(same & fine).alias("priceable"), F.count_if(same & fine & (F.col("gap") > P.FEES)).alias("clears_fees"), F.count_if(F.col("triage_label") == "semantic_survivor").alias("survivors"))
-    one = one.crossJoin(F.broadcast(strict.agg(F.count("*").alias("liquid"), F.count_if(ok).alias("strict"), F.count_if(ok & (F.col("tier") == ">10k")).alias("deep"))))
-    names = one.columns
-    rows = one.select(F.array(*(F.struct(F.lit(i).alias("ord"), F.lit(n).alias("stage"), F.col(n).alias("value"), F.col(names[i - 1]).alias("before") if i else F.lit(None).cast("long").alias("before")) for i, n in enumerate(names))).alias("xs"))
-    x = rows.select(F.explode("xs").alias("x")).select("x.*")
-    removed = F.coalesce(F.greatest(F.lit(0).cast("long"), F.col("before") - F.col("value")), F.lit(0).cast("long"))
-    kept = F.when(F.col("before").isNull(), 100.0).otherwise(F.try_divide(F.col("value") * 100.0, F.col("before")))
-    return x.select("ord", "stage", "value", F.when(F.col("before").isNull(), F.lit(0).cast("long")).otherwise(removed).alias("removed"), F.round(kept, 6).alias("kept_percent"), F.round(F.log10(F.col("value") + 1.0), 6).alias("width"))
+
+def funnel_stages(study: DataFrame, strict: DataFrame, corrections: DataFrame, markets: DataFrame, executable: DataFrame) -> DataFrame:
+    """The stages in order with what each removes and keeps, and its width on a log scale.
+
+    From the semantic survivors on, counts are those after ``corrections``. ``markets`` are
+    the tradeable ones, ``executable`` the pairs left by manual review. Markets and pairs
+    are different units, so candidates remove nothing.
+    """
+    same, fine = F.col("same_criteria"), F.col("priceable")
+    one = study.agg(F.count("*").alias("candidates"), F.count_if("same_event").alias("same_event"), F.count_if(same).alias("same_contract"), F.count_if(same & fine).alias("priceable"), F.count_if(same & fine & (F.col("gap") > P.FEES)).alias("clears_fees"))
+    for more in (corrected_funnel(study, strict, corrections), markets.agg(F.count("*").alias("tradeable")), executable.agg(F.count("*").alias("executable"))):
+        one = one.crossJoin(F.broadcast(more))
+    value = {n: F.col(n) for n in STAGES}
+    rows = [F.struct(F.lit(i).alias("ord"), F.lit(n).alias("stage"), value[n].alias("value"), (value[STAGES[i - 1]] if i > 1 else F.lit(None).cast("long")).alias("before"), F.greatest(*value.values()).alias("most")) for i, n in enumerate(STAGES)]
+    x = one.select(F.explode(F.array(*rows)).alias("x")).select("x.*")
+    width = F.coalesce(F.greatest(F.lit(3.0), F.least(F.lit(100.0), F.try_divide(F.log10("value"), F.log10("most")) * 100)), F.lit(100.0))
+    return x.select("ord", "stage", "value", F.greatest(F.lit(0).cast("long"), F.col("before") - F.col("value")).alias("removed"), F.round(F.try_divide(F.col("value") * 100.0, F.col("before")), 6).alias("kept_percent"), F.round(F.when(F.col("value") > 0, width).otherwise(0.0), 6).alias("width"))
 
 
 def top_numbered(df: DataFrame, n: int, *order: Column | str) -> DataFrame:
@@ -263,9 +336,12 @@ def top_numbered(df: DataFrame, n: int, *order: Column | str) -> DataFrame:
     return df.orderBy(*order).limit(n).withColumn("rn", F.row_number().over(Window.orderBy(*order)).cast("long"))
 
 
-def rank_pairs(pairs: DataFrame, n: int) -> DataFrame:
-    rank = F.when(F.col("st") == "survivor", 0).when(F.col("st") == "same_contract", 1).when(F.col("st") == "spec_mismatch", 2).when(F.col("st") == "topical", 3).otherwise(4)
-    return top_numbered(pairs, n, rank, F.desc("thin"), "a_id", "b_id")
+def rank_pairs(pairs: DataFrame, n: int, sort: str = "opportunity") -> DataFrame:
+    """The first ``n`` pairs by opportunity (status, strict survivors, liquidity), gap,
+    liquidity or confidence; settled ones come last in any order."""
+    status = F.when(F.col("st") == "survivor", 0).when(F.col("st") == "same_contract", 1).when(F.col("st") == "spec_mismatch", 2).when(F.col("st") == "topical", 3).otherwise(4)
+    orders = {"opportunity": [status, F.desc("strict_survivor"), F.desc("liquidity")], "gap": [F.desc("gap")], "liquidity": [F.desc("liquidity")], "confidence": [F.desc("cosine")]}
+    return top_numbered(pairs, n, "settled", *orders[sort], "a_id", "b_id")
 
 
 def title_diff(a: Column, b: Column) -> Column:

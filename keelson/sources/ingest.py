@@ -115,9 +115,13 @@ def book_depth(books: DataFrame, venue: str, levels: int = 5) -> DataFrame:
     return rows.withColumn("depth", worth("bids", lambda p: p) + worth("asks", lambda p: 1 - p))
 
 
-def snapshot_from_books(books: DataFrame, levels: int = 3) -> DataFrame:
+def snapshot_from_books(books: DataFrame, levels: int = 3, least: float = 500) -> DataFrame:
     """A market's best ask and bid per outcome over its mid, with outcome liquidity the
-    lesser of both sides' first levels; without a book an even share."""
+    lesser of both sides' first levels; without a book, or in a market of under ``least``
+    liquidity, an even share."""
+    deep = F.col("liquidity_total") >= least
+    none = lambda c: F.when(deep, F.col(c)).otherwise(F.array().cast(books.schema[c].dataType))
+    books = books.withColumns({"asks": none("asks"), "bids": none("bids")})
     notional = lambda side: F.aggregate(F.slice(side, 1, levels), F.lit(0.0), lambda a, x: a + x["size"] * x["price"])
     rows = books.withColumns({"best_ask": F.array_min(F.transform("asks", lambda x: x["price"])), "best_bid": F.array_max(F.transform("bids", lambda x: x["price"]))})
     thin = F.when(F.size("asks") > 0, F.least(notional(F.array_sort("asks")), notional(F.reverse(F.array_sort("bids"))))).otherwise(F.col("liquidity_total") / F.col("n_outcomes"))

@@ -33,9 +33,22 @@ def parse_verdict(raw: Column, candidates: Column) -> Column:
 
 
 def settlement_criteria(listings: DataFrame) -> DataFrame:
-    """Rule texts, type, resolution day, source and keywords of each listing."""
-    return listings.select(
-        "platform", "id", "question", F.split_part("rules", F.lit("\n"), F.lit(1)).alias("primary_rule"), F.col("close_day").alias("resolution_day"),
-        F.when(F.col("n_outcomes") > 2, "categorical").otherwise("binary").alias("settlement_type"), T.data_source(F.col("rules"), T.SOURCE_PHRASES_A).alias("data_source"),
-        T.keywords(F.split_part("rules", F.lit("\n"), F.lit(1)), T.RULE_STOP, " ").alias("keywords"), T.entities(F.col("rules")).alias("entities"),
+    """Rule texts, type, resolution day, source and keywords of each listing.
+
+    Venue A's rules are one text whose first line is the primary rule; its source is a phrase
+    there. Venue B's are the primary and ``rules_secondary``; its source is a phrase of the
+    primary, else the host of ``source_url``. The day is the listing's own or else the latest
+    one written in its rules.
+    """
+    optional = {c: F.col(c) if c in listings.columns else F.lit(None).cast("string") for c in ("rules_secondary", "source_url", "market_type")}
+    rows = listings.withColumns(optional)
+    b = F.col("platform") == "venue_b"
+    first = F.split_part("rules", F.lit("\n"), F.lit(1))
+    primary = F.when(b, F.col("rules")).otherwise(first)
+    source = F.when(b, F.coalesce(T.data_source(F.col("rules"), T.SOURCE_PHRASES_B), T.host_of(F.col("source_url")))).otherwise(T.data_source(F.col("rules"), T.SOURCE_PHRASES_A))
+    kind = F.when(F.col("market_type") == "scalar", "scalar").when(F.col("n_outcomes") > 2, "categorical").otherwise("binary")
+    written = T.latest_date(F.concat_ws(" ", "rules", "rules_secondary"))
+    return rows.select(
+        "platform", "id", "question", primary.alias("primary_rule"), F.when(b, F.col("rules_secondary")).alias("secondary_rule"), F.coalesce(F.col("close_day"), F.unix_date(written).cast("long")).alias("resolution_day"),
+        kind.alias("settlement_type"), source.alias("data_source"), T.keywords(primary, T.RULE_STOP, " ").alias("keywords"), F.when(b, T.entities(F.col("rules"), T.STARTERS_B)).otherwise(T.entities(F.col("rules"))).alias("entities"),
     )

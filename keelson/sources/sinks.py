@@ -84,6 +84,41 @@ def export_csv(rows: DataFrame, path: str) -> None:
     rows.write.option("header", True).option("quoteAll", True).mode("overwrite").csv(path)
 
 
+def _fixed(c: str) -> Column:
+    return F.format_string("%.4f", F.round(F.col(c).cast("double"), 4))
+
+
+def _whole(c: str) -> Column:
+    return F.floor(F.coalesce(F.col(c), F.lit(0.0)) + 0.5)
+
+
+def gap_map(study: DataFrame) -> DataFrame:
+    """The gap map's sixteen columns, same contracts first, then by cosine."""
+    rows = study.orderBy(F.desc("same_criteria"), F.desc("cosine"), "a_id", "b_id")
+    net = rows.withColumn("_net", F.greatest(F.lit(0.0), F.col("gap") - 0.09))
+    return net.select(
+        "a_id", "b_id", F.col("a_title").alias("a_question"), F.col("b_title").alias("b_question"), _fixed("a_price").alias("a_yes"), _fixed("b_price").alias("b_yes"), "yes_aligned", _fixed("gap").alias("gap"), _fixed("_net").alias("net_after_fees"), "priceable",
+        _fixed("cosine").alias("cosine"), "same_criteria", F.coalesce("triage", F.lit("")).alias("triage"), _whole("a_volume").alias("a_volume"), _whole("b_volume").alias("b_volume"), F.coalesce("reason", F.lit("")).alias("reason"),
+    )
+
+
+def audit_rows(study: DataFrame, floor: float = 0.0) -> DataFrame:
+    """The audit's eighteen columns, widest gap first."""
+    rows = study.orderBy(F.desc("gap"), "a_id", "b_id")
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
+    passed = (F.coalesce("a_volume", F.lit(0.0)) > floor) & (F.coalesce("b_volume", F.lit(0.0)) > floor)
+    return rows.select(
+        text("a_id"), text("b_id"), F.col("a_title").alias("a_question"), F.col("b_title").alias("b_question"), _fixed("a_price").alias("a_yes"), _fixed("b_price").alias("b_yes"), F.coalesce("yes_aligned", F.lit(True)).alias("yes_aligned"), _fixed("gap").alias("normalized_gap"),
+        "priceable", F.lit(True).alias("same_event"), F.col("same_criteria").alias("same_contract"), text("stage"), text("triage_label"), F.coalesce("reason", F.lit("")).alias("triage_reason"), text("category"),
+        _whole("a_volume").alias("a_volume"), _whole("b_volume").alias("b_volume"), passed.alias("liquidity_floor_passed"),
+    )
+
+
+def export_summary(summary: DataFrame, path: str) -> None:
+    """A one-row table as a JSON file."""
+    summary.coalesce(1).write.mode("overwrite").json(path)
+
+
 def request_lines(requests: DataFrame, model: str = "m1", system: str = "match") -> DataFrame:
     """One JSON line per request."""
     message = lambda role, text: F.struct(F.lit(role).alias("role"), text.alias("content"))
