@@ -9,6 +9,8 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 VIEWS: dict[str, str] = {
     # price snapshots of two venues: a market for each user
@@ -112,6 +114,14 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(VIEWS[name], **{n: view(spark, sf_dir, n) for n in needs(VIEWS[name])})
 
 
+def forecast_pairs(listings: DataFrame, questions: DataFrame) -> DataFrame:
+    """Each listing with one of all questions in turn, for the given tables name no pairs."""
+    n = questions.agg(F.count("*").alias("n_q"))
+    numbered = questions.select("q2", "age_days", (F.row_number().over(Window.orderBy("id")) - 1).cast("long").alias("nth"))
+    dealt = listings.crossJoin(F.broadcast(n)).withColumn("nth", F.col("ord") % F.col("n_q")).drop("n_q")
+    return dealt.join(numbered, "nth").withColumns({"market_id": F.col("id"), "confidence": F.lit(0.9)})
+
+
 def with_views(sql: str) -> str:
     """DuckDB SQL: ``sql`` with a WITH clause of the views it names as ``{name}``."""
     found: dict[str, str] = {}

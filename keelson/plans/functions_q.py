@@ -77,10 +77,25 @@ def txt6(x: DataFrame) -> DataFrame:
     return x.select("page_id", T.data_source(t, T.SOURCE_PHRASES_A).alias("source_a"), F.coalesce(T.data_source(t, T.SOURCE_PHRASES_B), T.host_of(F.col("url"))).alias("source_b"))
 
 
-@query("txt7_settlement_criteria", "listings", sql=f"""SELECT id, split_part(rules, chr(10), 1) AS primary_rule, CASE WHEN n_outcomes > 2 THEN 'categorical' ELSE 'binary' END AS settlement_type, close_day AS resolution_day,
-    {_source('rules', T.SOURCE_PHRASES_A)} AS data_source, CAST(len({_kw('split_part(rules, chr(10), 1)', T.RULE_STOP, ' ')}) AS BIGINT) AS n_keywords FROM {{listings}}""")
+# venue B's further fields
+_RULED = "(SELECT *, CASE WHEN ord % 10 = 1 THEN 'Closes March 3, 2026 or 2026-04-01 at the latest.' END AS rules_secondary, concat('https://www.', source, '.org/x') AS source_url, CASE WHEN ord % 7 = 0 THEN 'scalar' ELSE 'binary' END AS market_type, CASE WHEN platform = 'venue_b' THEN rules ELSE split_part(rules, chr(10), 1) END AS primary_rule FROM {listings})"
+
+
+@query("txt7_settlement_criteria", "listings", sql=f"""SELECT id, primary_rule, CASE WHEN platform = 'venue_b' THEN rules_secondary END AS secondary_rule, CASE WHEN market_type = 'scalar' THEN 'scalar' WHEN n_outcomes > 2 THEN 'categorical' ELSE 'binary' END AS settlement_type, coalesce(close_day, CASE WHEN ord % 10 = 1 THEN date_diff('day', DATE '1970-01-01', DATE '2026-04-01') END) AS resolution_day,
+    CASE WHEN platform = 'venue_b' THEN coalesce({_source('rules', T.SOURCE_PHRASES_B)}, source || '.org') ELSE {_source('rules', T.SOURCE_PHRASES_A)} END AS data_source, CAST(len({_kw('primary_rule', T.RULE_STOP, ' ')}) AS BIGINT) AS n_keywords FROM {_RULED}""")
 def txt7(x: DataFrame) -> DataFrame:
-    return parsing.settlement_criteria(x).select("id", "primary_rule", "settlement_type", "resolution_day", "data_source", F.size("keywords").cast("long").alias("n_keywords"))
+    more = {"rules_secondary": F.when(F.col("ord") % 10 == 1, "Closes March 3, 2026 or 2026-04-01 at the latest."), "source_url": F.concat(F.lit("https://www."), "source", F.lit(".org/x")), "market_type": F.when(F.col("ord") % 7 == 0, "scalar").otherwise("binary")}
+    return parsing.settlement_criteria(x.withColumns(more)).select("id", "primary_rule", "secondary_rule", "settlement_type", "resolution_day", "data_source", F.size("keywords").cast("long").alias("n_keywords"))
+
+
+@query("txt8_risk_factors", "listings", sql="""SELECT a.id, concat_ws('; ', CASE WHEN days IS NULL THEN 'missing date' END, CASE WHEN days > 7 THEN concat('dates differ by ', CAST(days AS STRING), ' days') END, CASE WHEN a.source <> b.source AND b.source IS NOT NULL THEN 'different sources' END, CASE WHEN a.ord % 4 = 0 THEN 'subjective: reasonable, standard' END) AS risks
+    FROM (SELECT a.*, abs(a.close_day - n.close_day) AS days FROM {listings} a JOIN {listings} n ON n.ord = a.ord + 1) a JOIN {listings} b ON b.ord = a.ord + 1""")
+def txt8_risks(x: DataFrame) -> DataFrame:
+    b = x.select((F.col("ord") - 1).alias("ord"), F.col("close_day").alias("b_day"), F.col("source").alias("b_source"))
+    same = F.when(F.col("source") == F.col("b_source"), 1.0).otherwise(0.0)
+    rules = F.when(F.col("ord") % 4 == 0, "By a Reasonable, Standard view").otherwise("By the count")
+    risks = T.risk_factors(F.abs(F.col("close_day") - F.col("b_day")), F.col("source"), F.col("b_source"), same, rules)
+    return x.join(b, "ord").select("id", F.array_join(risks, "; ").alias("risks"))
 
 
 @query("txt8_risk_words", "conversations", sql="SELECT conv_id, turn, array_to_string(list_filter([" + ", ".join(f"'{w}'" for w in T.SUBJECTIVE) + "], lambda w: contains(lower(t), w)), ', ') AS subjective FROM (SELECT conv_id, turn, concat(text, CASE conv_id % 3 WHEN 0 THEN ' a Reasonable standard' WHEN 1 THEN ' widely common' ELSE '' END) AS t FROM {conversations})")
@@ -125,12 +140,12 @@ def dt2(o: DataFrame) -> DataFrame:
     return o.select("o_orderkey", F.array_max(d).cast("string").alias("latest"), F.size(d).cast("long").alias("n"))
 
 
-_EDGE = "CASE WHEN net_edge * 100 <= 0 THEN 1.0 WHEN net_edge * 100 < 5 THEN 1 + net_edge * 100 / 5 WHEN net_edge * 100 < 7 THEN 3 + (net_edge * 100 - 5) / 2 WHEN net_edge * 100 < 10 THEN 5 + (net_edge * 100 - 7) / 3 WHEN net_edge * 100 < 15 THEN 7 + (net_edge * 100 - 10) / 5 WHEN net_edge * 100 < 20 THEN 9.0 ELSE 10.0 END"
+EDGE_SQL = "CASE WHEN net_edge * 100 <= 0 THEN 1.0 WHEN net_edge * 100 < 5 THEN 1 + net_edge * 100 / 5 WHEN net_edge * 100 < 7 THEN 3 + (net_edge * 100 - 5) / 2 WHEN net_edge * 100 < 10 THEN 5 + (net_edge * 100 - 7) / 3 WHEN net_edge * 100 < 15 THEN 7 + (net_edge * 100 - 10) / 5 WHEN net_edge * 100 < 20 THEN 9.0 ELSE 10.0 END"
 _CONF = "CASE WHEN detector_confidence * coalesce(match_confidence, 1.0) * 10 <= 0 THEN 0.0 ELSE least(10.0, detector_confidence * coalesce(match_confidence, 1.0) * 10) END"
 _LIQ = "CASE WHEN min_liquidity < 500 THEN 0.0 WHEN min_liquidity < 1000 THEN 3.0 WHEN min_liquidity < 5000 THEN 5.0 WHEN min_liquidity < 10000 THEN 7.0 WHEN min_liquidity < 50000 THEN 9.0 ELSE 10.0 END"
 _TIME = "CASE WHEN days_left IS NULL THEN 5.0 WHEN days_left < 1 THEN 10.0 WHEN days_left < 3 THEN 8.0 WHEN days_left < 7 THEN 6.0 WHEN days_left < 30 THEN 4.0 ELSE 2.0 END"
-_PROFIT = "least(10.0, net_edge * 100)"
-SCORE_SQL = f"CASE WHEN net_edge >= 0.05 THEN least(10.0, greatest(1.0, {_EDGE} * 0.35 + {_CONF} * 0.25 + {_LIQ} * 0.20 + {_TIME} * 0.10 + {_PROFIT} * 0.10)) END"
+PROFIT_SQL = "least(10.0, net_edge * 100)"
+SCORE_SQL = f"CASE WHEN net_edge >= 0.05 THEN least(10.0, greatest(1.0, {EDGE_SQL} * 0.35 + {_CONF} * 0.25 + {_LIQ} * 0.20 + {_TIME} * 0.10 + {PROFIT_SQL} * 0.10)) END"
 
 
 def _cols():
@@ -141,11 +156,11 @@ def _factor(name: str, sql: str, make):
     query(name, "opportunities", sql=f"SELECT id, round(CAST({sql} AS DOUBLE), 6) AS score FROM {{opportunities}}")(lambda x: x.select("id", F.round(make(), 6).alias("score")))
 
 
-_factor("m1_edge_score", _EDGE, lambda: S.edge_score(F.col("net_edge")))
+_factor("m1_edge_score", EDGE_SQL, lambda: S.edge_score(F.col("net_edge")))
 _factor("m2_confidence_score", _CONF, lambda: S.confidence_score(F.col("detector_confidence"), F.col("match_confidence")))
 _factor("m3_liquidity_score", _LIQ, lambda: S.liquidity_score(F.col("min_liquidity")))
 _factor("m4_time_score", _TIME, lambda: S.time_score(F.col("days_left")))
-_factor("m5_profit_score", _PROFIT, lambda: S.profit_score(F.col("net_edge")))
+_factor("m5_profit_score", PROFIT_SQL, lambda: S.profit_score(F.col("net_edge")))
 _factor("m6_composite_score", SCORE_SQL, lambda: S.composite(*_cols()))
 
 

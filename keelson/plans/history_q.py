@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keelson.operators import calibration, detect, history
-from keelson.plans.functions_q import SCORE_SQL
+from keelson.plans.fixtures import forecast_pairs
+from keelson.plans.functions_q import EDGE_SQL, PROFIT_SQL, SCORE_SQL
 from keelson.plans.registry import query
 
 AS_OF = "2024-01-20 12:00:00"
@@ -48,7 +49,9 @@ def w5(x: DataFrame) -> DataFrame:
     return history.recent(x).select("platform", "market_id", "event_id", "nth")
 
 
-@query("w6_assign_chunks", "listings")
+@query("w6_assign_chunks", "listings", sql="""WITH RECURSIVE r AS (SELECT id AS key, CAST(ceil(length(rules) / 4.0) + 160 AS BIGINT) AS tokens, row_number() OVER (ORDER BY id) AS rn FROM {listings}),
+    f AS (SELECT key, tokens, rn, CAST(0 AS BIGINT) AS chunk, tokens AS used, 1 AS n FROM r WHERE rn = 1 UNION ALL SELECT r.key, r.tokens, r.rn, CASE WHEN f.used + r.tokens > 20000 OR f.n >= 100 THEN f.chunk + 1 ELSE f.chunk END, CASE WHEN f.used + r.tokens > 20000 OR f.n >= 100 THEN r.tokens ELSE f.used + r.tokens END, CASE WHEN f.used + r.tokens > 20000 OR f.n >= 100 THEN 1 ELSE f.n + 1 END FROM f JOIN r ON r.rn = f.rn + 1)
+    SELECT key, tokens, chunk FROM f""")
 def w6(x: DataFrame) -> DataFrame:
     tokens = (F.ceil(F.length("rules") / 4) + 160).cast("long")
     return history.assign_chunks(x.select(F.col("id").alias("key"), tokens.alias("tokens")), 20_000, 100)
@@ -77,20 +80,15 @@ def j7(m: DataFrame, s: DataFrame) -> DataFrame:
     return found.select("a_id", F.round("gross_edge", 6).alias("gross_edge"), F.round("net_edge", 6).alias("net_edge"), F.round("opportunity_confidence", 6).alias("confidence"))
 
 
-_CANDLES = "(SELECT platform, market_id, date_trunc('day', ts) AS day, arg_max(yes, (ts, event_id)) AS close, avg(yes) AS mean, count(*) AS n FROM {snapshots} GROUP BY 1, 2, 3)"
+CANDLES = "(SELECT platform, market_id, date_trunc('day', ts) AS day, arg_max(yes, (ts, event_id)) AS close, avg(yes) AS mean, count(*) AS n FROM {snapshots} GROUP BY 1, 2, 3)"
 
 
-@query("src8_price_history", "snapshots", sql=f"SELECT platform, market_id, CAST(epoch_us(day) AS BIGINT) AS day, close AS price FROM {_CANDLES} WHERE day >= TIMESTAMP '2024-01-05' AND close > 0 AND close < 1")
+@query("src8_price_history", "snapshots", sql=f"SELECT platform, market_id, CAST(epoch_us(day) AS BIGINT) AS day, close AS price FROM {CANDLES} WHERE day >= TIMESTAMP '2024-01-05' AND close > 0 AND close < 1")
 def src8(x: DataFrame) -> DataFrame:
     return history.price_history(history.daily_candles(x), "2024-01-05").select("platform", "market_id", _us("day").alias("day"), "price")
 
 
-@query("st6_daily_candles", "snapshots", sql=f"SELECT platform, market_id, CAST(epoch_us(day) AS BIGINT) AS day, close, round(mean, 6) AS mean, n FROM {_CANDLES}")
-def st6(x: DataFrame) -> DataFrame:
-    return history.daily_candles(x).select("platform", "market_id", _us("day").alias("day"), "close", F.round("mean", 6).alias("mean"), "n")
-
-
-@query("j21_pair_history", "matches", "snapshots", sql=f"SELECT m.a_id, CAST(epoch_us(day) AS BIGINT) AS day, a_close, round(CASE WHEN m.n % 4 <> 0 THEN b_close ELSE 1 - b_close END, 6) AS b_close FROM {{matches}} m JOIN (SELECT coalesce(a.market_id, b.market_id) AS m, coalesce(a.day, b.day) AS day, a.close AS a_close, b.close AS b_close FROM (SELECT * FROM {_CANDLES} WHERE platform = 'venue_a') a FULL JOIN (SELECT * FROM {_CANDLES} WHERE platform = 'venue_b') b ON a.market_id = b.market_id AND a.day = b.day) h ON h.m = m.a_id")
+@query("j21_pair_history", "matches", "snapshots", sql=f"SELECT m.a_id, CAST(epoch_us(day) AS BIGINT) AS day, a_close, round(CASE WHEN m.n % 4 <> 0 THEN b_close ELSE 1 - b_close END, 6) AS b_close FROM {{matches}} m JOIN (SELECT coalesce(a.market_id, b.market_id) AS m, coalesce(a.day, b.day) AS day, a.close AS a_close, b.close AS b_close FROM (SELECT * FROM {CANDLES} WHERE platform = 'venue_a') a FULL JOIN (SELECT * FROM {CANDLES} WHERE platform = 'venue_b') b ON a.market_id = b.market_id AND a.day = b.day) h ON h.m = m.a_id")
 def j21(m: DataFrame, s: DataFrame) -> DataFrame:
     found = history.pair_history(m, history.daily_candles(s), F.col("n") % 4 != 0)
     return found.select("a_id", _us("day").alias("day"), "a_close", F.round("b_close", 6).alias("b_close"))
@@ -121,9 +119,10 @@ def t5(x: DataFrame) -> DataFrame:
     return x.where("safe").orderBy(F.desc("overall"), "a_id").select("a_id", "b_id", "overall")
 
 
-@query("t10_scored_order", "opportunities", sql=f"SELECT id, round(CAST({SCORE_SQL} AS DOUBLE), 6) AS total FROM {{opportunities}} WHERE {SCORE_SQL} >= 5")
+@query("t10_scored_order", "opportunities", sql=f"SELECT id, round(CAST({SCORE_SQL} AS DOUBLE), 6) AS total, round(CAST({EDGE_SQL} AS DOUBLE), 6) AS edge, round(CAST({PROFIT_SQL} AS DOUBLE), 6) AS profit FROM {{opportunities}} WHERE {SCORE_SQL} >= 5")
 def t10(x: DataFrame) -> DataFrame:
-    return detect.scored(x).select("id", F.round("total", 6).alias("total"))
+    part = lambda c: F.round(f"breakdown.{c}", 6).alias(c)
+    return detect.scored(x).select("id", F.round("total", 6).alias("total"), part("edge"), part("profit"))
 
 
 @query("t11_list_forecasts", "forecasts", sql="SELECT id, probability FROM {forecasts} WHERE resolved ORDER BY ts DESC, id DESC LIMIT 100")
@@ -149,7 +148,8 @@ def a15(x: DataFrame) -> DataFrame:
     return calibration.brier_by(x, "category")
 
 
-@query("a16_calibration_curve", "forecasts", sql=f"SELECT bucket, n, hits, round(hits / n, 6) AS observed, (bucket + 0.5) / 10 AS midpoint, round((SELECT sum({_P} - outcome) / count(*) FROM {{forecasts}} WHERE resolved), 6) AS signed_error FROM (SELECT least(9, CAST(floor({_P} * 10) AS BIGINT)) AS bucket, count(*) AS n, CAST(sum(outcome) AS BIGINT) AS hits FROM {{forecasts}} WHERE resolved GROUP BY 1)")
+@query("a16_calibration_curve", "forecasts", sql=f"""WITH c AS (SELECT *, (bucket + 0.5) / 10 AS midpoint FROM (SELECT least(9, CAST(floor({_P} * 10) AS BIGINT)) AS bucket, count(*) AS n, CAST(sum(outcome) AS BIGINT) AS hits FROM {{forecasts}} WHERE resolved GROUP BY 1)), e AS (SELECT sum((midpoint - hits / n) * n) / sum(n) AS err FROM c)
+    SELECT bucket, n, hits, round(hits / n, 6) AS observed, midpoint, round(err, 6) AS signed_error, CASE WHEN abs(floor(err * 100 + 0.5)) <= 5 THEN 'calibrated' WHEN err > 0 THEN 'overconfident' ELSE 'underconfident' END AS verdict FROM c, e""")
 def a16(x: DataFrame) -> DataFrame:
     return calibration.curve(x)
 
@@ -185,18 +185,39 @@ def a21(x: DataFrame) -> DataFrame:
     return detect.price_sums(detect.outcome_books(x)).select("platform", "market_id", "kind", *(F.round(c, 6).alias(c) for c in ("edge", "confidence", "expected_value")))
 
 
-_UNIFIED = f"""(SELECT 'multi_outcome' AS type, platform, market_id, net / 100 AS net_edge, n FROM {_MULTI} WHERE {_REASON} IS NULL UNION ALL SELECT 'correlated', platform, market_id, greatest(0.0, edge / 100 - CASE WHEN platform = 'venue_a' THEN 0.02 ELSE 0.07 END * n), n FROM {_SUMS})"""
+_CROSS = f"""(SELECT *, least(1.0, greatest(0.5, 0.7 + (net - 0.10) * 2.5 + least(0.05, liq / 10000 * 0.05))) AS sure FROM (SELECT m.a_id, m.confidence, abs(a.yes - b.yes) AS gross, greatest(0.0, abs(a.yes - b.yes) - CAST(0.09 AS DOUBLE)) AS net, least(a.liq, b.liq) AS liq FROM {{matches}} m JOIN {_ASOF} a ON a.platform = 'venue_a' AND a.market_id = m.a_id
+    JOIN {_ASOF} b ON b.platform = 'venue_b' AND b.market_id = m.b_id WHERE m.confidence >= 0.5 AND m.n % 5 <> 0) WHERE liq >= 500 AND net >= CAST(0.10 AS DOUBLE))"""
+# forecasts of all markets by the shared number of their question, whatever many there are
+_FORECAST = """(SELECT l.platform, l.id AS market_id, 0.9 AS confidence, q.age_days, floor(abs(q.q2 - l.yes) * 100 + 0.5) AS percent FROM {listings} l JOIN (SELECT *, row_number() OVER (ORDER BY id) - 1 AS nth, count(*) OVER () AS n FROM {questions}) q ON l.ord % q.n = q.nth WHERE floor(abs(q.q2 - l.yes) * 100 + 0.5) >= 5)"""
+UNIFIED = f"""(SELECT 'multi_outcome' AS type, platform, market_id, gross / 100 AS gross_edge, net / 100 AS net_edge, CAST(least(1.0, CASE WHEN net >= 3 THEN 0.9 + least((net - 3) / 10, 0.1) WHEN net >= 1 THEN 0.7 + (net - 1) / 2 * 0.2 ELSE 0.5 + (net - 0.5) / 0.5 * 0.2 END + CASE WHEN liq >= 2000 THEN 0.05 ELSE 0 END) AS DOUBLE) AS detector_confidence, CAST(NULL AS DOUBLE) AS match_confidence, liq AS min_liquidity, n AS depth FROM {_MULTI} WHERE {_REASON} IS NULL
+    UNION ALL SELECT 'correlated', platform, market_id, edge / 100, greatest(0.0, edge / 100 - CASE WHEN platform = 'venue_a' THEN 0.02 ELSE 0.07 END * n), {_SUM_CONF}, NULL, liq, n FROM {_SUMS}
+    UNION ALL SELECT 'cross_platform', 'cross', a_id, gross, net, sure, confidence, liq, 2 FROM {_CROSS}
+    UNION ALL SELECT 'divergence', platform, market_id, percent / 100, percent / 100, CASE WHEN age_days <= 7 THEN 0.9 ELSE 0.6 END, confidence, 0.0, 1 FROM {_FORECAST})"""
+
+
+def _found(outcomes: DataFrame, m: DataFrame, s: DataFrame, x: DataFrame, q: DataFrame) -> DataFrame:
+    books = detect.outcome_books(outcomes)
+    risk = F.when(F.col("n") % 5 == 0, "HIGH").otherwise("LOW")
+    cross = detect.cross_venue(history.asof_pairs(m, s, _now(), 2000).withColumn("risk", risk))
+    return detect.unify(detect.multi_outcome(books), detect.price_sums(books), cross, detect.divergence(forecast_pairs(x, q)))
+
+
+_INPUTS = ("outcomes", "matches", "snapshots", "listings", "questions")
+
+
+@query("u2_unified", *_INPUTS, sql=f"SELECT substring(md5(concat_ws(':', type, platform, market_id)), 1, 16) AS id, type, platform, market_id, round(gross_edge, 6) AS gross_edge, round(net_edge, 6) AS net_edge, round(detector_confidence, 6) AS detector_confidence, round(match_confidence, 6) AS match_confidence, round(min_liquidity, 4) AS min_liquidity, depth FROM {UNIFIED}")
+def u2(*tables: DataFrame) -> DataFrame:
+    r = lambda c, n=6: F.round(c, n).alias(c)
+    return _found(*tables).select("id", "type", "platform", "market_id", r("gross_edge"), r("net_edge"), r("detector_confidence"), r("match_confidence"), r("min_liquidity", 4), "depth")
 
 
-@query("u2_unified", "outcomes", sql=f"SELECT substring(md5(concat_ws(':', type, platform, market_id)), 1, 16) AS id, type, round(net_edge, 6) AS net_edge, n AS depth FROM {_UNIFIED}")
-def u2(x: DataFrame) -> DataFrame:
-    books = detect.outcome_books(x)
-    return detect.unify(detect.multi_outcome(books), detect.price_sums(books)).select("id", "type", F.round("net_edge", 6).alias("net_edge"), "depth")
+@query("a22_detector_counts", *_INPUTS, sql=f"SELECT type, platform, count(*) AS n FROM {UNIFIED} GROUP BY CUBE (type, platform)")
+def a22(*tables: DataFrame) -> DataFrame:
+    return detect.counts(_found(*tables))
 
 
-@query("a22_detector_counts", "outcomes", sql=f"SELECT type, platform, count(*) AS n FROM {_UNIFIED} GROUP BY CUBE (type, platform)")
-def a22(x: DataFrame) -> DataFrame:
-    books = detect.outcome_books(x)
-    return detect.counts(detect.unify(detect.multi_outcome(books), detect.price_sums(books)))
+@query("a22_run_counters", *_INPUTS, sql=f"SELECT count(*) FILTER (type = 'multi_outcome' AND platform = 'venue_a') AS multi_outcome_a, count(*) FILTER (type = 'multi_outcome' AND platform = 'venue_b') AS multi_outcome_b, count(*) FILTER (type = 'correlated') AS correlated, count(*) FILTER (type = 'cross_platform') AS cross_platform, count(*) FILTER (type = 'divergence') AS divergence, count(*) AS total FROM {UNIFIED}")
+def a22_counters(*tables: DataFrame) -> DataFrame:
+    return detect.run_counters(_found(*tables))
 
 

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keelson.operators import history
-from keelson.plans.fixtures import view
+from keelson.operators import detect, history, study
+from keelson.plans.fixtures import forecast_pairs, view
+from keelson.plans.functions_q import SCORE_SQL
+from keelson.plans.history_q import AS_OF, CANDLES, UNIFIED
 from keelson.plans.registry import ORACLES, QUERIES, query, with_views
-from keelson.sources import ingest, sinks
+from keelson.sources import ingest, scratch, sinks
 from keelson.streaming import jobs
 
 
@@ -87,11 +87,11 @@ def src6(x: DataFrame) -> DataFrame:
     return b.select("market_id", F.round("depth", 4).alias("depth"), F.round(F.col("bids")[0]["price"], 6).alias("best_bid"), F.round(F.col("asks")[0]["price"], 6).alias("best_ask"))
 
 
-@query("src7_snapshot_from_books", "outcomes", sql="SELECT market_id, round(sum(CASE WHEN outcome % 3 <> 0 THEN ask ELSE 0.5 END), 6) AS ask_sum, round(sum(CASE WHEN outcome % 3 <> 0 THEN least(ask * liquidity, bid * liquidity) ELSE 900.0 / n END), 4) AS liquidity FROM (SELECT *, count(*) OVER (PARTITION BY market_id) AS n FROM {outcomes}) GROUP BY market_id")
+@query("src7_snapshot_from_books", "outcomes", sql="SELECT market_id, round(sum(CASE WHEN market_id NOT LIKE '%5' AND outcome % 3 <> 0 THEN ask ELSE 0.5 END), 6) AS ask_sum, round(sum(CASE WHEN market_id LIKE '%5' THEN 400.0 / n WHEN outcome % 3 <> 0 THEN least(ask * liquidity, bid * liquidity) ELSE 900.0 / n END), 4) AS liquidity FROM (SELECT *, count(*) OVER (PARTITION BY market_id) AS n FROM {outcomes}) GROUP BY market_id")
 def src7(x: DataFrame) -> DataFrame:
     n = x.groupBy("market_id").agg(F.count("*").alias("n_outcomes"))
     own = lambda c: F.when(F.col("outcome") % 3 != 0, F.array(F.struct(F.col(c).alias("price"), F.col("liquidity").alias("size")))).otherwise(F.array().cast("array<struct<price:double,size:double>>"))
-    books = x.join(n, "market_id").select("market_id", F.col("outcome").cast("string").alias("outcome"), own("ask").alias("asks"), own("bid").alias("bids"), F.lit(0.5).alias("mid"), F.lit(900.0).alias("liquidity_total"), "n_outcomes")
+    books = x.join(n, "market_id").select("market_id", F.col("outcome").cast("string").alias("outcome"), own("ask").alias("asks"), own("bid").alias("bids"), F.lit(0.5).alias("mid"), F.when(F.col("market_id").endswith("5"), 400.0).otherwise(900.0).alias("liquidity_total"), "n_outcomes")
     total = lambda c: F.aggregate(F.map_values(c), F.lit(0.0), lambda a, v: a + v)
     s = ingest.snapshot_from_books(books)
     return s.select("market_id", F.round(total("ask_prices"), 6).alias("ask_sum"), F.round(total("liquidity_by_outcome"), 4).alias("liquidity"))
@@ -144,9 +144,31 @@ def snk4(c: DataFrame) -> DataFrame:
     return sinks.apply_override(sinks.merge_columns(new, old, ["a_id", "b_id"]), over).select("a_id", "b_id", F.col("manual_override").alias("manual"), "notes", "overall")
 
 
-@query("snk6_gap_map_rows", "study", sql="SELECT a_id, b_id, round(gap, 4) AS gap, triage_label FROM {study} WHERE gap > 0.09 AND same_criteria")
+_STUDY_REASON = "CASE WHEN l_partkey % 3 = 0 THEN NULL ELSE concat('says \"', category, '\", so') END"
+_F4 = "printf('%.4f', round(CAST({0} AS DOUBLE), 4))"
+_WHOLE = "CAST(floor({0} + 0.5) AS BIGINT)"
+
+
+def _exported(rows: DataFrame) -> DataFrame:
+    return _round_trip(rows, "csv", ", ".join(f"{n} {t}" for n, t in rows.dtypes))
+
+
+@query("snk6_gap_map_rows", "study", sql=f"SELECT a_id, b_id, a_title AS a_question, b_title AS b_question, {_F4.format('a_price')} AS a_yes, {_F4.format('b_price')} AS b_yes, yes_aligned, {_F4.format('gap')} AS gap, {_F4.format('greatest(0.0, gap - 0.09)')} AS net_after_fees, priceable, {_F4.format('cosine')} AS cosine, same_criteria, coalesce(new_label, '') AS triage, {_WHOLE.format('a_volume')} AS a_volume, {_WHOLE.format('b_volume')} AS b_volume, coalesce({_STUDY_REASON}, '') AS reason FROM {{study}}")
 def snk6(s: DataFrame) -> DataFrame:
-    return _round_trip(s.where("gap > 0.09 AND same_criteria").select("a_id", "b_id", F.round("gap", 4).alias("gap"), "triage_label"), "csv", "a_id string, b_id string, gap double, triage_label string")
+    return _exported(sinks.gap_map(s.withColumns({"triage": F.col("new_label"), "reason": F.expr(_STUDY_REASON)}))).na.fill("", ["triage", "reason"])
+
+
+@query("snk6_audit_rows", "study", sql=f"SELECT a_id, b_id, a_title AS a_question, b_title AS b_question, {_F4.format('a_price')} AS a_yes, {_F4.format('b_price')} AS b_yes, yes_aligned, {_F4.format('gap')} AS normalized_gap, priceable, true AS same_event, same_criteria AS same_contract, triage_label AS stage, triage_label, coalesce({_STUDY_REASON}, '') AS triage_reason, category, {_WHOLE.format('a_volume')} AS a_volume, {_WHOLE.format('b_volume')} AS b_volume, a_volume > 0 AND b_volume > 0 AS liquidity_floor_passed FROM {{study}}")
+def snk6_audit(s: DataFrame) -> DataFrame:
+    rows = s.withColumns({"stage": F.col("triage_label"), "reason": F.expr(_STUDY_REASON)})
+    return _exported(sinks.audit_rows(rows)).na.fill("", ["triage_reason"])
+
+
+@query("snk6_summary", "study", sql="SELECT count(*) AS candidates, count(*) FILTER (same_criteria) AS same_contract, count(*) FILTER (same_criteria AND priceable) AS priceable FROM {study}")
+def snk6_summary(s: DataFrame) -> DataFrame:
+    path = scratch.folder(s.sparkSession)
+    sinks.export_summary(study.summary(s, s.select("a_id"), "l_partkey", "l_suppkey"), path)
+    return s.sparkSession.read.schema("candidates long, same_contract long, priceable long").json(path)
 
 
 @query("snk7_request_lines", "pairs", sql="SELECT a_id AS key, md5(concat('{{\"custom_id\":\"', a_id, '\",\"method\":\"POST\",\"body\":{{\"model\":\"m1\",\"messages\":[{{\"role\":\"system\",\"content\":\"match\"}},{{\"role\":\"user\",\"content\":\"', category, '\"}}],\"max_tokens\":160}}}}')) AS line FROM {pairs}")
@@ -155,19 +177,14 @@ def snk7(p: DataFrame) -> DataFrame:
     return lines.select(F.get_json_object("value", "$.custom_id").alias("key"), F.md5("value").alias("line"))
 
 
-def _scratch(spark: SparkSession) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/keelson-checkpoints"
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
-
-
 def _round_trip(rows: DataFrame, kind: str, schema: str) -> DataFrame:
-    path = _scratch(rows.sparkSession)
+    path = scratch.folder(rows.sparkSession)
     sinks.export_csv(rows, path)
     return rows.sparkSession.read.schema(schema).option("header", True).format(kind).load(path)
 
 
 def _study_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _scratch(spark)
+    path = scratch.folder(spark)
     pairs = view(spark, sf_dir, "study").where("same_criteria AND priceable")
     for run in (1, 2):
         sinks.write_study_run(sinks.study_run(pairs.where(f"{run} = 2 OR l_orderkey % 2 = 0"), view(spark, sf_dir, "listings"), run, 0.09), path)
@@ -180,7 +197,7 @@ ORACLES["snk5_study_run"] = with_views("SELECT CAST(2 AS BIGINT) AS run_id, a_id
 
 def _stream(spark: SparkSession, sf_dir: str, name: str) -> tuple[DataFrame, str]:
     """A view as a file stream over the shared folder, and a folder for the job."""
-    path = _scratch(spark)
+    path = scratch.folder(spark)
     rows = view(spark, sf_dir, name)
     rows = rows.withColumn("ts", F.col("ts").cast("timestamp"))
     rows.repartitionByRange(4, "ts").write.parquet(f"{path}/in")
@@ -196,26 +213,52 @@ def _st1(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _st2(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream, path = _stream(spark, sf_dir, "snapshots")
     jobs.latest_state(stream, jobs.merge_into(f"{path}/table"), f"{path}/cp").awaitTermination()
-    return history.latest(spark.read.parquet(f"{path}/table").drop("v")).select("platform", "market_id", "yes")
+    return jobs.newest_version(spark, f"{path}/table").select("platform", "market_id", "yes")
 
 
 def _st3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = jobs.split_late(view(spark, sf_dir, "snapshots").withColumn("ts", F.col("ts").cast("timestamp")))
-    return rows.groupBy("late").agg(F.count("*").alias("n"))
+    """Every tenth row comes after all others; the watermark lets in those that are not over
+    half an hour behind."""
+    rows = view(spark, sf_dir, "snapshots").withColumn("ts", F.col("ts").cast("timestamp"))
+    path = scratch.folder(spark)
+    for late in (False, True):
+        rows.where((F.col("event_id") % 10 == 0) == F.lit(late)).write.mode("append").parquet(f"{path}/in")
+        jobs.ingest(spark.readStream.schema(rows.schema).parquet(f"{path}/in"), f"{path}/out", f"{path}/cp").awaitTermination()
+    kept = spark.read.parquet(f"{path}/out").select("event_id", F.lit(True).alias("kept"))
+    return rows.join(kept, "event_id", "left").groupBy(F.col("kept").isNull().alias("late")).agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
+
+
+def _others(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    table = lambda name: view(spark, sf_dir, name)
+    risk = F.when(F.col("n") % 5 == 0, "HIGH").otherwise("LOW")
+    pairs = history.asof_pairs(table("matches"), table("snapshots"), F.lit(AS_OF).cast("timestamp"), 2000).withColumn("risk", risk)
+    return {"cross": detect.cross_venue(pairs), "forecasts": detect.divergence(forecast_pairs(table("listings"), table("questions")))}
 
 
 def _st5(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream, path = _stream(spark, sf_dir, "outcomes")
-    spark.createDataFrame([], "id string, type string, platform string, market_id string, gross_edge double, net_edge double, confidence double, min_liquidity double, depth bigint, detected_at timestamp").write.parquet(f"{path}/out")
-    stream.writeStream.foreachBatch(jobs.detect_batch(f"{path}/out")).option("checkpointLocation", f"{path}/cp").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{path}/out").groupBy("type", "platform").agg(F.count("*").alias("n"))
+    run = jobs.detect_batch(f"{path}/out", f"{path}/books", lambda s: _others(s, sf_dir))
+    stream.writeStream.foreachBatch(run).option("checkpointLocation", f"{path}/cp").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{path}/out").select("id", "type", F.round("total", 6).alias("total"), "position_size")
 
 
-QUERIES |= {"st1_ingest_stream": _st1, "st2_latest_state": _st2, "st3_late_rows": _st3, "st5_detect_stream": _st5}
+def _st6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The days that the watermark has passed."""
+    stream, path = _stream(spark, sf_dir, "snapshots")
+    jobs.daily_candles(stream).writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/cp").trigger(availableNow=True).start().awaitTermination()
+    found = spark.read.schema("platform string, market_id string, day timestamp, close double, mean double, n bigint").parquet(f"{path}/out")
+    return found.select("platform", "market_id", F.unix_micros("day").alias("day"), "close", F.round("mean", 6).alias("mean"), "n")
+
+
+_WATERMARK = "(SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 30 MINUTE FROM {0})"
+_KELLY = "CASE WHEN net_edge <= 0 OR detector_confidence < 0.1 THEN 0.0 ELSE floor(500 * least(0.10, net_edge * detector_confidence * 0.5) * 100 + 0.5) / 100 END"
+QUERIES |= {"st1_ingest_stream": _st1, "st2_latest_state": _st2, "st3_late_rows": _st3, "st5_detect_stream": _st5, "st6_daily_candles": _st6}
 ORACLES |= {
     "st1_ingest_stream": with_views("SELECT event_id, yes FROM {snapshots}"),
     "st2_latest_state": with_views("SELECT platform, market_id, arg_max(yes, (ts, event_id)) AS yes FROM {snapshots} GROUP BY platform, market_id"),
-    "st3_late_rows": with_views("SELECT ts < (SELECT max(ts) FROM {snapshots}) - INTERVAL 30 MINUTE AS late, count(*) AS n FROM {snapshots} GROUP BY 1"),
+    "st3_late_rows": with_views(f"SELECT event_id % 10 = 0 AND ts <= {_WATERMARK.format('{snapshots} WHERE event_id % 10 <> 0')} AS late, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM {{snapshots}} GROUP BY 1"),
+    "st5_detect_stream": with_views(f"SELECT substring(md5(concat_ws(':', type, platform, market_id)), 1, 16) AS id, type, round(CAST({SCORE_SQL} AS DOUBLE), 6) AS total, {_KELLY} AS position_size FROM (SELECT *, CAST(NULL AS DOUBLE) AS days_left FROM {UNIFIED}) WHERE {SCORE_SQL} >= 5"),
+    "st6_daily_candles": with_views(f"SELECT platform, market_id, CAST(epoch_us(day) AS BIGINT) AS day, close, round(mean, 6) AS mean, n FROM {CANDLES} WHERE day + INTERVAL 1 DAY <= {_WATERMARK.format('{snapshots}')}"),
 }
 
 
@@ -232,8 +275,13 @@ def _st4(spark: SparkSession, sf_dir: str) -> DataFrame:
             spark.conf.unset(name)
         else:
             spark.conf.set(name, before)
-    return spark.read.schema(jobs.ALERTS).parquet(f"{path}/out")
+    found = spark.read.schema(jobs.ALERTS).parquet(f"{path}/out")
+    return found.select("type", "platform", "market_id", F.unix_millis("first_seen").alias("first_ms"), F.unix_millis("last_seen").alias("last_ms"), "best_score", "n")
 
 
 QUERIES["st4_dedup_stream"] = _st4
-
+# windows that a later row closed, or the watermark
+ORACLES["st4_dedup_stream"] = with_views("""WITH RECURSIVE o AS (SELECT type, platform, market_id, epoch_us(ts) // 1000 AS ms, score, row_number() OVER (PARTITION BY type, platform, market_id ORDER BY ts, event_id) AS rn FROM {opportunities}),
+    w AS (SELECT type, platform, market_id, rn, ms, ms AS anchor FROM o WHERE rn = 1 UNION ALL SELECT o.type, o.platform, o.market_id, o.rn, o.ms, CASE WHEN o.ms - w.anchor >= 14400000 THEN o.ms ELSE w.anchor END FROM w JOIN o ON o.type = w.type AND o.platform = w.platform AND o.market_id = w.market_id AND o.rn = w.rn + 1)
+    SELECT type, platform, market_id, anchor AS first_ms, last_ms, best_score, n FROM (SELECT w.type, w.platform, w.market_id, anchor, max(w.ms) AS last_ms, max(score) AS best_score, count(*) AS n, max(max(w.ms)) OVER (PARTITION BY w.type, w.platform, w.market_id) AS newest FROM w JOIN o USING (type, platform, market_id, rn) GROUP BY w.type, w.platform, w.market_id, anchor)
+    WHERE newest > last_ms OR anchor + 14400000 < (SELECT max(ms) FROM o) - 1800000""")

@@ -56,9 +56,17 @@ def j14(x: DataFrame) -> DataFrame:
 
 @query("t6_watchlist", "listings", sql=f"""WITH f AS (SELECT * FROM {_FEED}), b AS (SELECT 'toss_up' AS bucket, id, floor(abs(yes - 0.5) / 0.05) AS k, volume FROM f WHERE yes >= 0.35 AND yes <= 0.65 AND volume > 500 UNION ALL SELECT 'closing_soon', id, close_day - 3, volume FROM f WHERE close_day - 3 > 0 AND close_day - 3 <= 7 AND volume > 500
     UNION ALL SELECT 'high_conviction', id, 0, volume FROM f WHERE ((yes >= 0.85 AND yes < 1) OR (yes > 0 AND yes <= 0.15)) AND volume > 2000 UNION ALL SELECT 'contrarian', id, 0, volume FROM f WHERE ((yes >= 0.10 AND yes < 0.25) OR (yes > 0.75 AND yes <= 0.90)) AND volume > 1000)
-    SELECT bucket, id FROM (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY k, volume DESC, id) AS nth FROM b) WHERE nth <= 10 UNION ALL SELECT 'price_gap', id FROM f WHERE abs(signal - yes) >= 0.03""")
+    SELECT bucket, w.id, CASE bucket WHEN 'toss_up' THEN concat('split at ', p, '%') WHEN 'closing_soon' THEN concat('closes in ', CAST(l.close_day - 3 AS STRING), ' days at ', p, '%') WHEN 'high_conviction' THEN concat(CASE WHEN yes >= 0.85 THEN 'nearly sure at ' ELSE 'nearly ruled out at ' END, p, '%') WHEN 'contrarian' THEN concat(CASE WHEN yes < 0.5 THEN 'unlikely at ' ELSE 'likely at ' END, p, '%')
+        ELSE concat(p, '% against ', CAST(CAST(floor(signal * 100 + 0.5) AS BIGINT) AS STRING), '%, ', CAST(CAST(floor(abs(signal - yes) * 100 + 0.5) AS BIGINT) AS STRING), ' points apart') END AS insight
+    FROM (SELECT bucket, id FROM (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY k, volume DESC, id) AS nth FROM b) WHERE nth <= 10 UNION ALL SELECT 'price_gap', id FROM f WHERE abs(signal - yes) >= 0.03) w JOIN (SELECT *, CAST(CAST(floor(yes * 100 + 0.5) AS BIGINT) AS STRING) AS p FROM f) l ON l.id = w.id""")
 def t6(x: DataFrame) -> DataFrame:
-    return markets.watchlist(x, _matches(x), TODAY).select("bucket", "id")
+    return markets.watchlist(x, _matches(x), TODAY).select("bucket", "id", "insight")
+
+
+@query("t6_watchlist_counts", "listings", sql=f"""WITH f AS (SELECT * FROM {_FEED}) SELECT 'toss_up' AS bucket, least(10, count(*)) AS n FROM f WHERE yes >= 0.35 AND yes <= 0.65 AND volume > 500 UNION ALL SELECT 'closing_soon', least(10, count(*)) FROM f WHERE close_day - 3 > 0 AND close_day - 3 <= 7 AND volume > 500
+    UNION ALL SELECT 'high_conviction', least(10, count(*)) FROM f WHERE ((yes >= 0.85 AND yes < 1) OR (yes > 0 AND yes <= 0.15)) AND volume > 2000 UNION ALL SELECT 'contrarian', least(10, count(*)) FROM f WHERE ((yes >= 0.10 AND yes < 0.25) OR (yes > 0.75 AND yes <= 0.90)) AND volume > 1000 UNION ALL SELECT 'price_gap', count(*) FROM f WHERE abs(signal - yes) >= 0.03""")
+def t6_counts(x: DataFrame) -> DataFrame:
+    return markets.watchlist_counts(markets.watchlist(x, _matches(x), TODAY))
 
 
 @query("t8_quality_rank", "listings", sql="""SELECT id, round(quality, 6) AS quality FROM (SELECT id, CASE WHEN volume > 0 THEN log10(volume) / 3 ELSE 0 END + CASE WHEN liquidity > 0 THEN least(2.0, log10(liquidity) / 3) ELSE 0 END - CASE WHEN regexp_matches(question, '(?i)daily.*temperature|\\d+[hH]our|tonight|today''s') THEN 2 ELSE 0 END + CASE WHEN close_day - 3 > 0 AND close_day - 3 < 30 THEN 1 ELSE 0 END + CASE WHEN close_day - 3 > 0 AND close_day - 3 < 7 THEN 1 ELSE 0 END
@@ -88,20 +96,42 @@ def u3(x: DataFrame) -> DataFrame:
     return markets.categories(x)
 
 
-@query("j19_market_context", "matches", "snapshots", sql="""SELECT m.a_id AS market_id, a.yes, b.yes AS other_yes, h.n AS points FROM {matches} m LEFT JOIN (SELECT market_id, arg_max(yes, (ts, event_id)) AS yes FROM {snapshots} WHERE platform = 'venue_a' GROUP BY 1) a ON a.market_id = m.a_id
-    LEFT JOIN (SELECT market_id, arg_max(yes, (ts, event_id)) AS yes FROM {snapshots} WHERE platform = 'venue_b' GROUP BY 1) b ON b.market_id = m.b_id LEFT JOIN (SELECT market_id, least(count(*), 10) AS n FROM {snapshots} WHERE platform = 'venue_a' GROUP BY 1) h ON h.market_id = m.a_id""")
+# the sources stored for a market: events of every fiftieth number, under the market's slug
+_SOURCES = "(SELECT market_id AS slug, event_id AS ord, concat('source ', CAST(event_id AS STRING)) AS title FROM {snapshots} WHERE event_id % 50 = 0)"
+
+
+@query("j19_market_context", "matches", "snapshots", sql=f"""SELECT m.a_id AS market_id, a.yes, b.yes AS other_yes, h.n AS points, m.n % 2 = 0 AS safe, s.headlines FROM {{matches}} m LEFT JOIN (SELECT market_id, arg_max(yes, (ts, event_id)) AS yes FROM {{snapshots}} WHERE platform = 'venue_a' GROUP BY 1) a ON a.market_id = m.a_id
+    LEFT JOIN (SELECT market_id, arg_max(yes, (ts, event_id)) AS yes FROM {{snapshots}} WHERE platform = 'venue_b' GROUP BY 1) b ON b.market_id = m.b_id LEFT JOIN (SELECT market_id, least(count(*), 10) AS n FROM {{snapshots}} WHERE platform = 'venue_a' GROUP BY 1) h ON h.market_id = m.a_id
+    LEFT JOIN (SELECT slug, string_agg(title, ';' ORDER BY ord) AS headlines FROM {_SOURCES} GROUP BY slug) s ON s.slug = m.a_id""")
 def j19(m: DataFrame, s: DataFrame) -> DataFrame:
     now, own = history.latest(s), s.where("platform = 'venue_a'")
     safe = m.select("a_id", "b_id", (F.col("n") % 2 == 0).alias("safe"))
-    rows = markets.context(m.select(F.col("a_id").alias("market_id")), m, now.where("platform = 'venue_b'"), history.recent(own, 10), safe)
+    sources = s.where("event_id % 50 = 0").select(F.col("market_id").alias("slug"), F.col("event_id").alias("ord"), F.concat(F.lit("source "), F.col("event_id").cast("string")).alias("title"))
+    own_markets = m.select(F.col("a_id").alias("market_id"), F.upper("a_id").alias("question"))
+    rows = markets.context(own_markets, m, now.where("platform = 'venue_b'"), history.recent(own, 10), safe, sources)
     mine = now.where("platform = 'venue_a'").select("market_id", "yes")
-    return rows.join(mine, "market_id", "left").select("market_id", "yes", "other_yes", F.size(F.split("history", ",")).cast("long").alias("points"))
-
-
-_CHECKS = ", ".join(f"round(avg(CAST({'' if want else 'NOT '}regexp_matches(t, '{p}'){' AND length(trim(t)) > 60' if k == 'has_verdict' else ''} AS INT)), 6) AS {k}" for k, (p, want) in markets.BRIEF_CHECKS.items())
-_BRIEF = "concat(text, CASE conv_id % 6 WHEN 0 THEN ' Verdict: lean yes after fees.' WHEN 1 THEN ' See https://x.y for news.' WHEN 2 THEN ' In real time, thin sources.' WHEN 3 THEN ' Settlement differs by platform.' WHEN 4 THEN ' Superforecasters see a trend.' ELSE '' END)"
+    return rows.join(mine, "market_id", "left").select("market_id", "yes", "other_yes", F.size(F.split("history", ",")).cast("long").alias("points"), "safe", F.array_join("headlines", ";").alias("headlines"))
+
+
+VENUES, FORECASTERS = ["first venue", "second venue"], ["forecast site"]
+# the checks as they are stated, apart from the library's own table
+_EXPECTED = {
+    "has_verdict": "length(trim(t)) > 60 AND regexp_matches(t, '(?i)verdict|lean (yes|no)|\\bpass\\b')",
+    "no_urls": "NOT regexp_matches(t, '(?i)https?://')",
+    "no_live_claim": "NOT regexp_matches(t, '(?i)\\b(i (just )?(searched|googled|looked up|browsed|scraped|crawled)|in real[ -]?time|live (web|news|internet)[ -]?search|according to (my|a|the) (web|news|recent)[ -]?search|i (found|pulled|retrieved) .*(online|on the web))\\b')",
+    "fees": "regexp_matches(t, '(?i)\\bfees?\\b|spread|round[- ]?trip|trading cost')",
+    "settlement": "regexp_matches(t, '(?i)settl')",
+    "platforms": "regexp_matches(t, '(?i)first venue|second venue|platform|cross[- ]?platform')",
+    "forecasters": "regexp_matches(t, '(?i)forecast site|superforecaster')",
+    "source_limits": "regexp_matches(t, '(?i)base rate|limited|thin|sparse|no (recent )?(news|sources|external|coverage)|without (more )?(data|sources)')",
+    "news": "regexp_matches(t, '(?i)sentiment|news|headline|report')",
+    "trend": "regexp_matches(t, '(?i)trend|history|price action|drift|recent move|momentum')",
+}
+_CHECKS = ", ".join(f"round(avg(CAST({check} AS INT)), 6) AS {name}" for name, check in _EXPECTED.items())
+_BRIEF = "concat(text, CASE conv_id % 9 WHEN 0 THEN ' Verdict: lean yes after fees.' WHEN 1 THEN ' See https://x.y for news.' WHEN 2 THEN ' In real time, thin sources.' WHEN 3 THEN ' Settlement differs by platform.' WHEN 4 THEN ' Superforecasters see a trend.' WHEN 5 THEN ' The Second Venue pays less.' WHEN 6 THEN ' The forecast site says 40%.' WHEN 7 THEN ' I found two reports online.' ELSE '' END)"
 
 
 @query("a25_brief_quality", "conversations", sql=f"SELECT role, count(*) AS n, {_CHECKS} FROM (SELECT role, {_BRIEF} AS t FROM {{conversations}}) GROUP BY role")
 def a25(c: DataFrame) -> DataFrame:
-    return markets.pass_rates(markets.brief_quality(c.withColumn("text", F.expr(_BRIEF))), "role")
+    checks = markets.brief_checks(VENUES, FORECASTERS)
+    return markets.pass_rates(markets.brief_quality(c.withColumn("text", F.expr(_BRIEF)), checks=checks), "role")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from keelson.functions import text as T
 from keelson.operators import detect, matching, study
+from keelson.plans.fixtures import forecast_pairs
 from keelson.plans.functions_q import _kw, dice_sql
 from keelson.plans.registry import query
 
@@ -22,15 +23,23 @@ _CAND = """(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY a_id ORDER
     FROM {embeddings} a JOIN {embeddings} b ON a.vec_id % 2 = 0 AND b.vec_id % 2 = 1) WHERE cosine >= 0.3) WHERE rank <= 5 AND cosine >= round(best - 0.08, 6))"""
 
 
+def _greedy_sql(edges: str) -> str:
+    """One-to-one choice over ``edges(a_ord, pref, b_id, score)`` row by row, as the rule is
+    stated: in the order of a, the most preferred b that none before it took."""
+    return f"""WITH RECURSIVE e AS ({edges}), r AS (SELECT a_ord, list(struct_pack(b := b_id, s := score) ORDER BY pref, b_id) AS es, row_number() OVER (ORDER BY a_ord) AS rn FROM e GROUP BY a_ord),
+    g AS (SELECT CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS a_ord, CAST(NULL AS STRUCT(b BIGINT, s DOUBLE)) AS pick, CAST([] AS BIGINT[]) AS used
+    UNION ALL SELECT rn, a_ord, pick, CASE WHEN pick IS NULL THEN used ELSE list_append(used, pick.b) END FROM (SELECT r.rn, r.a_ord, CAST(list_filter(es, lambda x: NOT list_contains(g.used, x.b))[1] AS STRUCT(b BIGINT, s DOUBLE)) AS pick, g.used FROM g JOIN r ON r.rn = g.rn + 1) n)
+    SELECT a_ord, pick.b AS b_id, pick.s AS score FROM g WHERE pick IS NOT NULL"""
+
+
 @query("j1_candidate_pairs", "embeddings", sql=f"SELECT a_id, b_id, cosine, rank FROM {_CAND}")
 def j1(e: DataFrame) -> DataFrame:
     return matching.similar_vectors(*_sides(e), threshold=0.3)
 
 
-@query("j2_semantic_matches", "embeddings")
+@query("j2_semantic_matches", "embeddings", sql=_greedy_sql("SELECT a_id AS a_ord, -cosine AS pref, b_id, cosine AS score FROM (SELECT a.vec_id AS a_id, b.vec_id AS b_id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS cosine FROM {embeddings} a JOIN {embeddings} b ON a.vec_id % 2 = 0 AND b.vec_id % 2 = 1) WHERE cosine >= 0.3"))
 def j2(e: DataFrame) -> DataFrame:
-    found = matching.similar_vectors(*_sides(e), threshold=0.3, margin=2.0, k=None)
-    return matching.greedy(found.select(F.col("a_id").alias("a_ord"), (-F.col("cosine")).alias("pref"), "b_id", F.col("cosine").alias("score")))
+    return matching.semantic_matches(*_sides(e), threshold=0.3)
 
 
 _LEX = f"""SELECT a.ord AS a_ord, b.ord AS b_ord, round(CASE WHEN a.t = b.t THEN 1.0 ELSE 0.7 + (j - 0.5) * 0.4 END, 6) AS confidence, CASE WHEN a.t = b.t THEN 'exact' ELSE 'keyword' END AS method FROM (SELECT a.ord, b.ord AS bo, CASE WHEN len(a.w) = 0 OR len(b.w) = 0 THEN 0.0 ELSE len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) END AS j
@@ -47,29 +56,31 @@ def j3(x: DataFrame) -> DataFrame:
     return matching.lexical_edges(*_venues(x)).withColumn("confidence", F.round("confidence", 6))
 
 
-@query("j3_lexical_matches", "listings")
+@query("j3_lexical_matches", "listings", sql=f"SELECT a_ord, b_id AS b_ord, score AS confidence FROM ({_greedy_sql(f'SELECT a_ord, b_ord AS pref, b_ord AS b_id, confidence AS score FROM ({_LEX})')})")
 def j3_greedy(x: DataFrame) -> DataFrame:
-    return matching.lexical_matches(*_venues(x))
+    return matching.lexical_matches(*_venues(x)).withColumn("confidence", F.round("confidence", 6))
 
 
-@query("j4_curated_override", "matches", sql="SELECT a_id, concat('c', b_id) AS b_id, 1.0 AS confidence, 'manual' AS method FROM {matches} WHERE n % 10 = 3 UNION ALL SELECT a_id, b_id, confidence, method FROM {matches} WHERE n % 10 <> 3")
+@query("j4_curated_override", "matches", sql="""WITH c AS (SELECT a_id, b_id FROM (SELECT a_id, CASE WHEN n % 20 = 3 THEN concat('m', CAST(n + 1 AS STRING)) WHEN n % 20 = 13 THEN 'unlisted' ELSE b_id END AS b_id FROM {matches} WHERE n % 10 = 3 AND n % 3 <> 0) WHERE b_id IN (SELECT b_id FROM {matches}))
+    SELECT a_id, b_id, 1.0 AS confidence, 'manual' AS method FROM c UNION ALL SELECT a_id, b_id, confidence, method FROM {matches} WHERE a_id NOT IN (SELECT a_id FROM c) AND b_id NOT IN (SELECT b_id FROM c)""")
 def j4(m: DataFrame) -> DataFrame:
-    return matching.apply_curated(m, m.where("n % 10 = 3").select("a_id", F.concat(F.lit("c"), "b_id").alias("b_id")))
+    other = F.when(F.col("n") % 20 == 3, F.concat(F.lit("m"), (F.col("n") + 1).cast("string"))).when(F.col("n") % 20 == 13, "unlisted").otherwise(F.col("b_id"))
+    manual = m.where("n % 10 = 3").select("a_id", other.alias("b_id"), (F.col("n") % 3 != 0).alias("verified"))
+    return matching.apply_curated(m, manual, m.select(F.col("a_id").alias("id")), m.select(F.col("b_id").alias("id")))
 
 
-_FC = "SELECT q_id, m_ord, round(overall, 6) AS overall FROM (SELECT *, 0.5 * dice + 0.3 * 0.5 + 0.2 * greatest(0.0, 1 - days / 14) AS overall FROM (" + dice_sql("""SELECT q.id AS q_id, l.ord AS m_ord, abs(l.close_day - q.resolve_day) AS days, regexp_replace(lower(q.title), '\\s+', '', 'g') AS a, regexp_replace(lower(l.question), '\\s+', '', 'g') AS b
+_FC = "SELECT q_id, m_ord, round(overall, 6) AS overall, CASE WHEN dice > 0.95 THEN 'exact' ELSE 'fuzzy' END AS method FROM (SELECT *, 0.5 * dice + 0.3 * 0.5 + 0.2 * greatest(0.0, 1 - days / 14) AS overall FROM (" + dice_sql("""SELECT q.id AS q_id, l.ord AS m_ord, abs(l.close_day - q.resolve_day) AS days, regexp_replace(lower(q.title), '\\s+', '', 'g') AS a, regexp_replace(lower(l.question), '\\s+', '', 'g') AS b
     FROM {questions} q JOIN {listings} l ON q.type = 'binary' AND abs(l.close_day - q.resolve_day) < 14""", dice=("a", "b")) + ")) WHERE overall >= 0.6"
 
 
 @query("j5_forecast_edges", "questions", "listings", sql=_FC)
 def j5(q: DataFrame, x: DataFrame) -> DataFrame:
-    return matching.forecast_edges(q, x, 0.6).select("q_id", "m_ord", F.round("overall", 6).alias("overall"))
+    return matching.forecast_edges(q, x, 0.6).select("q_id", "m_ord", F.round("overall", 6).alias("overall"), "method")
 
 
-@query("j5_forecast_matches", "questions", "listings")
+@query("j5_forecast_matches", "questions", "listings", sql=f"SELECT q_id, m_ord, overall, method FROM ({_FC}) c JOIN ({_greedy_sql(f'SELECT q_id AS a_ord, -overall AS pref, m_ord AS b_id, overall AS score FROM ({_FC})')}) g ON g.a_ord = c.q_id AND g.b_id = c.m_ord")
 def j5_greedy(q: DataFrame, x: DataFrame) -> DataFrame:
-    edges = matching.forecast_edges(q, x, 0.6)
-    return matching.greedy(edges.select(F.col("q_id").alias("a_ord"), (-F.round("overall", 6)).alias("pref"), F.col("m_ord").alias("b_id"), F.round("overall", 6).alias("score")))
+    return matching.forecast_matches(q, x, 0.6)
 
 
 _CANDIDATES = "(SELECT concat('k', CAST(l_orderkey AS STRING)) AS key, b_id, cosine, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, b_id) AS rank FROM {pairs})"
@@ -91,9 +102,9 @@ def _requests(p: DataFrame) -> DataFrame:
     return _candidates(p).groupBy("key").agg(F.count("*").alias("n"))
 
 
-@query("j9_preflight", "pairs", "verdicts", sql=f"""SELECT groups, pairs, cached, groups - cached AS missing, round((groups - cached) * (420 * 0.00015 + 160 * 0.0006) / 1000, 6) AS cost, round(CASE WHEN groups = cached THEN 0.0 ELSE greatest((groups - cached) / 500, (groups - cached) * 580 / 200000) END, 6) AS minutes FROM (SELECT count(*) AS groups, CAST(sum(n) AS BIGINT) AS pairs, count(v.k) AS cached FROM (SELECT key, count(*) AS n FROM {_CANDIDATES} GROUP BY key) c LEFT JOIN {{verdicts}} v ON v.k = c.key)""")
+@query("j9_preflight", "pairs", "verdicts", sql=f"""SELECT groups, pairs, cached, groups - cached AS missing, round((groups - cached) * (420 * 0.00015 + 160 * 0.0006) / 1000, 6) AS cost, round(CASE WHEN groups = cached THEN 0.0 ELSE greatest((groups - cached) / 500, (groups - cached) * 580 / 200000) END, 6) AS minutes, CASE WHEN groups - cached > 1000 THEN 'requests' WHEN (groups - cached) * (420 * 0.00015 + 160 * 0.0006) / 1000 > 0.05 THEN 'cost' END AS refused FROM (SELECT count(*) AS groups, CAST(sum(n) AS BIGINT) AS pairs, count(v.k) AS cached FROM (SELECT key, count(*) AS n FROM {_CANDIDATES} GROUP BY key) c LEFT JOIN {{verdicts}} v ON v.k = c.key)""")
 def j9(p: DataFrame, v: DataFrame) -> DataFrame:
-    return matching.preflight(_requests(p), v)
+    return matching.preflight(_requests(p), v, max_requests=1000, max_cost=0.05)
 
 
 @query("j10_missing_requests", "pairs", "verdicts", sql=f"SELECT DISTINCT key FROM {_CANDIDATES} WHERE key NOT IN (SELECT k FROM {{verdicts}})")
@@ -112,6 +123,19 @@ _SET = "SELECT id, qs AS question_similarity, criteria, timing, src, CASE WHEN o
     FROM {{listings}} a JOIN {{listings}} b ON b.ord = a.ord + 1""", d1=("qa", "qb"), d2=("ra", "rb"), d3=("sa", "sb")) + "))"
 
 
+@query("j11_embedding_lookup", "documents", sql="SELECT count(*) FILTER (hit) AS hits, count(*) FILTER (NOT hit) AS misses FROM (SELECT sha256('m1' || chr(10) || text) IN (SELECT sha256('m1' || chr(10) || text) FROM {documents} WHERE doc_id % 3 = 0) AS hit FROM {documents})")
+def j11_lookup(d: DataFrame) -> DataFrame:
+    own = d.where("doc_id % 3 = 0")
+    cache = own.select(matching.embedding_key(F.col("text"), "m1").alias("key"), F.array(F.lit(0.0)).alias("vec")).dropDuplicates(["key"])
+    return matching.embedding_stats(matching.embedding_lookup(d.select("text"), cache, "m1"))
+
+
+@query("j11_stale_embeddings", "snapshots", sql="SELECT DISTINCT platform, market_id AS id FROM {snapshots} EXCEPT SELECT platform, market_id FROM {snapshots} GROUP BY 1, 2 HAVING max(ts) >= TIMESTAMP '2024-01-29 12:00:00' - INTERVAL 24 HOUR")
+def j11_stale(x: DataFrame) -> DataFrame:
+    meta = x.groupBy("platform", F.col("market_id").alias("id")).agg(F.max("ts").alias("updated_at"))
+    return matching.stale_embeddings(meta.select("platform", "id"), meta, F.lit("2024-01-29 12:00:00"))
+
+
 @query("j12_settlement", "listings", sql=_SET)
 def j12(x: DataFrame) -> DataFrame:
     rule = F.substring(F.split_part("rules", F.lit("\n"), F.lit(1)), 1, 120)
@@ -121,18 +145,17 @@ def j12(x: DataFrame) -> DataFrame:
     return matching.settlement(pairs).select(F.col("a_id").alias("id"), r("question_similarity", "question_similarity"), r("criteria_similarity", "criteria"), r("timing_similarity", "timing"), r("source_similarity", "src"), "safe")
 
 
-@query("j13_divergence", "questions", "listings", sql="SELECT id, CAST(floor(abs(q2 - yes) * 100 + 0.5) AS BIGINT) AS percent, CASE WHEN age_days <= 7 THEN 'fresh' WHEN age_days <= 14 THEN 'over a week old' WHEN age_days <= 28 THEN 'over two weeks old' ELSE 'over four weeks old' END AS band FROM (SELECT l.id, q.q2, l.yes, q.age_days FROM {questions} q JOIN {listings} l ON q.id = l.ord % 40) WHERE floor(abs(q2 - yes) * 100 + 0.5) >= 5")
+@query("j13_divergence", "questions", "listings", sql="SELECT id, CAST(floor(abs(q2 - yes) * 100 + 0.5) AS BIGINT) AS percent, CASE WHEN age_days <= 7 THEN 'fresh' WHEN age_days <= 14 THEN 'over a week old' WHEN age_days <= 28 THEN 'over two weeks old' ELSE 'over four weeks old' END AS band FROM (SELECT l.id, q.q2, l.yes, q.age_days FROM (SELECT *, row_number() OVER (ORDER BY id) - 1 AS nth, count(*) OVER () AS n FROM {questions}) q JOIN {listings} l ON q.nth = l.ord % q.n) WHERE floor(abs(q2 - yes) * 100 + 0.5) >= 5")
 def j13(q: DataFrame, x: DataFrame) -> DataFrame:
-    pairs = q.select((F.col("id")).alias("m"), "q2", "age_days").join(x.withColumn("m", F.col("ord") % 40), "m")
-    return detect.divergence(pairs).select("id", "percent", "band")
+    return detect.divergence(forecast_pairs(x, q)).select("id", "percent", "band")
 
 
 _W = "list_distinct(list_filter(string_split_regex(regexp_replace(lower({0}), '[^\\w\\s]', '', 'g'), '\\s+'), lambda w: length(w) > 2))"
 
 
-@query("j20_title_matches", "listings", "questions", sql=f"SELECT ord, arg_min(q_id, (-j, q_id)) AS q_id, round(max(j), 6) AS confidence FROM (SELECT ord, q_id, len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) AS j FROM (SELECT ord, {_W.format('question')} AS a FROM {{listings}}) JOIN (SELECT id AS q_id, {_W.format('title')} AS b FROM {{questions}}) ON len(a) > 0 AND len(b) > 0) WHERE j >= 0.15 GROUP BY ord")
+@query("j20_title_matches", "listings", "questions", sql=f"SELECT ord, arg_min(q_id, (-j, q_id)) AS q_id, round(max(j), 6) AS confidence, round(arg_min(abs(q2 - yes), (-j, q_id)), 6) AS divergence FROM (SELECT ord, q_id, yes, q2, len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) AS j FROM (SELECT ord, yes, {_W.format('question')} AS a FROM {{listings}}) JOIN (SELECT id AS q_id, q2, {_W.format('title')} AS b FROM {{questions}} WHERE q2 IS NOT NULL) ON len(a) > 0 AND len(b) > 0) WHERE j >= 0.15 GROUP BY ord")
 def j20(x: DataFrame, q: DataFrame) -> DataFrame:
-    return matching.title_matches(x, q, 0.15).withColumn("confidence", F.round("confidence", 6))
+    return matching.title_matches(x, q, 0.15).withColumns({"confidence": F.round("confidence", 6), "divergence": F.round("divergence", 6)})
 
 
 @query("txt10_requests", "pairs", sql=f"SELECT key, count(*) AS n, md5(string_agg(concat('[', CAST(rank - 1 AS STRING), '] ', b_id), chr(10) || chr(10) ORDER BY rank)) AS user_md5 FROM {_CANDIDATES} GROUP BY key")

@@ -84,14 +84,14 @@ def pf10(s: DataFrame) -> DataFrame:
 
 
 @query("pf11_cause_of_death", "study", sql=f"""SELECT a_id, CASE WHEN why IS NOT NULL OR status = 'spec_mismatch' THEN 'different contract: ' || coalesce(why, 'resolve differently') WHEN status = 'stale' THEN concat('near-settled: ', CAST(CAST(floor(a_price * 100 + 0.5) AS BIGINT) AS STRING), '% and ', CAST(CAST(floor(b_price * 100 + 0.5) AS BIGINT) AS STRING), '%')
-    WHEN status = 'topical' THEN 'same event, another contract' WHEN gap <= 0.09 THEN 'fees' WHEN thin < 10000 THEN 'depth: $' || CAST(CAST(floor(thin) AS BIGINT) AS STRING) WHEN l_orderkey % 2 = 1 THEN 'not strictly verified' ELSE 'passes' END AS cause
+    WHEN status = 'topical' THEN 'same event, another contract' WHEN gap <= 0.09 THEN printf('fees: %.1f pp gap', gap * 100) WHEN thin < 10000 THEN 'depth: $' || CAST(CAST(floor(thin) AS BIGINT) AS STRING) WHEN l_orderkey % 2 = 1 THEN 'not strictly verified' ELSE 'passes' END AS cause
     FROM (SELECT *, {_STATUS} AS status, {_SUSPICIOUS} AS why FROM (SELECT *, lower(a_title) AS a, lower(b_title) AS b FROM {{study}}))""")
 def pf11(s: DataFrame) -> DataFrame:
     cause = P.cause_of_death(F.col("a_title"), F.col("b_title"), P.status(F.col("triage_label")), F.col("gap"), F.col("thin"), F.col("l_orderkey") % 2 == 0, F.col("a_price"), F.col("b_price"), F.lit(""))
-    return s.select("a_id", F.when(cause.startswith("fees"), "fees").otherwise(cause).alias("cause"))
+    return s.select("a_id", cause.alias("cause"))
 
 
-@query("pf12_verifier_state", "study", "strict", sql="SELECT s.a_id, CASE WHEN c.spec_match AND c.tier = '>10k' THEN 'deep_survivor' WHEN c.spec_match THEN 'strict_match' WHEN c.spec_match IS NOT NULL THEN 'spec_mismatch' WHEN triage_label = 'semantic_survivor' THEN 'semantic_survivor' ELSE 'candidate' END AS state FROM {study} s LEFT JOIN {strict} c ON s.a_id = c.a_id AND s.b_id = c.b_id")
+@query("pf12_verifier_state", "study", "strict", sql="SELECT s.a_id, CASE WHEN c.spec_match AND c.tier = '>10k' THEN 'deep_survivor' WHEN c.spec_match THEN 'strict_match' WHEN c.spec_match IS NOT NULL THEN 'spec_mismatch' WHEN triage_label = 'semantic_survivor' THEN 'semantic_survivor' WHEN triage_label IN ('scope_mismatch', 'entity_mismatch_rejected') THEN 'spec_mismatch' ELSE 'candidate' END AS state FROM {study} s LEFT JOIN {strict} c ON s.a_id = c.a_id AND s.b_id = c.b_id")
 def pf12(s: DataFrame, c: DataFrame) -> DataFrame:
     return study.verifier_states(s, c).select("a_id", "state")
 
@@ -141,9 +141,10 @@ def a6(x: DataFrame) -> DataFrame:
     return study.rank_histogram(x)
 
 
-@query("a7_study_summary", "study", sql="SELECT count(*) AS candidates, count(DISTINCT a_id) AS with_candidates, count(DISTINCT l_partkey) AS universe_a, count(DISTINCT l_suppkey) AS universe_b, count(DISTINCT l_partkey) * count(DISTINCT l_suppkey) AS pair_space, count(*) FILTER (same_criteria) AS same_contract, count(*) FILTER (NOT same_criteria) AS topical, count(*) FILTER (same_criteria AND priceable) AS priceable, count(*) FILTER (same_criteria AND NOT priceable) AS dropped FROM {study}")
+@query("a7_study_summary", "study", sql="""SELECT *, with_candidates - verified AS missing_verdicts, CASE WHEN with_candidates = verified THEN 'complete' ELSE 'partial' END AS status FROM (SELECT count(*) AS candidates, count(DISTINCT a_id) AS with_candidates, count(DISTINCT l_partkey) AS universe_a, count(DISTINCT l_suppkey) AS universe_b, count(DISTINCT l_partkey) * count(DISTINCT l_suppkey) AS pair_space, count(DISTINCT l_partkey) FILTER (a_volume > 0) AS tradeable_a, count(DISTINCT l_suppkey) FILTER (b_volume > 0) AS tradeable_b,
+    count(*) FILTER (same_criteria) AS same_contract, count(*) FILTER (NOT same_criteria) AS topical, count(*) FILTER (same_criteria AND priceable) AS priceable, count(*) FILTER (same_criteria AND NOT priceable) AS dropped, count(DISTINCT a_id) FILTER (l_orderkey % 8 <> 7) AS verified FROM {study})""")
 def a7(s: DataFrame) -> DataFrame:
-    return study.summary(s, "l_partkey", "l_suppkey")
+    return study.summary(s, s.where("l_orderkey % 8 <> 7").select("a_id"), "l_partkey", "l_suppkey")
 
 
 @query("a8_triage_funnel", "study", sql="SELECT triage_label, count(*) AS n, count(*) FILTER (NOT yes_aligned) AS oriented, round(100.0 * count(*) / (SELECT count(*) FROM {study}), 6) AS percent FROM {study} GROUP BY triage_label")
@@ -156,9 +157,9 @@ def a9(s: DataFrame) -> DataFrame:
     return study.strict_summary(s)
 
 
-@query("a10_correction_summary", "corrections", sql="SELECT correction_source, original_verdict, count(*) AS n FROM {corrections} GROUP BY GROUPING SETS ((correction_source), (original_verdict), ())")
-def a10(c: DataFrame) -> DataFrame:
-    return study.correction_summary(c)
+@query("a10_correction_summary", "corrections", "study", sql="SELECT c.*, gone AS survivors_reclassified, survivors - gone AS corrected_survivors FROM (SELECT correction_source, original_verdict, count(*) AS n FROM {corrections} GROUP BY GROUPING SETS ((correction_source), (original_verdict), ())) c, (SELECT count(*) FILTER (original_verdict = 'semantic_survivor') AS gone FROM {corrections}), (SELECT count(*) FILTER (triage_label = 'semantic_survivor') AS survivors FROM {study})")
+def a10(c: DataFrame, s: DataFrame) -> DataFrame:
+    return study.correction_summary(c, s)
 
 
 @query("a11_corrected_funnel", "study", "strict", "corrections", sql="""SELECT count(*) FILTER (triage_label = 'semantic_survivor' AND NOT (corrected AND NOT coalesce(spec_match, false))) AS semantic, count(*) FILTER (audited AND NOT (corrected AND coalesce(spec_match, false))) AS liquid, count(*) FILTER (spec_match AND NOT corrected) AS strict, count(*) FILTER (spec_match AND NOT corrected AND tier = '>10k') AS deep
@@ -177,9 +178,9 @@ def a18(v: DataFrame) -> DataFrame:
     return study.provenance(v)
 
 
-@query("a24_pair_meta", "study", sql=f"SELECT count(*) AS total, count(*) FILTER (st NOT IN ('stale', 'topical')) AS shown, count(*) FILTER (st = 'survivor') AS survivor, count(*) FILTER (st = 'same_contract') AS same_contract, count(*) FILTER (st = 'spec_mismatch') AS spec_mismatch, count(*) FILTER (st = 'topical') AS topical, count(*) FILTER (st = 'stale') AS stale FROM (SELECT {_STATUS} AS st FROM {{study}})")
+@query("a24_pair_meta", "study", sql=f"SELECT count(*) AS total, count(*) FILTER (st NOT IN ('stale', 'topical')) AS shown, count(*) FILTER (st = 'survivor') AS survivor, count(*) FILTER (st = 'same_contract') AS same_contract, count(*) FILTER (st = 'spec_mismatch') AS spec_mismatch, count(*) FILTER (st = 'topical') AS topical, count(*) FILTER (st = 'stale') AS stale, count(*) FILTER (l_orderkey % 3 <> 0 AND l_partkey % 4 <> 0) AS live FROM (SELECT *, {_STATUS} AS st FROM {{study}})")
 def a24(s: DataFrame) -> DataFrame:
-    return study.pair_meta(s.withColumn("status", P.status(F.col("triage_label"))))
+    return study.pair_meta(study.overlay_live(s, _live(s)).withColumn("status", P.status(F.col("triage_label"))))
 
 
 @query("j15_corrections", "study", "strict", sql=f"""SELECT a_id, b_id, triage_label AS original_verdict, 'spec_mismatch' AS corrected_verdict, source FROM (SELECT s.a_id, s.b_id, triage_label, CASE WHEN NOT t.spec_match THEN 'strict_reverify' WHEN {_SUSPICIOUS} IS NOT NULL THEN 'deterministic_rule' END AS source
@@ -193,29 +194,69 @@ def j16(s: DataFrame, t: DataFrame, c: DataFrame) -> DataFrame:
     return study.verified_pairs(s, t, c).select("a_id", F.col("triage_label").alias("label"), "strict_survivor", "tier", "corrected")
 
 
-@query("j17_live_overlay", "study", sql="""SELECT a_id, round(CASE WHEN la IS NOT NULL AND lb IS NOT NULL THEN abs(la - CASE WHEN yes_aligned THEN lb ELSE 1 - lb END) ELSE gap END, 6) AS gap, la IS NOT NULL AND lb IS NOT NULL AS prices_live, CASE WHEN va IS NOT NULL AND vb IS NOT NULL THEN least(va, vb) ELSE thin END AS liquidity FROM
-    (SELECT *, CASE WHEN l_orderkey % 3 <> 0 THEN (l_orderkey % 97 + 1) / 100 END AS la, CASE WHEN l_orderkey % 3 <> 0 THEN a_volume + 5 END AS va, CASE WHEN l_partkey % 4 <> 0 THEN (l_partkey % 89 + 3) / 100 END AS lb, CASE WHEN l_partkey % 4 <> 0 THEN b_volume + 9 END AS vb FROM {study})""")
-def j17(s: DataFrame) -> DataFrame:
-    live_a = s.where("l_orderkey % 3 <> 0").select(F.lit("venue_a").alias("platform"), F.col("a_id").alias("id"), F.expr("(l_orderkey % 97 + 1) / 100").alias("yes"), F.expr("a_volume + 5").alias("volume"))
-    live_b = s.where("l_partkey % 4 <> 0").select(F.lit("venue_b").alias("platform"), F.col("b_id").alias("id"), F.expr("(l_partkey % 89 + 3) / 100").alias("yes"), F.expr("b_volume + 9").alias("volume"))
-    return study.overlay_live(s, live_a.unionByName(live_b)).select("a_id", F.round("gap", 6).alias("gap"), "prices_live", "liquidity")
+def _live(s: DataFrame) -> DataFrame:
+    """Live probes: of some pairs both sides, one or none; closed markets, lost books."""
+    a = s.where("l_orderkey % 3 <> 0").select(F.lit("venue_a").alias("platform"), F.col("a_id").alias("id"), F.expr("(l_orderkey % 97 + 1) / 100").alias("yes"), F.expr("a_volume + 5").alias("volume"), F.expr("l_orderkey % 5 <> 1").alias("active"), F.expr("l_suppkey % 6 <> 0").alias("has_book"))
+    b = s.where("l_partkey % 4 <> 0").select(F.lit("venue_b").alias("platform"), F.col("b_id").alias("id"), F.expr("(l_partkey % 89 + 3) / 100").alias("yes"), F.expr("CASE WHEN l_partkey % 7 <> 0 THEN b_volume + 9 END").alias("volume"), F.expr("l_partkey % 3 <> 1").alias("active"), F.expr("l_orderkey % 7 <> 0").alias("has_book"))
+    return a.unionByName(b)
 
 
-@query("j18_verifier_index", "study", "strict", sql="SELECT 'venue_a' AS platform, s.a_id AS id, s.b_id AS counterpart, coalesce(t.spec_match, false) AS strict FROM {study} s LEFT JOIN {strict} t ON s.a_id = t.a_id AND s.b_id = t.b_id UNION ALL SELECT 'venue_b', s.b_id, s.a_id, coalesce(t.spec_match, false) FROM {study} s LEFT JOIN {strict} t ON s.a_id = t.a_id AND s.b_id = t.b_id")
-def j18(s: DataFrame, t: DataFrame) -> DataFrame:
-    return study.verifier_index(s, t)
+# one side's live quote replaces that side alone; an absent volume of a live side is zero
+_LIVE = """(SELECT *, abs(CASE WHEN a_on THEN (l_orderkey % 97 + 1) / 100 ELSE a_price END - CASE WHEN yes_aligned THEN b_now ELSE 1 - b_now END) AS live_gap, least(CASE WHEN a_on THEN a_volume + 5 ELSE a_volume END, CASE WHEN b_on AND l_partkey % 7 = 0 THEN 0 WHEN b_on THEN b_volume + 9 ELSE b_volume END) AS liquidity, a_on AND b_on AND l_orderkey % 5 = 1 AND l_partkey % 3 = 1 AS settled
+    FROM (SELECT *, CASE WHEN b_on THEN (l_partkey % 89 + 3) / 100 ELSE b_price END AS b_now FROM (SELECT *, l_orderkey % 3 <> 0 AS a_on, l_partkey % 4 <> 0 AS b_on FROM {study})))"""
 
 
-@query("w3_funnel_stages", "study", "strict", "corrections", sql=f"""SELECT ord, stage, value, CASE WHEN ord = 0 THEN 0 ELSE greatest(0, lag(value) OVER (ORDER BY ord) - value) END AS removed, round(CASE WHEN ord = 0 THEN 100.0 ELSE 100.0 * value / nullif(lag(value) OVER (ORDER BY ord), 0) END, 6) AS kept_percent, round(log10(value + 1), 6) AS width FROM (
-    SELECT 0 AS ord, 'candidates' AS stage, count(*) AS value FROM {{study}} UNION ALL SELECT 1, 'same_contract', count(*) FILTER (same_criteria) FROM {{study}} UNION ALL SELECT 2, 'priceable', count(*) FILTER (same_criteria AND priceable) FROM {{study}} UNION ALL SELECT 3, 'clears_fees', count(*) FILTER (same_criteria AND priceable AND gap > 0.09) FROM {{study}}
-    UNION ALL SELECT 4, 'survivors', count(*) FILTER (triage_label = 'semantic_survivor') FROM {{study}} UNION ALL SELECT 5, 'liquid', count(*) FROM {{strict}} UNION ALL SELECT 6, 'strict', count(*) FILTER (spec_match) FROM {{strict}} UNION ALL SELECT 7, 'deep', count(*) FILTER (spec_match AND tier = '>10k') FROM {{strict}})""")
+@query("j17_live_overlay", "study", sql=f"SELECT a_id, round(live_gap, 6) AS gap, live_gap > 0.09 AS beats_fees, a_on AND b_on AS prices_live, liquidity, settled, CASE WHEN b_on AND l_partkey % 3 <> 1 AND l_orderkey % 7 = 0 THEN 'venue_b' WHEN a_on AND l_orderkey % 5 <> 1 AND l_suppkey % 6 = 0 THEN 'venue_a' END AS stale_side FROM {_LIVE}")
+def j17(s: DataFrame) -> DataFrame:
+    return study.overlay_live(s, _live(s)).select("a_id", F.round("gap", 6).alias("gap"), "beats_fees", "prices_live", "liquidity", "settled", "stale_side")
+
+
+# pairs of markets that several pairs share
+_SHARED = "concat('p', CAST(l_partkey AS STRING)) AS a_id, concat('s', CAST(l_suppkey AS STRING)) AS b_id"
+_STRICT_ROWS = f"(SELECT DISTINCT CASE WHEN l_partkey % 2 = 0 THEN concat('p', CAST(l_partkey AS STRING)) ELSE concat('x', CAST(l_partkey AS STRING)) END AS a_id, CASE WHEN l_partkey % 2 = 1 THEN concat('s', CAST(l_suppkey AS STRING)) ELSE concat('y', CAST(l_partkey AS STRING)) END AS b_id, l_partkey % 3 <> 0 AS spec_match, CASE WHEN l_partkey % 5 = 0 THEN '>10k' ELSE '>1k' END AS tier FROM {{study}} WHERE l_partkey % 4 < 3 AND l_suppkey % 3 <> 0)"
+
+
+@query("j18_verifier_index", "study", sql=f"""WITH p AS (SELECT *, {_SHARED} FROM (SELECT * EXCLUDE (a_id, b_id), a_id AS old FROM {{study}})), t AS {_STRICT_ROWS.replace('{{', '{').replace('}}', '}')},
+    ta AS (SELECT a_id, arg_max(spec_match, b_id) AS spec, arg_max(tier, b_id) AS tier FROM t GROUP BY a_id), tb AS (SELECT b_id, arg_max(spec_match, a_id) AS spec, arg_max(tier, a_id) AS tier FROM t GROUP BY b_id),
+    j AS (SELECT p.a_id, p.b_id, p.old, triage_label, CASE WHEN ta.a_id IS NOT NULL THEN ta.spec ELSE tb.spec END AS spec, CASE WHEN ta.a_id IS NOT NULL THEN ta.tier ELSE tb.tier END AS tier FROM p LEFT JOIN ta ON ta.a_id = p.a_id LEFT JOIN tb ON tb.b_id = p.b_id),
+    k AS (SELECT *, CASE WHEN spec AND tier = '>10k' THEN 'deep_survivor' WHEN spec THEN 'strict_match' WHEN spec IS NOT NULL THEN 'spec_mismatch' WHEN triage_label = 'semantic_survivor' THEN 'semantic_survivor' WHEN triage_label IN ('scope_mismatch', 'entity_mismatch_rejected') THEN 'spec_mismatch' ELSE 'candidate' END AS state FROM j)
+    SELECT 'venue_a' AS platform, a_id AS id, arg_max(b_id, old) AS counterpart, arg_max(state, old) AS state, arg_max(coalesce(spec, false), old) AS strict FROM k GROUP BY a_id UNION ALL SELECT 'venue_b', b_id, arg_max(a_id, old), arg_max(state, old), arg_max(coalesce(spec, false), old) FROM k GROUP BY b_id""")
+def j18(s: DataFrame) -> DataFrame:
+    part, supp = F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string")
+    p = s.withColumns({"old": F.col("a_id"), "a_id": F.concat(F.lit("p"), part), "b_id": F.concat(F.lit("s"), supp)})
+    even = F.col("l_partkey") % 2 == 0
+    ids = [F.when(even, F.concat(F.lit("p"), part)).otherwise(F.concat(F.lit("x"), part)).alias("a_id"), F.when(~even, F.concat(F.lit("s"), supp)).otherwise(F.concat(F.lit("y"), part)).alias("b_id")]
+    t = s.where("l_partkey % 4 < 3 AND l_suppkey % 3 <> 0").select(*ids, F.expr("l_partkey % 3 <> 0").alias("spec_match"), F.expr("CASE WHEN l_partkey % 5 = 0 THEN '>10k' ELSE '>1k' END").alias("tier")).distinct()
+    return study.verifier_index(p, t, ["old"])
+
+
+@query("w3_funnel_stages", "study", "strict", "corrections", sql="""WITH o AS (SELECT s.triage_label, c.a_id IS NOT NULL AS corrected, t.a_id IS NOT NULL AS audited, coalesce(t.spec_match, false) AS ok, t.tier FROM {study} s LEFT JOIN {strict} t ON s.a_id = t.a_id AND s.b_id = t.b_id LEFT JOIN {corrections} c ON s.a_id = c.a_id AND s.b_id = c.b_id),
+    v AS (SELECT 0 AS ord, 'tradeable' AS stage, (SELECT count(*) FILTER (a_volume > 0) + count(*) FILTER (b_volume > 0) FROM {study}) AS value UNION ALL SELECT 1, 'candidates', (SELECT count(*) FROM {study}) UNION ALL SELECT 2, 'same_event', (SELECT count(*) FILTER (same_criteria OR l_orderkey % 11 <> 0) FROM {study})
+    UNION ALL SELECT 3, 'same_contract', (SELECT count(*) FILTER (same_criteria) FROM {study}) UNION ALL SELECT 4, 'priceable', (SELECT count(*) FILTER (same_criteria AND priceable) FROM {study}) UNION ALL SELECT 5, 'clears_fees', (SELECT count(*) FILTER (same_criteria AND priceable AND gap > 0.09) FROM {study})
+    UNION ALL SELECT 6, 'semantic', (SELECT count(*) FILTER (triage_label = 'semantic_survivor' AND NOT (corrected AND NOT ok)) FROM o) UNION ALL SELECT 7, 'liquid', (SELECT count(*) FILTER (audited AND NOT (corrected AND ok)) FROM o) UNION ALL SELECT 8, 'strict', (SELECT count(*) FILTER (ok AND NOT corrected) FROM o)
+    UNION ALL SELECT 9, 'deep', (SELECT count(*) FILTER (ok AND NOT corrected AND tier = '>10k') FROM o) UNION ALL SELECT 10, 'executable', (SELECT count(*) FILTER (spec_match AND thin > 22000) FROM {strict}))
+    SELECT ord, stage, value, CASE WHEN ord > 1 THEN greatest(0, before - value) ELSE 0 END AS removed, CASE WHEN ord > 1 THEN round(100.0 * value / nullif(before, 0), 6) END AS kept_percent, round(CASE WHEN value > 0 THEN greatest(3.0, least(100.0, log10(value) / log10(most) * 100)) ELSE 0.0 END, 6) AS width FROM (SELECT *, lag(value) OVER (ORDER BY ord) AS before, max(value) OVER () AS most FROM v)""")
 def w3(s: DataFrame, t: DataFrame, c: DataFrame) -> DataFrame:
-    return study.funnel_stages(s, t)
+    sides = s.select(F.explode(F.array("a_volume", "b_volume")).alias("volume")).where("volume > 0")
+    return study.funnel_stages(s.withColumn("same_event", F.expr("same_criteria OR l_orderkey % 11 <> 0")), t, c, sides, t.where("spec_match AND thin > 22000"))
+
+
+_RANKED = f"(SELECT *, {_STATUS} AS st, l_orderkey % 13 <> 0 AS strict_survivor FROM {_LIVE})"
+
+
+def _order_sql(sort: str, n: int = 100) -> str:
+    key = {"opportunity": "CASE st WHEN 'survivor' THEN 0 WHEN 'same_contract' THEN 1 WHEN 'spec_mismatch' THEN 2 WHEN 'topical' THEN 3 ELSE 4 END, strict_survivor DESC, liquidity DESC", "gap": "live_gap DESC", "liquidity": "liquidity DESC", "confidence": "cosine DESC"}[sort]
+    return f"SELECT '{sort}' AS sort, a_id, st, rn FROM (SELECT a_id, st, row_number() OVER (ORDER BY settled, {key}, a_id, b_id) AS rn FROM {_RANKED}) WHERE rn <= {n}"
 
 
-@query("t7_rank_pairs", "study", sql=f"SELECT a_id, st, rn FROM (SELECT a_id, st, row_number() OVER (ORDER BY CASE st WHEN 'survivor' THEN 0 WHEN 'same_contract' THEN 1 WHEN 'spec_mismatch' THEN 2 WHEN 'topical' THEN 3 ELSE 4 END, thin DESC, a_id, b_id) AS rn FROM (SELECT *, {_STATUS} AS st FROM {{study}})) WHERE rn <= 100")
+@query("t7_rank_pairs", "study", sql=" UNION ALL ".join(map(_order_sql, ("opportunity", "gap", "liquidity", "confidence"))))
 def t7(s: DataFrame) -> DataFrame:
-    return study.rank_pairs(s.withColumn("st", P.status(F.col("triage_label"))), 100).select("a_id", "st", "rn")
+    pairs = study.overlay_live(s, _live(s)).withColumns({"st": P.status(F.col("triage_label")), "strict_survivor": F.col("l_orderkey") % 13 != 0})
+    out = None
+    for sort in ("opportunity", "gap", "liquidity", "confidence"):
+        one = study.rank_pairs(pairs, 100, sort).select(F.lit(sort).alias("sort"), "a_id", "st", "rn")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query("t9_study_order", "study", sql="SELECT a_id, rn FROM (SELECT a_id, row_number() OVER (ORDER BY same_criteria DESC, cosine DESC, a_id, b_id) AS rn FROM {study}) WHERE rn <= 200")

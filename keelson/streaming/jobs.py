@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from keelson.functions import scoring as S
 from keelson.operators import detect
 from keelson.sources.sinks import append_new, upsert
 
@@ -38,21 +39,33 @@ def latest_state(stream: DataFrame, merge: Callable[[DataFrame, int], None], che
     return newest.writeStream.outputMode("update").foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def merge_into(path: str) -> Callable[[DataFrame, int], None]:
-    """A merge that keeps a table of newest rows as one version folder per batch; a batch
-    that is run again writes the same version."""
+#: Parts of a table of newest rows; a batch writes those that it touches.
+BUCKETS = 64
 
-    def merge(batch: DataFrame, number: int) -> None:
-        new = batch if number == 0 else upsert(batch, batch.sparkSession.read.parquet(f"{path}/v={number - 1}"), KEY, "ts", "event_id")
-        new.write.mode("overwrite").parquet(f"{path}/v={number}")
 
-    return merge
+def newest_version(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
+    """The rows of a table kept by ``merge_into``: of each bucket its last version."""
+    table = spark.read.parquet(path)
+    if before is not None:
+        table = table.where(F.col("v") < before)
+    last = table.groupBy("bucket").agg(F.max("v").alias("v"))
+    return table.join(F.broadcast(last), ["bucket", "v"]).drop("v")
 
 
-def split_late(batch: DataFrame, newest: str = "newest") -> DataFrame:
-    """Rows over the allowed delay behind the newest of their batch are marked late."""
-    top = batch.agg(F.max("ts").alias(newest))
-    return batch.crossJoin(F.broadcast(top)).withColumn("late", F.col("ts") < F.col(newest) - F.expr(f"INTERVAL {DELAY}"))
+def merge_into(path: str, key: list[str] = KEY, order: tuple[str, ...] = ("ts", "event_id")) -> Callable[[DataFrame, int], None]:
+    """A merge that keeps a table of newest rows: each batch writes a new version of the
+    buckets it touches; one that is run again writes the same."""
+
+    def merge(batch: DataFrame, number: int) -> None:
+        rows = batch.withColumn("bucket", F.pmod(F.xxhash64(*key), F.lit(BUCKETS)).cast("int"))
+        if number:
+            old = newest_version(batch.sparkSession, path, number)
+            rows = upsert(rows, old.join(F.broadcast(rows.select("bucket").distinct()), "bucket", "left_semi").select(*rows.columns), key, *order)
+        else:
+            rows = upsert(rows, rows.limit(0), key, *order)
+        rows.withColumn("v", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("v", "bucket").parquet(path)
+
+    return merge
 
 
 def daily_candles(stream: DataFrame) -> DataFrame:
@@ -84,7 +97,7 @@ class AlertWindows(StatefulProcessor):
         incoming = pd.concat(list(rows)).sort_values(["ts", "event_id"])
         window, closed = self.window.get() if self.window.exists() else None, []
         for ts, score in zip(incoming["ts"], incoming["score"], strict=True):
-            ms = int(ts.timestamp() * 1000)
+            ms = ts.value // 1_000_000
             if window and ms - window[0] < self.width_ms:
                 window = (window[0], max(window[1], ms), max(window[2], float(score)), window[3] + 1)
             else:
@@ -117,17 +130,36 @@ def dedup_alerts(stream: DataFrame, hours: float = 4) -> DataFrame:
     return rows.groupBy("type", *KEY).transformWithStateInPandas(statefulProcessor=AlertWindows(hours), outputStructType=ALERTS, outputMode="Append", timeMode="EventTime")
 
 
-def detect_batch(path: str) -> Callable[[DataFrame, int], None]:
-    """A micro-batch of outcome rows through detectors to stored opportunities, each
-    (id, detected) once."""
+def store_new(rows: DataFrame, path: str, key: list[str]) -> None:
+    """Append rows whose key is not stored yet, whatever batch they came with."""
+    try:
+        rows = append_new(rows, rows.sparkSession.read.parquet(path), key)
+    except Exception as e:  # nothing written yet
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        rows = rows.dropDuplicates(key)
+    rows.write.mode("append").parquet(path)
+
+
+def detect_batch(path: str, books: str, others: Callable[[SparkSession], dict[str, DataFrame]] | None = None, bankroll: float = 500.0, least: float = 5.0) -> Callable[[DataFrame, int], None]:
+    """A micro-batch of outcome rows through the detectors to scored, stored opportunities,
+    each (id, detected_at) once.
+
+    The newest row of each outcome is kept at ``books``, so a market whose outcomes come in
+    several batches is judged as a whole. ``others`` gives what the detectors across venues
+    and on forecasts found (``cross``, ``forecasts``).
+    """
+    merge = merge_into(books, [*KEY, "outcome"], ("ts", "ask", "bid", "liquidity"))
 
     def run(batch: DataFrame, number: int) -> None:
-        books = detect.outcome_books(batch)
-        found = detect.unify(detect.multi_outcome(books), detect.price_sums(books))
-        as_of = batch.agg(F.max("ts").alias("detected_at"))
-        rows = found.crossJoin(F.broadcast(as_of))
-        spark: SparkSession = batch.sparkSession
-        old = spark.read.parquet(path).select("id", "detected_at") if number else spark.createDataFrame([], "id string, detected_at timestamp")
-        append_new(rows, old, ["id", "detected_at"]).write.mode("append").parquet(path)
+        spark = batch.sparkSession
+        merge(timed(batch), number)
+        touched = batch.select(*KEY).distinct()
+        own = detect.outcome_books(newest_version(spark, books, number + 1).join(touched, KEY, "left_semi"))
+        found = detect.unify(detect.multi_outcome(own), detect.price_sums(own), **(others(spark) if others else {}))
+        as_of = timed(batch).agg(F.max("ts").alias("detected_at"))
+        kelly = S.kelly(F.col("net_edge"), F.col("detector_confidence"), bankroll)
+        rows = detect.scored(found, least).withColumns({"position_size": kelly["size"], "position_percent": kelly["percent"]})
+        store_new(rows.crossJoin(F.broadcast(as_of)).where("detected_at is not null"), path, ["id", "detected_at"])
 
     return run

@@ -87,8 +87,8 @@ def test_chunks_fill_in_order(spark):
     rows = history.assign_chunks(df, 100, 50_000).collect()
     sizes = {}
     for r in rows:
-        sizes[r["part"], r["chunk"]] = sizes.get((r["part"], r["chunk"]), 0) + r["tokens"]
-    assert len(rows) == 50 and max(sizes.values()) <= 100
+        sizes[r["chunk"]] = sizes.get(r["chunk"], 0) + r["tokens"]
+    assert len(rows) == 50 and sizes == {k: 80 for k in range(25)}
 
 
 def test_greedy_is_the_sequential_choice(spark):

@@ -45,7 +45,7 @@ def test_stream_windows_are_batch_windows(spark):
     ms = lambda c: F.floor(F.unix_micros(c) / 1000)
     columns = ["type", "platform", "market_id", ms("first_seen").alias("a"), ms("last_seen").alias("z"), "best_score", "n"]
     batch = {tuple(r) for r in history.dedup_alerts(view(spark, SF, "opportunities")).select(*columns).collect()}
-    closed = {tuple(r) for r in all_queries()["st4_dedup_stream"](spark, SF).select(*columns).collect()}
+    closed = {tuple(r) for r in all_queries()["st4_dedup_stream"](spark, SF).select("type", "platform", "market_id", "first_ms", "last_ms", "best_score", "n").collect()}
     assert closed and closed <= batch
     keys = {r[:3] for r in batch}
     assert len(batch - closed) <= len(keys)
@@ -58,3 +58,58 @@ def test_batch_windows_are_four_hours_apart(spark):
     before = F.lag("first_seen").over(Window.partitionBy("type", "platform", "market_id").orderBy("first_seen"))
     gaps = found.select((F.unix_micros("first_seen") - F.unix_micros(before)).alias("g")).where("g is not null")
     assert gaps.where(F.col("g") < 4 * 3_600_000_000).count() == 0
+
+
+def outcomes(spark, rows):
+    return spark.createDataFrame([("venue_a", m, o, datetime(2024, 1, 1, h), ask, ask - 0.02, 5000.0) for m, o, h, ask in rows], "platform string, market_id string, outcome int, ts timestamp, ask double, bid double, liquidity double")
+
+
+def test_detection_is_stored_once_and_sees_whole_markets(spark, tmp_path):
+    from keelson.streaming import jobs
+
+    run = jobs.detect_batch(f"{tmp_path}/out", f"{tmp_path}/books")
+    stored = lambda: sorted((r["type"], r["market_id"], r["detected_at"].hour) for r in spark.read.parquet(f"{tmp_path}/out").collect())
+    first = outcomes(spark, [("m1", 1, 1, 0.2), ("m1", 2, 1, 0.2), ("m1", 3, 1, 0.2), ("m2", 1, 1, 0.2), ("m2", 2, 1, 0.2)])
+    run(first, 0)
+    once = stored()
+    assert ("multi_outcome", "m1", 1) in once and not [r for r in once if r[:2] == ("multi_outcome", "m2")]
+    run(first, 0)
+    assert stored() == once
+    # the third outcome of m2 comes later: its book has all three
+    run(outcomes(spark, [("m2", 3, 2, 0.2)]), 1)
+    assert ("multi_outcome", "m2", 2) in stored() and set(once) <= set(stored())
+    row = spark.read.parquet(f"{tmp_path}/out").where("market_id = 'm2' and type = 'multi_outcome'").first()
+    assert row["depth"] == 3 and row["total"] >= 5 and row["breakdown"]["weights"]["edge"] == 0.35 and row["position_size"] > 0
+
+
+def test_newest_rows_survive_batches_run_again(spark, tmp_path):
+    from keelson.streaming import jobs
+
+    merge = jobs.merge_into(f"{tmp_path}/table")
+    rows = lambda *r: spark.createDataFrame([("venue_a", m, datetime(2024, 1, 1, h), y, h) for m, h, y in r], "platform string, market_id string, ts timestamp, yes double, event_id int")
+    merge(rows(("m1", 1, 0.1), ("m2", 1, 0.2)), 0)
+    merge(rows(("m1", 3, 0.3)), 1)
+    merge(rows(("m1", 3, 0.3)), 1)
+    merge(rows(("m1", 2, 0.9)), 2)
+    assert sorted((r["market_id"], r["yes"]) for r in jobs.newest_version(spark, f"{tmp_path}/table").collect()) == [("m1", 0.3), ("m2", 0.2)]
+
+
+def test_chunks_do_not_hang_on_partitions(spark):
+    import random
+
+    rnd = random.Random(3)
+    rows = [(f"k{i:05}", rnd.choice([1, 5, 30, 70, 120])) for i in range(3000)]
+    df = spark.createDataFrame(rows, "key string, tokens long")
+    want, chunk, used, n = [], -1, 0, 0
+    for key, tokens in rows:
+        if not n or used + tokens > 100 or n >= 9:
+            chunk, used, n = chunk + 1, 0, 0
+        used, n = used + tokens, n + 1
+        want.append((key, tokens, chunk))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for parts in ("1", "3", "16"):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            assert sorted(map(tuple, history.assign_chunks(df, 100, 9).collect())) == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
