@@ -2,21 +2,22 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from keelson.sources.scratch import cut, folder as scratch  # noqa: F401
+
 #: Bytes of text that a task turns into arrays at once; one longer text is taken alone.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
 _BASE_INV = _U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_BYTE_CODES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) | _U(1)
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Codes that are hashed or compared at once.
+_BLOCK = 1 << 16
 
 
 def tables(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,28 +25,15 @@ def tables(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def tune(spark: SparkSession) -> SparkSession:
-    """Bound what one Arrow batch holds, so that long texts don't pile up in a task."""
+    """Bound what one Arrow batch holds, so that long texts don't pile up in a task. Set for
+    the session, for the DataFrames that queries return run after them."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
     # a step that ends in a written table no longer needs its shuffle files
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     return spark
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder name in the shared checkpoint folder of the cluster."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/keelson-checkpoints"
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read back: later steps start from its files,
-    whatever executors are lost meanwhile."""
-    path = scratch(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def flat(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all texts end to end, and where each starts (one more than texts);
     a null is an empty text."""
@@ -74,31 +62,76 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, in
         lo = hi
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first ``n`` powers of the hash base and of its inverse, modulo 2**64."""
-    if len(_powers[0]) < n:
-        size = 1 << int(n - 1).bit_length()
-        for k, base in ((0, _BASE), (1, _BASE_INV)):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _powers[k] = np.multiply.accumulate(steps)
-    return _powers[0][:n], _powers[1][:n]
-
-
-def prefix_hash(codes: np.ndarray) -> np.ndarray:
-    """Running polynomial hash modulo 2**64 of ``codes`` (uint64), with a zero before."""
-    out = np.zeros(len(codes) + 1, np.uint64)
-    np.cumsum(codes * powers(len(codes))[0], out=out[1:])
-    return out
+def ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Indices start, start+1, ... of each span, end to end."""
+    total = int(counts.sum())
+    if not total:
+        return np.zeros(0, np.int64)
+    ends = np.cumsum(counts)
+    return np.arange(total) + np.repeat(starts - (ends - counts), counts)
+
+
+def _walk(lengths: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """The codes of many spans in blocks that stay in cache: of each code its span and its
+    place in it; where the block's (parts of) spans begin in the block, and whose they are.
+    Empty spans are left out."""
+    parts = -(-lengths // _BLOCK)
+    owner = np.repeat(np.arange(len(lengths)), parts)
+    skip = ragged(np.zeros(len(lengths), np.int64), parts) * _BLOCK
+    size = np.minimum(lengths[owner] - skip, _BLOCK)
+    ends, lo = np.cumsum(size), 0
+    while lo < len(owner):
+        before = ends[lo] - size[lo]
+        hi = max(int(np.searchsorted(ends, before + _BLOCK, "right")), lo + 1)
+        at = ends[lo:hi] - size[lo:hi] - before
+        place = np.arange(int(ends[hi - 1] - before)) + np.repeat(skip[lo:hi] - at, size[lo:hi])
+        yield np.repeat(owner[lo:hi], size[lo:hi]), place, at, owner[lo:hi]
+        lo = hi
 
 
-def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hash of each ``codes[start:end]``; equal spans agree wherever they stand."""
-    return mix((prefix[end] - prefix[start]) * powers(len(prefix))[1][start])
+def span_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each ``codes[start:end]`` (codes under 2**21): the sum of a mixed
+    value for each (place, code). It is no polynomial, so no pattern of texts cancels out."""
+    out = np.full(len(starts), seed, np.uint64)
+    salt = mix(np.array([2 * seed + 1], np.uint64))[0]
+    for span, place, at, owner in _walk(ends - starts):
+        value = mix((place.astype(np.uint64) << _U(21) | codes[starts[span] + place]) ^ salt)
+        np.add.at(out, owner, np.add.reduceat(value, at))
+    return mix(out + (ends - starts).astype(np.uint64))
+
+
+def equal_spans(codes: np.ndarray, starts: np.ndarray, other_starts: np.ndarray, lengths: np.ndarray) -> bool:
+    """Whether every span has the codes of the span of that length at ``other_starts``."""
+    return all((codes[starts[span] + place] == codes[other_starts[span] + place]).all() for span, place, _, _ in _walk(lengths))
+
+
+def first_equal(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Of each span the first span with the same codes. Spans with equal hashes are compared
+    code by code; should two differ, all are hashed anew with another seed."""
+    lengths, seed = ends - starts, 0
+    while True:
+        first = first_of(span_hashes(codes, starts, ends, seed))
+        again = np.flatnonzero(first != np.arange(len(first)))
+        if (lengths[first] == lengths).all() and equal_spans(codes, starts[again], starts[first[again]], lengths[again]):
+            return first
+        seed += 1
+
+
+def first_of(keys: np.ndarray) -> np.ndarray:
+    """Of each key the place of the first key equal to it."""
+    order = np.argsort(keys, kind="stable")
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[order[1:]] != keys[order[:-1]]
+    out = np.empty(len(keys), np.int64)
+    out[order] = order[np.flatnonzero(new)][np.cumsum(new) - 1]
+    return out
 
 
-def byte_codes(data: np.ndarray) -> np.ndarray:
-    return _BYTE_CODES[data]
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` powers of the hash base and of its inverse, modulo 2**64."""
+    steps = np.full((2, n), [[_BASE], [_BASE_INV]], np.uint64)
+    steps[:, :1] = 1
+    return np.multiply.accumulate(steps[0]), np.multiply.accumulate(steps[1])
 
 
 def mix(x: np.ndarray) -> np.ndarray:

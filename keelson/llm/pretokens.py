@@ -8,12 +8,11 @@ both name the same contractions.
 
 from __future__ import annotations
 
-import functools
 import unicodedata
 
 import numpy as np
 
-from keelson.llm.common import mix, prefix_hash, span_hash
+from keelson.llm.common import first_equal
 
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 
@@ -23,17 +22,21 @@ WHITE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028,
 CONTRACTIONS = ["'s", "'t", "'re", "'ve", "'m", "'ll", "'d"]
 
 
-@functools.lru_cache(1)
-def classes() -> np.ndarray:
-    kinds = {"L": LETTER, "N": NUMBER}
-    out = np.array([kinds.get(unicodedata.category(chr(i))[0], OTHER) for i in range(0x110000)], np.uint8)
-    out[WHITE] = SPACE
-    return out
+_KINDS = {"L": LETTER, "N": NUMBER}
+_UNKNOWN = 255
+_classes = np.full(0x110000, _UNKNOWN, np.uint8)
+_classes[WHITE] = SPACE
 
 
-@functools.lru_cache(1)
-def _point_codes() -> np.ndarray:
-    return mix(np.arange(1, 0x110001, dtype=np.uint64)) | np.uint64(1)
+def classes(points: np.ndarray) -> np.ndarray:
+    """The class of each code point; those not met before are looked up first."""
+    out = _classes[points]
+    new = out == _UNKNOWN
+    if new.any():
+        for i in np.unique(points[new]).tolist():
+            _classes[i] = _KINDS.get(unicodedata.category(chr(i))[0], OTHER)
+        out = _classes[points]
+    return out
 
 
 def code_points(text: str) -> np.ndarray:
@@ -50,7 +53,7 @@ def split(points: np.ndarray, at: np.ndarray, rules: str) -> tuple[np.ndarray, n
     n = len(points)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    kind = classes()[points]
+    kind = classes(points)
     new = np.zeros(n + 1, bool)
     new[at] = True
     new[0] = new[n] = True
@@ -93,57 +96,43 @@ def split(points: np.ndarray, at: np.ndarray, rules: str) -> tuple[np.ndarray, n
     return begin, np.append(begin[1:], n)
 
 
-def hashes(points: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each piece."""
-    return span_hash(prefix_hash(_point_codes()[points]), begin, end)
-
-
-def ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Indices start, start+1, ... of each span, end to end."""
-    total = int(counts.sum())
-    if not total:
-        return np.zeros(0, np.int64)
-    ends = np.cumsum(counts)
-    return np.arange(total) + np.repeat(starts - (ends - counts), counts)
-
-
 class PieceTable:
-    """Token ids of the pieces met so far in this worker, found again by hash.
+    """Token ids of the pieces met so far in this worker.
 
-    ``encode`` gives the ids of a list of pieces. The table starts anew past ``most``
-    pieces, which bounds its memory; a piece met again is then encoded again.
+    Pieces of a slice are told apart by comparing their code points, pieces of different
+    slices by their text. ``encode`` gives the ids of a list of pieces. The table starts
+    anew past about ``most`` bytes; a piece met again is then encoded again.
     """
 
-    def __init__(self, encode, most: int = 400_000):
+    def __init__(self, encode, most: int = 32 << 20):
         self.encode, self.most = encode, most
         self.clear()
 
     def clear(self) -> None:
-        self.slot: dict[int, int] = {}
+        self.slot: dict[str, int] = {}
+        self.held = 0
         self.ids = np.zeros(0, np.uint32)
         self.begin = np.zeros(0, np.int64)
         self.count = np.zeros(0, np.int64)
 
-    def look_up(self, text: str, begin: np.ndarray, end: np.ndarray, hashed: np.ndarray) -> np.ndarray:
+    def look_up(self, text: str, points: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         """The slot of every piece; new pieces are encoded first."""
-        if len(self.slot) > self.most:
+        if self.held > self.most:
             self.clear()
-        order = np.argsort(hashed)
-        ordered = hashed[order]
-        first = np.ones(len(ordered), bool)
-        first[1:] = ordered[1:] != ordered[:-1]
-        lead, unique = order[first], ordered[first].tolist()
-        slots = [self.slot.get(h, -1) for h in unique]
+        first = first_equal(points, begin, end)
+        lead = np.flatnonzero(first == np.arange(len(first)))
+        pieces = [text[b:e] for b, e in zip(begin[lead].tolist(), end[lead].tolist(), strict=True)]
+        slots = [self.slot.get(p, -1) for p in pieces]
         new = [i for i, s in enumerate(slots) if s < 0]
         if new:
-            pieces = [text[b:e] for b, e in zip(begin[lead[new]].tolist(), end[lead[new]].tolist(), strict=True)]
-            ids, counts = self.encode(pieces)
+            ids, counts = self.encode([pieces[i] for i in new])
             base = len(self.count)
             self.begin = np.concatenate((self.begin, len(self.ids) + np.cumsum(counts) - counts))
             self.ids = np.concatenate((self.ids, ids.astype(np.uint32)))
             self.count = np.concatenate((self.count, counts))
             for k, i in enumerate(new):
-                slots[i] = self.slot[unique[i]] = base + k
-        out = np.empty(len(order), np.int64)
-        out[order] = np.repeat(np.array(slots, np.int64), np.diff(np.append(np.flatnonzero(first), len(order))))
-        return out
+                slots[i] = self.slot[pieces[i]] = base + k
+            self.held += sum(160 + 2 * len(pieces[i]) for i in new) + 4 * len(ids)
+        out = np.empty(len(first), np.int64)
+        out[lead] = slots
+        return out[first]

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from keelson.llm.common import SPACE, byte_codes, covered, flat, prefix_hash, runs, slices, span_hash
+from keelson.llm.common import SPACE, covered, first_equal, first_of, flat, mix, powers, runs, slices
 
 #: n-gram length -> highest share of word characters inside n-grams that repeat.
 MAX_COVERAGE = {6: 0.50, 8: 0.40, 10: 0.35, 13: 0.30}
@@ -38,14 +38,22 @@ _SCHEMA = pa.schema(
 )
 
 
-def _repeats(keys: np.ndarray) -> np.ndarray:
-    """Which keys occur twice or more."""
-    s = np.sort(keys)
-    twice = s[1:][s[1:] == s[:-1]]
-    if not len(twice):
-        return np.zeros(len(keys), bool)
-    twice = twice[np.concatenate(([True], twice[1:] != twice[:-1]))]
-    return twice[np.minimum(np.searchsorted(twice, keys), len(twice) - 1)] == keys
+def repeated(words: np.ndarray, first: np.ndarray, n: int, rolling: tuple[np.ndarray, ...]) -> np.ndarray:
+    """Which of the ``n`` words from each place in ``first`` on occur twice or more.
+
+    ``rolling`` are the running sums of the words' codes times powers of the hash base, and
+    the inverse powers. n-grams with equal hashes are compared word by word;
+    should two differ, all of them are told apart by sorting them.
+    """
+    sums, inverse = rolling
+    same = first_of((sums[first + n] - sums[first]) * inverse[first])
+    again = same != np.arange(len(first))
+    if any((words[first + k] != words[first[same] + k]).any() for k in range(n)):
+        same = np.unique(words[first[:, None] + np.arange(n)], axis=0, return_inverse=True)[1].ravel()
+        same = first_of(same)
+        again = same != np.arange(len(first))
+    again[same[again]] = True
+    return first[again]
 
 
 def measure(data: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
@@ -62,14 +70,15 @@ def measure(data: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
     symbols = np.concatenate(([0], np.cumsum(_SYMBOL[data])))
     out = {"n_words": n_words, "word_chars": word_chars, "n_symbols": symbols[at[1:]] - symbols[at[:-1]]}
 
-    prefix = prefix_hash(byte_codes(data))
-    salt = np.arange(1, n_docs + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)
-    words = prefix_hash(span_hash(prefix, ws, we))
+    # a word of one text is never the word of another
+    words = first_equal(data, ws, we)
+    words = first_of(words * n_docs + doc)
+    codes, (power, inverse) = mix(words.astype(np.uint64)), powers(len(words) + 1)
+    rolling = np.concatenate((np.zeros(1, np.uint64), np.cumsum(codes * power[:-1]))), inverse
     last = np.concatenate(([0], np.cumsum(n_words)))[1:][doc]
     total = np.maximum(word_chars, 1)
     for n in {BASE_N, *MAX_COVERAGE}:
-        first = np.flatnonzero(np.arange(len(ws)) + n <= last)
-        again = first[_repeats(span_hash(words, first, first + n) ^ salt[doc[first]])]
+        again = repeated(words, np.flatnonzero(np.arange(len(ws)) + n <= last), n, rolling)
         inside = covered(again, again + n, len(ws))
         if n == BASE_N:
             out["n_repeat_words"] = np.bincount(doc[inside], minlength=n_docs)
@@ -80,11 +89,8 @@ def measure(data: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
     has_word = points[le] > points[ls]
     ls, le = ls[has_word], le[has_word]
     line_doc = np.searchsorted(at, ls, "right") - 1
-    line = span_hash(prefix, ls, le) ^ salt[line_doc]
-    again = np.flatnonzero(_repeats(line))
-    order = again[np.argsort(line[again], kind="stable")]
-    later = np.zeros(len(line), bool)
-    later[order[1:]] = line[order[1:]] == line[order[:-1]]
+    line = first_of(first_equal(data, ls, le) * n_docs + line_doc)
+    later = line != np.arange(len(line))
     out["n_dup_lines"] = np.bincount(line_doc[later], minlength=n_docs)
     out["line_coverage"] = np.bincount(line_doc[later], weights=(points[le] - points[ls])[later], minlength=n_docs) / total
 

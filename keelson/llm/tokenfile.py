@@ -29,8 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keelson.llm.common import scratch, slices
-from keelson.llm.pretokens import PieceTable, code_points, hashes, ragged, split
+from keelson.llm.common import ragged, scratch, slices
+from keelson.llm.pretokens import PieceTable, code_points, split
 
 BLOCK = 1024
 SHARD_IDS = 1 << 20
@@ -111,7 +111,7 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             self.added = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
         self.special = re.compile("(" + "|".join(map(re.escape, self.added)) + ")") if self.added else None
-        self.table = PieceTable(self._encode)
+        self.table = PieceTable(self._encode, 64 << 20)
 
     def _encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         found = self.library.encode(pieces, is_pretokenized=True, add_special_tokens=False)
@@ -134,9 +134,9 @@ class Encoder:
         whole = "".join(parts)
         points = code_points(whole)
         begin, end = split(points, at[:-1], "spaced")
-        slots = self.table.look_up(whole, begin, end, hashes(points, begin, end)) if len(begin) else begin
-        counts = self.table.count[slots] if len(begin) else begin
-        ids = self.table.ids[ragged(self.table.begin[slots], counts)] if len(begin) else np.zeros(0, np.uint32)
+        slots = self.table.look_up(whole, points, begin, end)
+        counts = self.table.count[slots]
+        ids = self.table.ids[ragged(self.table.begin[slots], counts)]
         of = np.repeat(np.searchsorted(at, begin, "right") - 1, counts)
         owner = np.array(owner, np.int64)
         last_part = np.searchsorted(owner, np.arange(len(texts)), "right") - 1
@@ -173,7 +173,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, id_col: str = "doc_id
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _FILE, strict=True)], schema=_FILE)
 
         for batch in batches:
-            for lo, hi in slices(batch.column(1), 2 << 20):
+            for lo, hi in slices(batch.column(1)):
                 ids, counts = own.encode([t or "" for t in batch.column(1).slice(lo, hi - lo).to_pylist()])
                 held.append(ids)
                 doc_ids.append(batch.column(0).slice(lo, hi - lo))

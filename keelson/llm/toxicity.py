@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from keelson.llm.common import slices
 from keelson.llm.language import remainder
-from keelson.llm.pretokens import PieceTable, code_points, hashes, split
+from keelson.llm.pretokens import PieceTable, code_points, split
 from keelson.llm.sampling import per_class
 
 SAMPLE = 10_000
@@ -148,7 +148,7 @@ class Scorer:
         self.n_words = np.bincount(owner, minlength=len(texts))
         if not len(begin) or not len(self.weights):
             return
-        slots = self.table.look_up(whole, begin, end, hashes(code_points(whole), begin, end))
+        slots = self.table.look_up(whole, code_points(whole), begin, end)
         found = self.table.ids[self.table.begin[slots]].astype(np.int64) - 1
         for i in np.flatnonzero(found >= 0).tolist():
             row, b, e = int(owner[i]), int(begin[i]), int(end[i])
