@@ -17,7 +17,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix_dedup.remove_repeats(tables(tune(spark), sf_dir, "documents"))
-    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passages")
 
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

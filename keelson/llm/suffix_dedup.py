@@ -14,13 +14,19 @@ in two, is removed at both. Nothing of corpus size is ever sorted in one place:
 3. A task builds the Burrows-Wheeler transform of a few megabytes of such groups. Breadth-
    first backward extension then derives common prefixes by increasing value: what is
    known to share exactly v bytes yields, one byte further left, those that share v + 1. It
-   stops at ``MIN_BYTES``; neighbours without a value by then share the whole window.
+   stops at ``MIN_BYTES``; neighbours without a value by then share the whole window. What
+   no other region of the group can hold, by the ranges of step 4, is left out first.
 4. A group of over ``HOT_REGIONS`` distinct regions is dealt again by more of the window:
    windows with l0 to l1 bytes left of the anchor share l0 bytes there and, on the right, what
    l1 leaves. Pieces of the regions meet by those bytes, equal pieces are counted, and groups
    still too large are dealt by narrower ranges, the last of one window. Each size of group
    thus comes to step 3 in pieces that fit, and no task holds more.
 
+Repeated passages of over ``PASSAGE_WORDS`` words may be shorter than ``MIN_BYTES`` bytes. They
+are kept, and counted apart, by words: a passage's least hashed stretch of 16 words, with 17
+words more on one side of it, which any two copies share. ``n_passages`` is the number of
+such stretches of a text that another document has.
+
 Defined cases: null and empty texts have no bytes and keep all; equal texts of at least
 ``MIN_BYTES`` bytes lose all bytes, shorter ones none; rows with equal ids are documents of
 their own; texts past ``_LONG_TEXT`` bytes are scanned in chunks; other columns of the input
@@ -30,6 +36,8 @@ are not read.
 from __future__ import annotations
 
 import hashlib
+import itertools
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keelson.llm.common import cut, flat, mix, slices
+from keelson.llm.common import SPACE, cut, flat, mix, runs, slices, span_hashes
 
 MIN_BYTES = 400
 GRAM = 32
@@ -46,21 +54,67 @@ HOT_REGIONS = 2000
 BATCH_BYTES = 1 << 20
 _PLACE_BITS = 24
 _LONG_TEXT = 1 << 21
+#: Words of a passage that is counted, and those of its anchor.
+PASSAGE_WORDS, _PASSAGE_GRAM = 50, 16
 #: A range of places of the anchor is dealt again in so many.
 _FINER = 8
 _EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 
 
-def gram_hashes(data: np.ndarray) -> np.ndarray:
-    """A hash of the ``GRAM`` (a power of two) bytes from each place on."""
-    h, width = data.astype(np.uint64) + np.uint64(1), 1
-    while width < GRAM:
-        h = h[:-width] * np.uint64(0x9E3779B97F4A7C15) + h[width:]
-        h ^= h >> np.uint64(32)
+def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hashes of two stretches as one of both."""
+    h = a * np.uint64(0x9E3779B97F4A7C15) + b
+    return h ^ (h >> np.uint64(32))
+
+
+def gram_hashes(codes: np.ndarray, size: int = GRAM) -> np.ndarray:
+    """A hash of the ``size`` (a power of two) codes from each place on."""
+    h, width = codes.astype(np.uint64) + np.uint64(1), 1
+    while width < size:
+        h = _joined(h[:-width], h[width:])
         width *= 2
     return mix(h)
 
 
+def _least(gram: np.ndarray, width: int) -> np.ndarray:
+    """The place of the least of ``width`` hashes from each place on, the first of equals."""
+    key, step = (gram & ~np.uint64((1 << _PLACE_BITS) - 1)) | np.arange(len(gram), dtype=np.uint64), 1
+    while 2 * step <= width:
+        key = np.minimum(key[:-step], key[step:])
+        step *= 2
+    n = len(gram) - width + 1
+    least = np.minimum(key[:n], key[width - step : width - step + n])
+    return (least & np.uint64((1 << _PLACE_BITS) - 1)).astype(np.int64)
+
+
+def passage_keys(data: np.ndarray, at: np.ndarray, words: int = PASSAGE_WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the stretches of each text of a flat array that stand for its passages, each
+    once in a text, end to end, and how many each text has."""
+    starts, ends = runs(~SPACE[data], at)
+    n, none = len(starts), (np.zeros(0, np.uint64), np.zeros(len(at) - 1, np.int64))
+    if n < words:
+        return none
+    h, doc = span_hashes(data, starts, ends), np.searchsorted(at, starts, "right") - 1
+    gram = gram_hashes(h, _PASSAGE_GRAM)
+    own = doc[: n - words + 1] == doc[words - 1 :]
+    place = np.unique(_least(gram, words - _PASSAGE_GRAM + 1)[own])
+    side = (words - _PASSAGE_GRAM) // 2
+    left = place[place >= side]
+    left = left[doc[left - side] == doc[left]]
+    right = place[place + _PASSAGE_GRAM + side <= n]
+    right = right[doc[right + _PASSAGE_GRAM + side - 1] == doc[right]]
+    # a side is one word more than an anchor
+    before = _joined(gram[left - side], h[left - 1])
+    after = _joined(gram[right + _PASSAGE_GRAM], h[right + _PASSAGE_GRAM + side - 1])
+    keys = np.concatenate((mix(_joined(before, gram[left])), mix(_joined(gram[right], after))))
+    owner = doc[np.concatenate((left, right))]
+    order = np.lexsort((keys, owner))
+    keys, owner = keys[order], owner[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])
+    return keys[new], np.bincount(owner[new], minlength=len(at) - 1)
+
+
 def anchors(data: np.ndarray, at: np.ndarray, size: int = MIN_BYTES) -> tuple[np.ndarray, ...]:
     """Regions of all texts in a flat array of under 2**24 bytes: first window (place in
     ``data``), number of windows, place of the anchor, anchor hash."""
@@ -69,18 +123,13 @@ def anchors(data: np.ndarray, at: np.ndarray, size: int = MIN_BYTES) -> tuple[np
     if n < size:
         return none, none, none, none.astype(np.uint64)
     gram = gram_hashes(data)
-    key = (gram & ~np.uint64((1 << _PLACE_BITS) - 1)) | np.arange(len(gram), dtype=np.uint64)
-    width, step = size - GRAM + 1, 1
-    while 2 * step <= width:
-        key = np.minimum(key[:-step], key[step:])
-        step *= 2
-    least = np.minimum(key[: n - size + 1], key[width - step : width - step + n - size + 1])
+    least = _least(gram, size - GRAM + 1)
     fits = np.zeros(n + 1, np.int32)
     own = np.flatnonzero(np.diff(at) >= size)
     np.add.at(fits, at[own], 1)
     np.add.at(fits, at[own + 1] - size + 1, -1)
     start = np.flatnonzero(np.cumsum(fits[: n - size + 1]))
-    place = (least[start] & np.uint64((1 << _PLACE_BITS) - 1)).astype(np.int64)
+    place = least[start]
     new = np.ones(len(start), bool)
     new[1:] = place[1:] != place[:-1]
     head = np.flatnonzero(new)
@@ -141,12 +190,13 @@ def long_prefix_classes(text: np.ndarray, size: int) -> tuple[np.ndarray, np.nda
     behind = np.full(n, -1, np.int64)
     behind[right[single]] = single + 1
     several = np.flatnonzero(open_ & (left >= 0) & (right - left > 1))
+    several = several[np.argsort(left[several])]  # places near each other are read together
     several, low, high = several + 1, left[several], right[several]
     for value in range(1, size):
         found = behind[frontier]
         found = found[found >= 0]
         if len(several):
-            if len(several) * 40 > n:
+            if len(several) * 16 > n:
                 seen = np.zeros(n, np.int32)
                 seen[frontier] = 1
                 seen = np.cumsum(seen)
@@ -219,7 +269,9 @@ def _anchor_task(size: int):
         values = (lo - at[owner], m, a - at[owner], h.view(np.int64), rh, left, right)
         lists = [pa.ListArray.from_arrays(ends, pa.array(x, kinds[name])) for name, x in zip(kinds, values, strict=True)]
         keys = [_md5(raw[x:y]) for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-        return pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(keys, pa.binary()), pa.array(np.diff(at)), *lists], ["doc_id", "tk", "n_bytes", *kinds])
+        stretches, of = passage_keys(data, at)
+        passages = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(of))), pa.int32()), pa.array(stretches.view(np.int64)))
+        return pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(keys, pa.binary()), pa.array(np.diff(at)), passages, *lists], ["doc_id", "tk", "n_bytes", "passages", *kinds])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -261,18 +313,37 @@ def _region_task(size: int):
     return task
 
 
-def finer(piece: tuple, size: int) -> Iterator[tuple]:
-    """A piece in parts of fewer places of the anchor, each with the key of what all
-    windows of its range share."""
-    _, _, h, rh, at, left, l0, l1, raw = piece
+def _ranges(left: int, l0: int, l1: int, n_bytes: int, size: int) -> Iterator[tuple[int, int, int, int]]:
+    """Narrower ranges of bytes left of the anchor, and which of them a piece has."""
     step = max(1, (l1 - l0 + 1) // _FINER)
-    last = left - (len(raw) - size)  # bytes left of the anchor in the last window
+    last = left - (n_bytes - size)  # bytes left of the anchor in the last window
     for c0 in range(l0, l1 + 1, step):
         c1 = min(c0 + step - 1, l1)
         q0, q1 = max(c0, last), min(c1, left)
         if q0 <= q1:
-            part = raw[left - q1 : left - q0 + size]
-            yield _md5(b"%d,%d:" % (c0, c1) + raw[left - c0 : left - c1 + size]), _md5(part), h, rh, at + left - q1, q1, c0, c1, part
+            yield c0, c1, q0, q1
+
+
+def finer(piece: tuple, size: int) -> Iterator[tuple]:
+    """A piece in parts of fewer places of the anchor, each with the key of what all
+    windows of its range share."""
+    _, _, h, rh, at, left, l0, l1, raw = piece
+    for c0, c1, q0, q1 in _ranges(left, l0, l1, len(raw), size):
+        part = raw[left - q1 : left - q0 + size]
+        yield _md5(b"%d,%d:" % (c0, c1) + raw[left - c0 : left - c1 + size]), _md5(part), h, rh, at + left - q1, q1, c0, c1, part
+
+
+def alike(group: list[tuple], size: int) -> Iterator[tuple[int, int, int]]:
+    """Of the pieces ``(left, l0, l1, bytes)`` of one group those with a window that may
+    occur in another: its place, first and last such window. A window can only if all that
+    its narrower range shares is in two pieces."""
+    own = [[(c0, hash(raw[left - c0 : left - c1 + size]), q0, q1) for c0, c1, q0, q1 in _ranges(left, l0, l1, len(raw), size)] for left, l0, l1, raw in group]
+    count = Counter(k[:2] for keys in own for k in keys)
+    for i, keys in enumerate(own):
+        met = [k for k in keys if count[k[:2]] > 1]
+        if met:
+            left = group[i][0]
+            yield i, left - max(k[3] for k in met), left - min(k[2] for k in met)
 
 
 def _finer_task(size: int):
@@ -295,7 +366,8 @@ _FOUND = "h long, rh binary, s array<long>, e array<long>"
 
 
 def _bwt_task(size: int):
-    """Rows come sorted by group; whole groups are gathered into suffix arrays."""
+    """Rows come sorted by group; whole groups are gathered into suffix arrays, without what
+    no other piece of the group can hold."""
 
     def solve(rows: list[tuple]) -> pa.RecordBatch:
         flags = repeated_windows([r[3] for r in rows], size)
@@ -309,14 +381,17 @@ def _bwt_task(size: int):
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["h", "rh", "s", "e"])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, held, last = [], 0, None
-        for batch in batches:
-            for g, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held > BATCH_BYTES and g != last:
-                    yield solve(rows)
-                    rows, held = [], 0
-                rows.append(row)
-                held, last = held + len(row[-1]), g
+        rows, held = [], 0
+        every = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        for _, group in itertools.groupby(every, lambda row: row[0]):
+            pieces = list(group)
+            for i, first, last in alike([p[4:] for p in pieces], size):
+                _, h, rh, at, *_, raw = pieces[i]
+                rows.append((h, rh, at + first, raw[first : last + size]))
+                held += last - first + size
+            if held > BATCH_BYTES:
+                yield solve(rows)
+                rows, held = [], 0
         if rows:
             yield solve(rows)
 
@@ -361,7 +436,7 @@ def _repeated(pieces: DataFrame, hot: DataFrame, size: int, hot_regions: int) ->
     n_parts = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def solve(rows: DataFrame) -> DataFrame:
-        dealt = rows.select("g", "h", "rh", "at", "bytes").repartition(n_parts, "g").sortWithinPartitions("g")
+        dealt = rows.select("g", "h", "rh", "at", "left", "l0", "l1", "bytes").repartition(n_parts, "g").sortWithinPartitions("g")
         return dealt.mapInArrow(_bwt_task(size), _FOUND).select("h", "rh", F.explode(F.arrays_zip("s", "e")).alias("x")).select("h", "rh", "x.s", "x.e")
 
     if hot.isEmpty():
@@ -387,14 +462,14 @@ def _repeated(pieces: DataFrame, hot: DataFrame, size: int, hot_regions: int) ->
 
 
 def remove_repeats(docs: DataFrame, size: int = MIN_BYTES, hot_regions: int = HOT_REGIONS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, starts, ends`` of each row of
-    ``docs``; the spans are byte offsets of the maximal removed runs."""
+    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, starts, ends, n_passages`` of each
+    row of ``docs``; the spans are byte offsets of the maximal removed runs."""
     docs = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
     key = F.unhex(F.md5("text")).alias("tk")
 
     names = ["lo", "m", "a", "h", "rh", "left", "right"]
-    scanned = docs.mapInArrow(_anchor_task(size), "doc_id long, tk binary, n_bytes long, lo array<long>, m array<long>, a array<long>, h array<long>, rh array<binary>, left array<binary>, right array<binary>")
-    texts = cut(scanned.groupBy("tk").agg(F.coalesce(F.min("doc_id"), F.lit(-1)).alias("rep"), F.count("*").alias("copies"), F.first("n_bytes").alias("n_bytes"), F.first(F.arrays_zip(*names)).alias("regions")))
+    scanned = docs.mapInArrow(_anchor_task(size), "doc_id long, tk binary, n_bytes long, passages array<long>, lo array<long>, m array<long>, a array<long>, h array<long>, rh array<binary>, left array<binary>, right array<binary>")
+    texts = cut(scanned.groupBy("tk").agg(F.coalesce(F.min("doc_id"), F.lit(-1)).alias("rep"), F.count("*").alias("copies"), F.first("n_bytes").alias("n_bytes"), F.first("passages").alias("passages"), F.first(F.arrays_zip(*names)).alias("regions")))
     every = texts.select("tk", "rep", "copies", F.explode("regions").alias("r")).select("tk", "rep", "copies", *(F.col(f"r.{c}") for c in names))
     distinct = every.groupBy("h", "rh").agg(F.sum("copies").alias("n"), F.min(F.struct("tk", "rep", "lo", "m", "a", "left", "right")).alias("at"))
     groups = distinct.groupBy("h").agg(F.count("*").alias("kinds"), F.sum("n").alias("all")).where("all > 1").select("h", "kinds")
@@ -414,9 +489,12 @@ def remove_repeats(docs: DataFrame, size: int = MIN_BYTES, hot_regions: int = HO
     partial = source.join(spans.hint("shuffle_hash"), ["tk", "rep"]).select("tk", "text", "spans").mapInArrow(_keep_task, "tk binary, n_removed long, kept_sha256 string, starts array<long>, ends array<long>").dropDuplicates(["tk"])
     whole = texts.where(f"copies > 1 and n_bytes >= {size}").select("tk", F.col("n_bytes").alias("n_removed"), F.lit(_EMPTY_SHA).alias("kept_sha256"), F.array(F.lit(0).cast("long")).alias("starts"), F.array("n_bytes").alias("ends"))
     results = whole.unionByName(partial.join(whole.select("tk"), "tk", "left_anti"))
+    stretches = texts.select("tk", "copies", F.explode("passages").alias("p"))
+    elsewhere = stretches.groupBy("p").agg(F.sum("copies").alias("c")).where("c > 1").select("p")
+    passages = stretches.join(elsewhere, "p").groupBy("tk").agg(F.count("*").alias("n_passages"))
     listed = docs.select("doc_id", key, F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha"))
     none = F.array().cast("array<long>")
-    return listed.join(results, "tk", "left").select(
+    return listed.join(results, "tk", "left").join(passages, "tk", "left").select(
         "doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce(F.size("starts"), F.lit(0)).cast("long").alias("n_spans"),
-        F.coalesce("kept_sha256", "sha").alias("kept_sha256"), F.coalesce("starts", none).alias("starts"), F.coalesce("ends", none).alias("ends"),
+        F.coalesce("kept_sha256", "sha").alias("kept_sha256"), F.coalesce("starts", none).alias("starts"), F.coalesce("ends", none).alias("ends"), F.coalesce("n_passages", F.lit(0).cast("long")).alias("n_passages"),
     )
