@@ -1,18 +1,22 @@
 """Benchmark decontamination with one Aho-Corasick automaton.
 
 Texts and benchmark items are normalised alike: A-Z lower-cased, words are runs of digits,
-letters and all non-ASCII characters, joined by one space. Every window of ``WINDOW`` words
-of an item (an item of fewer words is one window) is a pattern of one automaton, with a
-space on either side. A text is scanned once; where a pattern ends, its place in the
-normalised text gives its words, and those give offsets in the original text.
+letters and all non-ASCII characters, joined by one space. A window is ``WINDOW`` words of an
+item (an item of fewer words is one). Of an item with windows of w words, every s-th stretch
+of w - s + 1 words is a pattern, s being half of w: each window holds one of them. Items that
+are one short window are patterns themselves. A text is scanned once; where a pattern ends,
+its place in the normalised text gives its words. The few windows that may lie around it are
+looked up in a sorted table of window hashes and compared word by word; hit words give
+offsets in the original text.
 
 The automaton is broadcast. Its size follows the benchmark, not the corpus, and is bounded:
 past ``AUTOMATON_BYTES`` bytes of items, they are dealt to several automata that scan the
-texts one after the other, each adding to what the others found. Equal windows of many items
-are one pattern.
+texts one after the other, each adding to what the others found, so results are the same.
 
 Defined cases: a null or empty text has no words and no hits; an item without words never
-occurs; items with equal texts are all reported; an empty benchmark hits nothing.
+occurs; items with equal texts are all reported; an empty benchmark hits nothing; rows with
+equal or null ids are judged by their own texts; very long texts are scanned alone; further
+columns aren't read, and pass through ``drop_contaminated``.
 """
 
 from __future__ import annotations
@@ -29,9 +33,8 @@ from pyspark.sql import functions as F
 from keelson.llm.common import covered, flat, slices
 
 WINDOW = 10
-#: Bytes of items in one automaton; it takes about 400 bytes of memory for each (a window
-#: of ten words starts at every word).
-AUTOMATON_BYTES = 1 << 19
+#: Bytes of items in one automaton; it takes about 60 bytes of memory for each.
+AUTOMATON_BYTES = 4 << 20
 
 #: ASCII that is no part of a word becomes a space, A-Z become a-z.
 _WORD_BYTES = bytes(b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 32 for b in range(256))
@@ -41,45 +44,97 @@ def words_of(raw: bytes) -> list[bytes]:
     return raw.translate(_WORD_BYTES).split()
 
 
+def _padded(words: list[bytes]) -> bytes:
+    return b" " + b" ".join(words) + b" "
+
+
 class Windows:
-    """The automaton over the windows of some items."""
+    """The automaton over some items, and their windows."""
 
     def __init__(self, items: list[tuple], window: int):
         import ahocorasick
 
-        self.owners: dict[bytes, set] = {}
-        self.sizes: dict[bytes, int] = {}
+        self.window, self.step = window, max(1, window // 2)
+        self.words: list[bytes] = []
+        shared: dict[bytes, bytes] = {}
+        short: dict[bytes, set] = {}
+        blocks: set[bytes] = set()
+        starts, owners = [], []
         for item, text in items:
-            words = words_of((text or "").encode())
-            for i in range(max(1, len(words) - window + 1) if words else 0):
-                own = words[i : i + window]
-                pattern = b" " + b" ".join(own) + b" "
-                self.owners.setdefault(pattern, set()).add(item)
-                self.sizes[pattern] = len(own)
+            own = [shared.setdefault(w, w) for w in words_of((text or "").encode())]
+            if own and len(own) < window:
+                short.setdefault(_padded(own), set()).add(item)
+            count = len(own) - window + 1
+            if count > 0:
+                blocks.update(_padded(own[p : p + window - self.step + 1]) for p in range(0, count + self.step - 1, self.step))
+                starts.append(np.arange(len(self.words), len(self.words) + count))
+                owners += [item] * count
+                self.words += own
+        self._index(np.concatenate(starts) if starts else np.zeros(0, np.int64), owners)
         self.automaton = ahocorasick.Automaton()
-        for pattern in self.owners:
-            self.automaton.add_word(pattern.decode("latin-1"), pattern)
-        if self.owners:
+        for pattern in blocks | short.keys():
+            self.automaton.add_word(pattern.decode("latin-1"), (pattern in blocks, pattern.count(b" ") - 1, short.get(pattern, ())))
+        self.empty = not (blocks or short)
+        if not self.empty:
             self.automaton.make_automaton()
 
-    def occurs(self, words: list[bytes]) -> bool:
-        if not words or not self.owners:
-            return False
-        text = b" " + b" ".join(words) + b" "
-        return next(self.automaton.iter(text.decode("latin-1")), None) is not None
+    def _index(self, starts: np.ndarray, owners: list) -> None:
+        """Windows by hash, equal ones as one with all owners; a base of the hash is found
+        for which unequal ones differ."""
+        codes, self.base = np.fromiter(map(hash, self.words), np.int64, len(self.words)), 0x9E3779B97F4A7C15
+        while True:
+            h = self._hashes(codes, starts)
+            order = np.argsort(h, kind="stable")
+            first = np.flatnonzero(np.append(True, h[order[1:]] != h[order[:-1]])) if len(h) else order
+            lead = np.repeat(starts[order[first]], np.diff(np.append(first, len(order))))
+            if all(a == b or self._words(a) == self._words(b) for a, b in zip(starts[order].tolist(), lead.tolist(), strict=True)):
+                break
+            self.base += 2
+        self.hashes, self.starts = h[order[first]], starts[order[first]]
+        self.bounds, self.owners = np.append(first, len(order)), [owners[i] for i in order.tolist()]
+
+    def _words(self, at: int) -> list[bytes]:
+        return self.words[at : at + self.window]
+
+    def _hashes(self, codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        codes, h = codes.view(np.uint64), np.zeros(len(starts), np.uint64)
+        for k in range(self.window):
+            h = h * np.uint64(self.base) + codes[starts + k]
+        return h
 
     def scan(self, words: list[bytes]) -> tuple[np.ndarray, set]:
         """Which words lie inside an occurrence of a window; the windows' items."""
-        if not words or not self.owners:
-            return np.zeros(len(words), bool), set()
-        text = b" " + b" ".join(words) + b" "
+        none = np.zeros(len(words), bool), set()
+        if not words or self.empty:
+            return none
+        text = _padded(words)
         found = list(self.automaton.iter(text.decode("latin-1")))
         if not found:
-            return np.zeros(len(words), bool), set()
-        spaces = np.flatnonzero(np.frombuffer(text, np.uint8) == 32)
-        last = np.searchsorted(spaces, [end for end, _ in found])
-        first = last - np.array([self.sizes[p] for _, p in found])
-        return covered(first, last, len(words)), set().union(*(self.owners[p] for _, p in found))
+            return none
+        last = np.searchsorted(np.flatnonzero(np.frombuffer(text, np.uint8) == 32), [end for end, _ in found])
+        begin, size, items = [], [], set()
+        for at, (_, (_, n, own)) in zip(last.tolist(), found, strict=True):
+            if own:
+                begin.append(at - n)
+                size.append(n)
+                items.update(own)
+        around = last[[block for _, (block, _, _) in found]] - (self.window - self.step + 1)
+        around = np.unique((around[:, None] - np.arange(self.step)).ravel())
+        around = around[(around >= 0) & (around <= len(words) - self.window)]
+        if len(around):
+            h = self._hashes(np.fromiter(map(hash, words), np.int64, len(words)), around)
+            place = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+            for i in np.flatnonzero(self.hashes[place] == h).tolist():
+                at, k = int(around[i]), int(place[i])
+                if words[at : at + self.window] == self._words(int(self.starts[k])):
+                    begin.append(at)
+                    size.append(self.window)
+                    items.update(self.owners[self.bounds[k] : self.bounds[k + 1]])
+        begin = np.array(begin, np.int64)
+        return covered(begin, begin + np.array(size, np.int64), len(words)), items
+
+    def occurs(self, words: list[bytes]) -> bool:
+        return bool(self.scan(words)[1])
 
 
 _loaded: dict = {}
