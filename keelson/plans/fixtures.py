@@ -26,7 +26,7 @@ VIEWS: dict[str, str] = {
     # listings: title from a document's first line, all text as rules
     "listings": """
         SELECT CASE WHEN doc_id % 2 = 0 THEN 'venue_a' ELSE 'venue_b' END AS platform, concat('d', CAST(doc_id AS STRING)) AS id, doc_id AS ord,
-               substring(split_part(text, chr(10), 1), 1, 80) AS question, text AS rules, lang AS category, source,
+               split_part(text, chr(10), 1) AS question, text AS rules, lang AS category, source,
                CASE WHEN doc_id % 11 = 0 THEN NULL ELSE doc_id % 30 END AS close_day, 2 + doc_id % 2 * (doc_id % 5) % 2 AS n_outcomes,
                ((doc_id * 37) % 1001) / 1000 AS yes, CAST((doc_id * 7919) % 20000 AS DOUBLE) AS volume, CAST((doc_id * 104729) % 15000 AS DOUBLE) AS liquidity
         FROM {documents}""",
@@ -87,7 +87,7 @@ VIEWS: dict[str, str] = {
         FROM {events}""",
     # questions of a forecast source
     "questions": """
-        SELECT item_id AS id, substring(text, 1, 80) AS title, CASE WHEN item_id % 6 = 5 THEN 'numeric' ELSE 'binary' END AS type, item_id % 30 AS resolve_day,
+        SELECT item_id AS id, text AS title, CASE WHEN item_id % 6 = 5 THEN 'numeric' ELSE 'binary' END AS type, item_id % 30 AS resolve_day,
                CASE WHEN item_id % 7 = 6 THEN NULL ELSE ((item_id * 53) % 99 + 1) / 100 END AS q2, item_id % 50 AS age_days FROM {benchmark}""",
     # verdict requests and cached verdicts
     "verdicts": """

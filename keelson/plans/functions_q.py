@@ -22,13 +22,13 @@ def _kw(c: str, stop: list[str], punct: str) -> str:
 
 
 def dice_sql(source: str, **pairs: tuple[str, str]) -> str:
-    """``source`` with a Dice column for each named pair of its columns (no white space)."""
+    """``source`` with a Dice column for each named pair of its columns (no white space), by
+    how often each letter pair occurs."""
     for name, (a, b) in pairs.items():
-        bi = lambda c: f"list_sort(list_transform(range(1, length({c})), lambda i: {c}[i:i+1]))"
-        tag = lambda c: f"list_transform({c}, lambda g, i: g || CAST(i - list_position({c}, g) AS STRING))"
-        sorted_ = f"SELECT *, {bi(a)} AS {name}_sa, {bi(b)} AS {name}_sb FROM ({source})"
-        tagged = f"SELECT *, {tag(name + '_sa')} AS {name}_ta, {tag(name + '_sb')} AS {name}_tb FROM ({sorted_})"
-        source = f"SELECT *, CASE WHEN {a} = {b} THEN 1.0 WHEN length({a}) < 2 OR length({b}) < 2 THEN 0.0 ELSE 2.0 * len(list_intersect({name}_ta, {name}_tb)) / (length({a}) + length({b}) - 2) END AS {name} FROM ({tagged})"
+        counts = lambda c: f"list_aggregate(list_transform(range(1, length({c})), lambda i: {c}[i:i+1]), 'histogram')"
+        counted = f"SELECT *, {counts(a)} AS {name}_ha, {counts(b)} AS {name}_hb FROM ({source})"
+        shared = f"coalesce(list_sum(list_transform(map_keys({name}_ha), lambda k: least({name}_ha[k], coalesce({name}_hb[k], 0)))), 0)"
+        source = f"SELECT *, CASE WHEN {a} = {b} THEN 1.0 WHEN length({a}) < 2 OR length({b}) < 2 THEN 0.0 ELSE 2.0 * {shared} / (length({a}) + length({b}) - 2) END AS {name} FROM ({counted})"
     return source
 
 

@@ -70,7 +70,7 @@ def j4(m: DataFrame) -> DataFrame:
 
 
 _FC = "SELECT q_id, m_ord, round(overall, 6) AS overall, CASE WHEN dice > 0.95 THEN 'exact' ELSE 'fuzzy' END AS method FROM (SELECT *, 0.5 * dice + 0.3 * 0.5 + 0.2 * greatest(0.0, 1 - days / 14) AS overall FROM (" + dice_sql("""SELECT q.id AS q_id, l.ord AS m_ord, abs(l.close_day - q.resolve_day) AS days, regexp_replace(lower(q.title), '\\s+', '', 'g') AS a, regexp_replace(lower(l.question), '\\s+', '', 'g') AS b
-    FROM {questions} q JOIN {listings} l ON q.type = 'binary' AND abs(l.close_day - q.resolve_day) < 14""", dice=("a", "b")) + ")) WHERE overall >= 0.6"
+    FROM {questions} q JOIN {listings} l ON q.type = 'binary' AND abs(l.close_day - q.resolve_day) < 14 AND length(l.question) < 8 * length(q.title)""", dice=("a", "b")) + ")) WHERE overall >= 0.6"
 
 
 @query("j5_forecast_edges", "questions", "listings", sql=_FC)
@@ -119,30 +119,27 @@ def j11(d: DataFrame) -> DataFrame:
 
 
 _SQ = "regexp_replace(lower({0}), '\\s+', '', 'g')"
-_SET = "SELECT id, qs AS question_similarity, criteria, timing, src, CASE WHEN ov IS NOT NULL THEN ov ELSE 0.3 * qs + 0.4 * criteria + 0.2 * timing + 0.1 * src >= 0.9 AND criteria >= 0.7 AND timing >= 0.5 AND NOT miss AND NOT coalesce(days > 7, false) AND src >= 0.8 END AS safe FROM (SELECT id, ov, days, days IS NULL AS miss, round(d1, 6) AS qs, round(d2, 6) AS criteria, round(coalesce(greatest(0.0, 1 - days / 14), 0.0), 6) AS timing, round(d3, 6) AS src FROM (" + dice_sql(f"""SELECT a.id, CASE WHEN a.ord % 10 = 0 THEN true END AS ov, abs(a.close_day - b.close_day) AS days, {_SQ.format('a.question')} AS qa, {_SQ.format('b.question')} AS qb, {_SQ.format("substring(split_part(a.rules, chr(10), 1), 1, 120)")} AS ra, {_SQ.format("substring(split_part(b.rules, chr(10), 1), 1, 120)")} AS rb, lower(a.source) AS sa, lower(b.source) AS sb
-    FROM {{listings}} a JOIN {{listings}} b ON b.ord = a.ord + 1""", d1=("qa", "qb"), d2=("ra", "rb"), d3=("sa", "sb")) + "))"
-
-
-@query("j11_embedding_lookup", "documents", sql="SELECT count(*) FILTER (hit) AS hits, count(*) FILTER (NOT hit) AS misses FROM (SELECT sha256('m1' || chr(10) || text) IN (SELECT sha256('m1' || chr(10) || text) FROM {documents} WHERE doc_id % 3 = 0) AS hit FROM {documents})")
-def j11_lookup(d: DataFrame) -> DataFrame:
-    own = d.where("doc_id % 3 = 0")
-    cache = own.select(matching.embedding_key(F.col("text"), "m1").alias("key"), F.array(F.lit(0.0)).alias("vec")).dropDuplicates(["key"])
-    return matching.embedding_stats(matching.embedding_lookup(d.select("text"), cache, "m1"))
-
-
-@query("j11_stale_embeddings", "snapshots", sql="SELECT DISTINCT platform, market_id AS id FROM {snapshots} EXCEPT SELECT platform, market_id FROM {snapshots} GROUP BY 1, 2 HAVING max(ts) >= TIMESTAMP '2024-01-29 12:00:00' - INTERVAL 24 HOUR")
-def j11_stale(x: DataFrame) -> DataFrame:
-    meta = x.groupBy("platform", F.col("market_id").alias("id")).agg(F.max("ts").alias("updated_at"))
-    return matching.stale_embeddings(meta.select("platform", "id"), meta, F.lit("2024-01-29 12:00:00"))
+_RULE = "split_part({0}.rules, chr(10), 1)"
+# each listing with the next; some verdicts are set by hand, some comparisons are stored
+_SET = f"""SELECT id, qs AS question_similarity, criteria, timing, src, safe, CASE WHEN safe AND risks = 0 THEN 'LOW' WHEN safe THEN 'MEDIUM' ELSE 'HIGH' END AS risk, CASE WHEN safe AND risks = 0 THEN 0 WHEN safe AND reused THEN 3 WHEN safe THEN 2 END AS penalty, risks, reused FROM
+    (SELECT * REPLACE (CASE WHEN reused THEN stored ELSE safe END AS safe, CASE WHEN reused THEN stored_risks ELSE risks END AS risks) FROM
+    (SELECT *, coalesce(ov, 0.3 * qs + 0.4 * criteria + 0.2 * timing + 0.1 * src >= 0.9 AND criteria >= 0.7 AND timing >= 0.5 AND risks = 0) AS safe FROM
+    (SELECT id, ov, reused, stored, stored_risks, round(d1, 6) AS qs, round(d2, 6) AS criteria, round(coalesce(greatest(0.0, 1 - days / 14), 0.0), 6) AS timing, round(coalesce(d3, 0.0), 6) AS src,
+     CAST(days IS NULL AS INT) + CAST(coalesce(days > 7, false) AS INT) + CAST(coalesce(d3 < 0.8, false) AS INT) + CAST(judged AS INT) AS risks FROM ({dice_sql(f"""SELECT a.id, CASE WHEN a.ord % 10 = 0 THEN true END AS ov, a.ord % 13 = 0 AS reused, a.ord % 2 = 0 AS stored, CAST(a.ord % 26 = 0 AS INT) AS stored_risks, abs(a.close_day - b.close_day) AS days,
+     len(list_filter(['reasonable', 'consensus', 'mainstream', 'general', 'widely', 'common', 'typical', 'standard', 'normal', 'appropriate', 'significant', 'substantial'], lambda w: contains(lower({_RULE.format('a')} || ' ' || {_RULE.format('b')}), w))) > 0 AS judged,
+     {_SQ.format('a.question')} AS qa, {_SQ.format('b.question')} AS qb, {_SQ.format(_RULE.format('a'))} AS ra, {_SQ.format(_RULE.format('b'))} AS rb, lower(a.source) AS sa, lower(b.source) AS sb FROM {{listings}} a JOIN {{listings}} b ON b.ord = a.ord + 1""", d1=("qa", "qb"), d2=("ra", "rb"), d3=("sa", "sb"))}))))"""
 
 
 @query("j12_settlement", "listings", sql=_SET)
 def j12(x: DataFrame) -> DataFrame:
-    rule = F.substring(F.split_part("rules", F.lit("\n"), F.lit(1)), 1, 120)
+    rule = F.split_part("rules", F.lit("\n"), F.lit(1))
     side = lambda k, o: x.select((F.col("ord") - o).alias("o"), F.col("id").alias(f"{k}_id"), F.col("question").alias(f"{k}_question"), rule.alias(f"{k}_rule"), F.col("source").alias(f"{k}_source"), F.col("close_day").alias(f"{k}_day"))
     pairs = side("a", 0).join(side("b", 1), "o").withColumn("override", F.when(F.col("o") % 10 == 0, F.lit(True)))
+    stored = F.when(F.col("o") % 26 == 0, F.array(F.lit("another mechanism"))).otherwise(F.array().cast("array<string>"))
+    existing = pairs.where("o % 13 = 0").select("a_id", "b_id", (F.col("o") % 2 == 0).alias("safe"), stored.alias("risk_factors"))
     r = lambda c, n: F.round(c, 6).alias(n)
-    return matching.settlement(pairs).select(F.col("a_id").alias("id"), r("question_similarity", "question_similarity"), r("criteria_similarity", "criteria"), r("timing_similarity", "timing"), r("source_similarity", "src"), "safe")
+    found = matching.settlement(pairs, existing)
+    return found.select(F.col("a_id").alias("id"), r("question_similarity", "question_similarity"), r("criteria_similarity", "criteria"), r("timing_similarity", "timing"), r("source_similarity", "src"), "safe", "risk", "penalty", F.size("risk_factors").alias("risks"), "reused")
 
 
 @query("j13_divergence", "questions", "listings", sql="SELECT id, CAST(floor(abs(q2 - yes) * 100 + 0.5) AS BIGINT) AS percent, CASE WHEN age_days <= 7 THEN 'fresh' WHEN age_days <= 14 THEN 'over a week old' WHEN age_days <= 28 THEN 'over two weeks old' ELSE 'over four weeks old' END AS band FROM (SELECT l.id, q.q2, l.yes, q.age_days FROM (SELECT *, row_number() OVER (ORDER BY id) - 1 AS nth, count(*) OVER () AS n FROM {questions}) q JOIN {listings} l ON q.nth = l.ord % q.n) WHERE floor(abs(q2 - yes) * 100 + 0.5) >= 5")
