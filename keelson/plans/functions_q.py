@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from keelson.functions import scoring as S
 from keelson.functions import text as T
+from keelson.plans import expected as X
 from keelson.plans.registry import query
 from keelson.sources import parsing
 
@@ -41,7 +42,7 @@ def txt1(x: DataFrame) -> DataFrame:
     return x.select("id", T.normalize_title(F.col("question")).alias("title"))
 
 
-@query("txt2_keywords", "listings", sql=f"SELECT id, array_to_string({_kw('question', T.MATCH_STOP, '')}, ' ') AS match_words, CAST(len({_kw('rules', T.RULE_STOP, ' ')}) AS BIGINT) AS n_rule_words FROM {{listings}}")
+@query("txt2_keywords", "listings", sql=f"SELECT id, array_to_string({_kw('question', X.MATCH_STOP, '')}, ' ') AS match_words, CAST(len({_kw('rules', X.RULE_STOP, ' ')}) AS BIGINT) AS n_rule_words FROM {{listings}}")
 def txt2(x: DataFrame) -> DataFrame:
     return x.select("id", F.array_join(T.keywords(F.col("question")), " ").alias("match_words"), F.size(T.keywords(F.col("rules"), T.RULE_STOP, " ")).cast("long").alias("n_rule_words"))
 
@@ -54,7 +55,7 @@ def _neighbours(x: DataFrame) -> DataFrame:
     return l.join(n, "ord")
 
 
-@query("txt3_jaccard", "listings", sql=f"SELECT id, round(CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0.0 ELSE len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) END, 6) AS jaccard FROM (SELECT id, {_kw('q', T.MATCH_STOP, '')} AS a, {_kw('r', T.MATCH_STOP, '')} AS b FROM ({_PAIR}))")
+@query("txt3_jaccard", "listings", sql=f"SELECT id, round(CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0.0 ELSE len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) END, 6) AS jaccard FROM (SELECT id, {_kw('q', X.MATCH_STOP, '')} AS a, {_kw('r', X.MATCH_STOP, '')} AS b FROM ({_PAIR}))")
 def txt3(x: DataFrame) -> DataFrame:
     return _neighbours(x).select("id", F.round(T.jaccard(T.keywords(F.col("q")), T.keywords(F.col("r"))), 6).alias("jaccard"))
 
@@ -82,7 +83,7 @@ _RULED = "(SELECT *, CASE WHEN ord % 10 = 1 THEN 'Closes March 3, 2026 or 2026-0
 
 
 @query("txt7_settlement_criteria", "listings", sql=f"""SELECT id, primary_rule, CASE WHEN platform = 'venue_b' THEN rules_secondary END AS secondary_rule, CASE WHEN market_type = 'scalar' THEN 'scalar' WHEN n_outcomes > 2 THEN 'categorical' ELSE 'binary' END AS settlement_type, coalesce(close_day, CASE WHEN ord % 10 = 1 THEN date_diff('day', DATE '1970-01-01', DATE '2026-04-01') END) AS resolution_day,
-    CASE WHEN platform = 'venue_b' THEN coalesce({_source('rules', T.SOURCE_PHRASES_B)}, source || '.org') ELSE {_source('rules', T.SOURCE_PHRASES_A)} END AS data_source, CAST(len({_kw('primary_rule', T.RULE_STOP, ' ')}) AS BIGINT) AS n_keywords FROM {_RULED}""")
+    CASE WHEN platform = 'venue_b' THEN coalesce({_source('rules', T.SOURCE_PHRASES_B)}, source || '.org') ELSE {_source('rules', T.SOURCE_PHRASES_A)} END AS data_source, CAST(len({_kw('primary_rule', X.RULE_STOP, ' ')}) AS BIGINT) AS n_keywords FROM {_RULED}""")
 def txt7(x: DataFrame) -> DataFrame:
     more = {"rules_secondary": F.when(F.col("ord") % 10 == 1, "Closes March 3, 2026 or 2026-04-01 at the latest."), "source_url": F.concat(F.lit("https://www."), "source", F.lit(".org/x")), "market_type": F.when(F.col("ord") % 7 == 0, "scalar").otherwise("binary")}
     return parsing.settlement_criteria(x.withColumns(more)).select("id", "primary_rule", "secondary_rule", "settlement_type", "resolution_day", "data_source", F.size("keywords").cast("long").alias("n_keywords"))
@@ -98,7 +99,7 @@ def txt8_risks(x: DataFrame) -> DataFrame:
     return x.join(b, "ord").select("id", F.array_join(risks, "; ").alias("risks"))
 
 
-@query("txt8_risk_words", "conversations", sql="SELECT conv_id, turn, array_to_string(list_filter([" + ", ".join(f"'{w}'" for w in T.SUBJECTIVE) + "], lambda w: contains(lower(t), w)), ', ') AS subjective FROM (SELECT conv_id, turn, concat(text, CASE conv_id % 3 WHEN 0 THEN ' a Reasonable standard' WHEN 1 THEN ' widely common' ELSE '' END) AS t FROM {conversations})")
+@query("txt8_risk_words", "conversations", sql="SELECT conv_id, turn, array_to_string(list_filter([" + ", ".join(f"'{w}'" for w in X.SUBJECTIVE) + "], lambda w: contains(lower(t), w)), ', ') AS subjective FROM (SELECT conv_id, turn, concat(text, CASE conv_id % 3 WHEN 0 THEN ' a Reasonable standard' WHEN 1 THEN ' widely common' ELSE '' END) AS t FROM {conversations})")
 def txt8(x: DataFrame) -> DataFrame:
     t = F.concat("text", F.expr("CASE conv_id % 3 WHEN 0 THEN ' a Reasonable standard' WHEN 1 THEN ' widely common' ELSE '' END"))
     return x.select("conv_id", "turn", F.array_join(T.subjective_words(t), ", ").alias("subjective"))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keelson.functions import prices as P
 from keelson.operators import history, markets
+from keelson.plans import expected as X
 from keelson.plans.registry import query
 
 TODAY = 3
@@ -24,12 +24,15 @@ def _themed(x: DataFrame) -> DataFrame:
     return x.withColumns({"question": F.expr(_THEME), "category": F.when(F.col("ord") % 3 != 0, F.col("category"))})
 
 
-@query("pf15_infer_category", "listings", sql="SELECT id, CASE WHEN platform = 'venue_a' AND ord % 3 = 0 THEN " + "CASE " + " ".join(f"WHEN regexp_matches(lower({_THEME}), '{p}') THEN '{n}'" for n, p in P.CATEGORIES.items()) + " ELSE 'Other' END WHEN ord % 3 <> 0 THEN category END AS category FROM {listings}")
+_CATEGORY = " ".join(f"WHEN starts_with({_THEME}, '{theme}') THEN '{name}'" for theme, name in X.CATEGORY.items())
+
+
+@query("pf15_infer_category", "listings", sql=f"SELECT id, CASE WHEN platform = 'venue_a' AND ord % 3 = 0 THEN CASE {_CATEGORY} ELSE 'Other' END WHEN ord % 3 <> 0 THEN category END AS category FROM {{listings}}")
 def pf15(x: DataFrame) -> DataFrame:
     return markets.categorized(_themed(x)).select("id", "category")
 
 
-@query("pf16_drop_junk", "listings", sql=f"SELECT id FROM {{listings}} WHERE NOT regexp_matches({_THEME}, '(?i)" + "|".join(P.JUNK) + "') AND NOT (volume = 0 AND liquidity = 0)")
+@query("pf16_drop_junk", "listings", sql="SELECT id FROM {listings} WHERE ord % 12 <> 10 AND NOT (volume = 0 AND liquidity = 0)")
 def pf16(x: DataFrame) -> DataFrame:
     return markets.drop_junk(_themed(x)).select("id")
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keelson.functions import text as T
 from keelson.operators import detect, matching, study
+from keelson.plans import expected as X
 from keelson.plans.fixtures import forecast_pairs
 from keelson.plans.functions_q import _kw, dice_sql
 from keelson.plans.registry import query
@@ -43,7 +43,7 @@ def j2(e: DataFrame) -> DataFrame:
 
 
 _LEX = f"""SELECT a.ord AS a_ord, b.ord AS b_ord, round(CASE WHEN a.t = b.t THEN 1.0 ELSE 0.7 + (j - 0.5) * 0.4 END, 6) AS confidence, CASE WHEN a.t = b.t THEN 'exact' ELSE 'keyword' END AS method FROM (SELECT a.ord, b.ord AS bo, CASE WHEN len(a.w) = 0 OR len(b.w) = 0 THEN 0.0 ELSE len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) END AS j
-    FROM (SELECT *, {_kw('question', T.MATCH_STOP, '')} AS w FROM {{listings}} WHERE platform = 'venue_a') a JOIN (SELECT *, {_kw('question', T.MATCH_STOP, '')} AS w FROM {{listings}} WHERE platform = 'venue_b') b ON a.n_outcomes = b.n_outcomes AND coalesce(abs(a.close_day - b.close_day) <= 7, true)) x
+    FROM (SELECT *, {_kw('question', X.MATCH_STOP, '')} AS w FROM {{listings}} WHERE platform = 'venue_a') a JOIN (SELECT *, {_kw('question', X.MATCH_STOP, '')} AS w FROM {{listings}} WHERE platform = 'venue_b') b ON a.n_outcomes = b.n_outcomes AND coalesce(abs(a.close_day - b.close_day) <= 7, true)) x
     JOIN (SELECT ord, {_NORM} AS t FROM {{listings}}) a ON a.ord = x.ord JOIN (SELECT ord, {_NORM} AS t FROM {{listings}}) b ON b.ord = x.bo WHERE a.t = b.t OR j >= 0.5"""
 
 
