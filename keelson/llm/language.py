@@ -8,12 +8,14 @@ against other languages' best. It is rejected when its cosine is below what near
 sample texts of that language and about its length show, and when no letter is in it.
 
 Document frequencies count every row that may be learned from. Centroids and rejection
-limits are fitted on at most ``SAMPLE`` rows of each language. Limits come from cosines with
+limits are fitted on about ``SAMPLE`` ids of each language. Limits come from cosines with
 centroids of the half of the sample that a text is not in (equal texts share a half).
 
 Defined cases: a null text or one without a letter is ``und`` with score 0 and rejected;
 without any row to learn from, so is every text; ties go to the language that sorts first;
-a language with sample texts in one half only has no limit.
+a language with sample texts in one half only has no limit; very long texts are counted
+alone; rows with equal or null ids are judged by their own texts; further columns aren't
+read, and pass through ``keep_identified``.
 """
 
 from __future__ import annotations
@@ -167,9 +169,8 @@ def _limits(x: np.ndarray, half: np.ndarray, band: np.ndarray, centroids: int) -
 
 def fit(docs: DataFrame, learnable: Column, sample: int = SAMPLE, centroids: int = CENTROIDS) -> Model | None:
     """A model from ``text`` and ``lang`` of the rows of ``docs`` where ``learnable``."""
-    known = docs.where(learnable & F.col("text").isNotNull())
+    known = docs.select("doc_id", "text", "lang").where(learnable & F.col("text").isNotNull() & F.col("lang").isNotNull())
     frequency, n = _document_frequencies(known.select("text"))
-    chosen = per_class(known.where("lang is not null"), "lang", sample)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _chunks(batches, 1):
@@ -180,7 +181,9 @@ def fit(docs: DataFrame, learnable: Column, sample: int = SAMPLE, centroids: int
             columns = [langs, pa.array(band), pa.array([i.astype(np.int32).tobytes() for i in some], pa.binary()), pa.array([r[i].tobytes() for r, i in zip(tf, some, strict=True)], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["lang", "band", "gram", "tf"])
 
-    rows = known.join(F.broadcast(chosen.select("doc_id", "label")), "doc_id").where("lang = label").select("lang", "text").mapInArrow(task, "lang string, band long, gram binary, tf binary").collect()
+    # an id that repeats gives one text of each of its languages
+    texts = per_class(known, "lang", sample).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
+    rows = texts.select("lang", "text").mapInArrow(task, "lang string, band long, gram binary, tf binary").collect()
     if not rows:
         return None
     rows.sort(key=lambda r: (r[0], r[2], r[3]))  # however tasks return them

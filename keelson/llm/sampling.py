@@ -2,27 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-#: Rows let through to the ranking, per row wanted.
-SPARE = 1.5
+#: Values that a label may have; a column with more is no class label.
+MOST_LABELS = 1000
+
+
+def _by_label(values: dict, label: Column) -> Column:
+    return F.create_map(*(F.lit(x) for pair in values.items() for x in pair))[label]
 
 
 def per_class(rows: DataFrame, label: str, most: int, id_col: str = "doc_id") -> DataFrame:
-    """``doc_id, label, weight``: up to ``most`` rows of each label, those with the least id
-    hash; weight is how many rows of the label one of them stands for.
+    """The rows of about ``most`` ids of each label, those with the least id hash, or of all
+    where there are fewer, with a ``weight``: how many rows of the label one stands for.
 
-    Labels are counted first, and only ids whose hash is low enough for their label's count
-    are ranked: about ``SPARE * most`` thin rows of a label, however many it has. Repeats of
-    one id share a hash and may leave fewer than ``most``.
+    Labels are counted first, and a row is in by its own id's hash and its label's count
+    alone, so nothing is ranked, joined or gathered; the driver sees one count per label.
+    Rows without a label or id are out.
     """
-    thin = rows.select(F.col(id_col).alias("doc_id"), F.col(label).alias("label")).where("label is not null and doc_id is not null")
-    sizes = thin.groupBy("label").agg(F.count("*").alias("all"))
-    hashed = F.xxhash64("doc_id")
-    place = F.shiftrightunsigned(hashed, 1) / F.lit(float(1 << 63))
-    low = thin.join(F.broadcast(sizes), "label").where(place * F.col("all") <= SPARE * most + 100)
-    order = Window.partitionBy("label").orderBy("place", "doc_id")
-    kept = low.withColumn("place", place).withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= most)
-    return kept.select("doc_id", "label", (F.col("all") / F.least("all", F.lit(most))).alias("weight"))
+    known = rows.where(F.col(label).isNotNull() & F.col(id_col).isNotNull())
+    sizes = dict(map(tuple, known.groupBy(label).agg(F.count("*")).limit(MOST_LABELS + 1).collect()))
+    if len(sizes) > MOST_LABELS:
+        raise ValueError(f"{label} has over {MOST_LABELS} values")
+    if not sizes:
+        return known.withColumn("weight", F.lit(1.0))
+    place = F.shiftrightunsigned(F.xxhash64(F.col(id_col)), 1) / F.lit(float(1 << 63))
+    low = known.where(place * _by_label(sizes, F.col(label)) <= most)
+    return low.withColumn("weight", _by_label({k: max(1.0, n / most) for k, n in sizes.items()}, F.col(label)))
