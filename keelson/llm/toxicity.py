@@ -10,10 +10,16 @@ A hit's window tells abuse from quotation: inside quotation marks, or near a rep
 word, it counts apart. A text's score is a logistic function of its sums of hit weights:
 exact and misspelled, plain and quoted, and their share of the words.
 
-Lexicon and logistic weights are fitted on at most ``SAMPLE`` rows of each label.
+Words are runs of letters, with one or two digits or marks inside where they stand between
+letters (l0ser, st*pid); two letters in the wrong order are one edit.
+
+Lexicon and logistic weights are fitted on about ``SAMPLE`` ids of each label; the lexicon
+keeps the ``LEXICON`` best of the terms that its bounds let in.
 
 Defined cases: null and empty texts have no hits and get the score of such texts; without
-rows of both labels every score is the share of toxic rows (0 if there are none).
+rows of both labels every score is the share of toxic rows (0 if there are none); rows with
+null ids are scored and never learned from; of an id's repeated labels one counts, of its
+texts all; very long texts are scored whole; further columns aren't read.
 """
 
 from __future__ import annotations
@@ -27,9 +33,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keelson.llm.common import slices
+from keelson.llm.common import runs, slices
 from keelson.llm.language import remainder
-from keelson.llm.pretokens import PieceTable, code_points, split
+from keelson.llm.pretokens import LETTER, NUMBER, OTHER, PieceTable, classes, code_points
 from keelson.llm.sampling import per_class
 
 SAMPLE = 10_000
@@ -37,8 +43,12 @@ LEXICON = 400
 #: A term stands in at least so many toxic rows of the sample, and this share of them.
 SUPPORT, SUPPORT_SHARE = 3, 0.004
 LOG_ODDS = 2.0
-#: Edits allowed from so many letters on.
-EDITS = ((9, 2), (5, 1), (0, 0))
+#: Edits allowed from so many letters on; two neighbours in the wrong order are one.
+EDITS = ((9, 2), (4, 1), (0, 0))
+#: States kept of an automaton; past that it starts anew.
+MOST_STATES = 50_000
+#: Marks that may stand for letters inside a word, as digits may.
+_STANDINS = [ord(c) for c in "*@$!#%"]
 WINDOW = 60
 FEATURES = 5
 
@@ -64,43 +74,51 @@ class Automaton:
             self.term_at[node] = k
         self.edits = [next(e for least, e in EDITS if len(t) >= least) for t in terms]
         self.most = max(self.edits, default=0)
-        self.start = self._close({(0, 0)})
+        self.start = self._close({(0, 0, "")})
         self.steps: dict[frozenset, dict[str, frozenset]] = {}
         self.ends: dict[frozenset, int] = {}
 
-    def _close(self, state: set[tuple[int, int]]) -> frozenset:
+    def _close(self, state: set[tuple[int, int, str]]) -> frozenset:
         """With the letters that may be left out; of one node only the fewest edits."""
-        least: dict[int, int] = {}
+        least: dict[tuple[int, str], int] = {}
         todo = list(state)
         while todo:
-            node, e = todo.pop()
-            if e < least.get(node, self.most + 1):
-                least[node] = e
-                if e < self.most:
-                    todo += [(child, e + 1) for child in self.children[node].values()]
-        return frozenset(least.items())
+            node, e, due = todo.pop()
+            if e < least.get((node, due), self.most + 1):
+                least[node, due] = e
+                if e < self.most and not due:
+                    todo += [(child, e + 1, "") for child in self.children[node].values()]
+        return frozenset((node, e, due) for (node, due), e in least.items())
 
     def _step(self, state: frozenset, c: str) -> frozenset:
         out = set()
-        for node, e in state:
+        for node, e, due in state:
+            if due:  # the first of two swapped letters comes second
+                if due == c:
+                    out.add((node, e, ""))
+                continue
             for letter, child in self.children[node].items():
                 if letter == c:
-                    out.add((child, e))
+                    out.add((child, e, ""))
                 elif e < self.most:
-                    out.add((child, e + 1))
+                    out.add((child, e + 1, ""))
+                    if c in self.children[child]:
+                        out.add((self.children[child][c], e + 1, letter))
             if e < self.most:
-                out.add((node, e + 1))
+                out.add((node, e + 1, ""))
         return self._close(out)
 
     def _end(self, state: frozenset) -> int:
         """2 * term + (1 if misspelled), or -1; fewest edits first, then the first term."""
-        found = [(e, self.term_at[node]) for node, e in state if self.term_at[node] >= 0 and e <= self.edits[self.term_at[node]]]
+        found = [(e, self.term_at[node]) for node, e, due in state if not due and self.term_at[node] >= 0 and e <= self.edits[self.term_at[node]]]
         if not found:
             return -1
         e, term = min(found)
         return 2 * term + (e > 0)
 
     def match(self, word: str) -> int:
+        if len(self.steps) > MOST_STATES:
+            self.steps, self.ends = {}, {}
         state = self.start
         for c in word:
             own = self.steps.get(state)
@@ -122,11 +140,27 @@ def words_of(texts: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray,
     lowered = [t.lower() for t in texts]
     at = np.concatenate(([0], np.cumsum([len(t) for t in lowered]))).astype(np.int64)
     whole = "".join(lowered)
-    points = code_points(whole)
-    begin, end = split(points, at[:-1], "words")
+    begin, end = runs(_in_words(code_points(whole), at), at)
     return whole, at, begin, end, np.searchsorted(at, begin, "right") - 1
 
 
+def _in_words(points: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Which code points are letters, or one or two digits or marks between letters."""
+    n = len(points)
+    kind = np.full(n + 4, OTHER, np.uint8)
+    kind[2 : n + 2] = classes(points)
+    text = np.full(n + 4, -1, np.int64)
+    text[2 : n + 2] = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    letter = kind == LETTER
+    standin = kind == NUMBER
+    standin[2 : n + 2] |= np.isin(points, _STANDINS)
+    near = lambda flags, k: flags[2 + k : n + 2 + k] & (text[2 + k : n + 2 + k] == text[2 : n + 2])
+    one = near(letter, -1) & near(letter, 1)
+    first = near(letter, -1) & near(standin, 1) & near(letter, 2)
+    second = near(letter, 1) & near(standin, -1) & near(letter, -2)
+    return letter[2 : n + 2] | (standin[2 : n + 2] & (one | first | second))
+
+
 def quoted(before: str, after: str) -> bool:
     """Whether a hit between these stretches of text is likely a quotation."""
     marks = sum(before.count(q) for q in _QUOTES)
@@ -246,8 +280,9 @@ def _positive_logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarra
 
 def fit(docs: DataFrame, labels: DataFrame, learnable: Column, sample: int = SAMPLE) -> tuple[list[str], list[tuple[float, float]], np.ndarray]:
     """Terms, their weights, the logistic weights."""
-    known = labels.where(learnable).select("doc_id", "toxic").where("toxic is not null").dropDuplicates(["doc_id"])
-    chosen = per_class(known, "toxic", sample)
+    # an id labelled both ways counts as toxic; ids of a bounded sample
+    known = labels.where(learnable).select("doc_id", "toxic").where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max(F.when(F.col("toxic") == 0, 0).otherwise(1)).alias("label"))
+    chosen = per_class(known, "label", sample)
     rows = _sampled(docs.select("doc_id", "text"), chosen)
     sizes = {r[0]: (r[1], r[2]) for r in chosen.groupBy("label").agg(F.count("*"), F.sum("weight")).collect()}
     none = np.zeros(FEATURES + 1)
@@ -266,7 +301,12 @@ def fit(docs: DataFrame, labels: DataFrame, learnable: Column, sample: int = SAM
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo).cast(pa.int32()), batch.column(1).slice(lo, hi - lo), pa.array(x.tolist(), pa.list_(pa.float64()))], ["label", "weight", "x"])
 
     found = rows.mapInArrow(task, "label int, weight double, x array<double>").collect()
-    return terms, weights, _positive_logistic(np.array([r[2] for r in found]), np.array([r[0] for r in found], float), np.array([r[1] for r in found]))
+    x = np.array([r[2] for r in found])
+    logistic = _positive_logistic(x, np.array([r[0] for r in found], float), np.array([r[1] for r in found]))
+    for exact, misspelled in ((0, 1), (2, 3)):
+        if not x[:, misspelled].any():  # no row of the sample tells its worth
+            logistic[misspelled] = logistic[exact]
+    return terms, weights, logistic
 
 
 def score(docs: DataFrame, terms: list[str], weights: list[tuple[float, float]], logistic: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
