@@ -11,11 +11,12 @@ damped mean blame of where its links go; its credit the same of allowed pages an
 links to it come from. It is blocked when its blame is over its credit and over ``THRESHOLD``.
 
 Link counts, seeds and ranks are grouped with partial sums; one host may have a third of
-all pages. Every few rounds the ranks go to the shared folder.
+all pages. Every few rounds the ranks go to the shared folder, and rounds end when they no
+longer change.
 
 Defined cases: a null url or one without ``://`` has empty host and path, no rule, and is
-allowed; null html has no links; links within a host don't count; repeated pages count
-each time.
+allowed; null html has no links; links within a host don't count; repeated pages and page
+ids count each time; very long html is searched whole; further columns aren't read.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ from keelson.llm.common import cut
 
 DAMPING = 0.85
 ROUNDS = 12
+#: Rounds between two written tables.
+EVERY = 3
 THRESHOLD = 0.5
 
 
@@ -81,28 +84,41 @@ def propagate(seeds: DataFrame, links: DataFrame, rounds: int = ROUNDS, damping:
     """``host, rank`` from ``seeds(host, seed)`` along ``links(src, dst, w)``."""
     # without a link out, a host's mass stays where it is
     ends = links.select("src").distinct().withColumn("out", F.lit(True))
-    ranks = seeds.select("host", F.col("seed").alias("rank"))
+    before = ranks = seeds.select("host", F.col("seed").alias("rank"))
     for k in range(rounds):
         moved = ranks.join(links, F.col("host") == F.col("src")).groupBy("dst").agg(F.sum(F.col("rank") * F.col("w")).alias("rank")).withColumnRenamed("dst", "host")
         stayed = ranks.join(ends, F.col("host") == F.col("src"), "left").where("out is null").select("host", "rank")
         spread = moved.unionByName(stayed).select("host", (F.col("rank") * damping).alias("rank"))
         ranks = spread.unionByName(seeds.select("host", (F.col("seed") * (1 - damping)).alias("rank"))).groupBy("host").agg(F.sum("rank").alias("rank"))
-        if k % 3 == 2:
+        if k % EVERY == EVERY - 1:
             ranks = cut(ranks)
+            if _settled(before, ranks, "rank"):
+                break
+            before = ranks
     return ranks
 
 
+def _settled(before: DataFrame, now: DataFrame, value: str) -> bool:
+    """Whether no host's value has changed."""
+    both = before.select("host", F.col(value).alias("was")).join(now, "host", "full_outer")
+    change = F.abs(F.coalesce("was", F.lit(0.0)) - F.coalesce(value, F.lit(0.0)))
+    return (both.agg(F.max(change)).first()[0] or 0.0) <= 1e-12
+
+
 def shares(own: DataFrame, links: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
     """``host, share``: a host's own share of ``own(host, own)``, or the damped sum of the
     shares of each ``dst`` of its ``links(src, dst, w)`` by weight, whichever is higher."""
     every = own.unionByName(links.select(F.explode(F.array("src", "dst")).alias("host"), F.lit(0.0).alias("own"))).groupBy("host").agg(F.max("own").alias("own"))
     every = cut(every)
-    found = every.select("host", F.col("own").alias("share"))
+    before = found = every.select("host", F.col("own").alias("share"))
     for k in range(rounds):
         passed = links.join(found, F.col("dst") == F.col("host")).groupBy("src").agg((F.sum(F.col("w") * F.col("share")) * damping).alias("passed"))
         found = every.join(passed, F.col("host") == F.col("src"), "left").select("host", F.greatest("own", F.coalesce("passed", F.lit(0.0))).alias("share"))
-        if k % 3 == 2:
+        if k % EVERY == EVERY - 1:
             found = cut(found)
+            if _settled(before, found, "share"):
+                break
+            before = found
     return found
 
 
@@ -116,17 +132,13 @@ def judge(pages: DataFrame, rules: list[UrlRule] = RULES, threshold: float = THR
     links = cut(host_links(named))
     hosts = cut(listed.where("host <> ''").groupBy("host").agg(F.count("*").alias("pages"), F.count_if("allow").cast("double").alias("good"), F.count_if(~F.col("allow")).cast("double").alias("bad")))
     good, bad = (hosts.where(f"{c} > 0").select("host", F.col(c).alias("seed")) for c in ("good", "bad"))
-    if links.isEmpty():  # nothing to spread over: every host keeps its own
-        trust, distrust = good.withColumnRenamed("seed", "trust"), bad.withColumnRenamed("seed", "distrust")
-        credit, blame = (hosts.select("host", (F.col(c) / F.col("pages")).alias(to)) for c, to in (("good", "credit"), ("bad", "blame")))
-    else:
-        into = links.groupBy("dst").agg(F.sum("w").alias("all"))
-        reverse = cut(links.join(into, "dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"), (F.col("w") / F.col("all")).alias("w")))
-        trust = propagate(good, links, rounds).withColumnRenamed("rank", "trust")
-        distrust = propagate(bad, reverse, rounds).withColumnRenamed("rank", "distrust")
-        own = lambda c: hosts.select("host", (F.col(c) / F.col("pages")).alias("own"))
-        credit = shares(own("good"), reverse, rounds).withColumnRenamed("share", "credit")
-        blame = shares(own("bad"), links, rounds).withColumnRenamed("share", "blame")
+    into = links.groupBy("dst").agg(F.sum("w").alias("all"))
+    reverse = cut(links.join(into, "dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"), (F.col("w") / F.col("all")).alias("w")))
+    trust = propagate(good, links, rounds).withColumnRenamed("rank", "trust")
+    distrust = propagate(bad, reverse, rounds).withColumnRenamed("rank", "distrust")
+    own = lambda c: hosts.select("host", (F.col(c) / F.col("pages")).alias("own"))
+    credit = shares(own("good"), reverse, rounds).withColumnRenamed("share", "credit")
+    blame = shares(own("bad"), links, rounds).withColumnRenamed("share", "blame")
     scored = hosts.join(trust, "host", "left").join(distrust, "host", "left").join(credit, "host").join(blame, "host").select("host", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"), "credit", "blame")
     scored = scored.withColumn("blocked", (F.col("blame") > F.col("credit")) & (F.col("blame") > threshold)).drop("credit", "blame")
     allow = F.coalesce("allow", ~F.col("blocked"), F.lit(True))
