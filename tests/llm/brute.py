@@ -110,3 +110,75 @@ def quality(text):
             seen.add(line)
     n = len(words)
     return n, sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")), again, len(inside), n < 20 or 100 * len(inside) > 30 * n
+
+
+def coverage(text, lengths):
+    """Shares of word characters inside n-grams and lines of a text that repeat."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    total, out = max(1, sum(map(len, words))), {}
+    for n in lengths:
+        grams = Counter(tuple(words[i : i + n]) for i in range(len(words) - n + 1))
+        inside = {k for i in range(len(words) - n + 1) if grams[tuple(words[i : i + n])] > 1 for k in range(i, i + n)}
+        out[n] = sum(len(words[k]) for k in inside) / total
+    seen, again = set(), 0
+    for line in (text or "").split("\n"):
+        solid = re.sub(r"[\x20\x09-\x0D]", "", line)
+        if solid:
+            again += len(solid) * (line in seen)
+            seen.add(line)
+    out["line"] = again / total
+    return out
+
+
+def judge(pages, rounds=12, damping=0.85):
+    """Host, path, rule, verdict, trust and distrust of each page."""
+    rules = [("com", "/", True), ("example.com", "/en/", False), ("www.example.com", "/en/", True), ("net", "/es/", False), ("net", "/fr/", False)]
+    rows, found = [], Counter()
+    for _, url, html in pages:
+        rest = (url or "").split("://", 1)[1] if "://" in (url or "") else ""
+        host = lower(re.split(r"[/?#]", rest)[0])
+        path = re.split(r"[?#]", rest)[0][len(host) :]
+        fits = [r for r in rules if (host == r[0] or host.endswith("." + r[0])) and path.startswith(r[1])]
+        rows.append((host, path, max(fits, key=lambda r: len(r[0] + r[1]), default=None)))
+        for m in re.findall(r"""(?i)href\s*=\s*["']?\s*(?:https?:)?//([^"'\s>/?#]+)""", html or ""):
+            if host and lower(m) not in ("", host):
+                found[host, lower(m)] += 1
+    hosts = {h for h, _, _ in rows if h}
+    n = Counter(h for h, _, _ in rows if h)
+    marked = {k: Counter(h for h, _, r in rows if h and r and r[2] is k) for k in (True, False)}
+    out = Counter()
+    for (a, _), c in found.items():
+        out[a] += c
+    links = {(a, b): c / out[a] for (a, b), c in found.items()}
+    into = Counter()
+    for (_, b), w in links.items():
+        into[b] += w
+    back = {(b, a): w / into[b] for (a, b), w in links.items()}
+
+    def rank(seeds, edges):
+        now, ends = dict(seeds), {a for a, _ in edges}
+        for _ in range(rounds):
+            new = Counter({h: (1 - damping) * s for h, s in seeds.items()})
+            for h, r in now.items():
+                if h not in ends:
+                    new[h] += damping * r
+            for (a, b), w in edges.items():
+                new[b] += damping * w * now.get(a, 0)
+            now = new
+        return now
+
+    def share(own, edges):
+        every = {**{x: 0.0 for e in edges for x in e}, **own}
+        now = dict(every)
+        for _ in range(rounds):
+            passed = Counter()
+            for (a, b), w in edges.items():
+                passed[a] += damping * w * now[b]
+            now = {h: max(every[h], passed[h]) for h in every}
+        return now
+
+    trust, distrust = rank(marked[True], links), rank(marked[False], back)
+    credit, blame = share({h: marked[True][h] / n[h] for h in hosts}, back), share({h: marked[False][h] / n[h] for h in hosts}, links)
+    for host, path, r in rows:
+        allow = r[2] if r else not (host and blame[host] > credit[host] and blame[host] > 0.5)
+        yield host, path, r and r[0] + r[1], "allow" if allow else "block", round(trust.get(host, 0.0), 6) if host else 0.0, round(distrust.get(host, 0.0), 6) if host else 0.0

@@ -74,6 +74,21 @@ def test_suffix_dedup_repeated_rows_and_null_ids(spark):
     assert got == [(0, 0), (450, 450), (500, 500), (500, 500)]
 
 
+def test_repeated_passages_are_counted(spark):
+    rnd = random.Random(6)
+    word = lambda: "".join(rnd.choice("aeioulnrst") for _ in range(rnd.randint(1, 5)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    passages = [text(51) for _ in range(6)]
+    assert max(map(len, passages)) < 400
+    rows = [text(rnd.randint(0, 90)) + " " + p + " " + text(rnd.randint(0, 90)) for p in passages for _ in range(3)]
+    planted = len(rows)
+    rows += [text(rnd.randint(1, 200)) for _ in range(30)] + [p.replace(" ", "\n", 20) for p in passages[:2]]
+    rows += [None, "", passages[0][:150], text(60) + " " + " ".join(passages[5].split()[:20]), (own := text(70)) + " " + own]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    found = {r["doc_id"]: r["n_passages"] for r in suffix_dedup.remove_repeats(df).collect()}
+    assert [d for d, n in sorted(found.items()) if n] == [*range(planted), planted + 30, planted + 31]
+
+
 def test_long_text_in_chunks(monkeypatch, docs):
     monkeypatch.setattr(suffix_dedup, "_LONG_TEXT", 1 << 14)
     raw = (DOCS[-8][1] or "").encode()
@@ -115,6 +130,22 @@ def test_secret_ledger_scans_only_unseen(spark, docs):
     assert secrets.scan_unseen(versions, ledger, secrets.RULES[:2]).count() == distinct
 
 
+def test_secret_ledger_is_kept_at_a_path(tmp_path, spark, docs):
+    path = f"{tmp_path}/ledger"
+    ledger = lambda: spark.read.parquet(path).count()
+    want = {d: len(brute.secrets(t)) for d, t in DOCS}
+    for _ in range(2):  # the second time nothing is scanned
+        assert {r["doc_id"]: len(r["spans"]) for r in secrets.scan_documents(docs, ledger_path=path).collect()} == want
+        assert ledger() == len({t or "" for _, t in DOCS})
+    more = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(900, "token=abcdef99"), (901, DOCS[7][1]), (902, "secret=ZZ " + "q" * 3_000_000 + " token=abcdef99")], "doc_id long, text string"))
+    got = {r["doc_id"]: [(s["start"], s["nth"], s["kind"], s["end"]) for s in r["spans"]] for r in secrets.scan_documents(more, ledger_path=path).collect()}
+    assert [len(got[d]) for d in (900, 901, 902)] == [1, 0, 1] and got[902][0][3] == 3_000_025
+    assert ledger() == len({t or "" for _, t in DOCS}) + 2
+    # a ledger that holds a blob twice doubles no finding
+    twice, versions = spark.read.parquet(path), more.select(F.col("doc_id").alias("path"), F.lit(0).alias("version"), F.col("text").alias("content"))
+    assert secrets.findings_of(versions, twice.unionByName(twice)).count() == more.count()
+
+
 def test_redact(docs):
     out = secrets.redact(docs)
     assert out.columns == docs.columns
@@ -206,6 +237,22 @@ def test_decontaminate_rows_without_own_ids(spark, bench):
     assert one == many and sum(r[2] > 0 for r in many) == 6
 
 
+@pytest.mark.parametrize("window", [1, 2, 3, 10])
+def test_decontaminate_windows_in_a_small_alphabet(spark, window):
+    rnd = random.Random(window)
+    text = lambda n: " ".join(rnd.choice("abc" if window > 1 else "abcdefghijklmnop") for _ in range(n))
+    items = [(i, text(rnd.randint(0, 3 * window + 2))) for i in range(12 if window < 10 else 60)]
+    passage = text(4 * window)
+    items += [(100, passage), (101, passage), (102, passage + " a")]
+    docs = [(i, text(rnd.randint(0, 40))) for i in range(40)] + [(200, text(9) + " " + passage + " " + text(7)), (201, None), (202, "Z " * 30_000 + passage)]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for size in (4 << 20, 40):
+        found = decontaminate.find_contamination(df, bench, window, automaton_bytes=size)
+        listed = F.array_join(F.array_sort(F.transform("item_ids", lambda x: x.cast("string"))), ",")
+        got = table(found.select("doc_id", "n_words", "n_hit", F.size("item_ids").alias("k"), F.sha2(listed, 256).alias("s"), (F.col("n_hit") > 0).alias("c")), "*")
+        assert got == brute.contamination(docs, items, window)
+
+
 def test_decontaminate_spans(docs, bench):
     row = decontaminate.find_contamination(docs, bench).where("size(item_ids) > 0").orderBy("doc_id").first()
     text = dict(DOCS)[row["doc_id"]]
@@ -250,6 +297,94 @@ def test_packing_round_trip():
             tokenfile.unpack(b"nope")
 
 
+def thue_morse(n, one="a", two="b"):
+    """Two texts of n symbols, each the other with its symbols swapped, whose polynomial
+    hashes modulo a power of two are equal."""
+    bits = [i.bit_count() % 2 for i in range(n)]
+    return "".join(one if b else two for b in bits), "".join(two if b else one for b in bits)
+
+
+MORSE = [t for n in (1024, 2048, 8192) for t in thue_morse(n)]
+
+
+def test_hashes_tell_thue_morse_texts_apart(spark):
+    import numpy as np
+    import tokenizers
+
+    tune(spark)
+    for size in (400, 60):
+        rows = list(enumerate([*MORSE, *thue_morse(1024, "ab ", "ba ")]))
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        got = table(suffix_dedup.remove_repeats(df, size), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+        assert got == brute.suffix_dedup(rows, size)
+    path, bytes_ = (tokenizers.Tokenizer.from_file(public_tokenizers.path(f)) for f in ("word_bpe_49k.json", "byte_bpe_50k.json"))
+    codec, encoder = bpe.Codec(public_tokenizers.path("word_bpe_49k.json")), tokenfile.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    assert [x.tolist() for x in codec.encode_batch(MORSE)] == [path.encode(t, add_special_tokens=False).ids for t in MORSE]
+    ids, counts = encoder.encode(MORSE)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [[*bytes_.encode(t, add_special_tokens=False).ids, 2] for t in MORSE]
+    lines = ["\n".join(thue_morse(n)) for n in (1024, 4096)] + ["\n".join([*thue_morse(1024), *thue_morse(1024)]), " ".join(thue_morse(1024)) + " x" * 30]
+    found = quality.repetition_rules(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"))
+    assert {r["doc_id"]: tuple(r)[1:6] + (r["base_failed"],) for r in found.collect()} == {i: brute.quality(t) for i, t in enumerate(lines)}
+
+
+def test_equal_hashes_are_told_apart_by_their_codes(monkeypatch):
+    import numpy as np
+
+    from keelson.llm import common
+
+    codes = np.frombuffer(b"abcabdabcxyzab", np.uint8)
+    starts, ends = np.array([0, 3, 6, 9, 12]), np.array([3, 6, 9, 12, 14])
+    right = common.span_hashes
+    monkeypatch.setattr(common, "span_hashes", lambda c, s, e, seed=0: right(c, s, e, seed) % np.uint64(1 if seed < 2 else 1 << 63))
+    assert common.first_equal(codes, starts, ends).tolist() == [0, 1, 0, 3, 4]
+    words = np.array([1, 2, 1, 2, 3, 1, 2])
+    clash = np.zeros(8, np.uint64), np.zeros(8, np.uint64)
+    assert quality.repeated(words, np.arange(6), 2, clash).tolist() == [0, 2, 5]
+
+
+def test_blocks_of_long_spans(monkeypatch):
+    import numpy as np
+
+    from keelson.llm import common
+
+    rng = np.random.default_rng(3)
+    codes = rng.integers(0, 4, 5000).astype(np.uint8)
+    cuts = np.unique(np.concatenate(([0, 5000], rng.integers(0, 5000, 300))))
+    starts, ends = cuts[:-1], cuts[1:]
+    whole = common.span_hashes(codes, starts, ends)
+    monkeypatch.setattr(common, "_BLOCK", 7)
+    assert (common.span_hashes(codes, starts, ends) == whole).all()
+    seen: dict = {}
+    want = [seen.setdefault(codes[a:b].tobytes(), k) for k, (a, b) in enumerate(zip(starts, ends, strict=True))]
+    assert common.first_equal(codes, starts, ends).tolist() == want
+
+
+def test_piece_table_stays_bounded():
+    import numpy as np
+
+    from keelson.llm.pretokens import PieceTable, code_points, split
+
+    t = PieceTable(lambda pieces: (np.array([len(p) for p in pieces]), np.ones(len(pieces), np.int64)), 20_000)
+    for k in range(30):
+        text = " ".join(f"w{'x' * (i % 9)}{chr(97 + k % 26)}{chr(97 + i % 26)}" for i in range(200))
+        points = code_points(text)
+        begin, end = split(points, np.array([0]), "words")
+        slots = t.look_up(text, points, begin, end)
+        assert t.ids[t.begin[slots]].tolist() == (end - begin).tolist()
+        assert len(t.slot) < 400
+
+
+def test_quality_coverage(docs):
+    found = {r["doc_id"]: r for r in quality.repetition_rules(docs).collect()}
+    for d, t in DOCS:
+        want = brute.coverage(t, quality.MAX_COVERAGE)
+        r = found[d]
+        assert [r[f"coverage_{n}"] for n in quality.MAX_COVERAGE] == pytest.approx([want[n] for n in quality.MAX_COVERAGE])
+        assert r["line_coverage"] == pytest.approx(want["line"])
+        bad = r["base_failed"] or want["line"] > quality.MAX_LINE_COVERAGE or r["n_symbols"] > quality.MAX_SYMBOLS_PER_WORD * r["n_words"]
+        assert r["kept"] == (not (bad or any(want[n] > most for n, most in quality.MAX_COVERAGE.items())))
+
+
 def test_quality(docs):
     got = {r["doc_id"]: tuple(r)[1:6] + (r["base_failed"],) for r in quality.repetition_rules(docs).collect()}
     assert got == {d: brute.quality(t) for d, t in DOCS}
@@ -292,6 +427,44 @@ def test_language_rejects_what_it_did_not_learn(spark):
     assert not [d for d in kept if d < 0] and len(kept) >= 0.99 * docs.count()
 
 
+def test_language_with_repeated_and_null_ids(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    some = docs.where("lang is not null").orderBy("doc_id").first()
+    many = spark.createDataFrame([(some["doc_id"], f"{some['text']} {i}", some["lang"]) for i in range(1000)] + [(None, some["text"], some["lang"]), (None, None, "en"), (-5, some["text"], None)], docs.schema)
+    both = docs.unionByName(many).withColumns({"label": F.lit(1), "weight": F.lit(2.0), "block": F.lit(3)})
+    model = language.fit(both, F.lit(True), sample=50)
+    assert len(model.languages) == docs.select("lang").where("lang is not null").distinct().count() and len(model.centroids) <= 4 * len(model.languages)
+    found = language.identify(both)
+    assert found.count() == both.count() and found.where("doc_id is null").select("held_out").distinct().collect() == [(False,)]
+    assert {r["lang_pred"] for r in found.where("doc_id is null").collect()} == {"und", some["lang"]}
+
+
+def test_samples_are_bounded_and_repeat(spark):
+    from keelson.llm import sampling
+
+    rows = spark.createDataFrame([(i, "a") for i in range(20_000)] + [(i, "b") for i in range(7)] + [(None, "a"), (3, None)], "doc_id long, label string")
+    got = [tuple(r) for r in sampling.per_class(rows, "label", 1000).collect()]
+    a, b = ([g for g in got if g[1] == k] for k in "ab")
+    assert 850 <= len(a) <= 1150 and {g[2] for g in a} == {20.0} and len(b) == 7 and {g[2] for g in b} == {1.0}
+    assert sorted(got) == sorted(tuple(r) for r in sampling.per_class(rows.repartition(7), "label", 1000).collect())
+    assert sampling.per_class(rows.limit(0), "label", 5).count() == 0
+    with pytest.raises(ValueError):
+        sampling.per_class(rows.withColumn("label", F.col("doc_id").cast("string")), "label", 5)
+
+
+def test_toxicity_odd_rows(spark):
+    plain, abuse = "the garden was quiet and the bread was warm", "the garden was quiet, wretch, and the bread was warm"
+    texts = [(i, abuse if i % 4 == 0 else plain + f" {i}") for i in range(200)]
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i, _ in texts] + [(0, 1, 1), (None, 1, 1), (5, 0, None)], "doc_id long, quality int, toxic int")
+    odd = [(None, abuse), (None, None), (900, ""), (901, plain + ", wr3tch and wertch"), (4, abuse), (902, plain + " " + "word " * 400_000 + abuse + " wretch" * 50)]
+    df = spark.createDataFrame([*texts, *odd], "doc_id long, text string").withColumns({"label": F.lit("x"), "weight": F.lit("y"), "score": F.lit(0)})
+    found = [(r["doc_id"], r["held_out"], r["predicted"]) for r in toxicity.toxic_scores(df, labels).collect()]
+    assert len(found) == len(texts) + len(odd)
+    assert sorted(p for d, h, p in found if d is None) == [0, 1] and not any(h for d, h, _ in found if d is None)
+    by = {d: p for d, _, p in found if d is not None}
+    assert by[900] == 0 and by[901] == 1 and by[902] == 1 and by[4] == 1 and by[5] == 0
+
+
 def test_toxicity_held_out(spark):
     docs, labels = (spark.read.parquet(f"{SF.replace('0.01', '0.1')}/{t}.parquet") for t in ("documents", "labels"))
     found = toxicity.toxic_scores(docs, labels).join(labels, "doc_id").where("held_out").groupBy("toxic").agg(F.avg("predicted").alias("p"))
@@ -301,7 +474,10 @@ def test_toxicity_held_out(spark):
 
 def test_lexicon_automaton():
     a = toxicity.Automaton(["idiot", "scum", "disgusting"])
-    assert [a.match(w) for w in ("idiot", "idoit", "idiots", "idot", "ydiot", "scum", "scums", "disgustign", "the", "")] == [0, -1, 1, 1, 1, 2, -1, 5, -1, -1]
+    assert [a.match(w) for w in ("idiot", "idoit", "idiots", "idot", "ydiot", "scum", "scums", "disgustign", "the", "")] == [0, 1, 1, 1, 1, 2, 3, 5, -1, -1]
+    assert [a.match(w) for w in ("1diot", "id1ot", "s*um", "sc*m", "dsigusting", "disgsutign", "scmu", "cum", "scm", "sucm", "di", "idoti")] == [1, 1, 3, 3, 5, 5, 3, 3, 3, 3, -1, -1]
+    whole, _, begin, end, owner = toxicity.words_of(["You l0ser, st*pid f**k 12 a1", "1b c 2d don't x@@@y"])
+    assert [(o, whole[b:e]) for o, b, e in zip(owner.tolist(), begin.tolist(), end.tolist(), strict=True)] == [(0, "you"), (0, "l0ser"), (0, "st*pid"), (0, "f**k"), (0, "a"), (1, "b"), (1, "c"), (1, "d"), (1, "don"), (1, "t"), (1, "x"), (1, "y")]
     assert toxicity.quoted('they called it "', '" yesterday') and not toxicity.quoted("you ", " fool")
 
 
@@ -335,6 +511,20 @@ def test_urls_verdicts_do_not_hang_on_page_counts(spark):
     assert got == {(f"farm{i}.org", "block") for i in range(40)} | {("big.org", "block"), ("mixed.org", "allow"), ("far.org", "block")}
 
 
+def test_urls_whole_judgement(spark):
+    rnd = random.Random(9)
+    hosts = [f"h{i}.{rnd.choice(['com', 'net', 'org', 'org', 'org'])}" for i in range(25)]
+    rows = []
+    for i in range(160):
+        out = "".join(f'<a href="http://{rnd.choice(hosts).upper()}/p{k}">' for k in range(rnd.choice([0, 0, 1, 2])))
+        rows.append((rnd.choice([i, 7, None]), f"http://{rnd.choice(hosts)}/{rnd.choice(['es', 'fr', 'x'])}/{i}", out))
+    rows.append((500, "http://long.org/a", "z" * 2_000_000 + '<a href="http://' + hosts[0] + '/q">'))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"host": F.lit(1), "rule": F.lit(2), "allow": F.lit(3), "src": F.lit(4), "rank": F.lit(5)})
+    got = sorted(((r["host"], r["path"], r["rule"], r["verdict"], round(r["trust"], 6), round(r["distrust"], 6)) for r in urls.judge(pages).collect()), key=repr)
+    assert got == sorted(brute.judge(rows), key=repr)
+    assert {"allow", "block"} == {g[3] for g in got if g[2] is None}
+
+
 def test_propagation_is_pagerank(spark):
     rnd = random.Random(5)
     hosts = [f"h{i}" for i in range(12)]
