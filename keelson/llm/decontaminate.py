@@ -240,3 +240,17 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
     for shared in _shards(benchmark, automaton_bytes):
         docs = docs.mapInArrow(without(shared), docs.schema)
     return docs
+
+
+def oracle_sql(window: int = WINDOW) -> str:
+    """The digest query in DuckDB SQL: every window of every document against every window
+    of the benchmark."""
+    words = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    return f"""WITH d AS (SELECT doc_id, {words} AS w FROM documents), i AS (SELECT item_id, {words} AS w FROM benchmark),
+    iw AS (SELECT item_id, least({window}, len(w)) AS n, array_to_string(w[k:k + least({window}, len(w)) - 1], ' ') AS t FROM i, LATERAL (SELECT unnest(range(1, greatest(1, len(w) - {window - 1}) + 1)) AS k) WHERE len(w) > 0),
+    dw AS (SELECT doc_id, n, k, array_to_string(w[k:k + n - 1], ' ') AS t FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d, (SELECT DISTINCT n FROM iw) WHERE len(w) >= n)),
+    hits AS (SELECT doc_id, k, dw.n, item_id FROM dw JOIN iw ON dw.n = iw.n AND dw.t = iw.t),
+    places AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS p FROM (SELECT DISTINCT doc_id, k, n FROM hits)) GROUP BY doc_id),
+    items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS listed FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id)
+    SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+    FROM d LEFT JOIN places USING (doc_id) LEFT JOIN items USING (doc_id)"""

@@ -6,8 +6,8 @@ measure is the share of the text's word characters that lie inside such n-grams,
 the share inside repeated lines. A text fails when a share passes the bound of its
 length, when its symbols outnumber a bound per word, or by the base rules.
 
-Defined cases: a null or empty text has no words and fails (under ``min_words``);
-repeated rows are judged alike; any further column passes through by the caller's join.
+Defined cases: a null or empty text has no words and fails (under ``MIN_WORDS``); very long
+texts are measured alone; repeated rows are judged alike; further columns aren't read.
 """
 
 from __future__ import annotations
@@ -114,3 +114,22 @@ def repetition_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """One row of measures and verdicts per row of ``docs``; no shuffle."""
     schema = ", ".join(f"{f.name} {({pa.int64(): 'long', pa.float64(): 'double', pa.bool_(): 'boolean'})[f.type]}" for f in _SCHEMA)
     return docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).mapInArrow(_task, schema)
+
+
+def oracle_sql() -> str:
+    """The query in DuckDB SQL: every n-gram and line of a text by what it says."""
+    grams = sorted({BASE_N, *MAX_COVERAGE})
+    said = ", ".join(f"CASE WHEN i + {n - 1} <= n THEN string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND {n - 1} FOLLOWING) END AS g{n}" for n in grams)
+    starts = ", ".join(f"CASE WHEN g{n} IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, g{n}) > 1 THEN 1 ELSE 0 END AS r{n}" for n in grams)
+    inside = ", ".join(f"max(r{n}) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) AS in{n}" for n in grams)
+    shares = ", ".join(f"coalesce(sum(length(word)) FILTER (in{n} = 1), 0) AS c{n}" for n in MAX_COVERAGE)
+    coverage = ", ".join(f"coalesce(c{n}, 0) / greatest(coalesce(word_chars, 0), 1) AS coverage_{n}" for n in MAX_COVERAGE)
+    bad = " OR ".join(f"coverage_{n} > {most}" for n, most in MAX_COVERAGE.items())
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+    w AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i, len(ws) AS n FROM d), s AS (SELECT doc_id, i, word, {said} FROM w), r AS (SELECT doc_id, i, word, {starts} FROM s), c AS (SELECT doc_id, i, word, {inside} FROM r),
+    g AS (SELECT doc_id, CAST(sum(length(word)) AS BIGINT) AS word_chars, count(*) FILTER (in{BASE_N} = 1) AS n_repeat_words, {shares} FROM c GROUP BY doc_id),
+    l AS (SELECT doc_id, line, length(regexp_replace(line, '[\\x20\\x09-\\x0D]', '', 'g')) AS solid FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d)),
+    lines AS (SELECT doc_id, CAST(sum(n - 1) AS BIGINT) AS n_dup_lines, sum((n - 1) * solid) AS again FROM (SELECT doc_id, line, any_value(solid) AS solid, count(*) AS n FROM l WHERE solid > 0 GROUP BY doc_id, line) GROUP BY doc_id),
+    m AS (SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(word_chars, 0) AS word_chars, CAST(length(t) - length(translate(t, '#*$%&|<>', '')) AS BIGINT) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, {coverage},
+      coalesce(again, 0) / greatest(coalesce(word_chars, 0), 1) AS line_coverage, len(ws) < {MIN_WORDS} OR 100 * coalesce(n_repeat_words, 0) > {BASE_PERCENT} * len(ws) AS base_failed FROM d LEFT JOIN g USING (doc_id) LEFT JOIN lines USING (doc_id))
+    SELECT *, NOT (base_failed OR line_coverage > {MAX_LINE_COVERAGE} OR n_symbols > {MAX_SYMBOLS_PER_WORD} * n_words OR {bad}) AS kept FROM m"""

@@ -69,4 +69,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_secrets": secrets.oracle_sql()}
+    return {"op2_secrets": secrets.oracle_sql(), "op7_decontaminate": decontaminate.oracle_sql(), "op10_quality": quality.oracle_sql()}

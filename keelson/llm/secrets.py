@@ -10,7 +10,9 @@ from splitting the text at the pattern: the pieces before the matches and the ma
 themselves add up to code point offsets.
 
 Defined cases: null content is an empty blob; equal contents share one blob and are scanned
-once, whatever their number; rows that repeat give equal results; paths may be null.
+once, whatever their number; rows that repeat give equal results; paths may be null; very
+long texts are searched whole; of ``docs`` further columns aren't read, and pass through
+``redact``.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from __future__ import annotations
 import hashlib
 from typing import NamedTuple
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -116,20 +119,39 @@ def scan_unseen(versions: DataFrame, ledger: DataFrame | None = None, rules: lis
 def findings_of(versions: DataFrame, ledger: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
     """``path, version, blob, spans`` of every version, scanned now or before; blobs with no
     finding are not shuffled with them."""
-    found = ledger.where((F.col("rules") == rules_version(rules)) & (F.size("spans") > 0)).select("blob", "spans")
+    found = ledger.where((F.col("rules") == rules_version(rules)) & (F.size("spans") > 0)).select("blob", "spans").dropDuplicates(["blob"])
     listed = blobs(versions).select("path", "version", "blob")
     return listed.join(found, "blob", "left").select("path", "version", "blob", F.coalesce("spans", F.array().cast(f"array<{_SPAN}>")).alias("spans"))
 
 
+LEDGER = f"blob binary, rules string, spans array<{_SPAN}>"
+
+
+def scan_versions(versions: DataFrame, ledger_path: str | None = None, rules: list[Rule] = RULES) -> DataFrame:
+    """Findings of every version. With a ``ledger_path`` only blobs that the ledger there
+    does not hold under these rules are scanned, and added to it."""
+    if ledger_path is None:
+        return findings_of(versions, scan_unseen(versions, rules=rules), rules)
+    spark = versions.sparkSession
+    try:
+        ledger = spark.read.parquet(ledger_path)
+    except AnalysisException as e:  # no ledger yet
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        ledger = None
+    scan_unseen(versions, ledger, rules).write.mode("append").parquet(ledger_path)
+    return findings_of(versions, spark.read.schema(LEDGER).parquet(ledger_path), rules)
+
+
 def written(spans_: Column) -> Column:
     """Spans as comma-joined kind:start:end."""
     return F.array_join(F.transform(spans_, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
-def scan_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: list[Rule] = RULES) -> DataFrame:
+def scan_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: list[Rule] = RULES, ledger_path: str | None = None) -> DataFrame:
     """``doc_id, spans`` of each row of ``docs``, each a path with one version."""
     versions = docs.select(docs[id_col].alias("path"), F.lit(0).alias("version"), docs[text_col].alias("content"))
-    return findings_of(versions, scan_unseen(versions, rules=rules), rules).select(F.col("path").alias("doc_id"), "spans")
+    return scan_versions(versions, ledger_path, rules).select(F.col("path").alias("doc_id"), "spans")
 
 
 def redact(docs: DataFrame, mark: str = "[secret]", id_col: str = "doc_id", text_col: str = "text", rules: list[Rule] = RULES) -> DataFrame:

@@ -12,7 +12,8 @@ Payload, little-endian: b"PFR1", u32 ids, u32 blocks, u32 byte offset of each bl
 block is u32 minimum, u8 width, u16 exceptions, packed bits, u16 places, u32 values.
 
 Defined cases: a null or empty text is just the end id; an added token's string becomes its
-id; rows with one id follow each other; a text longer than a shard makes a longer shard.
+id; rows with one id follow each other, those with none come first; a text longer than a
+shard makes a longer shard; further columns are not read.
 """
 
 from __future__ import annotations
