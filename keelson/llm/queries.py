@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keelson.llm import bpe, decontaminate, language, quality, secrets, simhash, suffix_dedup, tokenfile, toxicity, urls
+from keelson.llm import bpe, centroids, decontaminate, language, packing, quality, secrets, simhash, spelling, suffix_dedup, tokenfile, toxicity, urls
 from keelson.llm.common import tables, tune
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,9 +64,24 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.repetition_rules(tables(tune(spark), sf_dir, "documents"))
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.write_and_read(tables(tune(spark), sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = spelling.variants(tables(tune(spark), sf_dir, "documents"))
+    return found.select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = centroids.clusters(tables(tune(spark), sf_dir, "embeddings"))
+    written = F.array_join(F.transform("centroid", lambda x: x.cast("string")), ",")
+    return found.select(F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", F.sha2(written, 256).alias("centroid_sha256"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_secrets, op3_simhash, op4_language, op5_toxicity, op6_urls, op7_decontaminate, op8_bpe, op9_token_files, op10_quality)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_secrets, op3_simhash, op4_language, op5_toxicity, op6_urls, op7_decontaminate, op8_bpe, op9_token_files, op10_quality, op11_packing, op12_spelling, op13_centroids)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_secrets": secrets.oracle_sql(), "op7_decontaminate": decontaminate.oracle_sql(), "op10_quality": quality.oracle_sql()}
+    return {"op2_secrets": secrets.oracle_sql(), "op7_decontaminate": decontaminate.oracle_sql(), "op10_quality": quality.oracle_sql(), "op12_spelling": spelling.oracle_sql(), "op13_centroids": centroids.oracle_sql()}

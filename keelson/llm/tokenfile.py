@@ -102,13 +102,16 @@ def unpack(payload: bytes, first: int = 0, last: int | None = None) -> np.ndarra
 class Encoder:
     """The tokenizers library over distinct pieces: each piece of a worker is encoded once."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, end_id: int = END_ID):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import tokenizers
 
+        self.end_id = end_id
         self.library = tokenizers.Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        #: Bytes that any id of the vocabulary fits.
+        self.id_bytes = 2 if max(self.library.get_vocab().values()) < 1 << 16 else 4
         with open(path, encoding="utf-8") as f:
             self.added = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
         self.special = re.compile("(" + "|".join(map(re.escape, self.added)) + ")") if self.added else None
@@ -141,7 +144,7 @@ class Encoder:
         of = np.repeat(np.searchsorted(at, begin, "right") - 1, counts)
         owner = np.array(owner, np.int64)
         last_part = np.searchsorted(owner, np.arange(len(texts)), "right") - 1
-        add_ids = np.array([m[1] for m in marks] + [END_ID] * len(texts), np.uint32)
+        add_ids = np.array([m[1] for m in marks] + [self.end_id] * len(texts), np.uint32)
         add_of = np.concatenate((np.array([m[0] for m in marks], np.int64), last_part))
         places = np.searchsorted(of, add_of, "right")
         order = np.argsort(add_of, kind="stable")
@@ -150,8 +153,8 @@ class Encoder:
 
 
 @functools.lru_cache(2)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+def encoder(path: str, end_id: int = END_ID) -> Encoder:
+    return Encoder(path, end_id)
 
 
 _FILE = pa.schema([("part", pa.int32()), ("part_start", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("payload", pa.binary())])

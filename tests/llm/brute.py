@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+import zlib
 from collections import Counter
 
 
@@ -182,3 +184,62 @@ def judge(pages, rounds=12, damping=0.85):
     for host, path, r in rows:
         allow = r[2] if r else not (host and blame[host] > credit[host] and blame[host] > 0.5)
         yield host, path, r and r[0] + r[1], "allow" if allow else "block", round(trust.get(host, 0.0), 6) if host else 0.0, round(distrust.get(host, 0.0), 6) if host else 0.0
+
+
+def vocabulary(docs, slip=31):
+    """Words of at least 7 letters and 2 occurrences, after slips, by one pass over all runs."""
+    counts = Counter()
+    for d, text in docs:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            w = "".join(c.lower() if c.isascii() else c for c in run)
+            h = zlib.crc32(f"{'' if d is None else d}:{w}".encode())
+            if h % slip == 0:
+                w = w[: h % len(w)] + w[h % len(w) + 1 :]
+            counts[w] += 1
+    return {w: n for w, n in counts.items() if len(w) >= 7 and n >= 2}
+
+
+def one_edit(a, b):
+    if len(a) > len(b):
+        a, b = b, a
+    if a == b or len(b) - len(a) > 1:
+        return False
+    k = next((i for i in range(len(a)) if a[i] != b[i]), len(a))
+    return a[k:] == b[k + 1 :] or (len(a) == len(b) and a[k + 1 :] == b[k + 1 :])
+
+
+def variants(docs, slip=31):
+    """Rows of op12: every word against every other."""
+    words, out = vocabulary(docs, slip), {}
+    for w, n in words.items():
+        near = [(-m, v) for v, m in words.items() if one_edit(w, v)]
+        form = min(near)[1] if near and -min(near)[0] >= 10 * n else None
+        out[w] = (form, n, len(near), words[form] if form else None)
+    rows = []
+    for w, (form, n, n_near, form_n) in out.items():
+        root = w
+        while out[root][0]:
+            root = out[root][0]
+        rows.append((w, n, n_near, form, form_n, root))
+    return sorted(rows)
+
+
+def lloyd(rows, k=8, rounds=10, dims=64, scale=1024, seed="3"):
+    """Rows of op13 in plain integers."""
+    kept = [(i, [math.floor(scale * x) for x in v]) for i, v in rows if v and len(v) == dims and all(x is not None and math.isfinite(x) for x in v)]
+    order = sorted((hashlib.sha256(f"{seed}:{'' if i is None else i}".encode()).hexdigest(), v) for i, v in kept)
+    cents = [v for _, v in order[:k]]
+    far = lambda v, c: sum((a - b) ** 2 for a, b in zip(v, c, strict=True))
+    nearest = lambda v: min((far(v, c), j) for j, c in enumerate(cents))
+    for _ in range(rounds):
+        of = [nearest(v)[1] for _, v in kept]
+        for j in range(len(cents)):
+            own = [v for (_, v), o in zip(kept, of, strict=True) if o == j]
+            if own:
+                cents[j] = [sum(col) // len(own) for col in zip(*own, strict=True)]
+    last = [nearest(v) for _, v in kept]
+    inertia = Counter()
+    for d, j in last:
+        inertia[j] += d
+    key = lambda r: (r[0] is None, r)
+    return sorted(((i, j, d, inertia[j], sum(inertia.values()), cents[j]) for (i, _), (d, j) in zip(kept, last, strict=True)), key=lambda r: (r[0] is None, r[0] or 0, r[1:]))
