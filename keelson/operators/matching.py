@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from keelson.functions import text as T
+from keelson.operators import classes
 from keelson.sources.scratch import cut
 
 BLOCK_ROWS = 8192
@@ -30,36 +31,82 @@ def _unit(v: np.ndarray) -> np.ndarray:
     return np.divide(v, n, out=np.zeros_like(v), where=n > 0)
 
 
-def similar_vectors(a: DataFrame, b: DataFrame, threshold: float = 0.68, margin: float = 0.08, k: int | None = 5, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def _cells(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
+    """``rows`` with the nearest pivot as ``cell``, and how far (in radians) they are from it."""
+
+    @F.pandas_udf("cell int, angle double")
+    def nearest(v: pd.Series) -> pd.DataFrame:
+        cosine = _unit(np.stack(v).astype(np.float64)) @ pivots.T
+        cell = cosine.argmax(1)
+        return pd.DataFrame({"cell": cell.astype(np.int32), "angle": np.arccos(np.clip(cosine[np.arange(len(cell)), cell], -1, 1))})
+
+    return rows.withColumn("x", nearest("v")).select("id", "v", "x.cell", "x.angle")
+
+
+def _blocks(a: DataFrame, b: DataFrame, threshold: float, block_rows: int, most_pivots: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Both sides with their ``cell`` and the ``sub`` block in it, and the pairs of cells
+    ``a_cell, a_subs, b_cell, b_subs`` that can hold a cosine of ``threshold``.
+
+    Pivots are some of the rows, those with the least id hash, at most ``most_pivots``; the driver
+    sees them, and a count and radius for each. Two cells whose centres' angle less both
+    radii is over the threshold's angle hold no such pair.
+    """
+    spark = a.sparkSession
+    sizes = [x.count() for x in (a, b)]
+    n = min(most_pivots, -(-sum(sizes) // block_rows))
+    if n <= 1 or threshold <= 0:
+        pivots = np.zeros((1, 1))
+        cells = [x.select("id", "v", F.lit(0).alias("cell"), F.lit(0.0).alias("angle")) for x in (a, b)]
+        known = [{0: (size, 0.0)} for size in sizes]
+    else:
+        first = a.select("id", "v").unionByName(b.select("id", "v")).orderBy(F.xxhash64("id"), "id").limit(n).collect()
+        pivots = _unit(np.array([r["v"] for r in first], np.float64))
+        cells = [cut(_cells(x.select("id", "v").where(F.exists("v", lambda c: c != 0)), pivots)) for x in (a, b)]  # a zero vector is like none
+        known = [{r["cell"]: (r["n"], r["far"]) for r in x.groupBy("cell").agg(F.count("*").alias("n"), F.max("angle").alias("far")).collect()} for x in cells]
+    between = np.arccos(np.clip(pivots @ pivots.T, -1, 1))
+    reach = np.arccos(min(1.0, threshold)) + 1e-5  # cosines are rounded
+    subs = [{c: max(1, -(-n // block_rows)) for c, (n, _) in x.items()} for x in known]
+    met = [(i, subs[0][i], j, subs[1][j]) for i, (_, far_a) in known[0].items() for j, (_, far_b) in known[1].items() if n <= 1 or threshold <= 0 or between[i, j] - far_a - far_b <= reach]
+    pairs = spark.createDataFrame(met, "a_cell int, a_subs int, b_cell int, b_subs int")
+    return cells[0], cells[1], pairs
+
+
+def similar_vectors(a: DataFrame, b: DataFrame, threshold: float = 0.68, margin: float = 0.08, k: int | None = 5, block_rows: int = BLOCK_ROWS, most_pivots: int = 1024) -> DataFrame:
     """``a_id, b_id, cosine, rank`` of ``a(id, v)`` and ``b(id, v)``: cosines of at least
     ``threshold``, within ``margin`` of the row's best, the best ``k`` or, without ``k``, all.
 
-    Rows of both sides fall into blocks by id hash; each block of one side meets each of the
-    other in a task of its own, which multiplies them and keeps the best ``k`` of each row:
-    the overall best are among the blocks' best. Cosines are taken in double precision and
-    rounded to six places before they are compared.
+    Rows of both sides fall into cells around pivots, large cells into blocks by id hash. Blocks
+    of two cells meet in a task each, unless the cells are too far apart to hold a pair; the
+    task multiplies them and keeps the best ``k`` of each row: the overall best are among the
+    blocks' best. Cosines are taken in double precision and rounded to six places before they
+    are compared.
     """
-    n_a, n_b = (max(1, -(-x.count() // block_rows)) for x in (a, b))
-    left = a.select(F.lit(0).alias("side"), "id", "v", F.pmod(F.xxhash64("id"), F.lit(n_a)).cast("int").alias("i")).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(n_b - 1))))
-    right = b.select(F.lit(1).alias("side"), "id", "v", F.pmod(F.xxhash64("id"), F.lit(n_b)).cast("int").alias("j")).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n_a - 1))))
+    left, right, pairs = _blocks(a, b, threshold, block_rows, most_pivots)
+    sub = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    key = ["a_cell", "b_cell", "a_sub", "b_sub"]
+    mine = left.select(F.lit(0).alias("side"), "id", "v", F.col("cell").alias("a_cell")).join(pairs, "a_cell").withColumn("a_sub", sub("a_subs")).withColumn("b_sub", every("b_subs"))
+    other = right.select(F.lit(1).alias("side"), "id", "v", F.col("cell").alias("b_cell")).join(pairs, "b_cell").withColumn("b_sub", sub("b_subs")).withColumn("a_sub", every("a_subs"))
 
     def multiply(cell: pd.DataFrame) -> pd.DataFrame:
         x, y = cell[cell["side"] == 0], cell[cell["side"] == 1]
-        out = {"a_id": [], "b_id": [], "cosine": []}
+        found = []
         if len(x) and len(y):
-            ids = y["id"].to_numpy()
-            other = _unit(np.stack(y["v"]).astype(np.float64)).T
+            own, ids = x["id"].to_numpy(), y["id"].to_numpy()
+            others = _unit(np.stack(y["v"]).astype(np.float64)).T
             for lo in range(0, len(x), _CHUNK):
-                part = x.iloc[lo : lo + _CHUNK]
-                for own, row in zip(part["id"].tolist(), np.round(_unit(np.stack(part["v"]).astype(np.float64)) @ other, 6), strict=True):
-                    hit = np.flatnonzero(row >= threshold)
-                    hit = hit[np.lexsort((ids[hit], -row[hit]))][:k]
-                    out["a_id"] += [own] * len(hit)
-                    out["b_id"] += ids[hit].tolist()
-                    out["cosine"] += row[hit].tolist()
-        return pd.DataFrame(out)
-
-    found = left.unionByName(right).groupBy("i", "j").applyInPandas(multiply, "a_id long, b_id long, cosine double")
+                part = np.round(_unit(np.stack(x["v"].iloc[lo : lo + _CHUNK]).astype(np.float64)) @ others, 6)
+                i, j = np.nonzero(part >= threshold)
+                cosine = part[i, j]
+                if k is not None:
+                    order = np.lexsort((ids[j], -cosine, i))
+                    i, j, cosine = i[order], j[order], cosine[order]
+                    best = np.arange(len(i)) - np.searchsorted(i, i) < k
+                    i, j, cosine = i[best], j[best], cosine[best]
+                found.append(pd.DataFrame({"a_id": own[lo + i], "b_id": ids[j], "cosine": cosine}))
+        return pd.concat(found) if found else pd.DataFrame({"a_id": [], "b_id": [], "cosine": []})
+
+    found = mine.select("side", "id", "v", *key).unionByName(other.select("side", "id", "v", *key)).groupBy(*key).applyInPandas(multiply, "a_id long, b_id long, cosine double")
     order = Window.partitionBy("a_id").orderBy(F.desc("cosine"), "b_id")
     ranked = found.withColumns({"rank": F.row_number().over(order).cast("long"), "best": F.max("cosine").over(Window.partitionBy("a_id"))})
     within = F.lit(True) if k is None else F.col("rank") <= k
@@ -78,41 +125,69 @@ def replay(edges: list[tuple]) -> list[tuple]:
     return out
 
 
-_CHOSEN = "a_ord long, b_id long, score double"
+_CHOSEN = "a_ord long, b_id long, score double, sure boolean"
 
 
 def _first_free(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Greedy choice over a task's edges in order; it holds the b that are taken."""
-    used, done = set(), None
+    """Greedy choice over a task's edges in order, and whether it is sure to stand.
+
+    A choice is sure if no a before the task's range wants that b, and every b the row wanted
+    more is surely taken in the task. A row that isn't sure may yet take any b it wants from
+    there on, so none of those is sure for the rows after it.
+    """
+    used, taken, open_ = set(), set(), set()
+    low = row = choice = None
+    settled = unsure = False
     for batch in batches:
         out = []
-        for a, b, score in zip(batch["a_ord"].tolist(), batch["b_id"].tolist(), batch["score"].tolist(), strict=True):
-            if a != done and b not in used:
+        for a, b, score, first in zip(*(batch[c].tolist() for c in ("a_ord", "b_id", "score", "first_a")), strict=True):
+            if a != row:
+                if choice:
+                    out.append((row, *choice, settled))
+                low = a if low is None else low
+                row, choice, settled, unsure = a, None, False, False
+            if choice is None and b not in used:
                 used.add(b)
-                done = a
-                out.append((a, b, score))
-        yield pd.DataFrame(out, columns=["a_ord", "b_id", "score"])
+                choice = (b, score)
+            if unsure:
+                open_.add(b)
+            elif not settled and b not in taken:
+                if b in open_ or first < low:
+                    unsure = True
+                    open_.add(b)
+                else:
+                    settled = True
+                    taken.add(b)
+        yield pd.DataFrame(out, columns=["a_ord", "b_id", "score", "sure"])
+    if choice:
+        yield pd.DataFrame([(row, *choice, settled)], columns=["a_ord", "b_id", "score", "sure"])
 
 
 def greedy(edges: DataFrame, task_edges: int = TASK_EDGES) -> DataFrame:
     """One-to-one choice over ``edges(a_ord, pref, b_id, score)``, lower ``pref`` first.
 
-    In a round, each task chooses for a range of a alone, about ``task_edges`` edges. Where
-    several want one b, the least a holds it and refuses all later ones for good. Choices
-    before the first a that was refused are final, the whole first range among them; the
-    others choose again among the edges left, each round from a written table.
+    In a round, each task chooses for a range of a alone, about ``task_edges`` edges. Choices that no
+    earlier range can touch are final at once, wherever they stand, and so are those before the
+    first a that was refused: where several want one b, the least a holds it and refuses all
+    later ones for good. Rows with a final choice leave with all their edges, refused edges leave,
+    and the others choose again, each round from a written table.
     """
     left = cut(edges.select(F.col("a_ord").cast("long"), F.col("pref").cast("double"), F.col("b_id").cast("long"), F.col("score").cast("double")))
     chosen = left.select("a_ord", "b_id", "score").limit(0)
     while n := left.count():
-        ranges = left.repartitionByRange(-(-n // task_edges), "a_ord").sortWithinPartitions("a_ord", "pref", "b_id", "score")
-        wanted = cut(ranges.select("a_ord", "b_id", "score").mapInPandas(_first_free, _CHOSEN))
-        holders = cut(wanted.groupBy("b_id").agg(F.min("a_ord").alias("holder")))
-        refused = wanted.join(holders, "b_id").where("a_ord > holder").agg(F.min("a_ord")).first()[0]
+        first = left.groupBy("b_id").agg(F.min("a_ord").alias("first_a"))
+        ranges = left.join(first, "b_id").repartitionByRange(-(-n // task_edges), "a_ord").sortWithinPartitions("a_ord", "pref", "b_id", "score")
+        wanted = cut(ranges.select("a_ord", "b_id", "score", "first_a").mapInPandas(_first_free, _CHOSEN))
+        holders = wanted.groupBy("b_id").agg(F.min("a_ord").alias("holder"))
+        judged = cut(wanted.join(holders, "b_id"))
+        refused = judged.where("a_ord > holder").agg(F.min("a_ord")).first()[0]
         if refused is None:
-            return chosen.unionByName(wanted)
-        chosen = chosen.unionByName(wanted.where(F.col("a_ord") < refused))
-        left = cut(left.where(F.col("a_ord") >= refused).join(holders, "b_id", "left").where("holder is null or a_ord <= holder").select("a_ord", "pref", "b_id", "score"))
+            return chosen.unionByName(wanted.select("a_ord", "b_id", "score"))
+        final = (F.col("a_ord") == F.col("holder")) & (F.col("sure") | (F.col("a_ord") < refused))
+        done = cut(judged.where(final).select("a_ord", "b_id", "score"))
+        chosen = chosen.unionByName(done)
+        kept = left.where(F.col("a_ord") >= refused).join(done.select("a_ord"), "a_ord", "left_anti").join(done.select("b_id"), "b_id", "left_anti")
+        left = cut(kept.join(holders.select("b_id", "holder"), "b_id", "left").where("holder is null or a_ord <= holder").select("a_ord", "pref", "b_id", "score"))
     return chosen
 
 
@@ -124,6 +199,26 @@ def semantic_matches(a: DataFrame, b: DataFrame, threshold: float = 0.85) -> Dat
     return chosen.orderBy(F.desc("score"), "a_ord")
 
 
+def _rarest(sets: DataFrame, share: float) -> DataFrame:
+    """``side, ord, words, prefix`` of the non-empty word sets ``sets(side, ord, words)``: the rarest words, in
+    corpus order, one of which any set shares that has ``share`` of the words in common."""
+    sets = sets.where(F.size("words") > 0)
+    often = sets.select(F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    ranked = sets.select("side", "ord", F.explode("words").alias("w")).join(often, "w").groupBy("side", "ord").agg(F.array_sort(F.collect_list(F.struct("n", "w"))).alias("ws"))
+    listed, size = F.transform("ws", lambda x: x["w"]), F.size("ws")
+    # rounding must not shorten a prefix
+    return ranked.select("side", "ord", listed.alias("words"), F.slice(listed, F.lit(1), size - F.ceil(size * share - 1e-9).cast("int") + 1).alias("prefix"))
+
+
+def _meet(sets: DataFrame) -> DataFrame:
+    """``a_ord, aw, b_ord, bw`` of sets of both sides (``_rarest``) whose prefixes share a word, each
+    pair once: at the first word they share."""
+    keys = sets.select("side", "ord", "words", "prefix", F.explode("prefix").alias("w"))
+    side = lambda n, k: keys.where(F.col("side") == n).select("w", F.col("ord").alias(f"{k}_ord"), F.col("words").alias(f"{k}w"), F.col("prefix").alias(f"{k}p"))
+    met = side(0, "a").join(side(1, "b"), "w")
+    return met.where(F.get(F.array_intersect("ap", "bp"), F.lit(0)) == F.col("w")).select("a_ord", "aw", "b_ord", "bw")
+
+
 def word_join(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
     """``a_ord, b_ord, jaccard`` of word sets ``a(ord, words)``, ``b(ord, words)`` at
     ``least`` or more.
@@ -132,16 +227,9 @@ def word_join(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
     n - ceil(least n) + 1 by corpus frequency. Only those are dealt, so common words, which
     nearly every title has, rarely become keys.
     """
-    sets = a.select(F.lit(0).alias("side"), "ord", F.array_distinct("words").alias("words")).unionByName(b.select(F.lit(1).alias("side"), "ord", F.array_distinct("words").alias("words"))).where(F.size("words") > 0)
-    often = sets.select(F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("n"))
-    ranked = sets.select("side", "ord", F.explode("words").alias("w")).join(often, "w").groupBy("side", "ord").agg(F.array_sort(F.collect_list(F.struct("n", "w"))).alias("ws"))
-    size = F.size("ws")
-    keys = ranked.select("side", "ord", F.transform("ws", lambda x: x["w"]).alias("words"), F.explode(F.slice(F.transform("ws", lambda x: x["w"]), F.lit(1), size - F.ceil(size * least).cast("int") + 1)).alias("w"))
-    x = keys.where("side = 0").select("w", F.col("ord").alias("a_ord"), F.col("words").alias("aw"))
-    y = keys.where("side = 1").select("w", F.col("ord").alias("b_ord"), F.col("words").alias("bw"))
-    j = T.jaccard(F.col("aw"), F.col("bw"))
-    found = x.join(y, "w").withColumn("jaccard", j).where(F.col("jaccard") >= least)
-    return found.select("a_ord", "b_ord", "jaccard").distinct()
+    sets = a.select(F.lit(0).alias("side"), "ord", F.array_distinct("words").alias("words")).unionByName(b.select(F.lit(1).alias("side"), "ord", F.array_distinct("words").alias("words")))
+    found = _meet(_rarest(sets, least)).withColumn("jaccard", T.jaccard(F.col("aw"), F.col("bw"))).where(F.col("jaccard") >= least)
+    return found.select("a_ord", "b_ord", "jaccard")
 
 
 def compatible(a_close: Column, b_close: Column, days: float = 7) -> Column:
@@ -149,26 +237,40 @@ def compatible(a_close: Column, b_close: Column, days: float = 7) -> Column:
     return F.coalesce(F.abs(a_close - b_close) <= days, F.lit(True))
 
 
-def lexical_edges(a: DataFrame, b: DataFrame, least: float = 0.7) -> DataFrame:
-    """Acceptable title matches ``a_ord, b_ord, confidence, method`` before one-to-one
-    choice: equal titles 1.0, else 0.7 and up by word overlap."""
-    side = lambda x, k: x.select(F.col("ord").alias(f"{k}_ord"), T.normalize_title(F.col("question")).alias(f"{k}_title"), F.col("n_outcomes").alias(f"{k}_n"), F.col("close_day").alias(f"{k}_close"))
+def _title_classes(x: DataFrame) -> tuple[DataFrame, DataFrame]:
+    rows = x.select("ord", T.normalize_title(F.col("question")).alias("title"), F.col("n_outcomes").alias("n"), F.col("close_day").alias("close"))
+    return classes.classed(rows, "ord", "title", "n", "close")
+
+
+def _title_edges(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
+    """``a_class, b_class, confidence, method`` of classes ``class, title, n, close`` of both venues."""
+    side = lambda x, k: x.select(*(F.col(c).alias(f"{k}_{c}") for c in ("class", "title", "n", "close")))
     fits = (F.col("a_n") == F.col("b_n")) & compatible(F.col("a_close"), F.col("b_close"))
     sa, sb = side(a, "a"), side(b, "b")
-    exact = sa.join(sb, sa["a_title"] == sb["b_title"]).where(fits).select("a_ord", "b_ord", F.lit(1.0).alias("confidence"), F.lit("exact").alias("method"))
+    exact = sa.join(sb, sa["a_title"] == sb["b_title"]).where(fits).select("a_class", "b_class", F.lit(1.0).alias("confidence"), F.lit("exact").alias("method"))
     # words are compared once for each pair of titles, however many listings share them
     words = lambda x, k: x.select(F.col(f"{k}_title").alias("ord")).distinct().select("ord", T.keywords(F.col("ord")).alias("words"))
     alike = word_join(words(sa, "a"), words(sb, "b"), 0.5).where("a_ord <> b_ord").select(F.col("a_ord").alias("a_title"), F.col("b_ord").alias("b_title"), "jaccard")
     near = alike.join(sa, "a_title").join(sb, "b_title").where(fits)
-    near = near.select("a_ord", "b_ord", (0.7 + (F.col("jaccard") - 0.5) * 0.4).alias("confidence"), F.lit("keyword").alias("method"))
+    near = near.select("a_class", "b_class", (0.7 + (F.col("jaccard") - 0.5) * 0.4).alias("confidence"), F.lit("keyword").alias("method"))
     return exact.unionByName(near).where(F.col("confidence") >= least)
 
 
+def lexical_edges(a: DataFrame, b: DataFrame, least: float = 0.7) -> DataFrame:
+    """Acceptable title matches ``a_ord, b_ord, confidence, method`` before one-to-one
+    choice: equal titles 1.0, else 0.7 and up by word overlap."""
+    (rows_a, kinds_a), (rows_b, kinds_b) = _title_classes(a), _title_classes(b)
+    member = lambda x, k: x.select(F.col("class").alias(f"{k}_class"), F.col("ord").alias(f"{k}_ord"))
+    return _title_edges(kinds_a, kinds_b, least).join(member(rows_a, "a"), "a_class").join(member(rows_b, "b"), "b_class").select("a_ord", "b_ord", "confidence", "method")
+
+
 def lexical_matches(a: DataFrame, b: DataFrame, least: float = 0.7) -> DataFrame:
-    """One-to-one: in the order of a, the first acceptable b."""
-    edges = lexical_edges(a, b, least)
-    chosen = greedy(edges.select("a_ord", F.col("b_ord").cast("double").alias("pref"), F.col("b_ord").alias("b_id"), F.col("confidence").alias("score")))
-    return chosen.select("a_ord", F.col("b_id").alias("b_ord"), F.col("score").alias("confidence"))
+    """One-to-one: in the order of a, the first acceptable b. Listings with one title, number of
+    outcomes and close day are a class, and edges link classes."""
+    (rows_a, kinds_a), (rows_b, kinds_b) = _title_classes(a), _title_classes(b)
+    edges = cut(_title_edges(kinds_a, kinds_b, least))
+    chosen = classes.choose(rows_a, rows_b, edges.withColumn("pref", F.lit(0.0)))
+    return chosen.join(edges, ["a_class", "b_class"]).select("a_ord", "b_ord", "confidence")
 
 
 def apply_curated(matches: DataFrame, manual: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
@@ -180,27 +282,84 @@ def apply_curated(matches: DataFrame, manual: DataFrame, a: DataFrame, b: DataFr
     return sure.select("a_id", "b_id", F.lit(1.0).alias("confidence"), F.lit("manual").alias("method")).unionByName(kept.select("a_id", "b_id", "confidence", "method"))
 
 
-def forecast_edges(questions: DataFrame, markets: DataFrame, least: float = 0.8, window: int = 14) -> DataFrame:
-    """Binary questions with markets that close within ``window`` days: half title, a fixed
-    0.15, a fifth timing. Only neighbouring weeks meet."""
-    q = questions.where("type = 'binary'").select(F.col("id").alias("q_id"), T.pair_key(F.lower("title")).alias("q_title"), "resolve_day", "q2", "age_days", F.explode(F.sequence(F.floor((F.col("resolve_day") - window) / 7).cast("long"), F.floor((F.col("resolve_day") + window) / 7).cast("long"))).alias("week"))
-    m = markets.where("close_day is not null").select(F.col("ord").alias("m_ord"), T.pair_key(F.lower("question")).alias("m_title"), "close_day", "yes", F.floor(F.col("close_day") / 7).cast("long").alias("week"))
-    days = F.abs(F.col("close_day") - F.col("resolve_day"))
-    # titles whose lengths differ too much cannot be alike enough
+def _forecast_classes(questions: DataFrame, markets: DataFrame) -> tuple[tuple[DataFrame, DataFrame], tuple[DataFrame, DataFrame]]:
+    """Members and classes of binary questions and of dated markets, alike in title and day."""
+    q = questions.where("type = 'binary'").select(F.col("id").alias("ord"), F.lower("title").alias("title"), F.col("resolve_day").alias("day"))
+    m = markets.where("close_day is not null").select("ord", F.lower("question").alias("title"), F.col("close_day").alias("day"))
+    return classes.classed(q, "ord", "title", "day"), classes.classed(m, "ord", "title", "day")
+
+
+#: Bound on Dice from which titles meet by signatures; below it equal parts of titles are too common.
+SIGNED = 0.8
+#: Parts that sets alike share beyond the one they must.
+SPARE = 2
+
+
+def _signed(sets: DataFrame, need: float, *more: str) -> DataFrame:
+    """``side, ord, more..., sizes, part, key`` of ``sets(side, ord, words, more...)``: keys of which two sets share one
+    if their Dice is ``need`` or more.
+
+    Such sets differ in at most (1 - need) of their words together; dealt by hash to so many parts
+    and ``SPARE`` + 1 more, that many are the same in both. A part without words is a key only of a
+    set with over ``SPARE`` of those, for in any other a part with words is the same. Sizes
+    differ by a factor at most, so sets meet within two neighbouring classes of size, which bound the
+    number of parts.
+    """
+    ratio = (2 - need) / need
+    band = F.floor(F.log(F.size("words").cast("double")) / F.log(F.lit(ratio)) + 1e-9).cast("int")
+    own = sets.withColumn("sizes", F.explode(F.array(band - 1, band)))
+    parts = F.floor(F.lit(2 * (1 - need)) * F.pow(F.lit(ratio), F.col("sizes") + 2) + 1e-6).cast("int") + 1 + SPARE
+    hashed = own.withColumn("parts", parts).withColumn("h", F.transform("words", lambda w: F.xxhash64(w)))
+    same = lambda i: F.array_sort(F.filter("h", lambda h: F.pmod(h, F.col("parts").cast("long")) == i))
+    cells = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda i: T.let(same(i), lambda x: F.struct(i.alias("part"), F.xxhash64(x).alias("key"), (F.size(x) == 0).alias("none"))))
+    kept = T.let(cells, lambda c: F.when(F.size(F.filter(c, lambda x: x["none"])) > SPARE, c).otherwise(F.filter(c, lambda x: ~x["none"])))
+    return hashed.select("side", "ord", *more, "sizes", F.explode(kept).alias("x")).select("side", "ord", *more, "sizes", "x.part", "x.key")
+
+
+def _forecast_class_edges(q: DataFrame, m: DataFrame, least: float, window: int) -> DataFrame:
+    """``q_class, m_class, overall, method`` of classes ``class, title, day``.
+
+    Half a title's score, a fixed 0.15 and a fifth timing must reach ``least``, which bounds the
+    Dice of the titles from below. Classes meet within neighbouring weeks, and from a bound of
+    ``SIGNED`` on by signatures of their letter pairs, so that candidates grow with the matches.
+    """
     need = max(0.0, (least - 0.35) / 0.5)
+    week = lambda c: F.floor(c / 7).cast("long")
+    side = lambda x, n, weeks: x.select(F.lit(n).alias("side"), F.col("class").alias("ord"), "day", T.pair_key(F.col("title")).alias("k"), weeks.alias("weeks"))
+    sets = cut(side(q, 0, F.sequence(week(F.col("day") - window), week(F.col("day") + window))).unionByName(side(m, 1, F.array(week(F.col("day"))))))
+    keys = ["week"]
+    dealt = sets.select("side", "ord", F.col("k.pairs").alias("words"), F.explode("weeks").alias("week"))
+    if need >= SIGNED:
+        keys += ["sizes", "part", "key"]
+        few = dealt.where(F.size("words") == 0).select("side", "ord", "week", F.lit(0).alias("sizes"), F.lit(0).alias("part"), F.lit(0).cast("long").alias("key"))
+        dealt = _signed(dealt.where(F.size("words") > 0), need, "week").unionByName(few)
+    x, y = (dealt.where(F.col("side") == n).select(*keys, F.col("ord").alias(f"{k}_class")) for n, k in ((0, "q"), (1, "m")))
+    met = x.join(y, keys).select("q_class", "m_class")
+    own = lambda n, k: sets.where(F.col("side") == n).select(F.col("ord").alias(f"{k}_class"), F.col("k").alias(f"{k}_title"), F.col("day").alias(f"{k}_day"))
+    near = (met.distinct() if need >= SIGNED else met).join(own(0, "q"), "q_class").join(own(1, "m"), "m_class")
+    days = F.abs(F.col("m_day") - F.col("q_day"))
+    # titles whose lengths differ too much cannot be alike enough
     la, lb = F.size("q_title.pairs"), F.size("m_title.pairs")
-    alike = 2 * F.least(la, lb) >= need * (la + lb)
-    near = q.join(m, "week").where((days < window) & alike)
-    scored = near.withColumns({"title": T.dice_of(F.col("q_title"), F.col("m_title")), "timing": T.timing_similarity(days)})
-    return scored.withColumns({"overall": 0.5 * F.col("title") + 0.3 * 0.5 + 0.2 * F.col("timing"), "method": F.when(F.col("title") > 0.95, "exact").otherwise("fuzzy")}).where(F.col("overall") >= least)
+    scored = near.where((days < window) & (2 * F.least(la, lb) >= need * (la + lb))).withColumns({"dice": T.dice_of(F.col("q_title"), F.col("m_title")), "timing": T.timing_similarity(days)})
+    scored = scored.withColumns({"overall": 0.5 * F.col("dice") + 0.3 * 0.5 + 0.2 * F.col("timing"), "method": F.when(F.col("dice") > 0.95, "exact").otherwise("fuzzy")})
+    return scored.where(F.col("overall") >= least).select("q_class", "m_class", F.col("dice").alias("title"), "timing", "overall", "method")
+
+
+def forecast_edges(questions: DataFrame, markets: DataFrame, least: float = 0.8, window: int = 14) -> DataFrame:
+    """``q_id, m_ord, title, timing, overall, method``: binary questions with markets that close
+    within ``window`` days: half title, a fixed 0.15, a fifth timing."""
+    (rows_q, q), (rows_m, m) = _forecast_classes(questions, markets)
+    found = _forecast_class_edges(q, m, least, window)
+    return found.join(rows_q.select(F.col("class").alias("q_class"), F.col("ord").alias("q_id")), "q_class").join(rows_m.select(F.col("class").alias("m_class"), F.col("ord").alias("m_ord")), "m_class").drop("q_class", "m_class")
 
 
-def forecast_matches(questions: DataFrame, markets: DataFrame, least: float = 0.8) -> DataFrame:
+def forecast_matches(questions: DataFrame, markets: DataFrame, least: float = 0.8, window: int = 14) -> DataFrame:
     """``q_id, m_ord, overall, method``, one-to-one: in the order of questions, the best market
-    that is free."""
-    edges = forecast_edges(questions, markets, least).select("q_id", "m_ord", F.round("overall", 6).alias("overall"), "method")
-    chosen = greedy(edges.select(F.col("q_id").alias("a_ord"), (-F.col("overall")).alias("pref"), F.col("m_ord").alias("b_id"), F.col("overall").alias("score")))
-    return chosen.select(F.col("a_ord").alias("q_id"), F.col("b_id").alias("m_ord")).join(edges, ["q_id", "m_ord"])
+    that is free. Questions, and markets, with one title and day are a class."""
+    (rows_q, q), (rows_m, m) = _forecast_classes(questions, markets)
+    edges = cut(_forecast_class_edges(q, m, least, window).select(F.col("q_class").alias("a_class"), F.col("m_class").alias("b_class"), F.round("overall", 6).alias("overall"), "method"))
+    chosen = classes.choose(rows_q, rows_m, edges.withColumn("pref", -F.col("overall")))
+    return chosen.join(edges, ["a_class", "b_class"]).select(F.col("a_ord").alias("q_id"), F.col("b_ord").alias("m_ord"), "overall", "method")
 
 
 def resolve_verdicts(candidates: DataFrame, verdicts: DataFrame) -> DataFrame:

@@ -69,8 +69,9 @@ def j4(m: DataFrame) -> DataFrame:
     return matching.apply_curated(m, manual, m.select(F.col("a_id").alias("id")), m.select(F.col("b_id").alias("id")))
 
 
-_FC = "SELECT q_id, m_ord, round(overall, 6) AS overall, CASE WHEN dice > 0.95 THEN 'exact' ELSE 'fuzzy' END AS method FROM (SELECT *, 0.5 * dice + 0.3 * 0.5 + 0.2 * greatest(0.0, 1 - days / 14) AS overall FROM (" + dice_sql("""SELECT q.id AS q_id, l.ord AS m_ord, abs(l.close_day - q.resolve_day) AS days, regexp_replace(lower(q.title), '\\s+', '', 'g') AS a, regexp_replace(lower(l.question), '\\s+', '', 'g') AS b
-    FROM {questions} q JOIN {listings} l ON q.type = 'binary' AND abs(l.close_day - q.resolve_day) < 14 AND length(l.question) < 8 * length(q.title)""", dice=("a", "b")) + ")) WHERE overall >= 0.6"
+_FC = "SELECT q_id, m_ord, round(overall, 6) AS overall, CASE WHEN dice > 0.95 THEN 'exact' ELSE 'fuzzy' END AS method FROM (SELECT *, 0.5 * dice + 0.3 * 0.5 + 0.2 * greatest(0.0, 1 - days / 14) AS overall FROM (" + dice_sql("""SELECT * FROM (SELECT q.id AS q_id, l.ord AS m_ord, abs(l.close_day - q.resolve_day) AS days, q.t AS a, l.t AS b
+    FROM (SELECT *, regexp_replace(lower(title), '\\s+', '', 'g') AS t FROM {questions}) q JOIN (SELECT *, regexp_replace(lower(question), '\\s+', '', 'g') AS t FROM {listings}) l ON q.type = 'binary' AND abs(l.close_day - q.resolve_day) < 14)
+    WHERE a = b OR (length(a) > 1 AND length(b) > 1 AND 2 * (least(length(a), length(b)) - 1) >= 0.5 * (length(a) + length(b) - 2))""", dice=("a", "b")) + ")) WHERE overall >= 0.6"
 
 
 @query("j5_forecast_edges", "questions", "listings", sql=_FC)
@@ -78,7 +79,8 @@ def j5(q: DataFrame, x: DataFrame) -> DataFrame:
     return matching.forecast_edges(q, x, 0.6).select("q_id", "m_ord", F.round("overall", 6).alias("overall"), "method")
 
 
-@query("j5_forecast_matches", "questions", "listings", sql=f"SELECT q_id, m_ord, overall, method FROM ({_FC}) c JOIN ({_greedy_sql(f'SELECT q_id AS a_ord, -overall AS pref, m_ord AS b_id, overall AS score FROM ({_FC})')}) g ON g.a_ord = c.q_id AND g.b_id = c.m_ord")
+# the edges stand in one table that both uses read
+@query("j5_forecast_matches", "questions", "listings", sql=_greedy_sql("SELECT q_id AS a_ord, -overall AS pref, m_ord AS b_id, overall AS score FROM fc").replace("WITH RECURSIVE", f"WITH RECURSIVE fc AS MATERIALIZED ({_FC}),").replace("SELECT a_ord, pick.b AS b_id, pick.s AS score FROM g", "SELECT fc.* FROM g JOIN fc ON g.a_ord = fc.q_id AND g.pick.b = fc.m_ord"))
 def j5_greedy(q: DataFrame, x: DataFrame) -> DataFrame:
     return matching.forecast_matches(q, x, 0.6)
 

@@ -170,3 +170,119 @@ def test_empty_inputs(spark):
     r = study.gap_distribution(pairs).first()
     assert (r["n"], r["median"], r["p90"]) == (0, 0.0, 0.0)
     assert [x["n"] for x in study.gap_histogram(pairs).collect()] == [0] * 6
+
+
+def edges_of(a, b, fits):
+    """All edges of members ``(ord, key)``, as ``replay`` takes them."""
+    return [(i, p, j, 1.0) for i, x in a for j, y in b if (p := fits(x, y)) is not None]
+
+
+@pytest.mark.parametrize("group_rows", [1_000_000, 40])
+def test_choice_over_classes_is_the_sequential_choice(spark, group_rows):
+    import random
+
+    from keelson.operators import classes
+
+    for seed in (5,):
+        rnd = random.Random(seed)
+        a, b = ([(i, rnd.choice("pqrstu" if rnd.random() < 0.5 else "pq")) for i in rnd.sample(range(500), 60)] for _ in "ab")
+        prefs = {(x, y): float(rnd.randrange(3)) for x in "pqrstu" for y in "pqrstu" if rnd.random() < 0.4 or x == y == "u"}
+        prefs = {k: v for k, v in prefs.items() if k == ("u", "u") or "u" not in k}
+        want = sorted((i, j) for i, j, _ in matching.replay(edges_of(a, b, lambda x, y: prefs.get((x, y)))))
+        (ra, ka), (rb, kb) = (classes.classed(spark.createDataFrame(x, "ord long, key string"), "ord", "key") for x in (a, b))
+        links = spark.createDataFrame([(x, y, p) for (x, y), p in prefs.items()], "x string, y string, pref double")
+        edges = links.join(ka.select(F.col("key").alias("x"), F.col("class").alias("a_class")), "x").join(kb.select(F.col("key").alias("y"), F.col("class").alias("b_class")), "y")
+        got = sorted((r["a_ord"], r["b_ord"]) for r in classes.choose(ra, rb, edges, group_rows).collect())
+        assert got == want and got
+
+
+def listings(spark, titles, days, offset=0):
+    rows = [(offset + i, t, 2, d) for i, (t, d) in enumerate(zip(titles, days, strict=True))]
+    return spark.createDataFrame(rows, "ord long, question string, n_outcomes int, close_day int")
+
+
+def test_lexical_choice_of_a_hundred_thousand_equal_titles(spark):
+    n = 100_000
+    a = spark.range(n).select(F.col("id").alias("ord"), F.lit("The same title").alias("question"), F.lit(2).alias("n_outcomes"), F.when(F.col("id") % 4 > 0, (F.col("id") % 3).cast("int")).alias("close_day"))
+    b = spark.range(n).select((F.col("id") + n).alias("ord"), F.lit("The SAME title!").alias("question"), F.lit(2).alias("n_outcomes"), F.lit(1).alias("close_day"))
+    got = matching.lexical_matches(a, b)
+    # any a fits any b: the k-th takes the k-th
+    assert got.agg(F.count("*"), F.count_if(F.col("b_ord") - F.col("a_ord") == n), F.min("confidence")).first() == (n, n, 1.0)
+
+
+def test_lexical_choice_with_near_days(spark):
+    import random
+
+    rnd = random.Random(4)
+    titles = ["one two three four", "one two three five", "Another thing here", "?!"]
+    a, b = (listings(spark, [rnd.choice(titles) for _ in range(40)], [rnd.choice([None, 0, 5, 9, 16]) for _ in range(40)], k) for k in (0, 100))
+    edges = [(r["a_ord"], float(r["b_ord"]), r["b_ord"], r["confidence"]) for r in matching.lexical_edges(a, b).collect()]
+    got = sorted(map(tuple, matching.lexical_matches(a, b).collect()))
+    assert got == sorted(matching.replay(edges)) and len(got) > 20
+
+
+def test_greedy_in_few_rounds(spark, monkeypatch):
+    import random
+
+    rnd = random.Random(9)
+    hot = [(a, float(rnd.randrange(100)), b, 1.0) for a in range(400) for b in range(1000, 1015)]
+    own = [(a, 200.0 + k, 2000 + 40 * (a // 20) + rnd.randrange(30), 1.0) for a in range(400) for k in range(6)]
+    edges = sorted({(a, b): (a, p, b, s) for a, p, b, s in hot + own}.values())
+    rounds = []
+    real = matching.cut
+    monkeypatch.setattr(matching, "cut", lambda df: (rounds.append(df.columns), real(df))[1])
+    df = spark.createDataFrame(edges, "a_ord long, pref double, b_id long, score double")
+    assert sorted(map(tuple, matching.greedy(df, task_edges=400).collect())) == sorted(matching.replay(edges))
+    assert sum("sure" in c and "holder" not in c for c in rounds) < 10
+
+
+def test_forecasts_meet_by_signatures(spark):
+    import random
+
+    rnd = random.Random(6)
+    word = lambda: "".join(rnd.choice("abcdefghilmnoprstu") for _ in range(rnd.randint(2, 9)))
+    base = [" ".join(word() for _ in range(rnd.choice([1, 4, 12, 30]))) for _ in range(40)] + ["x", "y", ""]
+    near = lambda t: t if rnd.random() < 0.4 or not t else t[: (k := rnd.randrange(len(t)))] + rnd.choice("abc ") + t[k + rnd.randrange(2) :]
+    q = [(i, near(rnd.choice(base)), "binary", rnd.randrange(12), 0.5, 1) for i in range(120)]
+    m = [(i, near(rnd.choice(base)), rnd.choice([None, *range(12)]), 0.5) for i in range(200)]
+    qs, ms = spark.createDataFrame(q, "id long, title string, type string, resolve_day int, q2 double, age_days int"), spark.createDataFrame(m, "ord long, question string, close_day int, yes double")
+    pairs = qs.crossJoin(ms).where("abs(close_day - resolve_day) < 14")
+    days = F.abs(F.col("close_day") - F.col("resolve_day"))
+    full = pairs.withColumn("overall", 0.5 * T.dice(F.lower("title"), F.lower("question")) + 0.3 * 0.5 + 0.2 * T.timing_similarity(days)).where("overall >= 0.8")
+    want = sorted((r["id"], r["ord"]) for r in full.select("id", "ord").collect())
+    edges = matching.forecast_edges(qs, ms).collect()
+    assert sorted((r["q_id"], r["m_ord"]) for r in edges) == want and len(want) > 100
+    got = sorted((r["q_id"], r["m_ord"]) for r in matching.forecast_matches(qs, ms).collect())
+    assert got == sorted((a, b) for a, b, _ in matching.replay([(r["q_id"], -round(r["overall"], 6), r["m_ord"], 1.0) for r in edges]))
+
+
+def test_hot_week_makes_few_candidates(spark):
+    import random
+
+    rnd = random.Random(2)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    text = lambda: " ".join("".join(rnd.choice(letters) for _ in range(6)) for _ in range(10))
+    rows = [(s, i, text()) for s in (0, 1) for i in range(1500)]
+    sets = spark.createDataFrame(rows, "side int, ord long, t string").select("side", "ord", T.pair_key(F.col("t"))["pairs"].alias("words"))
+    keys = matching._signed(sets, 0.9)
+    x, y = (keys.where(F.col("side") == n).withColumnRenamed("ord", f"o{n}").drop("side") for n in (0, 1))
+    n = x.join(y, ["sizes", "part", "key"]).select("o0", "o1").distinct().count()
+    assert n < 1500 * 1500 / 50, n
+
+
+def test_vector_cells_are_skipped(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(12, 32))
+    v = np.concatenate([c + rng.normal(size=(40, 32)) * 0.08 for c in centres] + [np.zeros((1, 32))])
+    rng.shuffle(v)
+    df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "id long, v array<double>")
+    a, b = df.where("id % 2 = 0"), df.where("id % 2 = 1")
+    pairs = []
+    blocks = matching._blocks
+    monkeypatch.setattr(matching, "_blocks", lambda *x: (pairs.append((r := blocks(*x))[2].count()), r)[1])
+    whole = sorted(map(tuple, matching.similar_vectors(a, b, 0.68, 0.5, None).collect()))
+    dealt = sorted(map(tuple, matching.similar_vectors(a, b, 0.68, 0.5, None, block_rows=8).collect()))
+    assert whole == dealt and len(whole) > 1000
+    assert pairs[0] == 1 and 0 < pairs[1] < 60 * 60 / 4  # of the pairs of some 60 cells most are left out
