@@ -1,34 +1,5 @@
-"""Connected components of a graph given as links, by alternating star contractions."""
+"""Connected components, as the library has them."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from keelson.llm.common import cut
-
-
-def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """``node, root`` for every node of ``links(a, b)``: root is the least node reachable.
-
-    Each round links every node's larger neighbours, then its smaller ones, to the least
-    node around it; links end as stars around the roots. A round is two grouped minima,
-    pre-aggregated before the shuffle, and two equi-joins that Spark may split where a node
-    has very many links; its result goes to the shared folder.
-    """
-    links = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    links, before = cut(links), None
-    for _ in range(max_rounds):
-        both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.where("m < a").select("a", F.col("m").alias("b"))).where("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-        links = cut(small.where("a <> b").distinct())
-        now = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    return links.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(links.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+from keelson.operators.graph import components  # noqa: F401

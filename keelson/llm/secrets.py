@@ -18,11 +18,13 @@ long texts are searched whole; of ``docs`` further columns aren't read, and pass
 from __future__ import annotations
 
 import hashlib
+import re
 from typing import NamedTuple
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from keelson.llm.common import cut
 
@@ -46,11 +48,15 @@ _WORDS = "|".join([*map(_either_case, ("password", "passwd", "secret", "token"))
 _ASSIGN = rf"""({_WORDS})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 
 #: A private key with its body and END line. Where END is missing, the base64 run goes with
-#: its header if it starts as one does (words that follow it on are taken too).
+#: its header if it starts as one does (words that follow it on are taken too). Header fields start
+#: after a line break (a real or a written one) and end with their line. Repeats are possessive, so
+#: nothing is tried twice and no repeat recurses; what follows one never starts as it ends.
 _PEM = r"-----BEGIN [A-Z ]*PRIVATE KEY-----"
-_PEM_FIELDS = r"(?:[\x20\t\r\n\\]*n?[A-Z][A-Za-z]+-[A-Z][a-z]+:[A-Fa-f0-9A-Z,\x20-]*)*"
-_PEM_BODY = r"[A-Za-z0-9+/=\x20\t\r\n\\]*"
-_PEM_KEY = rf"{_PEM}(?:{_PEM_FIELDS}{_PEM_BODY}-----END [A-Z ]*PRIVATE KEY-----|{_PEM_FIELDS}[\x20\t\r\n\\]*(?:[rn]\\)?[A-Za-z0-9+/=]{{16,}}{_PEM_BODY})?"
+_PEM_BREAK = r"[\x20\t]*+(?:[\r\n]|\\[rn])(?:[\x20\t\r\n]|\\[rn])*+"
+_PEM_FIELD = _PEM_BREAK + r"[A-Z][A-Za-z]++-[A-Z][a-z]++:[A-Fa-f0-9A-Z,\x20]*+(?:-[A-Fa-f0-9A-Z,\x20]++)*+"
+_PEM_BODY = r"[A-Za-z0-9+/=\x20\t\r\n\\]*+"
+_PEM_RUN = rf"[A-Za-z0-9+/=]{{16,}}+{_PEM_BODY}"
+_PEM_KEY = rf"{_PEM}(?:(?:{_PEM_FIELD})*+{_PEM_BODY}-----END [A-Z ]*PRIVATE KEY-----|(?:{_PEM_FIELD})++{_PEM_BREAK}{_PEM_RUN}|(?:[\x20\t\r\n]|\\[rn])*+{_PEM_RUN})?"
 
 #: The base rules in their order, then the rules that this scan adds.
 RULES = [
@@ -66,30 +72,33 @@ def rules_version(rules: list[Rule] = RULES) -> str:
     return hashlib.sha256(repr(rules).encode()).hexdigest()[:16]
 
 
-_SPAN = "struct<start:bigint,nth:int,end:bigint,kind:string>"
+#: ``start`` and ``end`` count code points, ``at`` and ``to`` bytes.
+_SPAN = "struct<start:bigint,nth:int,end:bigint,kind:string,at:bigint,to:bigint>"
+_STEP = "struct<nth:int,pos:int,before:int,chars:int,before_bytes:int,bytes:int,counts:boolean>"
 
 
-def _spans(text: Column, nth: int, rule: Rule) -> Column:
-    """Spans of a rule's matches that are long enough, in order."""
+def _steps(text: Column, nth: int, rule: Rule) -> Column:
+    """A rule's matches in order: how much text comes before each since the last, how long it
+    is, in code points and bytes, and whether it is long enough."""
     pattern = F.lit(rule.pattern)
-    pieces = F.transform(F.split(text, rule.pattern, -1), F.length)
     matches = F.regexp_extract_all(text, pattern, F.lit(0))
     measured = matches if not rule.group else F.regexp_extract_all(text, pattern, F.lit(rule.group))
-    steps = F.zip_with(F.zip_with(F.slice(pieces, 1, F.size(matches)), F.transform(matches, F.length), lambda p, m: F.struct(p.alias("p"), m.alias("m"))), F.transform(measured, F.length), lambda s, v: F.struct(s["p"].alias("p"), s["m"].alias("m"), v.alias("v")))
+    pairs = F.zip_with(F.split(text, rule.pattern, -1), F.zip_with(matches, measured, lambda m, v: F.struct(m.alias("m"), v.alias("v"))), lambda p, x: F.struct(p.alias("p"), x["m"].alias("m"), x["v"].alias("v")))
+    step = lambda x, i: F.struct(F.lit(nth).alias("nth"), i.alias("pos"), F.length(x["p"]).alias("before"), F.length(x["m"]).alias("chars"), F.octet_length(x["p"]).alias("before_bytes"), F.octet_length(x["m"]).alias("bytes"), (F.length(x["v"]) >= rule.least).alias("counts"))
+    # the last piece has no match after it
+    found = F.filter(F.transform(pairs, step), lambda x: x["chars"].isNotNull())
+    return F.when(text.rlike(rule.screen), found).otherwise(F.array().cast(f"array<{_STEP}>"))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["p"]
-        span = F.struct(start.alias("start"), F.lit(nth).alias("nth"), (start + x["m"]).alias("end"), F.lit(rule.kind).alias("kind"))
-        return F.struct((start + x["m"]).alias("at"), F.when(x["v"] >= rule.least, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
 
-    empty = F.array().cast(f"array<{_SPAN}>")
-    first = F.struct(F.lit(0).cast("bigint").alias("at"), empty.alias("out"))
-    return F.when(text.rlike(rule.screen), F.aggregate(steps, first, step, lambda a: a["out"])).otherwise(empty)
-
-
-def spans(text: Column, rules: list[Rule] = RULES) -> Column:
-    """All rules' spans of a text by start, then rule."""
-    return F.array_sort(F.concat(*(_spans(text, k, r) for k, r in enumerate(rules))))
+def _spans(stepped: DataFrame, rules: list[Rule]) -> DataFrame:
+    """``blob, spans`` of ``stepped(blob, steps)``, by start, then rule: each rule's steps are added up in
+    their order, one row each."""
+    over = Window.partitionBy("blob", "x.nth").orderBy("x.pos")
+    rows = stepped.select("blob", F.explode("steps").alias("x"))
+    ends = rows.select("blob", "x.*", F.sum(F.col("x.before") + F.col("x.chars")).over(over).alias("end"), F.sum(F.col("x.before_bytes") + F.col("x.bytes")).over(over).alias("to"))
+    kind = F.element_at(F.array(*(F.lit(r.kind) for r in rules)), F.col("nth") + 1)
+    span = F.struct((F.col("end") - F.col("chars")).alias("start"), "nth", "end", kind.alias("kind"), (F.col("to") - F.col("bytes")).alias("at"), "to")
+    return ends.groupBy("blob").agg(F.array_sort(F.collect_list(F.when(F.col("counts"), span))).cast(f"array<{_SPAN}>").alias("spans"))
 
 
 def blobs(versions: DataFrame) -> DataFrame:
@@ -112,8 +121,11 @@ def scan_unseen(versions: DataFrame, ledger: DataFrame | None = None, rules: lis
         unseen = unseen.join(ledger.where(F.col("rules") == name).select("blob"), "blob", "left_anti")
     unseen = unseen.hint("shuffle_hash")
     here = addressed.alias("v").join(unseen.alias("u"), (F.col("v.blob") == F.col("u.blob")) & F.col("v.path").eqNullSafe(F.col("u.path")) & F.col("v.version").eqNullSafe(F.col("u.version")), "left_semi")
-    scanned = here.select("blob", F.lit(name).alias("rules"), spans(F.col("content"), rules).alias("spans"))
-    return cut(scanned.dropDuplicates(["blob"]))
+    steps = F.concat(*(_steps(F.col("content"), k, r) for k, r in enumerate(rules)))
+    stepped = cut(here.select("blob", steps.alias("steps")).dropDuplicates(["blob"]))
+    none = stepped.where(F.size("steps") == 0).select("blob", F.array().cast(f"array<{_SPAN}>").alias("spans"))
+    found = _spans(stepped.where(F.size("steps") > 0), rules).unionByName(none)
+    return cut(found.select("blob", F.lit(name).alias("rules"), "spans"))
 
 
 def findings_of(versions: DataFrame, ledger: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
@@ -161,21 +173,25 @@ def redact(docs: DataFrame, mark: str = "[secret]", id_col: str = "doc_id", text
     """
     text = F.col(text_col)
     versions = docs.select(docs[id_col].alias("path"), F.lit(0).alias("version"), text.alias("content"))
-    found = scan_unseen(versions, rules=rules).where(F.size("spans") > 0).select(F.col("blob").alias("_keelson_found_blob"), F.col("spans").alias("_keelson_found_spans"))
+    rows = scan_unseen(versions, rules=rules).select("blob", F.explode("spans").alias("s")).select("blob", "s.at", "s.to")
+    before = F.coalesce(F.max("to").over(Window.partitionBy("blob").orderBy("at", "to").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # what is kept before each span that does not overlap the ones before it, and after the last
+    kept = rows.withColumn("from", before).groupBy("blob").agg(F.array_sort(F.collect_list(F.when(F.col("from") <= F.col("at"), F.struct("from", F.col("at").alias("upto"))))).alias("_keelson_kept"), F.max("to").alias("_keelson_last"))
+    found = kept.withColumnRenamed("blob", "_keelson_found_blob")
     joined = docs.withColumn("_keelson_own_blob", F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))).join(found, F.col("_keelson_own_blob") == F.col("_keelson_found_blob"), "left")
 
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
-        fresh = s["start"] >= acc["at"]
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, F.concat(acc["out"], F.array(gap, F.lit(mark)))).otherwise(acc["out"]).alias("out"))
+    def cleaned(raw: Column) -> Column:
+        piece = lambda start, length: F.substring(raw, (start + 1).cast("int"), length.cast("int")).cast("string")
+        pieces = F.transform("_keelson_kept", lambda k: piece(k["from"], k["upto"] - k["from"]))
+        return F.array_join(F.concat(pieces, F.array(piece(F.col("_keelson_last"), F.length(raw) - F.col("_keelson_last")))), mark)
 
-    first = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("out"))
-    cleaned = F.aggregate("_keelson_found_spans", first, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, (a["at"] + 1).cast("int"), F.length(text))))
-    return joined.withColumn(text_col, F.when(F.col("_keelson_found_spans").isNotNull(), cleaned).otherwise(text)).select(*docs.columns)
+    # the text's bytes are taken once, and cut without walking them
+    whole = F.element_at(F.transform(F.array(text.cast("binary")), cleaned), 1)
+    return joined.withColumn(text_col, F.when(F.col("_keelson_last").isNotNull(), whole).otherwise(text)).select(*docs.columns)
 
 
 def _sql_spans(nth: int, rule: Rule) -> str:
-    pattern = rule.pattern.replace("'", "''")
+    pattern = re.sub(r"([*+}])\+", r"\1", rule.pattern).replace("'", "''")  # its engine never tries twice
     screen = rule.screen.replace("'", "''")
     return f"""CASE WHEN regexp_matches(t, '{screen}') THEN list_filter(list_transform(range(1, len(regexp_extract_all(t, '{pattern}')) + 1),
       lambda i: {{'start': list_sum(list_transform(string_split_regex(t, '{pattern}')[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(regexp_extract_all(t, '{pattern}')[1:i-1], lambda x: length(x))), 0),

@@ -558,3 +558,42 @@ def test_empty_tables(spark, empty, bench):
 
 def test_no_benchmark(docs, bench):
     assert decontaminate.find_contamination(docs, bench.limit(0)).where("n_hit > 0").count() == 0
+
+
+BEGIN = "-----BEGIN PRIVATE KEY-----"
+KEYS = {
+    "fields": BEGIN + "\nAb-Cd: AB" * 100_000,
+    "fields and end": BEGIN + "\nAb-Cd: AB" * 100_000 + "\n\nMIIE" + "A" * 60 + "\n-----END PRIVATE KEY-----",
+    "names": BEGIN + "AAAAAAAA-Aa:" * 1000,
+    "names by line": BEGIN + "\nAAAAAAAA-Aa:" * 1000 + "\n-----END RSA PRIVATE KEY-----",
+    "begins": BEGIN * 20_000,
+    "breaks": BEGIN + "\n\\n\\r " * 50_000 + "x",
+    "dashes": BEGIN + "\nAb-Cd: " + "A-" * 50_000 + "\n" + "B" * 40,
+}
+
+
+def test_private_keys_with_very_many_fields(spark, tmp_path):
+    spark.createDataFrame(list(enumerate(KEYS.values())), "doc_id long, text string").repartition(1).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    found = {list(KEYS)[r["doc_id"]]: [(s["start"], s["end"]) for s in r["spans"] if s["kind"] == "pem"] for r in secrets.scan_documents(docs).collect()}
+    whole = lambda name: [(0, len(KEYS[name]))]
+    assert found["fields"] == [(0, 27)] and found["fields and end"] == whole("fields and end") and len(found["begins"]) == 20_000
+    assert found["names by line"] == whole("names by line") and found["breaks"] == [(0, 27)] and found["dashes"] == [(0, 27)]
+    clean = {list(KEYS)[r["doc_id"]]: r["text"] for r in secrets.redact(docs).collect()}
+    assert clean["fields and end"] == "[secret]" and clean["begins"] == "[secret]" * 20_000
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    rows = con.execute(secrets.oracle_sql().replace("FROM documents)", "FROM documents WHERE doc_id NOT IN (0, 1, 4))")).fetchall()
+    want = {list(KEYS)[r[0]]: r[-1] for r in rows}
+    assert len(want) == 4
+    for r in secrets.scan_documents(docs).select("doc_id", secrets.written(F.col("spans")).alias("s")).collect():
+        assert want.get(name := list(KEYS)[r["doc_id"]], r["s"]) == r["s"], name
+
+
+def test_a_million_secrets_in_one_text(spark):
+    n = 1_000_000
+    text = F.concat(F.lit("é token: abcdefg "), F.repeat(F.lit("0123456789abcdef01234567 é "), n))
+    docs = spark.range(1).select(F.col("id").alias("doc_id"), text.alias("text"))
+    r = secrets.scan_documents(docs).select(F.size("spans").alias("n"), F.element_at("spans", -1).alias("last")).first()
+    assert r["n"] == n + 1 and (r["last"]["start"], r["last"]["end"]) == (17 + 27 * (n - 1), 17 + 27 * (n - 1) + 24)
+    assert secrets.redact(docs).select(F.sha2("text", 256)).first()[0] == brute.sha("é [secret] " + "[secret] é " * n)
