@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -76,41 +77,105 @@ def pair_history(matches: DataFrame, candles: DataFrame, aligned: Column) -> Dat
     return matches.join(both, matches["a_id"] == both["m"]).select("a_id", "day", "a_close", F.when(aligned, F.col("b_close")).otherwise(1 - F.col("b_close")).alias("b_close"))
 
 
-_DEDUP = "platform string, market_id string, type string, first_seen timestamp, last_seen timestamp, best_score double, n long"
+def _next_anchor(at: np.ndarray, width: int) -> np.ndarray:
+    """Of each row, by time, the first that comes ``width`` or more later; the number of rows if none."""
+    return np.searchsorted(at, at + width)
+
+
+def _last_anchor(after: np.ndarray) -> np.ndarray:
+    """Of each row the last anchor of the windows that start with it, by doubled jumps."""
+    own = np.arange(len(after))
+    jump = np.where(after < len(after), after, own)
+    while not np.array_equal(further := jump[jump], jump):
+        jump = further
+    return jump
+
+
+_ALERT_KEY = ["type", "platform", "market_id"]
+_BREAKS = "type string, platform string, market_id string, part int, upto long, leaves long"
+
+
+def _keys_of(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[tuple, pd.DataFrame]]:
+    """The rows of each key in a part, which is held as a whole."""
+    whole = [f for f in frames if len(f)]
+    if whole:
+        yield from pd.concat(whole).groupby(_ALERT_KEY, sort=False, dropna=False)
 
 
 def dedup_alerts(alerts: DataFrame, hours: float = 4, n_parts: int | None = None) -> DataFrame:
     """One row per anchored window of each (type, platform, market).
 
-    An anchored window is no frame, so rows are dealt by key, sorted by time inside their
-    partition, and folded as they stream by: a task holds one window, not one key.
+    A window starts with the first row ``hours`` or more after the start of the one before, so where
+    a range of a key's rows ends depends on how the range before it did. Rows are dealt by ranges
+    of key and time, so one key may take many tasks. Each first tells, for every start its first
+    hours allow, the last window it would leave; these few breaks are followed from range to
+    range for the keys that have several; then all ranges are cut in windows at once, and a window
+    across ranges is added up.
     """
-    key = ["type", *MARKET]
-    n_parts = n_parts or int(alerts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    thin = alerts.select(*key, F.col("ts").cast("timestamp").alias("ts"), "score", "event_id").repartition(n_parts, *key).sortWithinPartitions(*key, "ts", "event_id")
-
-    def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        open_, done = None, []
-        width = pd.Timedelta(hours=hours)
-        names = ["platform", "market_id", "type", "first_seen", "last_seen", "best_score", "n"]
-        for frame in frames:
-            for r in frame.itertuples(index=False):
-                own = (r.platform, r.market_id, r.type)
-                if open_ and open_[0] == own and r.ts - open_[1] < width:
-                    open_[2], open_[3], open_[4] = r.ts, max(open_[3], r.score), open_[4] + 1
-                else:
-                    if open_:
-                        done.append((*open_[0], *open_[1:]))
-                    open_ = [own, r.ts, r.ts, r.score, 1]
-            if len(done) > 10_000:
-                yield pd.DataFrame(done, columns=names)
-                done = []
-        if open_:
-            done.append((*open_[0], *open_[1:]))
-        if done:
-            yield pd.DataFrame(done, columns=names)
-
-    return thin.mapInPandas(task, _DEDUP)
+    spark = alerts.sparkSession
+    n_parts = n_parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    width = int(hours * 3_600_000_000)
+    thin = alerts.select(*_ALERT_KEY, F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "score", "event_id")
+    dealt = cut(thin.repartitionByRange(n_parts, *_ALERT_KEY, "at", "event_id").withColumn("part", F.spark_partition_id()))
+    ranges = dealt.repartition(n_parts, "part").sortWithinPartitions("part", *_ALERT_KEY, "at", "event_id")
+
+    def breaks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for _, rows in _keys_of(frames):
+            for part, own in rows.groupby("part"):
+                at = own["at"].to_numpy()
+                leaves = at[_last_anchor(_next_anchor(at, width))][: np.searchsorted(at, at[0] + width) + 1]  # and the first after them
+                last = np.flatnonzero(np.append(leaves[1:] != leaves[:-1], True))
+                key = own[_ALERT_KEY].iloc[[0] * len(last)].reset_index(drop=True)
+                yield key.assign(part=part, upto=at[last], leaves=leaves[last])
+
+    def follow(rows: pd.DataFrame) -> pd.DataFrame:
+        """What window each later range of a key is entered with."""
+        out, window = [], None
+        for part, own in rows.sort_values(["part", "upto"]).groupby("part"):
+            upto, leaves = own["upto"].to_numpy(), own["leaves"].to_numpy()
+            if window is not None:
+                out.append((*own[_ALERT_KEY].iloc[0], part, window))
+            k = 0 if window is None else int(np.searchsorted(upto, window + width))
+            window = int(leaves[k]) if k < len(upto) else window
+        return pd.DataFrame(out, columns=[*_ALERT_KEY, "part", "window"])
+
+    spans = dealt.groupBy(*_ALERT_KEY).agg(F.count_distinct("part").alias("parts")).where("parts > 1")
+    same = lambda x, y: [F.col(f"{x}.{c}").eqNullSafe(F.col(f"{y}.{c}")) for c in _ALERT_KEY]
+    several = ranges.alias("r").join(F.broadcast(spans).alias("s"), same("r", "s"), "left_semi").repartition(n_parts, "part").sortWithinPartitions("part", *_ALERT_KEY, "at", "event_id")
+    entered = cut(several.mapInPandas(breaks, _BREAKS).groupBy(*_ALERT_KEY).applyInPandas(follow, "type string, platform string, market_id string, part int, window long"))
+    # a range is entered in the middle of one key at most, so this has no more rows than ranges
+    joined = dealt.alias("d").join(F.broadcast(entered).alias("e"), [*same("d", "e"), F.col("d.part") == F.col("e.part")], "left").select("d.*", "e.window")
+    ordered = joined.repartition(n_parts, "part").sortWithinPartitions("part", *_ALERT_KEY, "at", "event_id")
+
+    def windows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for _, rows in _keys_of(frames):
+            for _, own in rows.groupby("part"):
+                at, score = own["at"].to_numpy(), own["score"].to_numpy()
+                after, window = _next_anchor(at, width), own["window"].iloc[0]
+                begins, anchors = ([0], [int(window)]) if pd.notna(window) else ([], [])
+                k = int(np.searchsorted(at, window + width)) if begins else 0
+                if begins and k == 0:
+                    begins, anchors = [], []
+                while k < len(at):
+                    begins.append(k)
+                    anchors.append(int(at[k]))
+                    k = int(after[k])
+                ends = [*begins[1:], len(at)]
+                key = own[_ALERT_KEY].iloc[[0] * len(begins)].reset_index(drop=True)
+                yield key.assign(anchor=anchors, last=at[np.array(ends) - 1], best_score=np.maximum.reduceat(score, begins), n=np.diff([*begins, len(at)]))
+
+    cut_up = ordered.mapInPandas(windows, "type string, platform string, market_id string, anchor long, last long, best_score double, n long")
+    out = cut_up.groupBy(*_ALERT_KEY, "anchor").agg(F.max("last").alias("last"), F.max("best_score").alias("best_score"), F.sum("n").alias("n"))
+    return out.select("platform", "market_id", "type", F.timestamp_micros("anchor").alias("first_seen"), F.timestamp_micros("last").alias("last_seen"), "best_score", "n")
+
+
+def alert_stats(windows: DataFrame, as_of: Column, hours: float = 4) -> DataFrame:
+    """Keys still tracked at ``as_of``, the oldest first sight among them, their best score, and
+    the keys that are pruned: those whose newest window began over ``hours`` before."""
+    age = F.unix_micros(as_of.cast("timestamp")) - F.unix_micros("first_seen")
+    newest = windows.where(age >= 0).groupBy(*_ALERT_KEY).agg(F.max("first_seen").alias("first_seen"), F.max_by("best_score", "first_seen").alias("best_score"))
+    kept = age <= int(hours * 3_600_000_000)
+    return newest.agg(F.count_if(kept).alias("total"), F.min(F.when(kept, F.col("first_seen"))).alias("oldest"), F.max(F.when(kept, F.col("best_score"))).alias("best_score"), F.count_if(~kept).alias("pruned"))
 
 
 def _fill(entry: dict[int, tuple[int, int, int]], budget: int, max_rows: int, listed: bool):

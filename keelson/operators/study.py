@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from keelson.functions import prices as P
+from keelson.sources.scratch import cut
 
 KEY = ["a_id", "b_id"]
 #: Bucket edges of the gap histogram, in points.
@@ -69,6 +70,20 @@ def verifier_states(study: DataFrame, strict: DataFrame) -> DataFrame:
     return joined.withColumn("state", verifier_state(F.col("spec_match"), F.col("tier"), F.col("triage_label")))
 
 
+#: States from the one that says most to the one that says least.
+STATES = ["deep_survivor", "strict_match", "spec_mismatch", "semantic_survivor", "candidate"]
+
+
+def live_states(live: DataFrame, states: DataFrame) -> DataFrame:
+    """``live(market_id)`` with the ``state`` that says most of its pairs in ``states(a_id, b_id, state)``, on either
+    side, and of those the pair's other side, the least id first; ``live_only`` where the study has none."""
+    rank = F.array_position(F.array(*map(F.lit, STATES)), F.col("state"))
+    sides = F.explode(F.array(F.struct(F.col("a_id").alias("market_id"), F.col("b_id").alias("other_id")), F.struct(F.col("b_id").alias("market_id"), F.col("a_id").alias("other_id"))))
+    best = states.select(rank.alias("rank"), sides.alias("x")).groupBy("x.market_id").agg(F.min(F.struct("rank", "x.other_id")).alias("best"))
+    named = best.select("market_id", F.element_at(F.array(*map(F.lit, STATES)), F.col("best.rank").cast("int")).alias("state"), F.col("best.other_id").alias("other_id"))
+    return live.join(named, "market_id", "left").withColumn("state", F.coalesce("state", F.lit("live_only")))
+
+
 def filter_pairs(pairs: DataFrame, search: str = "", status: str | None = None, stale: bool = True, topical: bool = True, mismatch: bool = True, min_liquidity: float = 0) -> DataFrame:
     if search:
         pairs = pairs.where(F.contains(F.lower("a_title"), F.lit(search.lower())) | F.contains(F.lower("b_title"), F.lit(search.lower())))
@@ -155,15 +170,48 @@ def gap_histogram(study: DataFrame) -> DataFrame:
     return one.select(F.explode(rows).alias("x")).select("x.*")
 
 
-def sensitivity(study: DataFrame, floors: list[int] = FLOORS) -> DataFrame:
-    """Counts and order statistics over each liquidity floor; a row meets only the floors
-    it is over."""
-    own = F.explode(F.filter(F.array(*map(F.lit, floors)), lambda f: F.col("thin") >= f)).alias("floor_")
+#: Bins of a gap (0 to 1) that counts are kept in.
+BINS = 10_000
+
+
+def sensitivity(study: DataFrame, a_markets: DataFrame, b_markets: DataFrame, floors: list[int] = FLOORS) -> DataFrame:
+    """At each liquidity floor, the markets of both venues (``volume``) and the pairs whose sides
+    both have volume and reach it: overlaps, priceable contracts, their median and 90th percentile
+    gap in points, those that beat fees and those confirmed.
+
+    A row is counted once, at the highest floor it reaches, with its gap in one of ``BINS``;
+    counts are added from the top floor down. Exact places are then found among the distinct
+    gaps of the few bins that hold them.
+    """
+    floors = sorted(floors)
+    level = lambda volume: F.when(volume > 0, F.size(F.filter(F.array(*map(F.lit, floors)), lambda f: volume >= f)) - 1)
+    spark = study.sparkSession
+    each = spark.createDataFrame(list(enumerate(floors)), "i int, floor_ long")
     fine = F.col("same_criteria") & F.col("priceable")
-    rows = study.select("same_criteria", "priceable", F.when(fine, F.col("gap")).alias("g"), own)
-    out = rows.groupBy("floor_").agg(F.count("*").alias("pairs"), F.count_if("same_criteria").alias("overlaps"), F.count("g").alias("priceable"), F.count_if(F.col("g") > P.FEES).alias("beats_fees"))
-    out = out.join(order_statistic(rows, "g", 90, "floor_").drop("lower"), "floor_", "left").join(medians(rows, "g", "floor_"), "floor_", "left")
-    return out.select("floor_", "pairs", "overlaps", "priceable", "beats_fees", _zero(F.col("median"), "median"), _zero(F.col("stat"), "p90"))
+    slot = F.least(F.floor(F.col("gap") * BINS), F.lit(BINS)).cast("int")
+    rows = study.withColumn("level", F.when(F.col("a_volume").isNotNull() & F.col("b_volume").isNotNull(), level(F.least("a_volume", "b_volume")))).where("level >= 0")
+    rows = rows.select("level", F.when(fine, F.col("gap")).alias("g"), F.when(fine, slot).alias("bin"), F.coalesce(F.col("triage_label") == "semantic_survivor", F.lit(False)).alias("sure"))
+    beats = F.col("g") > P.FEES
+    counts = cut(rows.groupBy("level", "bin").agg(F.count("*").alias("pairs"), F.count("g").alias("n"), F.count_if(beats).alias("beats"), F.count_if(beats & F.col("sure")).alias("sure")))
+    upto = lambda x: each.join(x, F.col("level") >= F.col("i"))  # small: one row for each floor and bin
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
+    sums = upto(counts).groupBy("i", "floor_").agg(*map(total, ("pairs", "n", "beats", "sure")))
+    venue = lambda m, name: each.join(upto(m.groupBy(level(F.col("volume")).alias("level")).agg(F.count("*").alias("c"))).groupBy("i").agg(F.sum("c").alias(name)), "i", "left").select("i", F.coalesce(name, F.lit(0)).alias(name))
+    # the places wanted: the middle two and the 90th percentile
+    n = F.col("n")
+    wanted = F.array(*(F.struct(F.lit(k).alias("which"), x.cast("long").alias("place")) for k, x in enumerate((F.greatest(F.lit(1), F.ceil(n / 2)), F.least(n, F.floor(n / 2) + 1), F.least(n, F.floor(n * 0.9) + 1)))))
+    places = sums.where("n > 0").select("i", F.explode(wanted).alias("x")).select("i", "x.*")
+    by_bin = upto(counts.where("bin is not null")).groupBy("i", "bin").agg(F.sum("n").alias("n"))
+    ends = by_bin.withColumn("end", F.sum("n").over(Window.partitionBy("i").orderBy("bin"))).withColumn("begin", F.col("end") - F.col("n"))
+    held = cut(places.join(ends, "i").where((F.col("begin") < F.col("place")) & (F.col("place") <= F.col("end"))).select("i", "which", "place", "bin", "begin"))
+    values = rows.join(F.broadcast(held.select("bin").distinct()), "bin").groupBy("level", "bin", "g").agg(F.count("*").alias("c"))
+    near = held.join(values, "bin").where(F.col("level") >= F.col("i")).groupBy("i", "which", "place", "begin", "g").agg(F.sum("c").alias("c"))
+    end = F.col("begin") + F.sum("c").over(Window.partitionBy("i", "which").orderBy("g"))
+    at = near.withColumn("end", end).where(F.col("end") >= F.col("place")).groupBy("i").pivot("which", [0, 1, 2]).agg(F.min("g"))
+    points = lambda c, name: F.round(F.coalesce(c, F.lit(0.0)) * 100, 6).alias(name)
+    out = each.join(sums.drop("floor_"), "i", "left").join(at, "i", "left").join(venue(a_markets, "venue_a"), "i").join(venue(b_markets, "venue_b"), "i")
+    zero = lambda c, name: F.coalesce(c, F.lit(0)).alias(name)
+    return out.select("floor_", "venue_a", "venue_b", zero("pairs", "overlaps"), zero("n", "priceable"), points((F.col("0") + F.col("1")) / 2, "median_pp"), points(F.col("2"), "p90_pp"), zero("beats", "beats_fees"), zero("sure", "confirmed"))
 
 
 def category_slices(study: DataFrame) -> DataFrame:
@@ -181,16 +229,22 @@ def rank_histogram(pairs: DataFrame) -> DataFrame:
 
 def summary(study: DataFrame, verdicts: DataFrame, a: str = "a_id", b: str = "b_id") -> DataFrame:
     """One row of matching figures: universe, tradeable markets, candidates, verdicts in
-    store (``verdicts(a_id)``) and what is missing of them, contracts, prices."""
+    store (``verdicts(a_id)``) and what is missing of them, contracts, prices.
+
+    Distinct ids are counted in one pass of narrow rows, each (kind, id) once per task before
+    the shuffle.
+    """
     same, fine = F.col("same_criteria"), F.col("priceable")
-    out = study.agg(
-        F.count("*").alias("candidates"), F.countDistinct("a_id").alias("with_candidates"), F.countDistinct(a).alias("universe_a"), F.countDistinct(b).alias("universe_b"),
-        F.countDistinct(F.when(F.col("a_volume") > 0, F.col(a))).alias("tradeable_a"), F.countDistinct(F.when(F.col("b_volume") > 0, F.col(b))).alias("tradeable_b"),
-        F.count_if(same).alias("same_contract"), F.count_if(~same).alias("topical"), F.count_if(same & fine).alias("priceable"), F.count_if(same & ~fine).alias("dropped"),
-    )
-    known = study.select("a_id").distinct().join(verdicts.select("a_id").distinct(), "a_id", "left_semi").agg(F.count("*").alias("verified"))
+    out = study.agg(F.count("*").alias("candidates"), F.count_if(same).alias("same_contract"), F.count_if(~same).alias("topical"), F.count_if(same & fine).alias("priceable"), F.count_if(same & ~fine).alias("dropped"))
+    text = lambda c: F.col(c).cast("string").alias("id")
+    kinds = F.explode(F.array(F.struct(F.lit("row").alias("kind"), text("a_id"), F.lit(False).alias("ok")), F.struct(F.lit("a").alias("kind"), text(a), (F.coalesce("a_volume", F.lit(0.0)) > 0).alias("ok")), F.struct(F.lit("b").alias("kind"), text(b), (F.coalesce("b_volume", F.lit(0.0)) > 0).alias("ok"))))
+    known = verdicts.select(F.lit("row").alias("kind"), text("a_id"), F.lit(True).alias("ok"))
+    listed = study.select(kinds.alias("x")).select("x.*", F.lit(True).alias("own")).unionByName(known.withColumn("own", F.lit(False))).where("id is not null")
+    ids = listed.groupBy("kind", "id").agg(F.max("ok").alias("ok"), F.max("own").alias("own")).where("own")
+    count = lambda kind, name, ok: F.count_if((F.col("kind") == kind) & (F.col("ok") if ok else F.lit(True))).alias(name)
+    found = ids.agg(count("row", "with_candidates", False), count("row", "verified", True), count("a", "universe_a", False), count("b", "universe_b", False), count("a", "tradeable_a", True), count("b", "tradeable_b", True))
     missing = F.col("with_candidates") - F.col("verified")
-    return out.crossJoin(F.broadcast(known)).withColumns({"pair_space": F.col("universe_a") * F.col("universe_b"), "missing_verdicts": missing, "status": F.when(missing == 0, "complete").otherwise("partial")})
+    return out.crossJoin(F.broadcast(found)).withColumns({"pair_space": F.col("universe_a") * F.col("universe_b"), "missing_verdicts": missing, "status": F.when(missing == 0, "complete").otherwise("partial")})
 
 
 def triage_funnel(study: DataFrame) -> DataFrame:
@@ -239,6 +293,16 @@ def evidence_counts(study: DataFrame, strict: DataFrame) -> DataFrame:
     )
 
 
+def of_version(verdicts: DataFrame, prompt: str, schema: int) -> DataFrame:
+    """The verdicts that one version of prompt and schema gave."""
+    return verdicts.where((F.col("prompt_version") == prompt) & (F.col("schema_version") == schema))
+
+
+def count_verdicts(verdicts: DataFrame, provider: str, model: str, prompt: str, schema: int) -> DataFrame:
+    """``n``: verdicts in store for a provider, model, prompt and schema."""
+    return of_version(verdicts, prompt, schema).where((F.col("provider") == provider) & (F.col("model") == model)).agg(F.count("*").alias("n"))
+
+
 def provenance(verdicts: DataFrame) -> DataFrame:
     """Verdicts by provider and model, and whether they mix."""
     by = verdicts.groupBy("provider", "model").agg(F.count("*").alias("n"))

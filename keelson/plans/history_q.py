@@ -64,6 +64,18 @@ def w7(x: DataFrame) -> DataFrame:
     return history.dedup_alerts(x).select("type", "platform", "market_id", _us("first_seen").alias("first_seen"), _us("last_seen").alias("last_seen"), "best_score", "n")
 
 
+_SEEN = f"""WITH RECURSIVE o AS (SELECT type, platform, market_id, ts, score, row_number() OVER (PARTITION BY type, platform, market_id ORDER BY ts, event_id) AS rn FROM {{opportunities}} WHERE ts <= TIMESTAMP '{AS_OF}'),
+    w AS (SELECT type, platform, market_id, rn, ts AS first, score AS best FROM o WHERE rn = 1 UNION ALL SELECT o.type, o.platform, o.market_id, o.rn, CASE WHEN o.ts - w.first >= INTERVAL 4 HOUR THEN o.ts ELSE w.first END, CASE WHEN o.ts - w.first >= INTERVAL 4 HOUR THEN o.score ELSE greatest(w.best, o.score) END FROM w JOIN o ON o.type = w.type AND o.platform = w.platform AND o.market_id = w.market_id AND o.rn = w.rn + 1),
+    seen AS (SELECT arg_max(first, rn) AS first, arg_max(best, rn) AS best FROM w GROUP BY type, platform, market_id)
+    SELECT count(*) FILTER (TIMESTAMP '{AS_OF}' - first <= INTERVAL 4 HOUR) AS total, CAST(epoch_us(min(first) FILTER (TIMESTAMP '{AS_OF}' - first <= INTERVAL 4 HOUR)) AS BIGINT) AS oldest, max(best) FILTER (TIMESTAMP '{AS_OF}' - first <= INTERVAL 4 HOUR) AS best_score, count(*) FILTER (TIMESTAMP '{AS_OF}' - first > INTERVAL 4 HOUR) AS pruned FROM seen"""
+
+
+@query("w7_alert_stats", "opportunities", sql=_SEEN)
+def w7_stats(x: DataFrame) -> DataFrame:
+    seen = history.dedup_alerts(x.where(F.col("ts") <= _now()))
+    return history.alert_stats(seen, _now()).withColumn("oldest", _us("oldest"))
+
+
 _ASOF = f"(SELECT platform, market_id, {_LATEST.format('yes')} AS yes, {_LATEST.format('liquidity_total')} AS liq FROM {{snapshots}} WHERE ts <= TIMESTAMP '{AS_OF}' AND ts >= TIMESTAMP '{AS_OF}' - INTERVAL 2000 MINUTE GROUP BY platform, market_id)"
 
 

@@ -116,7 +116,17 @@ _RESULT = """concat('<a class="result__a" href="//r.x/?uddg=https%3A%2F%2Fa.b%2F
 
 @query("src10_extract_sources", "pages", sql="SELECT page_id, 0 AS i, concat('First & ', CAST(page_id AS STRING)) AS title, concat('https://a.b/', CAST(page_id AS STRING)) AS url, 's one' AS excerpt FROM {pages} UNION ALL SELECT page_id, 1, 'Second', url, '' FROM {pages}")
 def src10(p: DataFrame) -> DataFrame:
-    return ingest.extract_sources(p.withColumn("html", F.expr(_RESULT))).select("page_id", "i", "title", "url", "excerpt")
+    return ingest.extract_sources(p.withColumn("html", F.expr(f"concat({_RESULT}, html)"))).select("page_id", "i", "title", "url", "excerpt")
+
+
+_PLAIN = "trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace({0}, '<[^>]+>', '', 'g'), '&amp;', '&'), '&quot;', chr(34)), '&#x27;', chr(39)), '&#39;', chr(39)), '&lt;', '<'), '&gt;', '>'), '\\s+', ' ', 'g'))"
+
+
+@query("src10_page_links", "pages", sql=f"""SELECT page_id, i, regexp_extract(p, '^[^>]*?href="([^">]*)"', 1) AS href, {_PLAIN.format("regexp_extract(p, '^[^>]*>([\\s\\S]*?)</a>', 1)")} AS title, md5({_PLAIN.format("regexp_extract(p, '</a>([\\s\\S]*)$', 1)")}) AS excerpt
+    FROM (SELECT page_id, unnest(ps[2:]) AS p, unnest(range(len(ps) - 1)) AS i FROM (SELECT page_id, string_split_regex(html, '<a\\b') AS ps FROM {{pages}}))""")
+def src10_links(p: DataFrame) -> DataFrame:
+    """Every anchor of every whole page."""
+    return ingest.page_links(p).withColumn("excerpt", F.md5("excerpt"))
 
 
 @query("snk1_append_snapshots", "snapshots", sql="SELECT event_id FROM {snapshots} WHERE event_id % 3 <> 0")
@@ -144,6 +154,14 @@ def snk4(c: DataFrame) -> DataFrame:
     return sinks.apply_override(sinks.merge_columns(new, old, ["a_id", "b_id"]), over).select("a_id", "b_id", F.col("manual_override").alias("manual"), "notes", "overall")
 
 
+@query("snk4_record_outcome", "comparisons", sql="SELECT a_id, b_id, CASE WHEN o_orderkey % 5 = 0 THEN 'diverged' WHEN o_orderkey % 5 = 1 THEN 'matched' ELSE outcome END AS outcome, notes FROM {comparisons}")
+def snk4_outcome(c: DataFrame) -> DataFrame:
+    known = c.where("o_orderkey % 5 < 2").select("a_id", "b_id", F.when(F.col("o_orderkey") % 5 == 0, "diverged").otherwise("matched").alias("outcome"))
+    never = known.limit(1).select(F.lit("nobody").alias("a_id"), "b_id", "outcome")
+    stored = c.select("a_id", "b_id", "notes", F.col("outcome").alias("settlement_outcome"))
+    return sinks.record_outcome(stored, known.unionByName(never)).select("a_id", "b_id", F.col("settlement_outcome").alias("outcome"), "notes")
+
+
 _STUDY_REASON = "CASE WHEN l_partkey % 3 = 0 THEN NULL ELSE concat('says \"', category, '\", so') END"
 _F4 = "printf('%.4f', round(CAST({0} AS DOUBLE), 4))"
 _WHOLE = "CAST(floor({0} + 0.5) AS BIGINT)"
@@ -164,11 +182,15 @@ def snk6_audit(s: DataFrame) -> DataFrame:
     return _exported(sinks.audit_rows(rows)).na.fill("", ["triage_reason"])
 
 
-@query("snk6_summary", "study", sql="SELECT count(*) AS candidates, count(*) FILTER (same_criteria) AS same_contract, count(*) FILTER (same_criteria AND priceable) AS priceable FROM {study}")
+_SUMMARY = "candidates long, same_contract long, topical long, priceable long, dropped long, with_candidates long, verified long, universe_a long, universe_b long, tradeable_a long, tradeable_b long, pair_space long, missing_verdicts long, status string"
+
+
+@query("snk6_summary", "study", sql="""SELECT *, with_candidates - verified AS missing_verdicts, CASE WHEN with_candidates = verified THEN 'complete' ELSE 'partial' END AS status FROM (SELECT count(*) AS candidates, count(DISTINCT a_id) AS with_candidates, count(DISTINCT l_partkey) AS universe_a, count(DISTINCT l_suppkey) AS universe_b, count(DISTINCT l_partkey) * count(DISTINCT l_suppkey) AS pair_space, count(DISTINCT l_partkey) FILTER (a_volume > 0) AS tradeable_a, count(DISTINCT l_suppkey) FILTER (b_volume > 0) AS tradeable_b,
+    count(*) FILTER (same_criteria) AS same_contract, count(*) FILTER (NOT same_criteria) AS topical, count(*) FILTER (same_criteria AND priceable) AS priceable, count(*) FILTER (same_criteria AND NOT priceable) AS dropped, count(DISTINCT a_id) AS verified FROM {study})""")
 def snk6_summary(s: DataFrame) -> DataFrame:
     path = scratch.folder(s.sparkSession)
     sinks.export_summary(study.summary(s, s.select("a_id"), "l_partkey", "l_suppkey"), path)
-    return s.sparkSession.read.schema("candidates long, same_contract long, priceable long").json(path)
+    return s.sparkSession.read.schema(_SUMMARY).json(path)
 
 
 @query("snk7_request_lines", "pairs", sql="SELECT a_id AS key, md5(concat('{{\"custom_id\":\"', a_id, '\",\"method\":\"POST\",\"body\":{{\"model\":\"m1\",\"messages\":[{{\"role\":\"system\",\"content\":\"match\"}},{{\"role\":\"user\",\"content\":\"', category, '\"}}],\"max_tokens\":160}}}}')) AS line FROM {pairs}")

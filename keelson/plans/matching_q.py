@@ -120,8 +120,34 @@ def j11(d: DataFrame) -> DataFrame:
     return matching.embedding_misses(d, cache, "m1")
 
 
+_KEYED = "(SELECT doc_id, sha256('m1' || chr(10) || text) AS key FROM {documents})"
+_CACHED = f"(SELECT key, min(doc_id) AS first FROM {_KEYED} WHERE doc_id % 3 = 0 GROUP BY key)"
+
+
+def _looked_up(d: DataFrame) -> DataFrame:
+    cache = d.where("doc_id % 3 = 0").groupBy(matching.embedding_key(F.col("text"), "m1").alias("key")).agg(F.array(F.min("doc_id").cast("float")).alias("vec"))
+    return matching.embedding_lookup(d, cache, "m1")
+
+
+@query("j11_embedding_lookup", "documents", sql=f"SELECT doc_id, CAST(first AS BIGINT) AS first FROM {_KEYED} k LEFT JOIN {_CACHED} c ON k.key = c.key")
+def j11_lookup(d: DataFrame) -> DataFrame:
+    return _looked_up(d).select("doc_id", F.get("vec", F.lit(0)).cast("long").alias("first"))
+
+
+@query("j11_embedding_stats", "documents", sql=f"SELECT count(first) AS hits, count(*) - count(first) AS misses FROM {_KEYED} k LEFT JOIN {_CACHED} c ON k.key = c.key")
+def j11_stats(d: DataFrame) -> DataFrame:
+    return matching.embedding_stats(_looked_up(d))
+
+
+@query("j11_stale_embeddings", "snapshots", sql="SELECT platform, market_id AS id FROM (SELECT platform, market_id, max(ts) FILTER (event_id % 3 = 0 AND ts <= TIMESTAMP '2024-01-20 12:00:00') AS seen FROM {snapshots} GROUP BY platform, market_id) WHERE seen IS NULL OR TIMESTAMP '2024-01-20 12:00:00' - seen > INTERVAL 24 HOUR")
+def j11_stale(s: DataFrame) -> DataFrame:
+    as_of = F.lit("2024-01-20 12:00:00").cast("timestamp")
+    meta = s.where((F.col("event_id") % 3 == 0) & (F.col("ts") <= as_of)).groupBy("platform", F.col("market_id").alias("id")).agg(F.max("ts").alias("updated_at"))
+    return matching.stale_embeddings(s.select("platform", F.col("market_id").alias("id")).distinct(), meta, as_of)
+
+
 _SQ = "regexp_replace(lower({0}), '\\s+', '', 'g')"
-_RULE = "split_part({0}.rules, chr(10), 1)"
+_RULE = "substr({0}.rules, length({0}.question) + 2)"  # all after the first line, which is the question
 # each listing with the next; some verdicts are set by hand, some comparisons are stored
 _SET = f"""SELECT id, qs AS question_similarity, criteria, timing, src, safe, CASE WHEN safe AND risks = 0 THEN 'LOW' WHEN safe THEN 'MEDIUM' ELSE 'HIGH' END AS risk, CASE WHEN safe AND risks = 0 THEN 0 WHEN safe AND reused THEN 3 WHEN safe THEN 2 END AS penalty, risks, reused FROM
     (SELECT * REPLACE (CASE WHEN reused THEN stored ELSE safe END AS safe, CASE WHEN reused THEN stored_risks ELSE risks END AS risks) FROM
@@ -134,7 +160,7 @@ _SET = f"""SELECT id, qs AS question_similarity, criteria, timing, src, safe, CA
 
 @query("j12_settlement", "listings", sql=_SET)
 def j12(x: DataFrame) -> DataFrame:
-    rule = F.split_part("rules", F.lit("\n"), F.lit(1))
+    rule = F.expr("substr(rules, length(question) + 2)")
     side = lambda k, o: x.select((F.col("ord") - o).alias("o"), F.col("id").alias(f"{k}_id"), F.col("question").alias(f"{k}_question"), rule.alias(f"{k}_rule"), F.col("source").alias(f"{k}_source"), F.col("close_day").alias(f"{k}_day"))
     pairs = side("a", 0).join(side("b", 1), "o").withColumn("override", F.when(F.col("o") % 10 == 0, F.lit(True)))
     stored = F.when(F.col("o") % 26 == 0, F.array(F.lit("another mechanism"))).otherwise(F.array().cast("array<string>"))

@@ -96,6 +96,18 @@ def pf12(s: DataFrame, c: DataFrame) -> DataFrame:
     return study.verifier_states(s, c).select("a_id", "state")
 
 
+_STATE = "CASE WHEN c.spec_match AND c.tier = '>10k' THEN 0 WHEN c.spec_match THEN 1 WHEN c.spec_match IS NOT NULL THEN 2 WHEN triage_label = 'semantic_survivor' THEN 3 WHEN triage_label IN ('scope_mismatch', 'entity_mismatch_rejected') THEN 2 ELSE 4 END"
+
+
+@query("pf12_live_states", "study", "strict", "orders", sql=f"""WITH s AS (SELECT concat('p', CAST(l_partkey AS STRING)) AS a, concat('s', CAST(l_suppkey AS STRING)) AS b, {_STATE} AS r FROM {{study}} s LEFT JOIN {{strict}} c ON s.a_id = c.a_id AND s.b_id = c.b_id),
+    m AS (SELECT a AS market_id, b AS other_id, r FROM s UNION ALL SELECT b, a, r FROM s), best AS (SELECT market_id, min(r) AS r, arg_min(other_id, (r, other_id)) AS other_id FROM m GROUP BY market_id)
+    SELECT o.o_orderkey, o.market_id, CASE r WHEN 0 THEN 'deep_survivor' WHEN 1 THEN 'strict_match' WHEN 2 THEN 'spec_mismatch' WHEN 3 THEN 'semantic_survivor' WHEN 4 THEN 'candidate' ELSE 'live_only' END AS state, other_id FROM (SELECT o_orderkey, concat(CASE WHEN o_orderkey % 2 = 0 THEN 'p' ELSE 's' END, CAST(o_custkey AS STRING)) AS market_id FROM {{orders}}) o LEFT JOIN best ON best.market_id = o.market_id""")
+def pf12_live(s: DataFrame, c: DataFrame, o: DataFrame) -> DataFrame:
+    states = study.verifier_states(s, c).select(F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("a_id"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("b_id"), "state")
+    live = o.select("o_orderkey", F.concat(F.when(F.col("o_orderkey") % 2 == 0, "p").otherwise("s"), F.col("o_custkey").cast("string")).alias("market_id"))
+    return study.live_states(live, states)
+
+
 @query("pf13_filter_pairs", "study", sql=f"SELECT a_id, status, thin FROM (SELECT *, {_STATUS} AS status FROM {{study}}) WHERE (contains(lower(a_title), 'county') OR contains(lower(b_title), 'county')) AND status NOT IN ('stale', 'topical') AND thin >= 2000")
 def pf13(s: DataFrame) -> DataFrame:
     return study.filter_pairs(s.withColumn("status", P.status(F.col("triage_label"))), search="County", stale=False, topical=False, min_liquidity=2000).select("a_id", "status", "thin")
@@ -126,9 +138,17 @@ def a3(s: DataFrame) -> DataFrame:
     return study.gap_histogram(s)
 
 
-@query("a4_sensitivity", "study", sql=f"SELECT floor_, count(*) AS pairs, count(*) FILTER (same_criteria) AS overlaps, count(*) FILTER (same_criteria AND priceable) AS priceable, round(coalesce(median(CASE WHEN same_criteria AND priceable THEN gap END), 0), 6) AS median, round({_p90('g')}, 6) AS p90, count(*) FILTER (same_criteria AND priceable AND gap > 0.09) AS beats_fees FROM (SELECT *, CASE WHEN same_criteria AND priceable THEN gap END AS g FROM {{study}}) JOIN (VALUES (0), (1000), (10000), (100000)) f(floor_) ON thin >= floor_ GROUP BY floor_")
-def a4(s: DataFrame) -> DataFrame:
-    return study.sensitivity(s)
+# as the reference states it: both volumes over 0 and at the floor
+_AT = "a_volume >= floor_ AND b_volume >= floor_ AND a_volume > 0 AND b_volume > 0"
+_SCP = f"{_AT} AND same_criteria AND priceable"
+_MARKETS = "(SELECT count(*) FROM {{listings}} WHERE platform = '{0}' AND volume > 0 AND volume >= floor_)"
+
+
+@query("a4_sensitivity", "study", "listings", sql=f"""SELECT floor_, {_MARKETS.format('venue_a')} AS venue_a, {_MARKETS.format('venue_b')} AS venue_b, count(*) FILTER ({_AT}) AS overlaps, count(*) FILTER ({_SCP}) AS priceable, round(coalesce(median(gap) FILTER ({_SCP}), 0) * 100, 6) AS median_pp,
+    round(coalesce(list_sort(list(gap) FILTER ({_SCP}))[least(count(*) FILTER ({_SCP}), CAST(floor(0.9 * count(*) FILTER ({_SCP})) AS BIGINT) + 1)], 0) * 100, 6) AS p90_pp, count(*) FILTER ({_SCP} AND gap > 0.09) AS beats_fees, count(*) FILTER ({_SCP} AND gap > 0.09 AND triage_label = 'semantic_survivor') AS confirmed
+    FROM {{study}} CROSS JOIN (VALUES (0), (1000), (10000), (100000)) f(floor_) GROUP BY floor_""")
+def a4(s: DataFrame, x: DataFrame) -> DataFrame:
+    return study.sensitivity(s, x.where("platform = 'venue_a'"), x.where("platform = 'venue_b'"))
 
 
 @query("a5_category_slices", "study", sql="SELECT category, count(*) AS pairs, round(median(gap) * 100, 6) AS median_pp, round(max(gap) * 100, 6) AS max_pp, count(*) FILTER (gap > 0.09) AS beats_fees FROM {study} WHERE same_criteria AND priceable GROUP BY category")
@@ -178,6 +198,23 @@ def a18(v: DataFrame) -> DataFrame:
     return study.provenance(v)
 
 
+_VERSIONED = "(SELECT *, CASE WHEN picked <= 4 THEN 'v2' ELSE 'v1' END AS prompt_version, 1 + CAST(k LIKE '%1' AS INT) AS schema_version FROM {verdicts})"
+
+
+def _versioned(v: DataFrame) -> DataFrame:
+    return v.withColumns({"prompt_version": F.when(F.col("picked") <= 4, "v2").otherwise("v1"), "schema_version": 1 + F.endswith("k", F.lit("1")).cast("int")})
+
+
+@query("a18_count_for_key", "verdicts", sql=f"SELECT count(*) AS n FROM {_VERSIONED} WHERE provider = 'p1' AND model = 'm1' AND prompt_version = 'v2' AND schema_version = 1")
+def a18_count(v: DataFrame) -> DataFrame:
+    return study.count_verdicts(_versioned(v), "p1", "m1", "v2", 1)
+
+
+@query("a18_provenance_of_version", "verdicts", sql=f"SELECT provider, model, count(*) AS n, (SELECT count(*) FROM (SELECT DISTINCT provider, model FROM {_VERSIONED} WHERE prompt_version = 'v1' AND schema_version = 2)) > 1 AS mixed FROM {_VERSIONED} WHERE prompt_version = 'v1' AND schema_version = 2 GROUP BY provider, model")
+def a18_version(v: DataFrame) -> DataFrame:
+    return study.provenance(study.of_version(_versioned(v), "v1", 2))
+
+
 @query("a24_pair_meta", "study", sql=f"SELECT count(*) AS total, count(*) FILTER (st NOT IN ('stale', 'topical')) AS shown, count(*) FILTER (st = 'survivor') AS survivor, count(*) FILTER (st = 'same_contract') AS same_contract, count(*) FILTER (st = 'spec_mismatch') AS spec_mismatch, count(*) FILTER (st = 'topical') AS topical, count(*) FILTER (st = 'stale') AS stale, count(*) FILTER (l_orderkey % 3 <> 0 AND l_partkey % 4 <> 0) AS live FROM (SELECT *, {_STATUS} AS st FROM {{study}})")
 def a24(s: DataFrame) -> DataFrame:
     return study.pair_meta(study.overlay_live(s, _live(s)).withColumn("status", P.status(F.col("triage_label"))))

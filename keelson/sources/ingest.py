@@ -149,16 +149,30 @@ def _plain(c: Column) -> Column:
     return F.trim(c)
 
 
+def anchors(html: Column) -> Column:
+    """The anchors of a page in order: ``tag`` (their attributes), ``href``, ``text``, and ``after``, the page from
+    there to the next anchor. A page is cut at its anchors once."""
+    piece = lambda p: F.named_struct(F.lit("tag"), F.regexp_extract(p, r"^([^>]*)", 1), F.lit("href"), F.regexp_extract(p, r'^[^>]*?href="([^">]*)"', 1), F.lit("text"), F.regexp_extract(p, r"^[^>]*>([\s\S]*?)</a>", 1), F.lit("after"), F.regexp_extract(p, r"</a>([\s\S]*)$", 1))
+    return F.transform(F.filter(F.split(html, r"<a\b", -1), lambda _, i: i > 0), piece)
+
+
+def page_links(pages: DataFrame) -> DataFrame:
+    """``page_id, i, href, title, excerpt`` of every anchor of ``pages(page_id, html)``; the excerpt is the text that
+    follows it before the next."""
+    rows = pages.select("page_id", F.posexplode(anchors(F.col("html"))).alias("i", "x"))
+    return rows.select("page_id", F.col("i").cast("long").alias("i"), "x.href", _plain(F.col("x.text")).alias("title"), _plain(F.col("x.after")).alias("excerpt"))
+
+
 def extract_sources(pages: DataFrame, limit: int = 5) -> DataFrame:
-    """Titles, urls and snippets of a stored result page in order, the first ``limit``."""
-    anchors = r'<a[^>]*class="result__a"[^>]*href="([^"]+)"[^>]*>([\s\S]*?)</a>'
-    hrefs, titles = (F.regexp_extract_all("html", F.lit(anchors), F.lit(k)) for k in (1, 2))
-    snippets = F.regexp_extract_all("html", F.lit(r'class="result__snippet"[^>]*>([\s\S]*?)</a>'), F.lit(1))
+    """Titles, urls and snippets of a stored result page in order, the first ``limit``. A
+    result's snippet is the anchor that comes next after it, if that is one."""
 
     def url(h: Column) -> Column:
         target = F.regexp_extract(h, r"[?&]uddg=([^&]+)", 1)
         return F.when(target != "", F.try_url_decode(target)).when(h.startswith("//"), F.concat(F.lit("https:"), h)).otherwise(h)
 
-    rows = F.filter(F.zip_with(hrefs, titles, lambda h, t: F.named_struct(F.lit("url"), url(h), F.lit("title"), _plain(t))), lambda x: (x["title"] != "") & x["url"].startswith("http"))
-    out = pages.withColumn("snippets", snippets).select("page_id", "snippets", F.posexplode(F.slice(rows, 1, limit)).alias("i", "x"))
-    return out.select("page_id", F.col("i").cast("long").alias("i"), "x.title", "x.url", _plain(F.coalesce(F.try_element_at("snippets", F.col("i") + 1), F.lit(""))).alias("excerpt"), F.greatest(F.lit(0.3), 0.7 - F.col("i") * 0.08).alias("confidence"))
+    is_ = lambda x, name: F.contains(x["tag"], F.lit(f'class="{name}"'))
+    found = F.transform(F.col("a"), lambda x, i: F.named_struct(F.lit("own"), is_(x, "result__a"), F.lit("url"), url(x["href"]), F.lit("title"), _plain(x["text"]), F.lit("excerpt"), F.coalesce(F.when(is_(F.get("a", i + 1), "result__snippet"), _plain(F.get("a", i + 1)["text"])), F.lit(""))))
+    rows = F.filter(found, lambda x: x["own"] & (x["title"] != "") & x["url"].startswith("http"))
+    out = pages.withColumn("a", anchors(F.col("html"))).select("page_id", F.posexplode(F.slice(rows, 1, limit)).alias("i", "x"))
+    return out.select("page_id", F.col("i").cast("long").alias("i"), "x.title", "x.url", "x.excerpt", F.greatest(F.lit(0.3), 0.7 - F.col("i") * 0.08).alias("confidence"))

@@ -54,6 +54,14 @@ def apply_override(comparisons: DataFrame, overrides: DataFrame) -> DataFrame:
     return joined.withColumns({"manual_override": F.coalesce("new_manual", "manual_override"), "notes": F.coalesce("new_notes", "notes")}).drop("new_manual", "new_notes")
 
 
+def record_outcome(comparisons: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """The settlement outcome of each pair in ``outcomes(a_id, b_id, outcome)``, ``matched`` or ``diverged``; pairs
+    that were never compared are not added."""
+    o = outcomes.select("a_id", "b_id", F.col("outcome").alias("_outcome"))
+    checked = F.when(F.col("_outcome").isin("matched", "diverged"), F.col("_outcome")).when(F.col("_outcome").isNotNull(), F.raise_error(F.concat(F.lit("no such outcome: "), "_outcome")).cast("string"))
+    return comparisons.join(o, ["a_id", "b_id"], "left").withColumn("settlement_outcome", F.coalesce(checked, "settlement_outcome")).drop("_outcome")
+
+
 def as_json(opportunities: DataFrame, columns: list[str], name: str = "breakdown") -> DataFrame:
     return opportunities.withColumn(name, F.to_json(F.struct(*columns)))
 

@@ -286,3 +286,48 @@ def test_vector_cells_are_skipped(spark, monkeypatch):
     dealt = sorted(map(tuple, matching.similar_vectors(a, b, 0.68, 0.5, None, block_rows=8).collect()))
     assert whole == dealt and len(whole) > 1000
     assert pairs[0] == 1 and 0 < pairs[1] < 60 * 60 / 4  # of the pairs of some 60 cells most are left out
+
+
+@pytest.mark.parametrize("n_parts", [1, 7])
+def test_alert_windows_of_one_key_over_many_tasks(spark, n_parts):
+    import random
+
+    rnd = random.Random(n_parts)
+    t, rows = datetime(2024, 1, 1), []
+    for key, n, step in (("hot", 600, 3000), ("dense", 200, 1), ("sparse", 30, 90_000), ("once", 1, 1)):
+        at = 0
+        for i in range(n):
+            at += rnd.randrange(step + 1)
+            rows.append(("x", "venue_a", key, t + timedelta(seconds=at), float(rnd.randrange(100)), i))
+    want = {}
+    for _, _, key, ts, score, _ in rows:
+        windows = want.setdefault(key, [])
+        if windows and ts - windows[-1][0] < timedelta(hours=4):
+            windows[-1][1:] = [ts, max(windows[-1][2], score), windows[-1][3] + 1]
+        else:
+            windows.append([ts, ts, score, 1])
+    df = spark.createDataFrame(rows, "type string, platform string, market_id string, ts timestamp, score double, event_id long").repartition(3)
+    got = history.dedup_alerts(df, n_parts=n_parts).select("market_id", "first_seen", "last_seen", "best_score", "n").collect()
+    assert sorted(map(tuple, got)) == sorted((k, *w) for k, ws in want.items() for w in ws)
+
+
+def test_sensitivity_by_plain_python(spark):
+    import random
+
+    rnd = random.Random(1)
+    vol = lambda: rnd.choice([0.0, None, 500.0, 1000.0, 9999.0, 10_000.0, 250_000.0])
+    rows = [(rnd.random() < 0.8, rnd.random() < 0.8, rnd.choice([rnd.random(), 0.05, 0.0, 1.0]), vol(), vol(), rnd.choice(["semantic_survivor", "x", None])) for _ in range(400)]
+    df = spark.createDataFrame(rows, "same_criteria boolean, priceable boolean, gap double, a_volume double, b_volume double, triage_label string")
+    a, b = (spark.createDataFrame([(vol(),) for _ in range(50)], "volume double") for _ in "ab")
+    counts = [[r["volume"] or 0 for r in x.collect()] for x in (a, b)]
+    got = {r["floor_"]: r for r in study.sensitivity(df, a, b).collect()}
+    assert sorted(got) == study.FLOORS
+    for f, r in got.items():
+        over = [x for x in rows if x[3] and x[4] and min(x[3], x[4]) >= f]
+        gaps = sorted(x[2] for x in over if x[0] and x[1])
+        n = len(gaps)
+        median = (gaps[(n - 1) // 2] + gaps[n // 2]) / 2 if n else 0
+        p90 = gaps[min(n - 1, int(n * 0.9))] if n else 0
+        assert (r["overlaps"], r["priceable"], r["median_pp"], r["p90_pp"]) == (len(over), n, pytest.approx(median * 100, abs=1e-6), pytest.approx(p90 * 100, abs=1e-6))
+        assert [r["venue_a"], r["venue_b"]] == [sum(v > 0 and v >= f for v in c) for c in counts]
+        assert r["confirmed"] == sum(x[5] == "semantic_survivor" and x[2] > 0.09 and x[0] and x[1] for x in over)
