@@ -98,7 +98,7 @@ def _spans(stepped: DataFrame, rules: list[Rule]) -> DataFrame:
     ends = rows.select("blob", "x.*", F.sum(F.col("x.before") + F.col("x.chars")).over(over).alias("end"), F.sum(F.col("x.before_bytes") + F.col("x.bytes")).over(over).alias("to"))
     kind = F.element_at(F.array(*(F.lit(r.kind) for r in rules)), F.col("nth") + 1)
     span = F.struct((F.col("end") - F.col("chars")).alias("start"), "nth", "end", kind.alias("kind"), (F.col("to") - F.col("bytes")).alias("at"), "to")
-    return ends.groupBy("blob").agg(F.array_sort(F.collect_list(F.when(F.col("counts"), span))).cast(f"array<{_SPAN}>").alias("spans"))
+    return ends.groupBy("blob").agg(F.sort_array(F.collect_list(F.when(F.col("counts"), span))).cast(f"array<{_SPAN}>").alias("spans"))
 
 
 def blobs(versions: DataFrame) -> DataFrame:
@@ -176,7 +176,7 @@ def redact(docs: DataFrame, mark: str = "[secret]", id_col: str = "doc_id", text
     rows = scan_unseen(versions, rules=rules).select("blob", F.explode("spans").alias("s")).select("blob", "s.at", "s.to")
     before = F.coalesce(F.max("to").over(Window.partitionBy("blob").orderBy("at", "to").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     # what is kept before each span that does not overlap the ones before it, and after the last
-    kept = rows.withColumn("from", before).groupBy("blob").agg(F.array_sort(F.collect_list(F.when(F.col("from") <= F.col("at"), F.struct("from", F.col("at").alias("upto"))))).alias("_keelson_kept"), F.max("to").alias("_keelson_last"))
+    kept = rows.withColumn("from", before).groupBy("blob").agg(F.sort_array(F.collect_list(F.when(F.col("from") <= F.col("at"), F.struct("from", F.col("at").alias("upto"))))).alias("_keelson_kept"), F.max("to").alias("_keelson_last"))
     found = kept.withColumnRenamed("blob", "_keelson_found_blob")
     joined = docs.withColumn("_keelson_own_blob", F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))).join(found, F.col("_keelson_own_blob") == F.col("_keelson_found_blob"), "left")
 

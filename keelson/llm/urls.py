@@ -2,21 +2,22 @@
 
 Rules name a host and a path; a rule fits the host and its subdomains where the url's path
 starts with the rule's, and the longest that fits decides. Pages without a rule get the
-verdict of their host. Hosts get trust by personalised PageRank along links from hosts
-with allowed pages, and distrust by the same against the links, from hosts with blocked
-pages: who links to a blocked host shares its blame. A host without links keeps its mass.
-These masses grow with pages and thin out over many linkers, so the verdict compares
-shares, which do not: a host's blame is its blocked share of pages or, if higher, the
-damped mean blame of where its links go; its credit the same of allowed pages and of where
-links to it come from. It is blocked when its blame is over its credit and over ``THRESHOLD``.
-
-Link counts, seeds and ranks are grouped with partial sums; one host may have a third of
-all pages. Every few rounds the ranks go to the shared folder, and rounds end when they no
-longer change.
-
-Defined cases: a null url or one without ``://`` has empty host and path, no rule, and is
-allowed; null html has no links; links within a host don't count; repeated pages and page
-ids count each time; very long html is searched whole; further columns aren't read.
+verdict of their host.
+
+Host ranks are personalised PageRanks over host edges, normalised so that neither page counts nor
+many linkers weigh. ``trust`` is the share of a host's PageRank that comes from hosts with allowed pages: ranks
+from those seeds over ranks from all hosts. ``distrust`` goes against the edges from hosts with
+blocked pages: the share of the walk from a host, in the PageRank personalised to it, that is spent on
+blocked pages; all hosts as seeds would give 1. A host's seed is the share of its pages that a rule
+allows or blocks. A host without links keeps its mass. A host is blocked when its distrust is over its trust and
+over ``THRESHOLD``: half its walk ends on blocked pages.
+
+Link counts, seeds and ranks are grouped sums; rounds go on until no rank changes by ``SETTLED`` any
+more, and are written to the shared folder now and then.
+
+Defined cases: a null url, or one without ``://``, has an empty host and path, no rule, and is allowed;
+null html has no links; pages that repeat count as often as they stand; very long pages are one
+pass of a pattern; an empty table gives no rows; further columns are not read.
 """
 
 from __future__ import annotations
@@ -29,7 +30,10 @@ from pyspark.sql import functions as F
 from keelson.llm.common import cut
 
 DAMPING = 0.85
-ROUNDS = 12
+#: Change of a rank between rounds that counts as none, and rounds after which that is an error; a
+#: damping of 0.85 makes any start settle in about 60.
+SETTLED = 1e-4
+MOST_ROUNDS = 400
 #: Rounds between two written tables.
 EVERY = 3
 THRESHOLD = 0.5
@@ -80,49 +84,50 @@ def host_links(pages: DataFrame) -> DataFrame:
     return n.join(n.groupBy("src").agg(F.sum("n").alias("all")), "src").select("src", "dst", (F.col("n") / F.col("all")).alias("w"))
 
 
-def propagate(seeds: DataFrame, links: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
-    """``host, rank`` from ``seeds(host, seed)`` along ``links(src, dst, w)``."""
-    # without a link out, a host's mass stays where it is
-    ends = links.select("src").distinct().withColumn("out", F.lit(True))
-    before = ranks = seeds.select("host", F.col("seed").alias("rank"))
-    for k in range(rounds):
-        moved = ranks.join(links, F.col("host") == F.col("src")).groupBy("dst").agg(F.sum(F.col("rank") * F.col("w")).alias("rank")).withColumnRenamed("dst", "host")
-        stayed = ranks.join(ends, F.col("host") == F.col("src"), "left").where("out is null").select("host", "rank")
-        spread = moved.unionByName(stayed).select("host", (F.col("rank") * damping).alias("rank"))
-        ranks = spread.unionByName(seeds.select("host", (F.col("seed") * (1 - damping)).alias("rank"))).groupBy("host").agg(F.sum("rank").alias("rank"))
-        if k % EVERY == EVERY - 1:
-            ranks = cut(ranks)
-            if _settled(before, ranks, "rank"):
-                break
-            before = ranks
-    return ranks
-
-
-def _settled(before: DataFrame, now: DataFrame, value: str) -> bool:
-    """Whether no host's value has changed."""
-    both = before.select("host", F.col(value).alias("was")).join(now, "host", "full_outer")
-    change = F.abs(F.coalesce("was", F.lit(0.0)) - F.coalesce(value, F.lit(0.0)))
-    return (both.agg(F.max(change)).first()[0] or 0.0) <= 1e-12
-
-
-def shares(own: DataFrame, links: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
-    """``host, share``: a host's own share of ``own(host, own)``, or the damped sum of the
-    shares of each ``dst`` of its ``links(src, dst, w)`` by weight, whichever is higher."""
-    every = own.unionByName(links.select(F.explode(F.array("src", "dst")).alias("host"), F.lit(0.0).alias("own"))).groupBy("host").agg(F.max("own").alias("own"))
-    every = cut(every)
-    before = found = every.select("host", F.col("own").alias("share"))
-    for k in range(rounds):
-        passed = links.join(found, F.col("dst") == F.col("host")).groupBy("src").agg((F.sum(F.col("w") * F.col("share")) * damping).alias("passed"))
-        found = every.join(passed, F.col("host") == F.col("src"), "left").select("host", F.greatest("own", F.coalesce("passed", F.lit(0.0))).alias("share"))
+def _rounds(start: DataFrame, values: list[str], step) -> DataFrame:
+    """``step`` applied to ``start(host, values...)`` until no value changes."""
+    before = now = start
+    for k in range(MOST_ROUNDS):
+        now = step(now)
         if k % EVERY == EVERY - 1:
-            found = cut(found)
-            if _settled(before, found, "share"):
-                break
-            before = found
-    return found
+            now = cut(now)
+            was = before.select("host", *(F.col(v).alias(f"was_{v}") for v in values))
+            change = F.greatest(F.lit(0.0), *(F.abs(F.coalesce(v, F.lit(0.0)) - F.coalesce(f"was_{v}", F.lit(0.0))) for v in values))
+            if (now.join(was, "host", "full_outer").agg(F.max(change)).first()[0] or 0.0) <= SETTLED:
+                return now
+            before = now
+    raise RuntimeError(f"ranks did not settle in {MOST_ROUNDS} rounds")
+
+
+def propagate(seeds: DataFrame, links: DataFrame, values: list[str], damping: float = DAMPING) -> DataFrame:
+    """``host, values...``: PageRanks along ``links(src, dst, w)`` from each of the seeds ``seeds(host, values...)``."""
+    ends = links.select("src").distinct().withColumn("out", F.lit(True))
+    every = lambda f: [f(v).alias(v) for v in values]
+
+    def step(ranks: DataFrame) -> DataFrame:
+        moved = ranks.join(links, F.col("host") == F.col("src")).groupBy(F.col("dst").alias("host")).agg(*every(lambda v: F.sum(F.col(v) * F.col("w"))))
+        stayed = ranks.join(ends, F.col("host") == F.col("src"), "left").where("out is null").select("host", *values)
+        spread = moved.unionByName(stayed).select("host", *every(lambda v: F.col(v) * damping))
+        return spread.unionByName(seeds.select("host", *every(lambda v: F.col(v) * (1 - damping)))).groupBy("host").agg(*every(F.sum))
+
+    return _rounds(seeds.select("host", *values), values, step)
+
+
+def reversed_ranks(seeds: DataFrame, links: DataFrame, damping: float = DAMPING) -> DataFrame:
+    """``host, rank``: what reaches a host from ``seeds(host, seed)`` against ``links(src, dst, w)``."""
+    ends = links.select("src").distinct().withColumn("out", F.lit(True))
+    hosts = seeds.select("host", "seed").unionByName(links.select(F.explode(F.array("src", "dst")).alias("host"), F.lit(0.0).alias("seed"))).groupBy("host").agg(F.max("seed").alias("seed"))
+    hosts = cut(hosts.join(ends, F.col("host") == F.col("src"), "left").select("host", "seed", F.col("out").isNotNull().alias("links")))
+
+    def step(ranks: DataFrame) -> DataFrame:
+        got = links.join(ranks, F.col("dst") == F.col("host")).groupBy("src").agg(F.sum(F.col("w") * F.col("rank")).alias("got"))
+        mixed = F.col("seed") * (1 - damping) + F.coalesce("got", F.lit(0.0)) * damping
+        return hosts.join(got, F.col("host") == F.col("src"), "left").select("host", F.when(F.col("links"), mixed).otherwise(F.col("seed")).alias("rank"))
+
+    return _rounds(hosts.select("host", F.col("seed").alias("rank")), ["rank"], step)
 
 
-def judge(pages: DataFrame, rules: list[UrlRule] = RULES, threshold: float = THRESHOLD, rounds: int = ROUNDS) -> DataFrame:
+def judge(pages: DataFrame, rules: list[UrlRule] = RULES, threshold: float = THRESHOLD) -> DataFrame:
     """``page_id, host, path, rule, verdict, trust, distrust`` of each row of ``pages``."""
     host, path = host_path(F.col("url"))
     named = pages.select("page_id", "html", host.alias("host"), path.alias("path"))
@@ -130,16 +135,10 @@ def judge(pages: DataFrame, rules: list[UrlRule] = RULES, threshold: float = THR
     listed = named.select("page_id", "host", "path", F.col("own.rule").alias("rule"), F.col("own.allow").alias("allow"))
 
     links = cut(host_links(named))
-    hosts = cut(listed.where("host <> ''").groupBy("host").agg(F.count("*").alias("pages"), F.count_if("allow").cast("double").alias("good"), F.count_if(~F.col("allow")).cast("double").alias("bad")))
-    good, bad = (hosts.where(f"{c} > 0").select("host", F.col(c).alias("seed")) for c in ("good", "bad"))
-    into = links.groupBy("dst").agg(F.sum("w").alias("all"))
-    reverse = cut(links.join(into, "dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"), (F.col("w") / F.col("all")).alias("w")))
-    trust = propagate(good, links, rounds).withColumnRenamed("rank", "trust")
-    distrust = propagate(bad, reverse, rounds).withColumnRenamed("rank", "distrust")
-    own = lambda c: hosts.select("host", (F.col(c) / F.col("pages")).alias("own"))
-    credit = shares(own("good"), reverse, rounds).withColumnRenamed("share", "credit")
-    blame = shares(own("bad"), links, rounds).withColumnRenamed("share", "blame")
-    scored = hosts.join(trust, "host", "left").join(distrust, "host", "left").join(credit, "host").join(blame, "host").select("host", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"), "credit", "blame")
-    scored = scored.withColumn("blocked", (F.col("blame") > F.col("credit")) & (F.col("blame") > threshold)).drop("credit", "blame")
-    allow = F.coalesce("allow", ~F.col("blocked"), F.lit(True))
+    share = lambda c: F.count_if(c) / F.count("*")
+    hosts = cut(listed.where("host <> ''").groupBy("host").agg(share(F.col("allow")).alias("good"), share(~F.col("allow")).alias("seed"), F.lit(1.0).alias("all")))
+    ranks = propagate(hosts, links, ["good", "all"]).select("host", F.coalesce(F.try_divide("good", "all"), F.lit(0.0)).alias("trust"))
+    scored = ranks.join(reversed_ranks(hosts, links).withColumnRenamed("rank", "distrust"), "host")
+    blocked = (F.col("distrust") > F.col("trust")) & (F.col("distrust") > threshold)
+    allow = F.coalesce("allow", ~blocked, F.lit(True))
     return listed.join(scored, "host", "left").select("page_id", "host", "path", "rule", F.when(allow, "allow").otherwise("block").alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))

@@ -132,7 +132,7 @@ def coverage(text, lengths):
     return out
 
 
-def judge(pages, rounds=12, damping=0.85):
+def judge(pages, rounds=300, damping=0.85):
     """Host, path, rule, verdict, trust and distrust of each page."""
     rules = [("com", "/", True), ("example.com", "/en/", False), ("www.example.com", "/en/", True), ("net", "/es/", False), ("net", "/fr/", False)]
     rows, found = [], Counter()
@@ -152,37 +152,35 @@ def judge(pages, rounds=12, damping=0.85):
     for (a, _), c in found.items():
         out[a] += c
     links = {(a, b): c / out[a] for (a, b), c in found.items()}
-    into = Counter()
-    for (_, b), w in links.items():
-        into[b] += w
-    back = {(b, a): w / into[b] for (a, b), w in links.items()}
+    ends = {a for a, _ in links}
 
-    def rank(seeds, edges):
-        now, ends = dict(seeds), {a for a, _ in edges}
+    def rank(seeds):
+        now = dict(seeds)
         for _ in range(rounds):
             new = Counter({h: (1 - damping) * s for h, s in seeds.items()})
             for h, r in now.items():
                 if h not in ends:
                     new[h] += damping * r
-            for (a, b), w in edges.items():
+            for (a, b), w in links.items():
                 new[b] += damping * w * now.get(a, 0)
             now = new
         return now
 
-    def share(own, edges):
-        every = {**{x: 0.0 for e in edges for x in e}, **own}
+    def walk(seeds):
+        every = {**{x: 0.0 for e in links for x in e}, **seeds}
         now = dict(every)
         for _ in range(rounds):
-            passed = Counter()
-            for (a, b), w in edges.items():
-                passed[a] += damping * w * now[b]
-            now = {h: max(every[h], passed[h]) for h in every}
+            got = Counter()
+            for (a, b), w in links.items():
+                got[a] += w * now[b]
+            now = {h: (1 - damping) * s + damping * got[h] if h in ends else s for h, s in every.items()}
         return now
 
-    trust, distrust = rank(marked[True], links), rank(marked[False], back)
-    credit, blame = share({h: marked[True][h] / n[h] for h in hosts}, back), share({h: marked[False][h] / n[h] for h in hosts}, links)
+    good, base = rank({h: marked[True][h] / n[h] for h in hosts}), rank({h: 1.0 for h in hosts})
+    trust = {h: good[h] / r if r else 0.0 for h, r in base.items()}
+    distrust = walk({h: marked[False][h] / n[h] for h in hosts})
     for host, path, r in rows:
-        allow = r[2] if r else not (host and blame[host] > credit[host] and blame[host] > 0.5)
+        allow = r[2] if r else not (host and distrust[host] > trust[host] and distrust[host] > 0.5)
         yield host, path, r and r[0] + r[1], "allow" if allow else "block", round(trust.get(host, 0.0), 6) if host else 0.0, round(distrust.get(host, 0.0), 6) if host else 0.0
 
 

@@ -520,8 +520,9 @@ def test_urls_whole_judgement(spark):
         rows.append((rnd.choice([i, 7, None]), f"http://{rnd.choice(hosts)}/{rnd.choice(['es', 'fr', 'x'])}/{i}", out))
     rows.append((500, "http://long.org/a", "z" * 2_000_000 + '<a href="http://' + hosts[0] + '/q">'))
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"host": F.lit(1), "rule": F.lit(2), "allow": F.lit(3), "src": F.lit(4), "rank": F.lit(5)})
-    got = sorted(((r["host"], r["path"], r["rule"], r["verdict"], round(r["trust"], 6), round(r["distrust"], 6)) for r in urls.judge(pages).collect()), key=repr)
-    assert got == sorted(brute.judge(rows), key=repr)
+    got, want = ({(h, p, *r): ranks for h, p, *r, t, d in x for ranks in [(t, d)]} for x in (((r["host"], r["path"], r["rule"], r["verdict"], r["trust"], r["distrust"]) for r in urls.judge(pages).collect()), brute.judge(rows)))
+    assert set(got) == set(want)
+    assert all(got[k] == pytest.approx(want[k], abs=2e-3) for k in want)
     assert {"allow", "block"} == {g[3] for g in got if g[2] is None}
 
 
@@ -533,15 +534,15 @@ def test_propagation_is_pagerank(spark):
     out = {a: [y for x, y in edges if x == a] for a in hosts}
     seeds = {"h0": 3.0, "h5": 1.0}
     rank = dict(seeds)
-    for _ in range(6):
+    for _ in range(200):
         new = {h: 0.15 * s for h, s in seeds.items()}
         for h, r in rank.items():
             for t in out[h] or [h]:
                 new[t] = new.get(t, 0) + 0.85 * r / len(out[h] or [h])
         rank = new
     links = spark.createDataFrame([(a, b, 1 / len(out[a])) for a, b in edges], "src string, dst string, w double")
-    got = {r["host"]: r["rank"] for r in urls.propagate(spark.createDataFrame(list(seeds.items()), "host string, seed double"), links, 6).collect()}
-    assert got == pytest.approx(rank)
+    got = {r["host"]: r["rank"] for r in urls.propagate(spark.createDataFrame(list(seeds.items()), "host string, rank double"), links, ["rank"]).collect()}
+    assert got == pytest.approx(rank, abs=5e-3)
 
 
 def test_empty_tables(spark, empty, bench):
