@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from keelson.llm.common import ragged, scratch, slices
 from keelson.llm.pretokens import PieceTable, code_points, split
@@ -189,8 +190,10 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, id_col: str = "doc_id
             yield shard()
 
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
-    ordered.mapInArrow(task, SHARDS).write.option("compression", "uncompressed").parquet(path)
+    # an id that many rows share is dealt by its texts' hashes
+    keyed = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).withColumn("_h", F.xxhash64("text"))
+    ordered = keyed.repartitionByRange(n, "doc_id", "_h").sortWithinPartitions("doc_id", "_h")
+    ordered.select("doc_id", "text").mapInArrow(task, SHARDS).write.option("compression", "uncompressed").parquet(path)
 
 
 def read(spark, path: str) -> DataFrame:
@@ -218,8 +221,7 @@ def documents_of(shards: DataFrame) -> DataFrame:
     docs = shards.mapInArrow(task, "doc_id long, part int, in_part long, n_tokens long, ids_crc32 long")
     # one small row per task that wrote; parts are numbered in id order
     sizes = shards.groupBy("part").agg(F.sum(F.expr("aggregate(lengths, 0L, (a, x) -> a + x)")).alias("size"))
-    totals = sizes.agg(F.sort_array(F.collect_list(F.struct("part", "size"))).alias("parts"))
-    before = totals.select(F.explode(F.expr("transform(parts, (p, i) -> struct(p.part as part, aggregate(slice(parts, 1, i), 0L, (a, x) -> a + x.size) as part_before))")).alias("x")).select("x.*")
+    before = sizes.select("part", (F.sum("size").over(Window.orderBy("part")) - F.col("size")).alias("part_before"))
     return docs.join(F.broadcast(before), "part").select("doc_id", (F.col("part_before") + F.col("in_part")).alias("start"), "n_tokens", "ids_crc32")
 
 

@@ -6,12 +6,13 @@ import random
 import zlib
 
 import duckdb
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
 from keelson.llm import bpe, components, decontaminate, language, quality, queries, secrets, simhash, suffix_dedup, tokenfile, toxicity, urls
-from keelson.llm.common import tune
+from keelson.llm.common import scratch, tune
 from tests.llm import brute
 
 CLASHES = "h long, fp long, n long, spans string, blob string, kept_id long, path string, label string, version int, content string, rh long, bytes binary, node long, root long"
@@ -598,3 +599,17 @@ def test_a_million_secrets_in_one_text(spark):
     r = secrets.scan_documents(docs).select(F.size("spans").alias("n"), F.element_at("spans", -1).alias("last")).first()
     assert r["n"] == n + 1 and (r["last"]["start"], r["last"]["end"]) == (17 + 27 * (n - 1), 17 + 27 * (n - 1) + 24)
     assert secrets.redact(docs).select(F.sha2("text", 256)).first()[0] == brute.sha("é [secret] " + "[secret] é " * n)
+
+
+def test_token_files_of_repeated_ids_and_many_parts(spark):
+    rows = spark.range(30_000).select(F.when(F.col("id") % 3 > 0, F.lit(7)).alias("doc_id"), F.concat(F.lit("word "), F.col("id").cast("string")).alias("text"))
+    path = scratch(spark)
+    tokenfile.write(rows, path, public_tokenizers.path("byte_bpe_50k.json"))
+    files = tokenfile.read(spark, path)
+    sizes = [r["n"] for r in files.groupBy("part").agg(F.sum(F.size("doc_ids")).alias("n")).collect()]
+    assert len(sizes) == 4 and max(sizes) < 15_000
+    found = tokenfile.documents_of(files).orderBy("start").collect()
+    assert [r["doc_id"] for r in found] == [None] * 10_000 + [7] * 20_000
+    assert all(a["start"] + a["n_tokens"] == b["start"] for a, b in zip(found, found[1:], strict=False))
+    many = spark.range(100_000).select(F.col("id").cast("int").alias("part"), F.lit(0).cast("long").alias("part_start"), F.array("id").alias("doc_ids"), F.array(F.lit(2).cast("long")).alias("lengths"), F.lit(tokenfile.pack(np.array([5, 2]))).alias("payload"))
+    assert tokenfile.documents_of(many).agg(F.max("start"), F.count_if(F.col("start") == 2 * F.col("doc_id"))).first() == (199_998, 100_000)
