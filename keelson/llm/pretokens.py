@@ -12,7 +12,7 @@ import unicodedata
 
 import numpy as np
 
-from keelson.llm.common import first_equal
+from keelson.llm.common import first_equal, ragged
 
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 
@@ -100,12 +100,13 @@ class PieceTable:
     """Token ids of the pieces met so far in this worker.
 
     Pieces of a slice are told apart by comparing their code points, pieces of different
-    slices by their text. ``encode`` gives the ids of a list of pieces. The table starts
-    anew past about ``most`` bytes; a piece met again is then encoded again.
+    slices by their text. ``encode`` gives the ids of a list of pieces. Past about ``most``
+    bytes the table starts anew, with ``keep`` from the pieces that most slices had, to half
+    that size; a piece that is gone and met again is encoded again.
     """
 
-    def __init__(self, encode, most: int = 32 << 20):
-        self.encode, self.most = encode, most
+    def __init__(self, encode, most: int = 32 << 20, keep: bool = False):
+        self.encode, self.most, self.keep = encode, most, keep
         self.clear()
 
     def clear(self) -> None:
@@ -114,11 +115,25 @@ class PieceTable:
         self.ids = np.zeros(0, np.uint32)
         self.begin = np.zeros(0, np.int64)
         self.count = np.zeros(0, np.int64)
+        self.seen = np.zeros(0, np.int64)
+
+    def shrink(self) -> None:
+        """Keeps the pieces that several slices had, most often first, in half the bytes."""
+        pieces, ids, begin, count, seen = list(self.slot), self.ids, self.begin, self.count, self.seen
+        order = np.argsort(-seen, kind="stable")
+        size = 160 + 2 * np.array([len(p) for p in pieces], np.int64) + 4 * count
+        order = order[(np.cumsum(size[order]) <= self.most // 2) & (seen[order] > 1)]
+        self.slot = {pieces[i]: k for k, i in enumerate(order.tolist())}
+        self.held = int(size[order].sum())
+        self.count = count[order]
+        self.ids = ids[ragged(begin[order], self.count)]
+        self.begin = np.cumsum(self.count) - self.count
+        self.seen = seen[order] // 2  # what was met long ago counts less
 
     def look_up(self, text: str, points: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         """The slot of every piece; new pieces are encoded first."""
         if self.held > self.most:
-            self.clear()
+            self.shrink() if self.keep else self.clear()
         first = first_equal(points, begin, end)
         lead = np.flatnonzero(first == np.arange(len(first)))
         pieces = [text[b:e] for b, e in zip(begin[lead].tolist(), end[lead].tolist(), strict=True)]
@@ -130,9 +145,11 @@ class PieceTable:
             self.begin = np.concatenate((self.begin, len(self.ids) + np.cumsum(counts) - counts))
             self.ids = np.concatenate((self.ids, ids.astype(np.uint32)))
             self.count = np.concatenate((self.count, counts))
+            self.seen = np.concatenate((self.seen, np.zeros(len(new), np.int64)))
             for k, i in enumerate(new):
                 slots[i] = self.slot[pieces[i]] = base + k
             self.held += sum(160 + 2 * len(pieces[i]) for i in new) + 4 * len(ids)
         out = np.empty(len(first), np.int64)
         out[lead] = slots
+        self.seen[slots] += 1  # pieces of a slice are distinct
         return out[first]
