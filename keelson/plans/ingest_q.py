@@ -250,6 +250,18 @@ def _st3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(kept, "event_id", "left").groupBy(F.col("kept").isNull().alias("late")).agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
 
 
+def _st3_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts that the stream of ``_st3`` wrote while it ran."""
+    rows = view(spark, sf_dir, "snapshots").withColumn("ts", F.col("ts").cast("timestamp"))
+    path = scratch.folder(spark)
+    for late in (False, True):
+        rows.where((F.col("event_id") % 10 == 0) == F.lit(late)).write.mode("append").parquet(f"{path}/in")
+        counted = jobs.LateRows(spark, f"{path}/late", path).watch()
+        jobs.ingest(spark.readStream.schema(rows.schema).parquet(f"{path}/in"), f"{path}/out", f"{path}/cp", path).awaitTermination()
+        counted.ended()
+    return counted.counts().agg(F.sum("rows").alias("rows_read"), F.sum("late").alias("rows_late"))
+
+
 def _others(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     table = lambda name: view(spark, sf_dir, name)
     risk = F.when(F.col("n") % 5 == 0, "HIGH").otherwise("LOW")
@@ -274,11 +286,12 @@ def _st6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _WATERMARK = "(SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 30 MINUTE FROM {0})"
 _KELLY = "CASE WHEN net_edge <= 0 OR detector_confidence < 0.1 THEN 0.0 ELSE floor(500 * least(0.10, net_edge * detector_confidence * 0.5) * 100 + 0.5) / 100 END"
-QUERIES |= {"st1_ingest_stream": _st1, "st2_latest_state": _st2, "st3_late_rows": _st3, "st5_detect_stream": _st5, "st6_daily_candles": _st6}
+QUERIES |= {"st1_ingest_stream": _st1, "st2_latest_state": _st2, "st3_late_rows": _st3, "st3_late_counts": _st3_counts, "st5_detect_stream": _st5, "st6_daily_candles": _st6}
 ORACLES |= {
     "st1_ingest_stream": with_views("SELECT event_id, yes FROM {snapshots}"),
     "st2_latest_state": with_views("SELECT platform, market_id, arg_max(yes, (ts, event_id)) AS yes FROM {snapshots} GROUP BY platform, market_id"),
     "st3_late_rows": with_views(f"SELECT event_id % 10 = 0 AND ts <= {_WATERMARK.format('{snapshots} WHERE event_id % 10 <> 0')} AS late, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM {{snapshots}} GROUP BY 1"),
+    "st3_late_counts": with_views(f"SELECT count(*) AS rows_read, count(*) FILTER (event_id % 10 = 0 AND ts <= {_WATERMARK.format('{snapshots} WHERE event_id % 10 <> 0')}) AS rows_late FROM {{snapshots}}"),
     "st5_detect_stream": with_views(f"SELECT substring(md5(concat_ws(':', type, platform, market_id)), 1, 16) AS id, type, round(CAST({SCORE_SQL} AS DOUBLE), 6) AS total, {_KELLY} AS position_size FROM (SELECT *, CAST(NULL AS DOUBLE) AS days_left FROM {UNIFIED}) WHERE {SCORE_SQL} >= 5"),
     "st6_daily_candles": with_views(f"SELECT platform, market_id, CAST(epoch_us(day) AS BIGINT) AS day, close, round(mean, 6) AS mean, n FROM {CANDLES} WHERE day + INTERVAL 1 DAY <= {_WATERMARK.format('{snapshots}')}"),
 }

@@ -34,7 +34,11 @@ def append_snapshots(new: DataFrame, path: str) -> DataFrame:
 
 def upsert(new: DataFrame, old: DataFrame, key: list[str], *order: Column | str) -> DataFrame:
     """Both tables with one row per key, the last by ``order``; a grouped maximum."""
-    rows = old.unionByName(new)
+    return newest(old.unionByName(new), key, *order)
+
+
+def newest(rows: DataFrame, key: list[str], *order: Column | str) -> DataFrame:
+    """One row per key, the last by ``order``."""
     rest = [c for c in rows.columns if c not in key]
     last = rows.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("x"))
     return last.select(*key, "x.*")

@@ -7,18 +7,18 @@ latest rows by the number of markets.
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
 
 from keelson.functions import scoring as S
 from keelson.operators import detect
-from keelson.sources.sinks import append_new, upsert
+from keelson.streaming.tables import KEY, merge_into, newest_version, store_new
 
-KEY = ["platform", "market_id"]
 DELAY = "30 minutes"
 
 
@@ -26,11 +26,67 @@ def timed(stream: DataFrame) -> DataFrame:
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def ingest(stream: DataFrame, path: str, checkpoint: str):
+class LateRows(StreamingQueryListener):
+    """Keeps, per batch of the streams named ``name``, the rows that it read, those that its
+    watermark dropped and the watermark itself, as JSON under ``path/batch=<id>``.
+
+    A batch that runs again writes its row again. Attach it with ``watch`` before the stream
+    starts; ``ended`` waits until the rows of a stream that ended are written.
+    """
+
+    SCHEMA = "rows long, late long, watermark timestamp, batch long"
+
+    def __init__(self, spark: SparkSession, path: str, name: str):
+        self.spark, self.path, self.name = spark, path, name
+        self.ours: set[str] = set()
+        self.over = threading.Event()
+        self.failure: Exception | None = None
+
+    def watch(self) -> LateRows:
+        self.spark.streams.addListener(self)
+        return self
+
+    def ended(self, seconds: float = 60) -> None:
+        done = self.over.wait(seconds)
+        self.spark.streams.removeListener(self)
+        if self.failure:
+            raise self.failure
+        if not done:
+            raise TimeoutError(f"no end of the stream {self.name} after {seconds} s")
+
+    def counts(self) -> DataFrame:
+        return self.spark.read.schema(self.SCHEMA).json(self.path)
+
+    def onQueryStarted(self, event) -> None:
+        if event.name == self.name:
+            self.ours.add(str(event.runId))
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        if p.name != self.name:
+            return
+        late = sum(o.numRowsDroppedByWatermark for o in p.stateOperators)
+        row = self.spark.range(1).select(F.lit(p.numInputRows).cast("long").alias("rows"), F.lit(late).cast("long").alias("late"), F.lit(p.eventTime.get("watermark")).cast("timestamp").alias("watermark"))
+        try:
+            row.coalesce(1).write.mode("overwrite").json(f"{self.path}/batch={p.batchId}")
+        except Exception as e:  # a listener's errors are only logged; ``ended`` raises it
+            self.failure = e
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        if str(event.runId) in self.ours:
+            self.over.set()
+
+
+def ingest(stream: DataFrame, path: str, checkpoint: str, name: str | None = None):
     """Snapshots to Parquet, each (platform, market, time) once. Event time is in the key,
-    so state is dropped with the watermark and the result exact."""
+    so state is dropped with the watermark and the result exact. Give it the ``name`` of a
+    ``LateRows`` to have late rows counted."""
     unique = timed(stream).withWatermark("ts", DELAY).dropDuplicates([*KEY, "ts"])
-    return unique.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    writer = unique.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    return (writer.queryName(name) if name else writer).start()
 
 
 def latest_state(stream: DataFrame, merge: Callable[[DataFrame, int], None], checkpoint: str):
@@ -39,35 +95,6 @@ def latest_state(stream: DataFrame, merge: Callable[[DataFrame, int], None], che
     return newest.writeStream.outputMode("update").foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-#: Parts of a table of newest rows; a batch writes those that it touches.
-BUCKETS = 64
-
-
-def newest_version(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
-    """The rows of a table kept by ``merge_into``: of each bucket its last version."""
-    table = spark.read.parquet(path)
-    if before is not None:
-        table = table.where(F.col("v") < before)
-    last = table.groupBy("bucket").agg(F.max("v").alias("v"))
-    return table.join(F.broadcast(last), ["bucket", "v"]).drop("v")
-
-
-def merge_into(path: str, key: list[str] = KEY, order: tuple[str, ...] = ("ts", "event_id")) -> Callable[[DataFrame, int], None]:
-    """A merge that keeps a table of newest rows: each batch writes a new version of the
-    buckets it touches; one that is run again writes the same."""
-
-    def merge(batch: DataFrame, number: int) -> None:
-        rows = batch.withColumn("bucket", F.pmod(F.xxhash64(*key), F.lit(BUCKETS)).cast("int"))
-        if number:
-            old = newest_version(batch.sparkSession, path, number)
-            rows = upsert(rows, old.join(F.broadcast(rows.select("bucket").distinct()), "bucket", "left_semi").select(*rows.columns), key, *order)
-        else:
-            rows = upsert(rows, rows.limit(0), key, *order)
-        rows.withColumn("v", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("v", "bucket").parquet(path)
-
-    return merge
-
-
 def daily_candles(stream: DataFrame) -> DataFrame:
     """Close and mean of each market's day, final when the watermark has passed it."""
     day = F.window("ts", "1 day")
@@ -130,36 +157,28 @@ def dedup_alerts(stream: DataFrame, hours: float = 4) -> DataFrame:
     return rows.groupBy("type", *KEY).transformWithStateInPandas(statefulProcessor=AlertWindows(hours), outputStructType=ALERTS, outputMode="Append", timeMode="EventTime")
 
 
-def store_new(rows: DataFrame, path: str, key: list[str]) -> None:
-    """Append rows whose key is not stored yet, whatever batch they came with."""
-    try:
-        rows = append_new(rows, rows.sparkSession.read.parquet(path), key)
-    except Exception as e:  # nothing written yet
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        rows = rows.dropDuplicates(key)
-    rows.write.mode("append").parquet(path)
-
-
 def detect_batch(path: str, books: str, others: Callable[[SparkSession], dict[str, DataFrame]] | None = None, bankroll: float = 500.0, least: float = 5.0) -> Callable[[DataFrame, int], None]:
     """A micro-batch of outcome rows through the detectors to scored, stored opportunities,
     each (id, detected_at) once.
 
     The newest row of each outcome is kept at ``books``, so a market whose outcomes come in
-    several batches is judged as a whole. ``others`` gives what the detectors across venues
-    and on forecasts found (``cross``, ``forecasts``).
+    several batches is judged as a whole; only the parts of it that hold a market of the batch
+    are read. ``others`` gives what the detectors across venues and on forecasts found
+    (``cross``, ``forecasts``). A batch without a row that has a time stores nothing.
     """
-    merge = merge_into(books, [*KEY, "outcome"], ("ts", "ask", "bid", "liquidity"))
+    merge = merge_into(books, [*KEY, "outcome"], ("ts", "ask", "bid", "liquidity"), by=KEY)
 
     def run(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         merge(timed(batch), number)
+        as_of = timed(batch).agg(F.max("ts")).first()[0]
+        if as_of is None:
+            return
         touched = batch.select(*KEY).distinct()
-        own = detect.outcome_books(newest_version(spark, books, number + 1).join(touched, KEY, "left_semi"))
+        own = detect.outcome_books(newest_version(spark, books, number + 1, touched).join(touched, KEY, "left_semi"))
         found = detect.unify(detect.multi_outcome(own), detect.price_sums(own), **(others(spark) if others else {}))
-        as_of = timed(batch).agg(F.max("ts").alias("detected_at"))
         kelly = S.kelly(F.col("net_edge"), F.col("detector_confidence"), bankroll)
         rows = detect.scored(found, least).withColumns({"position_size": kelly["size"], "position_percent": kelly["percent"]})
-        store_new(rows.crossJoin(F.broadcast(as_of)).where("detected_at is not null"), path, ["id", "detected_at"])
+        store_new(rows.withColumn("detected_at", F.lit(as_of)), path, ["id", "detected_at"], "detected_at")
 
     return run

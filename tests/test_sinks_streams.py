@@ -94,6 +94,63 @@ def test_newest_rows_survive_batches_run_again(spark, tmp_path):
     assert sorted((r["market_id"], r["yes"]) for r in jobs.newest_version(spark, f"{tmp_path}/table").collect()) == [("m1", 0.3), ("m2", 0.2)]
 
 
+def files_of(path):
+    import glob
+
+    return sorted(glob.glob(f"{path}/data/v=*/_part=*/*.parquet"))
+
+
+def test_tables_of_newest_rows_split_vacuum_and_run_again(spark, tmp_path):
+    import random
+
+    from keelson.streaming import tables
+
+    rnd, path, want = random.Random(5), f"{tmp_path}/table", {}
+    merge = tables.merge_into(path, part_rows=40)
+    schema = "platform string, market_id string, ts timestamp, yes double, event_id int"
+    stored, read = [], []
+    for number in range(9):
+        # batch 4 is empty, a null key is a key, and times come in any order
+        rows = [("venue_a", rnd.choice([None, *(f"m{i}" for i in range(300))]), datetime(2024, 1, rnd.randrange(1, 28)), float(number), number * 1000 + i) for i in range(0 if number == 4 else 120)]
+        batch = spark.createDataFrame(rows, schema)
+        merge(batch, number)
+        if number % 3 == 1:
+            merge(batch, number)
+        for r in rows:
+            want[r[1]] = max(want.get(r[1], r), r, key=lambda x: (x[2], x[4]))
+        found = tables.newest_version(spark, path)
+        assert {r["market_id"]: tuple(r) for r in found.select(schema.replace(",", "").split(" ")[::2]).collect()} == want, number
+        stored.append(len(files_of(path)))
+        read.append(len(found.inputFiles()))
+    parts = tables.logs(spark, path)
+    assert len(parts) == 2 and max(p.n for p in parts[8]) <= 80 and max(p.depth for p in parts[8]) > 3
+    # two versions of each part at most, whatever the batches so far
+    assert read[-1] <= len(parts[8]) and stored[-1] <= 2 * len(parts[8])
+    some = tables.newest_version(spark, path, holding=spark.createDataFrame([("venue_a", "m7")], "platform string, market_id string"))
+    assert len(some.inputFiles()) == 1 and some.where("market_id = 'm7'").count() == ("m7" in want)
+
+
+def test_a_table_never_merged_into_is_an_error(spark, tmp_path):
+    import pytest
+
+    from keelson.streaming import tables
+
+    tables.merge_into(f"{tmp_path}/t")(spark.createDataFrame([], "platform string, market_id string, ts timestamp, event_id int"), 0)
+    with pytest.raises(ValueError):
+        tables.newest_version(spark, f"{tmp_path}/t")
+
+
+def test_stored_once_by_day(spark, tmp_path):
+    from keelson.streaming import tables
+
+    path = f"{tmp_path}/out"
+    rows = lambda *r: spark.createDataFrame([(i, d and datetime(2024, 1, d, h), v) for i, d, h, v in r], "id string, at timestamp, v int")
+    for batch in (rows(("a", 1, 5, 1), ("a", 1, 5, 1), (None, 1, 5, 1), ("n", None, 0, 1)), rows(("a", 1, 5, 2), ("a", 1, 6, 2), (None, 1, 5, 2), ("b", 2, 0, 2)), rows(), rows(("n", None, 0, 3), ("b", 2, 0, 3), ("n", 3, 0, 3))):
+        tables.store_new(batch, path, ["id", "at"], "at")
+    found = sorted(((r["id"] or "", r["at"].day if r["at"] else 0, r["v"]) for r in spark.read.parquet(path).collect()))
+    assert found == [("", 1, 1), ("a", 1, 1), ("a", 1, 2), ("b", 2, 2), ("n", 0, 1), ("n", 3, 3)]
+
+
 def test_chunks_do_not_hang_on_partitions(spark):
     import random
 
