@@ -13,13 +13,14 @@ exact and misspelled, plain and quoted, and their share of the words.
 Words are runs of letters, with one or two digits or marks inside where they stand between
 letters (l0ser, st*pid); two letters in the wrong order are one edit.
 
-Lexicon and logistic weights are fitted on about ``SAMPLE`` ids of each label; the lexicon
-keeps the ``LEXICON`` best of the terms that its bounds let in.
+Lexicon and logistic weights are fitted on about ``SAMPLE`` ids of each label. Every word of
+enough support and log-odds is a term; as each stands in ``SUPPORT_SHARE`` of the toxic texts,
+there are at most 1 / ``SUPPORT_SHARE`` times as many as a toxic text has distinct words.
 
 Defined cases: null and empty texts have no hits and get the score of such texts; without
 rows of both labels every score is the share of toxic rows (0 if there are none); rows with
 null ids are scored and never learned from; of an id's repeated labels one counts, of its
-texts all; very long texts are scored whole; further columns aren't read.
+texts the least is learned from; very long texts are scored whole; further columns aren't read.
 """
 
 from __future__ import annotations
@@ -39,7 +40,6 @@ from keelson.llm.pretokens import LETTER, NUMBER, OTHER, PieceTable, classes, co
 from keelson.llm.sampling import per_class
 
 SAMPLE = 10_000
-LEXICON = 400
 #: A term stands in at least so many toxic rows of the sample, and this share of them.
 SUPPORT, SUPPORT_SHARE = 3, 0.004
 LOG_ODDS = 2.0
@@ -197,7 +197,9 @@ class Scorer:
 
 
 def _sampled(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    return docs.join(F.broadcast(chosen), "doc_id").select("label", "weight", "text")
+    """One text of each chosen id, however many rows have it."""
+    one = docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label", "weight").agg(F.min("text").alias("text"))
+    return one.select("label", "weight", "text")
 
 
 def _learn_lexicon(rows: DataFrame, n_toxic: float, n_other: float) -> tuple[list[str], list[float]]:
@@ -218,7 +220,8 @@ def _learn_lexicon(rows: DataFrame, n_toxic: float, n_other: float) -> tuple[lis
     found = rows.mapInArrow(task, "word string, toxic long, other long").groupBy("word").agg(F.sum("toxic").alias("t"), F.sum("other").alias("o"))
     odds = F.log((F.col("t") + 0.5) / (n_toxic + 1)) - F.log((F.col("o") + 0.5) / (n_other + 1))
     least = max(SUPPORT, SUPPORT_SHARE * n_toxic)
-    best = found.where(F.col("t") >= least).withColumn("odds", odds).where(F.col("odds") >= LOG_ODDS).orderBy(F.desc(F.col("odds") * F.sqrt("t")), "word").limit(LEXICON).collect()
+    best = found.where(F.col("t") >= least).withColumn("odds", odds).where(F.col("odds") >= LOG_ODDS).collect()
+    best.sort(key=lambda r: (-r["odds"] * r["t"] ** 0.5, r["word"]))  # of equally near terms the stronger is the hit
     return [r["word"] for r in best], [float(r["odds"]) for r in best]
 
 

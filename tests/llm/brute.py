@@ -241,3 +241,80 @@ def lloyd(rows, k=8, rounds=10, dims=64, scale=1024, seed="3"):
         inertia[j] += d
     key = lambda r: (r[0] is None, r)
     return sorted(((i, j, d, inertia[j], sum(inertia.values()), cents[j]) for (i, _), (d, j) in zip(kept, last, strict=True)), key=lambda r: (r[0] is None, r[0] or 0, r[1:]))
+
+
+def gram_counts(text, bits=15, longest=4):
+    """Places of a text's byte grams, with how often each comes."""
+    raw = [32 if b < 128 and not chr(b).isalpha() else b + 32 if 65 <= b <= 90 else b for b in text.encode()]
+    out = Counter()
+    for size in range(1, longest + 1):
+        for i in range(len(raw) - size + 1):
+            gram = raw[i : i + size]
+            if set(gram) != {32}:
+                value = 0
+                for b in gram:
+                    value = value * 257 + b
+                out[((value + size - 1) * 0x9E3779B97F4A7C15 % 2**64) >> (64 - bits)] += 1
+    return out, sum(b != 32 for b in raw)
+
+
+def language(text, languages, idf, centroids, owner, least, sharpness=25):
+    """Language, score, best cosine and the limit that it is held against."""
+    if not text or not any(c.isalpha() for c in text):
+        return "und", 0.0, 0.0, None
+    tf, solid = gram_counts(text)
+    x = {g: math.log1p(n) * float(idf[g]) for g, n in tf.items()}
+    size = math.sqrt(sum(v * v for v in x.values())) or 1
+    cosines = [sum(v * float(c[g]) for g, v in x.items()) / size for c in centroids]
+    best = [max(c for c, o in zip(cosines, owner, strict=True) if o == k) for k in range(len(languages))]
+    pick = max(range(len(best)), key=lambda k: (best[k], -k))
+    score = 1 / sum(math.exp(sharpness * (b - best[pick])) for b in best)
+    return languages[pick], score, best[pick], least[pick][min(15, int(math.log2(max(1, solid))))]
+
+
+def edits(a, b):
+    """Inserted, deleted, replaced letters and swapped neighbours (none edited again) from a to b."""
+    d = [[i + j if not i * j else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            d[i][j] = min(d[i - 1][j] + 1, d[i][j - 1] + 1, d[i - 1][j - 1] + (a[i - 1] != b[j - 1]))
+            if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                d[i][j] = min(d[i][j], d[i - 2][j - 2] + 1)
+    return d[-1][-1]
+
+
+_REPORT = re.compile(r"\b(said|says|wrote|writes|quoted?|called|reported|according|dit|écrit|selon|sagte|schrieb|laut|dijo|escribió|según)\b")
+
+
+def toxicity(text, terms, weights, logistic, window=60):
+    """The score of one text."""
+    import regex
+
+    text = (text or "").lower()
+    letter = [bool(regex.match(r"\p{L}", c)) for c in text] + [False] * 2
+    other = [bool(regex.match(r"\p{N}", c)) or c in "*@$!#%" for c in text] + [False] * 2
+    inside = [
+        letter[i] or other[i] and i > 0 and (letter[i - 1] and (letter[i + 1] or other[i + 1] and letter[i + 2]) or letter[i + 1] and i > 1 and other[i - 1] and letter[i - 2])
+        for i in range(len(text))
+    ]
+    words, i = [], 0
+    while i < len(text):
+        j = i
+        while j < len(text) and inside[j]:
+            j += 1
+        if j > i:
+            words.append((i, j))
+        i = j + 1
+    x = [0.0] * 5
+    for b, e in words:
+        word = text[b:e]
+        hits = [(n, k) for k, t in enumerate(terms) if abs(len(t) - len(word)) <= 2 and (n := edits(t, word)) <= (2 if len(t) >= 9 else 1 if len(t) >= 4 else 0)]
+        if hits:
+            n, k = min(hits)
+            before, after = text[max(0, b - window) : b], text[e : e + window]
+            marks = "\"“”„«»‘’"
+            quote = sum(before.count(q) for q in marks) % 2 == 1 and any(q in after for q in marks) or _REPORT.search(before[-window // 2 :]) is not None
+            x[2 * quote + (n > 0)] += weights[k][n > 0]
+    x[4] = (x[0] + x[1]) / math.sqrt(max(1, len(words)))
+    z = logistic[-1] + sum(math.log1p(v) * w for v, w in zip(x, logistic, strict=False))
+    return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 import random
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -403,6 +405,20 @@ def test_language_accuracy(spark):
     assert found.where("score < 0 or score > 1").count() == 0
 
 
+def test_language_is_plain_python(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang").orderBy("doc_id").limit(300)
+    model = language.fit(docs, F.lit(True), sample=100)
+    known = [r["text"] for r in docs.where("text is not null and lang is not null").collect()]
+    seen = Counter(g for t in known for g in brute.gram_counts(t)[0])
+    assert model.idf.tolist() == pytest.approx([math.log((1 + len(known)) / (1 + seen[g])) + 0.05 for g in range(language.DIM)], abs=1e-5)
+    texts = known[:40] + [t for _, t in DOCS if t is None or len(t) < 3000] + ["Все люди рождаются", "ab", "x1 " * 9]
+    found = language.predict(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).orderBy("doc_id").collect()
+    for r, text in zip(found, texts, strict=True):
+        lang, score, cosine, least = brute.language(text, *(x.tolist() if hasattr(x, "tolist") else x for x in model))
+        assert r["lang_pred"] == lang and r["score"] == pytest.approx(score, abs=1e-4) and r["cosine"] == pytest.approx(cosine, abs=1e-5), text
+        assert r["rejected"] == (least is None or cosine < least) or abs(cosine - least) < 1e-5
+
+
 def test_language_unknown(docs):
     found = {r["doc_id"]: r for r in language.identify(docs).collect()}
     assert {d for d, r in found.items() if r["lang_pred"] == "und"} == {0, 1, 2, 6}
@@ -473,6 +489,29 @@ def test_toxicity_held_out(spark):
     assert rates[1] > 0.9 and rates[0] < 0.02
 
 
+def test_toxicity_is_plain_python(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    terms, weights, logistic = toxicity.fit(docs, labels, F.lit(True))
+    rnd = random.Random(8)
+    bad = [t for t in terms if len(t) > 3][:12]
+    slip = lambda w, i: (w[:i] + w[i + 1 :], w[:i] + rnd.choice("aex") + w[i:], w[:i] + w[i + 1 : i + 2] + w[i] + w[i + 2 :], w[:i] + "1" + w[i + 1 :], w)[rnd.randrange(5)]
+    made = [rnd.choice(['he said you {}', 'the word "{}" was used', "you {}, {}!", "« {} » {}", "{}"]).replace("{}", slip(w := rnd.choice(bad), rnd.randrange(len(w)))) for _ in range(150)]
+    texts = [r[0] for r in docs.orderBy("doc_id").select("text").limit(60).collect()] + made + [None, "", "a1", "x@@y z#"]
+    found = toxicity.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), terms, weights, logistic)
+    got = [r[0] for r in found.orderBy("doc_id").select("score").collect()]
+    want = [brute.toxicity(t, terms, weights, list(logistic)) for t in texts]
+    assert len(bad) > 5 and got == pytest.approx(want, abs=1e-9)
+    assert any(g >= 0.5 for g in got[60:-4]) and any(g < 0.5 for g in got[60:-4])
+
+
+def test_toxicity_learns_one_text_of_an_id(spark):
+    docs = spark.createDataFrame([(i, f"wretch and bread {i}" if i % 2 else f"bread and butter {i}") for i in range(100)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(100)], "doc_id long, toxic int")
+    crowd = docs.unionByName(spark.range(50_000).select(F.lit(2).cast("long").alias("doc_id"), F.concat(F.lit("wretch and "), "id").alias("text")))
+    alone, among = (toxicity.fit(d, labels, F.lit(True)) for d in (docs, crowd))
+    assert alone[:2] == among[:2] and "wretch" in alone[0]
+
+
 def test_lexicon_automaton():
     a = toxicity.Automaton(["idiot", "scum", "disgusting"])
     assert [a.match(w) for w in ("idiot", "idoit", "idiots", "idot", "ydiot", "scum", "scums", "disgustign", "the", "")] == [0, 1, 1, 1, 1, 2, 3, 5, -1, -1]
