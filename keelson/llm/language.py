@@ -8,7 +8,8 @@ against other languages' best. It is rejected when its cosine is below what near
 sample texts of that language and about its length show, and when no letter is in it.
 
 Document frequencies count every row that may be learned from. Centroids and rejection
-limits are fitted on about ``SAMPLE`` ids of each language. Limits come from cosines with
+limits are fitted on about ``SAMPLE`` ids of each language, a task a language; the driver sees
+the model alone, half a megabyte a language. Limits come from cosines with
 centroids of the half of the sample that a text is not in (equal texts share a half).
 
 Defined cases: a null text or one without a letter is ``und`` with score 0 and rejected;
@@ -22,7 +23,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -78,6 +79,14 @@ def bands(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.minimum(np.log2(np.maximum(np.diff(solid[at]), 1)).astype(np.int64), BANDS - 1)
 
 
+def weighted(tf: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """Normalised TF-IDF rows of gram counts."""
+    x = np.zeros_like(tf)
+    some = np.flatnonzero(tf)
+    x.reshape(-1)[some] = np.log1p(tf.reshape(-1)[some]) * idf[some % DIM]
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+
+
 class Model(NamedTuple):
     languages: list[str]
     idf: np.ndarray
@@ -86,15 +95,9 @@ class Model(NamedTuple):
     #: by language and length band
     least: np.ndarray
 
-    def vectors(self, tf: np.ndarray) -> np.ndarray:
-        x = np.zeros_like(tf)
-        some = np.flatnonzero(tf)
-        x.reshape(-1)[some] = np.log1p(tf.reshape(-1)[some]) * self.idf[some % DIM]
-        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-
     def best(self, tf: np.ndarray) -> np.ndarray:
         """The highest cosine of each row with each language."""
-        cosine = self.vectors(tf) @ self.centroids.T
+        cosine = weighted(tf, self.idf) @ self.centroids.T
         return np.stack([cosine[:, self.owner == k].max(axis=1) for k in range(len(self.languages))], axis=1)
 
 
@@ -183,21 +186,30 @@ def fit(docs: DataFrame, learnable: Column, sample: int = SAMPLE, centroids: int
 
     # an id that repeats gives one text of each of its languages
     texts = per_class(known, "lang", sample).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
-    rows = texts.select("lang", "text").mapInArrow(task, "lang string, band long, gram binary, tf binary").collect()
-    if not rows:
+    rows = texts.select("lang", "text").mapInArrow(task, "lang string, band long, gram binary, tf binary")
+    idf = np.log((1 + n) / (1 + frequency)).astype(np.float32) + np.float32(0.05)
+    found = sorted(rows.groupBy("lang").applyInArrow(_language_of(idf, centroids), "lang string, centroids binary, least binary").collect())
+    if not found:
         return None
-    rows.sort(key=lambda r: (r[0], r[2], r[3]))  # however tasks return them
-    model = Model(sorted({r[0] for r in rows}), np.log((1 + n) / (1 + frequency)).astype(np.float32) + np.float32(0.05), np.zeros((0, DIM), np.float32), np.zeros(0, np.int64), np.zeros((0, BANDS)))
-    found, least = [], []
-    for language in model.languages:
-        own = [r for r in rows if r[0] == language]
+    each = [np.frombuffer(r["centroids"], np.float32).reshape(-1, DIM) for r in found]
+    least = np.stack([np.frombuffer(r["least"], np.float64) for r in found])
+    return Model([r["lang"] for r in found], idf, np.concatenate(each), np.repeat(np.arange(len(each)), [len(c) for c in each]), least)
+
+
+def _language_of(idf: np.ndarray, centroids: int) -> Callable[[pa.Table], pa.Table]:
+    """Centroids and limits from the sample texts of one language, in one task."""
+
+    def one(table: pa.Table) -> pa.Table:
+        own = sorted(zip(*(table.column(c).to_pylist() for c in ("gram", "tf", "band")), strict=True))  # however tasks return them
         tf = np.zeros((len(own), DIM), np.float32)
-        for to, r in zip(tf, own, strict=True):
-            to[np.frombuffer(r[2], np.int32)] = np.frombuffer(r[3], np.float32)
-        x = model.vectors(tf)
-        found.append(_cluster(x, centroids))
-        least.append(_limits(x, np.array([zlib.crc32(r[2] + r[3]) % 2 for r in own]), np.array([r[1] for r in own]), centroids))
-    return model._replace(centroids=np.concatenate(found), owner=np.repeat(np.arange(len(found)), [len(c) for c in found]), least=np.stack(least))
+        for to, (gram, count, _) in zip(tf, own, strict=True):
+            to[np.frombuffer(gram, np.int32)] = np.frombuffer(count, np.float32)
+        x = weighted(tf, idf)
+        del tf
+        least = _limits(x, np.array([zlib.crc32(g + c) % 2 for g, c, _ in own]), np.array([b for *_, b in own]), centroids)
+        return pa.table({"lang": table.column("lang").slice(0, 1), "centroids": [_cluster(x, centroids).astype(np.float32).tobytes()], "least": [least.astype(np.float64).tobytes()]})
+
+    return one
 
 
 def _judge(part: pa.Array, model: Model | None) -> tuple[np.ndarray, ...]:
