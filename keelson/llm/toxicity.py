@@ -25,6 +25,7 @@ texts the least is learned from; very long texts are scored whole; further colum
 
 from __future__ import annotations
 
+import functools
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -45,8 +46,8 @@ SUPPORT, SUPPORT_SHARE = 3, 0.004
 LOG_ODDS = 2.0
 #: Edits allowed from so many letters on; two neighbours in the wrong order are one.
 EDITS = ((9, 2), (4, 1), (0, 0))
-#: States kept of an automaton; past that it starts anew.
-MOST_STATES = 50_000
+#: Entries that the states of an automaton hold together; past that it starts anew.
+MOST_ENTRIES = 500_000
 #: Marks that may stand for letters inside a word, as digits may.
 _STANDINS = [ord(c) for c in "*@$!#%"]
 WINDOW = 60
@@ -58,11 +59,18 @@ _REPORTS = re.compile(r"\b(said|says|wrote|writes|quoted?|called|reported|accord
 
 
 class Automaton:
-    """A trie of terms met with at most the terms' edits; states are made when met."""
+    """A trie of terms met with at most the terms' edits; states are made when met.
+
+    A node knows the most edits that a term at or below it allows; what has used more
+    leaves the state. Equal states are one number, so a word whose states were met before
+    costs a look-up per letter.
+    """
 
     def __init__(self, terms: list[str]):
         self.children: list[dict[str, int]] = [{}]
         self.term_at: list[int] = [-1]
+        self.edits = [next(e for least, e in EDITS if len(t) >= least) for t in terms]
+        self.reach = [max(self.edits, default=0)]
         for k, term in enumerate(terms):
             node = 0
             for c in term:
@@ -70,13 +78,32 @@ class Automaton:
                     self.children[node][c] = len(self.children)
                     self.children.append({})
                     self.term_at.append(-1)
+                    self.reach.append(0)
                 node = self.children[node][c]
+                self.reach[node] = max(self.reach[node], self.edits[k])
             self.term_at[node] = k
-        self.edits = [next(e for least, e in EDITS if len(t) >= least) for t in terms]
-        self.most = max(self.edits, default=0)
-        self.start = self._close({(0, 0, "")})
-        self.steps: dict[frozenset, dict[str, frozenset]] = {}
-        self.ends: dict[frozenset, int] = {}
+        self._clear()
+
+    def _clear(self) -> None:
+        self.number: dict[frozenset, int] = {}
+        self.states: list[frozenset] = []
+        self.after: list[dict[str, int]] = []
+        self.ends: list[int] = []
+        self.held = 0
+        self._number(self._close({(0, 0, "")}))
+
+    def _number(self, state: frozenset) -> int:
+        """The state's number; the empty state's is -1, the start's 0."""
+        if not state:
+            return -1
+        found = self.number.get(state)
+        if found is None:
+            found = self.number[state] = len(self.states)
+            self.states.append(state)
+            self.after.append({})
+            self.ends.append(self._end(state))
+            self.held += len(state)
+        return found
 
     def _close(self, state: set[tuple[int, int, str]]) -> frozenset:
         """With the letters that may be left out; of one node only the fewest edits."""
@@ -84,10 +111,10 @@ class Automaton:
         todo = list(state)
         while todo:
             node, e, due = todo.pop()
-            if e < least.get((node, due), self.most + 1):
+            if e <= self.reach[node] and e < least.get((node, due), e + 1):
                 least[node, due] = e
-                if e < self.most and not due:
-                    todo += [(child, e + 1, "") for child in self.children[node].values()]
+                if not due:
+                    todo += [(child, e + 1, "") for child in self.children[node].values() if e < self.reach[child]]
         return frozenset((node, e, due) for (node, due), e in least.items())
 
     def _step(self, state: frozenset, c: str) -> frozenset:
@@ -100,11 +127,11 @@ class Automaton:
             for letter, child in self.children[node].items():
                 if letter == c:
                     out.add((child, e, ""))
-                elif e < self.most:
+                elif e < self.reach[child]:
                     out.add((child, e + 1, ""))
                     if c in self.children[child]:
                         out.add((self.children[child][c], e + 1, letter))
-            if e < self.most:
+            if e < self.reach[node]:
                 out.add((node, e + 1, ""))
         return self._close(out)
 
@@ -117,21 +144,16 @@ class Automaton:
         return 2 * term + (e > 0)
 
     def match(self, word: str) -> int:
-        if len(self.steps) > MOST_STATES:
-            self.steps, self.ends = {}, {}
-        state = self.start
+        if self.held > MOST_ENTRIES:
+            self._clear()
+        state = 0
         for c in word:
-            own = self.steps.get(state)
-            if own is None:
-                own = self.steps[state] = {}
-            after = own.get(c)
+            after = self.after[state].get(c)
             if after is None:
-                after = own[c] = self._step(state, c)
-            if not after:
+                after = self.after[state][c] = self._number(self._step(self.states[state], c))
+            if after < 0:
                 return -1
             state = after
-        if state not in self.ends:
-            self.ends[state] = self._end(state)
         return self.ends[state]
 
 
@@ -196,6 +218,12 @@ class Scorer:
         return np.log1p(out)
 
 
+@functools.lru_cache(1)
+def scorer(terms: tuple[str, ...], weights: tuple[tuple[float, float], ...]) -> Scorer:
+    """A worker's tasks share one, with the states and words met so far."""
+    return Scorer(list(terms), list(weights))
+
+
 def _sampled(docs: DataFrame, chosen: DataFrame) -> DataFrame:
     """One text of each chosen id, however many rows have it."""
     one = docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label", "weight").agg(F.min("text").alias("text"))
@@ -230,12 +258,12 @@ def _misspelled_odds(rows: DataFrame, terms: list[str], exact: list[float], n_to
     its own; a term whose neighbours are ordinary words gets none."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(terms, [(1.0, 1.0)] * len(terms))
+        own = scorer(tuple(terms), ((1.0, 1.0),) * len(terms))
         counts = np.zeros((2, len(terms)), np.int64)
         for batch in batches:
             for lo, hi in slices(batch.column(2)):
                 labels = batch.column(0).slice(lo, hi - lo).to_pylist()
-                seen = {(row, term) for row, term, off, *_ in scorer.hits([t or "" for t in batch.column(2).slice(lo, hi - lo).to_pylist()]) if off}
+                seen = {(row, term) for row, term, off, *_ in own.hits([t or "" for t in batch.column(2).slice(lo, hi - lo).to_pylist()]) if off}
                 for row, term in seen:
                     counts[int(bool(labels[row])), term] += 1
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(terms))), pa.array(counts[1]), pa.array(counts[0])], ["term", "toxic", "other"])
@@ -297,10 +325,10 @@ def fit(docs: DataFrame, labels: DataFrame, learnable: Column, sample: int = SAM
     weights = _misspelled_odds(rows, terms, exact, sizes[1][0], sizes[0][0])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(terms, weights)
+        own = scorer(tuple(terms), tuple(weights))
         for batch in batches:
             for lo, hi in slices(batch.column(2)):
-                x = scorer.features([t or "" for t in batch.column(2).slice(lo, hi - lo).to_pylist()])
+                x = own.features([t or "" for t in batch.column(2).slice(lo, hi - lo).to_pylist()])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo).cast(pa.int32()), batch.column(1).slice(lo, hi - lo), pa.array(x.tolist(), pa.list_(pa.float64()))], ["label", "weight", "x"])
 
     found = rows.mapInArrow(task, "label int, weight double, x array<double>").collect()
@@ -317,10 +345,10 @@ def score(docs: DataFrame, terms: list[str], weights: list[tuple[float, float]],
     names = ["plain", "plain_misspelled", "quoted", "quoted_misspelled", "density"]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(terms, weights)
+        own = scorer(tuple(terms), tuple(weights))
         for batch in batches:
             for lo, hi in slices(batch.column(1)):
-                x = scorer.features([t or "" for t in batch.column(1).slice(lo, hi - lo).to_pylist()])
+                x = own.features([t or "" for t in batch.column(1).slice(lo, hi - lo).to_pylist()])
                 p = 1 / (1 + np.exp(-np.clip(x @ logistic[:-1] + logistic[-1], -30, 30)))
                 columns = [batch.column(0).slice(lo, hi - lo).cast(pa.int64()), pa.array(p), pa.array((p >= 0.5).astype(np.int32)), *(pa.array(x[:, k]) for k in range(FEATURES))]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "score", "predicted", *names])
