@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from keelson.operators import history, markets
 from keelson.plans import expected as X
-from keelson.plans.history_q import AS_OF, _now
 from keelson.plans.registry import query
 
 TODAY = 3
@@ -100,19 +99,19 @@ def u3(x: DataFrame) -> DataFrame:
     return markets.categories(x)
 
 
-# the sources stored for a market: events of every fiftieth number, under the market's slug
-_SOURCES = "(SELECT market_id AS slug, event_id AS ord, concat('source ', CAST(event_id AS STRING)) AS title FROM {snapshots} WHERE event_id % 50 = 0)"
+# the sources stored for a market: one for each of its events, under the market's slug
+_SOURCES = "(SELECT market_id AS slug, event_id AS ord, concat('source ', CAST(event_id AS STRING)) AS title FROM {snapshots})"
 
 
 @query("j19_market_context", "matches", "snapshots", sql=f"""SELECT m.a_id AS market_id, a.yes, b.yes AS other_yes, h.n AS points, m.n % 2 = 0 AS safe, s.headlines FROM {{matches}} m LEFT JOIN (SELECT market_id, arg_max(yes, (ts, event_id)) AS yes FROM {{snapshots}} WHERE platform = 'venue_a' GROUP BY 1) a ON a.market_id = m.a_id
-    LEFT JOIN (SELECT market_id, arg_max(yes, (ts, event_id)) AS yes FROM {{snapshots}} WHERE platform = 'venue_b' GROUP BY 1) b ON b.market_id = m.b_id LEFT JOIN (SELECT market_id, least(count(*), 10) AS n FROM {{snapshots}} WHERE platform = 'venue_a' AND ts <= TIMESTAMP '{AS_OF}' AND ts >= TIMESTAMP '{AS_OF}' - INTERVAL 7 DAY GROUP BY 1) h ON h.market_id = m.a_id
+    LEFT JOIN (SELECT market_id, arg_max(yes, (ts, event_id)) AS yes FROM {{snapshots}} WHERE platform = 'venue_b' GROUP BY 1) b ON b.market_id = m.b_id LEFT JOIN (SELECT market_id, least(count(*), 10) AS n FROM {{snapshots}} WHERE platform = 'venue_a' GROUP BY 1) h ON h.market_id = m.a_id
     LEFT JOIN (SELECT slug, string_agg(title, ';' ORDER BY ord) AS headlines FROM {_SOURCES} GROUP BY slug) s ON s.slug = m.a_id""")
 def j19(m: DataFrame, s: DataFrame) -> DataFrame:
     now, own = history.latest(s), s.where("platform = 'venue_a'")
     safe = m.select("a_id", "b_id", (F.col("n") % 2 == 0).alias("safe"))
-    sources = s.where("event_id % 50 = 0").select(F.col("market_id").alias("slug"), F.col("event_id").alias("ord"), F.concat(F.lit("source "), F.col("event_id").cast("string")).alias("title"))
+    sources = s.select(F.col("market_id").alias("slug"), F.col("event_id").alias("ord"), F.concat(F.lit("source "), F.col("event_id").cast("string")).alias("title"))
     own_markets = m.select(F.col("a_id").alias("market_id"), F.upper("a_id").alias("question"))
-    rows = markets.context(own_markets, m, now.where("platform = 'venue_b'"), history.recent(history.fresh(own, _now(), 7 * 24 * 60), 10), safe, sources)
+    rows = markets.context(own_markets, m, now.where("platform = 'venue_b'"), history.recent(own, 10), safe, sources)
     mine = now.where("platform = 'venue_a'").select("market_id", "yes")
     return rows.join(mine, "market_id", "left").select("market_id", "yes", "other_yes", F.size(F.split("history", ",")).cast("long").alias("points"), "safe", F.array_join("headlines", ";").alias("headlines"))
 
