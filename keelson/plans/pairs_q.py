@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from keelson.functions import prices as P
 from keelson.operators import study
 from keelson.plans.registry import query
+from keelson.sources.scratch import cut
 
 _GAP = "abs(a_price - CASE WHEN yes_aligned THEN b_price ELSE 1 - b_price END)"
 
@@ -289,6 +290,8 @@ def _order_sql(sort: str, n: int = 100) -> str:
 @query("t7_rank_pairs", "study", sql=" UNION ALL ".join(map(_order_sql, ("opportunity", "gap", "liquidity", "confidence"))))
 def t7(s: DataFrame) -> DataFrame:
     pairs = study.overlay_live(s, _live(s)).withColumns({"st": P.status(F.col("triage_label")), "strict_survivor": F.col("l_orderkey") % 13 != 0})
+    # joined once, then ranked four times
+    pairs = cut(pairs.select("a_id", "b_id", "settled", "st", "strict_survivor", "liquidity", "gap", "cosine"))
     out = None
     for sort in ("opportunity", "gap", "liquidity", "confidence"):
         one = study.rank_pairs(pairs, 100, sort).select(F.lit(sort).alias("sort"), "a_id", "st", "rn")
