@@ -93,7 +93,8 @@ def latest_run(spark, path: str) -> DataFrame:
 
 
 def export_csv(rows: DataFrame, path: str) -> None:
-    rows.write.option("header", True).option("quoteAll", True).mode("overwrite").csv(path)
+    """Files of quoted text with a header, compressed."""
+    rows.write.option("header", True).option("compression", "gzip").option("quoteAll", True).mode("overwrite").csv(path)
 
 
 def _fixed(c: str) -> Column:
