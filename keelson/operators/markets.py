@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from keelson.functions import prices as P
 from keelson.functions import text as T
+from keelson.sources.scratch import cut
 
 #: The verbs that outcome variants of one event share.
 GROUP_VERBS = "win|be|become|reach|make|qualify|advance|finish|score|exceed|hit|lead|control|flip|defeat|beat"
@@ -103,7 +104,8 @@ def group_feed(items: DataFrame, least: int = 4) -> DataFrame:
     clean = F.regexp_replace(F.trim("question"), r"\?+\s*$", "")
     pattern = rf"(?i)^Will\s+(.+?)\s+({GROUP_VERBS})\s+(.+)$"
     predicate = F.concat_ws(" ", F.regexp_extract(clean, pattern, 2), F.regexp_extract(clean, pattern, 3))
-    keyed = items.withColumns({"key": F.when(clean.rlike(pattern), F.lower(predicate)), "entity": F.regexp_extract(clean, pattern, 1)})
+    # written, for three steps read it and patterns are slow
+    keyed = cut(items.select("id", "rank", "volume", "platform", F.when(clean.rlike(pattern), F.lower(predicate)).alias("key"), F.regexp_extract(clean, pattern, 1).alias("entity")))
     top = F.slice(F.array_sort(F.collect_list(F.when(F.col("near"), F.struct("rank", "entity")))), 1, 3)
     # three best of each group by a window that keeps three rows a task before the shuffle
     third = F.row_number().over(Window.partitionBy("key").orderBy("rank"))
