@@ -222,7 +222,7 @@ def _stream(spark: SparkSession, sf_dir: str, name: str) -> tuple[DataFrame, str
     path = scratch.folder(spark)
     rows = view(spark, sf_dir, name)
     rows = rows.withColumn("ts", F.col("ts").cast("timestamp"))
-    rows.repartitionByRange(4, "ts").write.parquet(f"{path}/in")
+    rows.repartitionByRange("ts").write.parquet(f"{path}/in")
     return spark.readStream.schema(rows.schema).parquet(f"{path}/in"), path
 
 

@@ -20,6 +20,8 @@ from keelson.operators import detect
 from keelson.streaming.tables import KEY, merge_into, newest_version, store_new
 
 DELAY = "30 minutes"
+#: Buckets of keys that the open alert windows are kept in.
+BUCKETS = 4096
 
 
 def timed(stream: DataFrame) -> DataFrame:
@@ -103,45 +105,62 @@ def daily_candles(stream: DataFrame) -> DataFrame:
 
 
 class AlertWindows(StatefulProcessor):
-    """The open window of a key: first and last time, best score, rows. A row that comes
-    ``hours`` or more after the first closes it and opens the next; a timer closes it when
-    no row does."""
+    """The open windows of the keys that share a bucket: first and last time, best score, rows. A row
+    that comes ``hours`` or more after the first closes its key's window and opens the next; the
+    bucket's timer closes those that no row does.
+
+    State is read and written once for a bucket, for each call goes from Python to Spark and back.
+    """
 
     def __init__(self, hours: float = 4):
         self.width_ms = int(hours * 3_600_000)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.window = handle.getValueState("window", "first_ms bigint, last_ms bigint, best double, n bigint")
-
-    def _closed(self, key, w) -> tuple:
-        return (*key, pd.Timestamp(w[0], unit="ms"), pd.Timestamp(w[1], unit="ms"), w[2], w[3])
-
-    def _frame(self, rows: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame(rows, columns=["type", *KEY, "first_seen", "last_seen", "best_score", "n"])
+        self.windows = handle.getListState("windows", "type string, platform string, market_id string, first_ms bigint, last_ms bigint, best double, n bigint")
+
+    def _open(self) -> dict[tuple, tuple]:
+        return {tuple(w[:3]): tuple(w[3:]) for w in self.windows.get()}
+
+    def _frame(self, closed: list[tuple]) -> pd.DataFrame:
+        found = pd.DataFrame([(*key, *w) for key, w in closed], columns=["type", *KEY, "first_seen", "last_seen", "best_score", "n"])
+        return found.assign(**{c: pd.to_datetime(found[c], unit="ms") for c in ("first_seen", "last_seen")})
+
+    def _keep(self, windows: dict[tuple, tuple], before: int | None) -> None:
+        """Writes the open windows back; a timer stands for the first of them to close."""
+        first = min((w[0] for w in windows.values()), default=None)
+        if windows:
+            self.windows.put([(*key, *w) for key, w in windows.items()])
+        else:
+            self.windows.clear()
+        if first != before:
+            if before is not None:
+                self.handle.deleteTimer(before + self.width_ms)
+            if first is not None:
+                self.handle.registerTimer(first + self.width_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         incoming = pd.concat(list(rows)).sort_values(["ts", "event_id"])
-        window, closed = self.window.get() if self.window.exists() else None, []
-        for ts, score in zip(incoming["ts"], incoming["score"], strict=True):
-            ms = ts.value // 1_000_000
-            if window and ms - window[0] < self.width_ms:
-                window = (window[0], max(window[1], ms), max(window[2], float(score)), window[3] + 1)
+        windows, closed = self._open(), []
+        before = min((w[0] for w in windows.values()), default=None)
+        times = (incoming["ts"].astype("datetime64[ns]").astype("int64") // 1_000_000).tolist()
+        for own, ms, score in zip(zip(*(incoming[c].tolist() for c in ("type", *KEY)), strict=True), times, incoming["score"].astype(float).tolist(), strict=True):
+            w = windows.get(own)
+            if w and ms - w[0] < self.width_ms:
+                windows[own] = (w[0], max(w[1], ms), max(w[2], score), w[3] + 1)
             else:
-                if window:
-                    closed.append(self._closed(key, window))
-                window = (ms, ms, float(score), 1)
-        for timer in self.handle.listTimers():
-            self.handle.deleteTimer(timer)
-        self.window.update(window)
-        self.handle.registerTimer(window[0] + self.width_ms)
+                if w:
+                    closed.append((own, w))
+                windows[own] = (ms, ms, score, 1)
+        self._keep(windows, before)
         yield self._frame(closed)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.window.exists():
-            window = self.window.get()
-            self.window.clear()
-            yield self._frame([self._closed(key, window)])
+        windows = self._open()
+        over = timerValues.getCurrentWatermarkInMs() - self.width_ms
+        closed = [(own, w) for own, w in windows.items() if w[0] < over]
+        self._keep({own: w for own, w in windows.items() if w[0] >= over}, None)  # Spark drops the timer itself
+        yield self._frame(closed)
 
     def close(self) -> None:
         pass
@@ -150,11 +169,12 @@ class AlertWindows(StatefulProcessor):
 ALERTS = "type string, platform string, market_id string, first_seen timestamp, last_seen timestamp, best_score double, n bigint"
 
 
-def dedup_alerts(stream: DataFrame, hours: float = 4) -> DataFrame:
+def dedup_alerts(stream: DataFrame, hours: float = 4, buckets: int = BUCKETS) -> DataFrame:
     """Anchored alert windows as they close; needs a state store that holds several values
-    per key (RocksDB)."""
-    rows = timed(stream).select("type", *KEY, "ts", "score", "event_id").withWatermark("ts", DELAY)
-    return rows.groupBy("type", *KEY).transformWithStateInPandas(statefulProcessor=AlertWindows(hours), outputStructType=ALERTS, outputMode="Append", timeMode="EventTime")
+    per key (RocksDB). Keys share ``buckets`` of state by hash, which a stream keeps for good."""
+    bucket = F.pmod(F.xxhash64("type", *KEY), F.lit(buckets)).cast("int").alias("bucket")
+    rows = timed(stream).select(bucket, "type", *KEY, "ts", "score", "event_id").withWatermark("ts", DELAY)
+    return rows.groupBy("bucket").transformWithStateInPandas(statefulProcessor=AlertWindows(hours), outputStructType=ALERTS, outputMode="Append", timeMode="EventTime")
 
 
 def detect_batch(path: str, books: str, others: Callable[[SparkSession], dict[str, DataFrame]] | None = None, bankroll: float = 500.0, least: float = 5.0) -> Callable[[DataFrame, int], None]:
