@@ -42,7 +42,8 @@ def _events_b(p: DataFrame) -> DataFrame:
         F.when(F.col("l_partkey") % 5 != 0, text("a_price")).otherwise("").alias("yes_ask_dollars"), F.lit("").alias("yes_bid_dollars"), F.when(F.col("l_partkey") % 10 == 0, text("b_price")).alias("last_price_dollars"),
         text("a_volume").alias("volume_fp"), text("b_volume").alias("open_interest_fp"), F.when(F.col("l_suppkey") % 2 == 0, text("b_volume")).alias("liquidity_dollars"), F.lit(None).cast("string").alias("mve_collection_ticker"), F.when(F.col("l_partkey") % 17 == 0, F.array(F.lit("leg"))).alias("mve_selected_legs"),
     )
-    by = p.groupBy("l_orderkey").agg(F.collect_list(child).alias("markets"))
+    # dealt as rows: lists of each task's own rows, joined later, would be no smaller
+    by = p.repartition("l_orderkey").groupBy("l_orderkey").agg(F.collect_list(child).alias("markets"))
     k = F.col("l_orderkey")
     event = F.struct(k.cast("string").alias("event_ticker"), F.concat(F.lit("Event "), k.cast("string")).alias("title"), F.when(k % 2 == 0, F.lit("sub")).alias("sub_title"), F.lit("cat").alias("category"), (k % 3 == 0).alias("mutually_exclusive"))
     return by.select(event.alias("event"), "markets")
