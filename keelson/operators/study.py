@@ -337,8 +337,10 @@ def overlay_live(pairs: DataFrame, live: DataFrame) -> DataFrame:
     """Each side's live price and volume where it has one, else the study's.
 
     ``live(platform, id, yes, volume)`` may tell ``active`` and ``has_book``: a pair whose
-    both sides are found and inactive is settled; a live side without a book is stale.
+    both sides are found and inactive is settled; a live side without a book is stale. For the session, joins
+    whose parts all turn out small enough to be held look rows up instead of sorting both sides.
     """
+    pairs.sparkSession.conf.set("spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold", "64m")
     extra = {c: F.col(c) if c in live.columns else F.lit(True) for c in ("active", "has_book")}
 
     def side(platform: str, k: str) -> DataFrame:
